@@ -32,7 +32,7 @@ needles AS (
 
 RAW_HITS = """
 occ AS (
-  SELECT shard, sample_index, token_ids, words, generate_subscripts(token_ids, 1) - 1 AS pos,
+  SELECT shard, sample_index, token_ids, words, CAST(generate_subscripts(token_ids, 1) - 1 AS INTEGER) AS pos,
          unnest(token_ids) AS tok
   FROM corpus),
 raw_hits AS (
@@ -47,3 +47,29 @@ hits AS (
 
 def with_ctes(*parts: str, body: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + body
+
+
+# Word characters as Java's \b sees them (letters, decimal digits, underscore).
+W = "[\\p{L}\\p{Nd}_]"
+NW = "[^\\p{L}\\p{Nd}_]"
+
+
+def literal_boundary_pattern(col: str) -> str:
+    """DuckDB pattern equivalent to Java ``\\b\\Q<col>\\E\\b`` (RE2's ``\\b`` is ASCII-only)."""
+    return (
+        f"(CASE WHEN {col} = '' THEN '{W}' ELSE"
+        f" CASE WHEN regexp_matches({col}, '^{W}') THEN '(^|{NW})' ELSE '{W}' END"
+        f" || '\\Q' || {col} || '\\E' ||"
+        f" CASE WHEN regexp_matches({col}, '{W}$') THEN '($|{NW})' ELSE '{W}' END END)"
+    )
+
+
+CONTEXT = """
+ctx AS (
+  SELECT shard, sample_index, token_offset, seq_ord, sequence,
+    array_to_string(words[greatest(token_offset - 50, 0) + 1 : token_offset], ' ')
+      || CASE WHEN token_offset > 0 THEN ' ' ELSE '' END AS before,
+    array_to_string(words[token_offset + 1 : token_offset + len(sequence)], ' ') AS match,
+    CASE WHEN len(words) > token_offset + len(sequence) THEN ' ' ELSE '' END
+      || array_to_string(words[token_offset + len(sequence) + 1 : token_offset + len(sequence) + 50], ' ') AS after
+  FROM hits)"""

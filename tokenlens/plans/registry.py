@@ -52,3 +52,306 @@ def find_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     tc, needles = _search_input(spark, sf_dir)
     hits = find_ops.find_sequences(tc.corpus, needles, tc.token_stats)
     return find_ops.dedup_hits(hits).select(*HIT_COLS)
+
+
+# ----------------------------------------------------------------------------------------------
+# corpus operators
+# ----------------------------------------------------------------------------------------------
+from .. import constants as C  # noqa: E402
+from ..functions.text import html_card  # noqa: E402,F401
+from ..operators import context as ctx_ops  # noqa: E402
+from ..operators import corpus_ops, decode, hist, postings as post_ops  # noqa: E402
+from ..sources.corpus import contract_report  # noqa: E402
+
+FIX_SPS = 100  # samples per shard of the word-token fixture
+
+
+@register("scan_corpus", Q.with_ctes(Q.WORDS, body="SELECT shard, sample_index, token_ids FROM corpus"))
+def scan_corpus(spark, sf_dir):
+    """The corpus table, pruned to its three columns."""
+    return word_corpus(spark, sf_dir).corpus.select("shard", "sample_index", "token_ids")
+
+
+@register("corpus_contract", Q.with_ctes(Q.WORDS, body="""
+SELECT shard, CAST(count(*) AS BIGINT) AS n_samples, CAST(0 AS BIGINT) AS n_bad_length,
+  CAST(sum(CASE WHEN len(list_filter(token_ids, lambda x: x < 0 OR x > 65535)) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_bad_ids,
+  min(sample_index) AS min_sample, max(sample_index) AS max_sample,
+  CAST(sum(len(token_ids)) AS BIGINT) AS n_tokens,
+  (min(sample_index) = 0 AND max(sample_index) = count(*) - 1 AND count(*) = 100
+   AND sum(CASE WHEN len(list_filter(token_ids, lambda x: x < 0 OR x > 65535)) > 0 THEN 1 ELSE 0 END) = 0) AS ok
+FROM corpus GROUP BY shard"""))
+def corpus_contract(spark, sf_dir):
+    """S3: per-shard contract report (sample count, dense indexes, ids inside uint16)."""
+    return contract_report(word_corpus(spark, sf_dir).corpus, None, FIX_SPS)
+
+
+@register("shard_slice", Q.with_ctes(Q.WORDS, body="SELECT shard, sample_index, token_ids FROM corpus WHERE shard = 1"))
+def shard_slice(spark, sf_dir):
+    """One shard, by partition pruning."""
+    return corpus_ops.shard_slice(word_corpus(spark, sf_dir).corpus, 1)
+
+
+@register("position_slice", Q.with_ctes(Q.WORDS, body="SELECT shard, sample_index, token_ids[11:20] AS tokens FROM corpus"))
+def position_slice(spark, sf_dir):
+    """Tokens 10..19 of every sample."""
+    return corpus_ops.position_slice(word_corpus(spark, sf_dir).corpus, 10, 20)
+
+
+@register("separated_stream", Q.with_ctes(Q.WORDS, body="""
+SELECT shard, sample_index, list_concat([65535], token_ids) AS tokens,
+  CAST(coalesce(sum((len(token_ids) + 1) * 2) OVER (PARTITION BY shard ORDER BY sample_index
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset
+FROM corpus"""))
+def separated_stream(spark, sf_dir):
+    """K2: separator-prefixed samples with their byte offsets inside the shard stream."""
+    return corpus_ops.separated_stream(word_corpus(spark, sf_dir).corpus)
+
+
+@register("postings", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
+SELECT tok AS token_id, shard, sample_index, list(pos ORDER BY pos) AS positions FROM occ
+GROUP BY tok, shard, sample_index"""))
+def postings(spark, sf_dir):
+    """K4: positional postings, one row per (token, sample)."""
+    tc = word_corpus(spark, sf_dir)
+    return post_ops.build_postings(tc.corpus, f"{tc.root}/postings").select("token_id", "shard", "sample_index", "positions")
+
+
+@register("token_stats", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
+SELECT tok AS token_id, count(*) AS n, count(DISTINCT (shard, sample_index)) AS n_samples FROM occ GROUP BY tok"""))
+def token_stats(spark, sf_dir):
+    """K4: occurrences and containing samples per token."""
+    return word_corpus(spark, sf_dir).token_stats.select("token_id", "n", "n_samples")
+
+
+# ----------------------------------------------------------------------------------------------
+# vocabulary lookups on the search input
+# ----------------------------------------------------------------------------------------------
+NEEDLE_TOKENS = """
+nt AS (SELECT seq_ord, seq, generate_subscripts(seq, 1) AS i, unnest(seq) AS t FROM needles)"""
+
+
+@register("ids_to_tokens", Q.with_ctes(Q.WORDS, Q.NEEDLES, NEEDLE_TOKENS, body="""
+SELECT nt.seq_ord, nt.seq, list(v.token ORDER BY nt.i) AS tokens
+FROM nt JOIN vocab v ON v.token_id = nt.t GROUP BY nt.seq_ord, nt.seq"""))
+def ids_to_tokens(spark, sf_dir):
+    """Id sequences -> token strings."""
+    tc, needles = _search_input(spark, sf_dir)
+    return decode.ids_to_tokens(needles, ["seq_ord"], "seq", tc.vocab).select("seq_ord", "seq", "tokens")
+
+
+@register("decode_tokens", Q.with_ctes(Q.WORDS, Q.NEEDLES, NEEDLE_TOKENS, body="""
+SELECT nt.seq_ord, array_to_string(list(v.token ORDER BY nt.i), ' ') AS text
+FROM nt JOIN vocab v ON v.token_id = nt.t GROUP BY nt.seq_ord"""))
+def decode_tokens(spark, sf_dir):
+    """Id sequences -> text."""
+    tc, needles = _search_input(spark, sf_dir)
+    d = decode.decode_arrays(needles, ["seq_ord"], ["seq"], tc.vocab, tc.joiner)
+    return d.select("seq_ord", F.col("seq_text").alias("text"))
+
+
+# ----------------------------------------------------------------------------------------------
+# hits
+# ----------------------------------------------------------------------------------------------
+def _raw_hits(spark, sf_dir, context_len=0):
+    tc, needles = _search_input(spark, sf_dir)
+    return tc, find_ops.find_sequences(tc.corpus, needles, tc.token_stats, context_len=context_len)
+
+
+@register("sample_lookup", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
+SELECT c.shard, c.sample_index, c.token_ids FROM corpus c
+WHERE EXISTS (SELECT 1 FROM hits h WHERE h.shard = c.shard AND h.sample_index = c.sample_index)"""))
+def sample_lookup(spark, sf_dir):
+    """The samples that contain a hit."""
+    tc, raw = _raw_hits(spark, sf_dir)
+    return corpus_ops.sample_lookup(tc.corpus, raw)
+
+
+@register("first_occurrence", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
+SELECT seq_ord, shard, sample_index, min(token_offset) AS first_offset, count(*) AS n_occurrences
+FROM raw_hits GROUP BY seq_ord, shard, sample_index"""))
+def first_occurrence(spark, sf_dir):
+    """First offset of each sequence in each sample."""
+    _, raw = _raw_hits(spark, sf_dir)
+    return find_ops.first_occurrence(raw)
+
+
+@register("sequence_counts", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
+SELECT seq_ord, count(*) AS n_hits, count(DISTINCT (shard, sample_index)) AS n_samples
+FROM raw_hits GROUP BY seq_ord"""))
+def sequence_counts(spark, sf_dir):
+    """Hits and samples per sequence."""
+    _, raw = _raw_hits(spark, sf_dir)
+    return find_ops.sequence_counts(raw)
+
+
+@register("dedup_hits", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
+SELECT shard, sample_index, token_offset, min(seq_ord) AS seq_ord, count(*) AS n_candidates
+FROM raw_hits GROUP BY shard, sample_index, token_offset"""))
+def dedup_hits(spark, sf_dir):
+    """One hit per location, earliest sequence first, with how many sequences hit there."""
+    _, raw = _raw_hits(spark, sf_dir)
+    return raw.groupBy(*find_ops.LOCATION).agg(F.min("seq_ord").alias("seq_ord"), F.count(F.lit(1)).alias("n_candidates"))
+
+
+@register("repair_offsets", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, """
+fo AS (SELECT seq_ord, shard, sample_index, min(token_offset) AS first_offset FROM raw_hits
+       GROUP BY seq_ord, shard, sample_index),
+rep AS (
+  SELECT h.shard, h.sample_index + d.ds AS sample_index, h.token_offset + d.doff AS reported_offset,
+         h.seq_ord, h.sequence
+  FROM hits h, (VALUES (0, 0), (0, 1), (0, 7), (1, 0)) d(ds, doff)),
+fixed AS (
+  SELECT r.seq_ord, r.shard, r.sample_index, r.reported_offset, r.sequence,
+    CASE WHEN c.token_ids[r.reported_offset + 1 : r.reported_offset + len(r.sequence)] = r.sequence
+           THEN r.reported_offset
+         WHEN r.reported_offset > 0
+              AND c.token_ids[r.reported_offset : r.reported_offset - 1 + len(r.sequence)] = r.sequence
+           THEN r.reported_offset - 1
+         ELSE fo.first_offset END AS token_offset
+  FROM rep r JOIN corpus c ON c.shard = r.shard AND c.sample_index = r.sample_index
+  LEFT JOIN fo ON fo.seq_ord = r.seq_ord AND fo.shard = r.shard AND fo.sample_index = r.sample_index)""", body="""
+SELECT seq_ord, shard, sample_index, CAST(token_offset AS INTEGER) AS token_offset, any_value(sequence) AS sequence,
+       CAST(min(reported_offset) AS INTEGER) AS reported_offset
+FROM fixed WHERE token_offset IS NOT NULL GROUP BY seq_ord, shard, sample_index, token_offset"""))
+def repair_offsets(spark, sf_dir):
+    """Reported offsets = true offset + {0, 1, 7}, and the right offset in the next sample;
+    repair keeps, steps back, rescans, or drops."""
+    tc, raw = _raw_hits(spark, sf_dir)
+    hits = find_ops.dedup_hits(raw)
+    deltas = F.array(*[F.struct(F.lit(a).alias("ds"), F.lit(b).alias("doff")) for a, b in [(0, 0), (0, 1), (0, 7), (1, 0)]])
+    rep = hits.select("*", F.explode(deltas).alias("d")).select(
+        "shard", (F.col("sample_index") + F.col("d.ds")).cast("int").alias("sample_index"),
+        (F.col("token_offset") + F.col("d.doff")).cast("int").alias("reported_offset"), "seq_ord", "sequence")
+    return find_ops.repair_offsets(rep, tc.corpus).select(
+        "seq_ord", "shard", "sample_index", "token_offset", "sequence", "reported_offset")
+
+
+def _context(spark, sf_dir, context_len=C.DEFAULT_CONTEXT_LEN):
+    tc, raw = _raw_hits(spark, sf_dir, context_len=context_len)
+    hits = find_ops.dedup_hits(raw)
+    return ctx_ops.hit_context(hits, tc.vocab, tc.joiner)
+
+
+@register("hit_context", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, Q.CONTEXT, body="SELECT * FROM ctx"))
+def hit_context(spark, sf_dir):
+    """P15 + J8: decoded 50-token context on each side of every deduplicated hit."""
+    return _context(spark, sf_dir).select(*HIT_COLS, "before", "match", "after")
+
+
+@register("context_regex", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, Q.CONTEXT, f"""
+rx AS (SELECT *, regexp_matches(before || match || after, {Q.literal_boundary_pattern('match')}) AS context_ok FROM ctx)""",
+    body="""
+SELECT shard, sample_index, token_offset, seq_ord, sequence, context_ok,
+  CASE WHEN context_ok THEN before END AS before, CASE WHEN context_ok THEN match END AS match,
+  CASE WHEN context_ok THEN after END AS after
+FROM rx"""))
+def context_regex(spark, sf_dir):
+    """P10: context kept only where it matches the word-boundary pattern of the matched text
+    (taken literally); the hit stays either way."""
+    c = _context(spark, sf_dir).select(*HIT_COLS, "before", "match", "after")
+    pattern = F.concat(F.lit("\\b\\Q"), F.col("match"), F.lit("\\E\\b"))
+    return ctx_ops.context_regex(c, pattern)
+
+
+@register("display_hits", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, Q.CONTEXT, body="""
+SELECT shard, sample_index, token_offset,
+  printf('Shard: %d, Sample: %d, Offset: %d', shard, sample_index, token_offset) || chr(10) ||
+  printf('Context: ...%s**%s**%s...', before, match, after) || chr(10) || repeat('-', 40) AS display
+FROM ctx"""))
+def display_hits(spark, sf_dir):
+    """One display string per hit."""
+    return ctx_ops.display_hits(_context(spark, sf_dir))
+
+
+def _html_escape_sql(c):
+    out = c
+    for a, b in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]:
+        a_sql = a.replace("'", "''")
+        out = f"replace({out}, '{a_sql}', '{b}')"
+    return out
+
+
+@register("html_hits", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, Q.CONTEXT, body=f"""
+SELECT shard, sample_index, token_offset,
+  printf('{{tpl}}', shard, sample_index, token_offset, {_html_escape_sql('before')}, {_html_escape_sql('match')},
+         {_html_escape_sql('after')}) AS html
+FROM ctx""".replace("{tpl}", __import__("tokenlens.functions.text", fromlist=["HTML_CARD"]).HTML_CARD.replace("'", "''"))))
+def html_hits(spark, sf_dir):
+    """HTML card per hit with context (hits without context are quarantined)."""
+    good, _bad = ctx_ops.html_hits(_context(spark, sf_dir))
+    return good
+
+
+@register("hit_steps", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
+SELECT shard, sample_index, token_offset, seq_ord, sequence,
+  CAST(shard AS BIGINT) * 100 + sample_index AS global_idx,
+  (CAST(shard AS BIGINT) * 100 + sample_index) // 1024 AS train_step,
+  ((CAST(shard AS BIGINT) * 100 + sample_index) // 1024 // 1000 + 1) * 1000 AS first_checkpoint,
+  (CAST(shard AS BIGINT) * 100 + sample_index) >= 97280000 AS already_seen
+FROM hits"""))
+def hit_steps(spark, sf_dir):
+    """Training step provenance of each hit."""
+    _, raw = _raw_hits(spark, sf_dir)
+    return corpus_ops.hit_steps(find_ops.dedup_hits(raw).select(*HIT_COLS), FIX_SPS)
+
+
+# ----------------------------------------------------------------------------------------------
+# histograms
+# ----------------------------------------------------------------------------------------------
+SLOTS = """
+slots AS (SELECT CAST(unnest(range(0, (SELECT greatest(95, max(shard) + 1) FROM corpus))) AS INTEGER) AS shard),
+lab AS (
+  SELECT DISTINCT CASE WHEN seq_ord // 1000000000 = 0 THEN 'len4' ELSE 'len2' END AS label,
+         CAST(seq_ord // 1000000000 AS INTEGER) AS label_ord, shard, sample_index, token_offset
+  FROM raw_hits),
+stk AS (
+  SELECT l.label, l.label_ord, s.shard, CAST(count(h.shard) AS BIGINT) AS n_hits
+  FROM (SELECT DISTINCT label, label_ord FROM lab) l CROSS JOIN slots s
+  LEFT JOIN lab h ON h.label = l.label AND h.shard = s.shard
+  GROUP BY l.label, l.label_ord, s.shard),
+stacked AS (
+  SELECT *, CAST(coalesce(sum(n_hits) OVER (PARTITION BY shard ORDER BY label_ord
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bottom FROM stk)"""
+
+
+def _labelled(spark, sf_dir):
+    """Per-label result sets: one label per needle length; each label deduplicates its own hits."""
+    tc, raw = _raw_hits(spark, sf_dir)
+    rank = F.floor(F.col("seq_ord") / 1_000_000_000).cast("int")
+    lab = raw.select(F.when(rank == 0, F.lit("len4")).otherwise(F.lit("len2")).alias("label"),
+                     rank.alias("label_ord"), "shard", "sample_index", "token_offset").distinct()
+    return tc, lab
+
+
+@register("shard_histogram", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, SLOTS, body="""
+SELECT s.shard, CAST(count(h.shard) AS BIGINT) AS n_hits FROM slots s LEFT JOIN hits h ON h.shard = s.shard
+GROUP BY s.shard"""))
+def shard_histogram(spark, sf_dir):
+    """A1 + J11: hits per shard, zero-filled."""
+    tc, raw = _raw_hits(spark, sf_dir)
+    return hist.shard_histogram(find_ops.dedup_hits(raw), hist.shard_count(tc.corpus))
+
+
+@register("stacked_histogram", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, SLOTS, body="SELECT * FROM stacked"))
+def stacked_histogram(spark, sf_dir):
+    """A2 + W2 + U3: hits per (label, shard) with stack bases."""
+    tc, lab = _labelled(spark, sf_dir)
+    return hist.stacked_histogram(lab, hist.shard_count(tc.corpus))
+
+
+@register("hit_totals", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, SLOTS, body="""
+SELECT label, label_ord, CAST(count(*) AS BIGINT) AS n_hits FROM lab GROUP BY label, label_ord
+UNION ALL SELECT NULL, NULL, CAST(count(*) AS BIGINT) FROM lab"""))
+def hit_totals(spark, sf_dir):
+    """A3: hits per label and in total."""
+    _, lab = _labelled(spark, sf_dir)
+    return hist.hit_totals(lab)
+
+
+@register("stack_headroom", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, SLOTS, body="""
+SELECT CAST(coalesce(max(h), 0) AS BIGINT) AS max_height, CAST(coalesce(max(h), 0) * 1.15 AS DOUBLE) AS y_limit
+FROM (SELECT shard, sum(n_hits) AS h FROM stacked GROUP BY shard)"""))
+def stack_headroom(spark, sf_dir):
+    """A4: tallest stack and axis limit with 15% headroom."""
+    tc, lab = _labelled(spark, sf_dir)
+    return hist.stack_headroom(hist.stacked_histogram(lab, hist.shard_count(tc.corpus)))
