@@ -355,3 +355,185 @@ def stack_headroom(spark, sf_dir):
     """A4: tallest stack and axis limit with 15% headroom."""
     tc, lab = _labelled(spark, sf_dir)
     return hist.stack_headroom(hist.stacked_histogram(lab, hist.shard_count(tc.corpus)))
+
+
+# ----------------------------------------------------------------------------------------------
+# surprisal on the logits stand-in
+# ----------------------------------------------------------------------------------------------
+from ..operators import facts as fact_ops  # noqa: E402
+from ..operators import surprisal as sur  # noqa: E402
+from ..session import shared_dir  # noqa: E402
+from .logits import SUFFIX_START, conversation_facts, logits_table  # noqa: E402
+
+LOGITS = """
+lg AS (SELECT CAST(vec_id // 8 AS BIGINT) AS text_id, CAST(vec_id % 8 AS INTEGER) AS pos,
+              CAST(label AS INTEGER) AS token_id, CAST(embedding AS DOUBLE[]) AS logits FROM embeddings),
+sh AS (SELECT text_id, pos, token_id, lag(logits) OVER (PARTITION BY text_id ORDER BY pos) AS prev FROM lg),
+sm AS (SELECT *, list_max(prev) AS m FROM sh WHERE prev IS NOT NULL),
+ts AS (SELECT text_id, pos, token_id,
+              -(prev[token_id + 1] - (m + ln(list_sum(list_transform(prev, lambda x: exp(x - m)))))) AS surprisal
+       FROM sm)"""
+
+
+def _r(c):
+    return F.round(c, 6)
+
+
+def _ra(c):
+    return F.transform(c, lambda x: F.round(x, 6))
+
+
+@register("token_surprisal", Q.with_ctes(LOGITS, body="SELECT text_id, pos, token_id, round(surprisal, 6) AS surprisal FROM ts"))
+def token_surprisal(spark, sf_dir):
+    """W3 + A7: per-token surprisal from the previous position's logits."""
+    s = sur.token_surprisal(logits_table(spark, sf_dir))
+    return s.select("text_id", "pos", "token_id", _r("surprisal").alias("surprisal"))
+
+
+@register("fact_stats", Q.with_ctes(LOGITS, f"""
+st AS (SELECT text_id, sum(surprisal) AS tot, avg(surprisal) AS av,
+              list(surprisal ORDER BY pos) AS sl, list('<' || token_id || '>' ORDER BY pos) AS tl
+       FROM ts WHERE pos >= {SUFFIX_START} GROUP BY text_id)""", body="""
+SELECT text_id, round(tot, 6) AS total_surprisal, round(av, 6) AS avg_surprisal, round(exp(av), 6) AS perplexity,
+       list_transform(sl, lambda x: round(x, 6)) AS token_surprisals, tl AS tokens
+FROM st"""))
+def fact_stats(spark, sf_dir):
+    """A5 + A6: total / mean surprisal, perplexity and per-token lists over the suffix."""
+    lt = logits_table(spark, sf_dir)
+    s = sur.token_surprisal(lt)
+    starts = lt.select("text_id").distinct().select("text_id", F.lit(SUFFIX_START).alias("suffix_start"))
+    st = sur.completion_stats(s, starts)
+    return st.select("text_id", _r("total_surprisal").alias("total_surprisal"), _r("avg_surprisal").alias("avg_surprisal"),
+                     _r("perplexity").alias("perplexity"), _ra(F.col("token_surprisals")).alias("token_surprisals"), "tokens")
+
+
+@register("last_position", Q.with_ctes(LOGITS, body="SELECT text_id, max(pos) AS pos, arg_max(logits, pos) AS logits FROM lg GROUP BY text_id"))
+def last_position(spark, sf_dir):
+    """Logits at each text's last position."""
+    return sur.last_position(logits_table(spark, sf_dir))
+
+
+@register("next_token_topn", Q.with_ctes(LOGITS, """
+lp AS (SELECT text_id, arg_max(logits, pos) AS logits FROM lg GROUP BY text_id),
+lz AS (SELECT text_id, logits, list_max(logits) AS m FROM lp),
+le AS (SELECT text_id, m + ln(list_sum(list_transform(logits, lambda x: exp(x - m)))) AS lse,
+              unnest(logits) AS logit, generate_subscripts(logits, 1) - 1 AS token_id FROM lz),
+rk AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY logit DESC, token_id) AS rank FROM le)""", body="""
+SELECT text_id, CAST(rank AS INTEGER) AS rank, CAST(token_id AS INTEGER) AS token_id, round(logit, 6) AS logit,
+       round(exp(logit - lse), 6) AS prob
+FROM rk WHERE rank <= 5"""))
+def next_token_topn(spark, sf_dir):
+    """T2 + A8: five most likely next tokens after each text, with softmax probabilities."""
+    lp = sur.last_position(logits_table(spark, sf_dir))
+    t = lp.select("text_id", F.explode(sur.top_n(F.col("logits"), 5)).alias("e"))
+    return t.select("text_id", F.col("e.rank").cast("int").alias("rank"), F.col("e.token_id").cast("int").alias("token_id"),
+                    _r(F.col("e.logit")).alias("logit"), _r(F.col("e.prob")).alias("prob"))
+
+
+# ----------------------------------------------------------------------------------------------
+# facts, checkpoints, grid
+# ----------------------------------------------------------------------------------------------
+FACTS_SQL = """
+fc AS (SELECT conv_id, turn, text, substring(text, 1, CAST(floor(length(text) / 2) AS INTEGER)) AS prefix,
+              substring(text, CAST(floor(length(text) / 2) AS INTEGER) + 1) AS suffix FROM conversations),
+ws AS (SELECT conv_id, turn, generate_subscripts(string_split(text, ' '), 1) AS wpos,
+              unnest(string_split(text, ' ')) AS w FROM fc),
+wst AS (SELECT conv_id, turn, wpos, w,
+               CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY conv_id, turn ORDER BY wpos
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM ws),
+spans AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY wpos) - 1 AS INTEGER) AS pos,
+                 start, CAST(start + length(w) AS INTEGER) AS "end" FROM wst WHERE length(w) > 0),
+bc AS (
+  SELECT f.conv_id, f.turn, CAST(length(f.prefix) AS INTEGER) AS plen,
+         max(CASE WHEN s.start < length(f.prefix) AND length(f.prefix) < s."end" THEN s.pos END) AS straddle_pos,
+         min(CASE WHEN s.start >= length(f.prefix) THEN s.pos END) AS suffix_start,
+         CAST(count(s.pos) AS INTEGER) AS n_tokens
+  FROM fc f LEFT JOIN spans s ON s.conv_id = f.conv_id AND s.turn = f.turn
+  GROUP BY f.conv_id, f.turn, f.prefix),
+chk AS (
+  SELECT conv_id, turn, plen AS prefix_len, n_tokens,
+    CASE WHEN straddle_pos IS NOT NULL THEN 'prefix and suffix straddle a token boundary'
+         WHEN suffix_start IS NULL THEN 'no suffix tokens'
+         WHEN suffix_start = 0 THEN 'suffix starts at token 0: prefix is empty' END AS reason,
+    suffix_start AS ss
+  FROM bc)"""
+
+
+def _boundary(spark, sf_dir):
+    facts = conversation_facts(spark, sf_dir)
+    spans = fact_ops.word_spans(facts, ["conv_id", "turn"])
+    return fact_ops.boundary_check(facts, spans, ["conv_id", "turn"])
+
+
+@register("boundary_check", Q.with_ctes(FACTS_SQL, body="""
+SELECT conv_id, turn, prefix_len, n_tokens, CAST(CASE WHEN reason IS NULL THEN ss END AS INTEGER) AS suffix_start, reason
+FROM chk"""))
+def boundary_check(spark, sf_dir):
+    """Suffix start and token-boundary validation of each (prefix, suffix) fact."""
+    return _boundary(spark, sf_dir)
+
+
+@register("fact_errors", Q.with_ctes(FACTS_SQL, body="SELECT conv_id, turn, reason FROM chk WHERE reason IS NOT NULL"))
+def fact_errors(spark, sf_dir):
+    """Quarantine of facts that cannot be scored, with the reason."""
+    return _boundary(spark, sf_dir).where(F.col("reason").isNotNull()).select("conv_id", "turn", "reason")
+
+
+GRID_SQL = """
+grid AS (SELECT f.conv_id, f.turn, '6.9b' AS variant, CAST(s.step AS INTEGER) AS step
+         FROM conversations f, (SELECT unnest(range(40000, 96000, 1000)) AS step) s)"""
+
+
+@register("facts_steps_grid", Q.with_ctes(GRID_SQL, body="SELECT * FROM grid"))
+def facts_steps_grid(spark, sf_dir):
+    """S9 + S10 + J9: every fact at checkpoints 40,000 .. 95,000."""
+    facts = conversation_facts(spark, sf_dir).select("conv_id", "turn")
+    return fact_ops.fact_grid(facts)
+
+
+@register("resume_steps", Q.with_ctes(GRID_SQL, body="SELECT * FROM grid WHERE step >= 68000"))
+def resume_steps(spark, sf_dir):
+    """J10 + K6: steps below 68,000 are written as finished results; the plan then yields only
+    the grid rows whose step has no result on disk."""
+    from ..session import fingerprint
+    facts = conversation_facts(spark, sf_dir).select("conv_id", "turn")
+    grid = fact_ops.fact_grid(facts)
+    path = f"{shared_dir(spark)}/tokenlens/fact_steps/{fingerprint(spark, sf_dir + '/conversations.parquet')}"
+    fact_ops.write_step_results(grid.where(F.col("step") < 68000), path)
+    done = fact_ops.read_step_results(spark, path, "conv_id long, turn long, variant string, step int")
+    return fact_ops.remaining_steps(grid, done).select("conv_id", "turn", "variant", "step")
+
+
+@register("validate_checkpoints", """
+SELECT vec_id, ['70m', '160m', '410m', '1.4b', '2.8b', '6.9b', '12b', '7b', '1b', '3b'][label + 1] AS variant,
+  CAST(vec_id * 250 AS BIGINT) AS revision,
+  CASE WHEN ['70m', '160m', '410m', '1.4b', '2.8b', '6.9b', '12b', '7b', '1b', '3b'][label + 1]
+            NOT IN ('70m', '160m', '410m', '1.4b', '2.8b', '6.9b', '12b')
+         THEN 'Invalid model variant: ' || ['70m', '160m', '410m', '1.4b', '2.8b', '6.9b', '12b', '7b', '1b', '3b'][label + 1]
+       WHEN NOT (vec_id * 250 BETWEEN 0 AND 143000 AND (vec_id * 250) % 1000 = 0)
+         THEN 'Invalid revision: ' || (vec_id * 250) || '. (Should be a number from 0 to 143000 divisible by 1000).'
+  END AS reason
+FROM embeddings""")
+def validate_checkpoints(spark, sf_dir):
+    """variant/revision domain check over candidate checkpoints drawn from a table."""
+    e = read_table(spark, sf_dir, "embeddings")
+    names = F.array(*[F.lit(v) for v in C.MODEL_VARIANTS + ["7b", "1b", "3b"]])
+    cands = e.select("vec_id", F.try_element_at(names, F.col("label") + 1).alias("variant"),
+                     (F.col("vec_id") * 250).cast("long").alias("revision"))
+    return fact_ops.validate_checkpoints(cands).select("vec_id", "variant", "revision", "reason")
+
+
+@register("doc_address", Q.with_ctes(Q.WORDS, """
+names AS (SELECT CAST(s AS INTEGER) AS shard, 'tokenized.' || s AS file_name
+          FROM (SELECT unnest(range(0, (SELECT greatest(95, max(shard) + 1) FROM corpus))) AS s)),
+fmap AS (SELECT CAST(row_number() OVER (ORDER BY file_name) - 1 AS INTEGER) AS file_index, shard FROM names)""", body="""
+SELECT CAST(f.file_index AS BIGINT) * 100 + c.sample_index AS doc_ix, f.file_index, c.shard, c.sample_index
+FROM corpus c JOIN fmap f USING (shard)"""))
+def doc_address(spark, sf_dir):
+    """P14 + T5: documents numbered over lexicographically sorted index files, decoded back to
+    (shard, sample_index)."""
+    tc = word_corpus(spark, sf_dir)
+    fmap = corpus_ops.file_index_to_shard(spark, hist.shard_count(tc.corpus))
+    docs = tc.corpus.join(F.broadcast(fmap.select("file_index", "shard")), "shard").select(
+        (F.col("file_index").cast("long") * FIX_SPS + F.col("sample_index")).alias("doc_ix"))
+    return corpus_ops.doc_address(docs, fmap, FIX_SPS).select("doc_ix", "file_index", "shard", "sample_index")
