@@ -14,9 +14,11 @@ DISPLAY_RULE = "-" * 40
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
 
 
-def default_regex(query: Column) -> Column:
-    """Word-boundary pattern around the query, the query *not* escaped."""
-    return F.concat(F.lit("\\b"), query, F.lit("\\b"))
+def default_regex(query: Column, literal: bool = False) -> Column:
+    """Word-boundary pattern around the query, the query *not* escaped (``literal=True``
+    quotes it). ``(?U)`` pins Unicode word characters for ``\\b`` on every JDK."""
+    q = F.concat(F.lit("\\Q"), query, F.lit("\\E")) if literal else query
+    return F.concat(F.lit("(?U)\\b"), q, F.lit("\\b"))
 
 
 def regex_search(text: Column, pattern: Column) -> Column:

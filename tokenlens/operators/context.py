@@ -22,11 +22,11 @@ def context_ids_by_join(hits: DataFrame, corpus: DataFrame, context_len: int = C
 
 
 def hit_context(hits_with_ids: DataFrame, vocab: DataFrame, joiner: str = " ", byte_level: bool = False,
-                vocab_bounded: bool = False) -> DataFrame:
+                vocab_bounded: bool = False, key: list[str] | None = None) -> DataFrame:
     """Decode before / match / after. With a word joiner the separator that stood between
     two parts in the text is kept on the outer part (``before`` ends with it, ``after`` starts
     with it), so ``before + match + after`` is the original text span."""
-    d = decode_arrays(hits_with_ids, KEY, ["before_ids", "match_ids", "after_ids"], vocab, joiner, byte_level,
+    d = decode_arrays(hits_with_ids, key or KEY, ["before_ids", "match_ids", "after_ids"], vocab, joiner, byte_level,
                       vocab_bounded=vocab_bounded)
     sep = F.lit(joiner)
     before = F.when(F.size("before_ids") > 0, F.concat(F.col("before_ids_text"), sep)).otherwise(F.lit(""))

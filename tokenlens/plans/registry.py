@@ -537,3 +537,124 @@ def doc_address(spark, sf_dir):
     docs = tc.corpus.join(F.broadcast(fmap.select("file_index", "shard")), "shard").select(
         (F.col("file_index").cast("long") * FIX_SPS + F.col("sample_index")).alias("doc_ix"))
     return corpus_ops.doc_address(docs, fmap, FIX_SPS).select("doc_ix", "file_index", "shard", "sample_index")
+
+
+# ----------------------------------------------------------------------------------------------
+# cover search on the word vocabulary, and text search end to end
+# ----------------------------------------------------------------------------------------------
+from ..functions.text import default_regex as _default_regex  # noqa: E402
+from ..operators import cover as cov  # noqa: E402
+from . import search as srch  # noqa: E402
+
+
+def _targets(spark, sf_dir):
+    tc = word_corpus(spark, sf_dir)
+    t = srch.word_targets(srch.passage_targets(read_table(spark, sf_dir, "benchmark"))).checkpoint(eager=True)
+    return tc, t
+
+
+@register("prefix_index", Q.with_ctes(Q.WORDS, body="""
+SELECT left(token, i) AS affix, token_id FROM (SELECT token, token_id, unnest(range(1, length(token) + 1)) AS i FROM vocab)"""))
+def prefix_index(spark, sf_dir):
+    """Every prefix of every vocabulary token."""
+    return srch.affix_table(word_corpus(spark, sf_dir), "prefix")
+
+
+@register("suffix_index", Q.with_ctes(Q.WORDS, body="""
+SELECT right(token, i) AS affix, token_id FROM (SELECT token, token_id, unnest(range(1, length(token) + 1)) AS i FROM vocab)"""))
+def suffix_index(spark, sf_dir):
+    """P6 + K5: every suffix of every vocabulary token (written once, reused)."""
+    return srch.affix_table(word_corpus(spark, sf_dir), "suffix")
+
+
+@register("default_regex", Q.with_ctes(Q.LENS, Q.TARGETS, body="SELECT qid, '(?U)\\b' || target || '\\b' AS pattern FROM targets"))
+def default_regex(spark, sf_dir):
+    """The default pattern of every query (word boundaries, query not escaped)."""
+    _, t = _targets(spark, sf_dir)
+    return t.select("qid", _default_regex(F.col("target")).alias("pattern"))
+
+
+@register("single_token_cover", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="SELECT qid, seq FROM k1"))
+def single_token_cover(spark, sf_dir):
+    """Single tokens containing the query."""
+    tc, t = _targets(spark, sf_dir)
+    return cov.single_token_cover(t, tc.vocab, srch.affix_table(tc, "suffix"))
+
+
+@register("first_token_candidates", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="SELECT qid, i, token_id FROM firsts"))
+def first_token_candidates(spark, sf_dir):
+    """First tokens ending with the query's leading part."""
+    tc, t = _targets(spark, sf_dir)
+    return cov.first_token_candidates(t, tc.vocab, tc.joiner, srch.affix_table(tc, "suffix")).select("qid", "i", "token_id")
+
+
+@register("tail_paths", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, f"""
+tws2 AS (SELECT qid, max_depth, tws, generate_subscripts(tws, 1) AS j FROM targets),
+tstart AS (SELECT qid, max_depth, tws, j,
+                  CAST(length(array_to_string(tws[1:j - 1], ' ')) + CASE WHEN j > 1 THEN 1 ELSE 0 END AS INTEGER) AS start
+           FROM tws2),
+tpath AS (
+  SELECT s.qid, s.start, CAST(len(s.tws) - s.j + 1 AS INTEGER) AS depth,
+         list(v.token_id ORDER BY x.j) AS seq, count(*) AS nt, count(v.token_id) AS nk, max(s.max_depth) AS md
+  FROM tstart s JOIN tws2 x ON x.qid = s.qid AND x.j >= s.j
+  LEFT JOIN vocab v ON v.token = x.tws[x.j] AND x.tws[x.j] <> ''
+  GROUP BY s.qid, s.start, s.j, s.tws)""", body="""
+SELECT qid, start, depth, seq FROM tpath WHERE nt = nk AND depth <= md - 1
+UNION ALL SELECT qid, CAST(length(target) AS INTEGER), 0, CAST([] AS INTEGER[]) FROM targets"""))
+def tail_paths(spark, sf_dir):
+    """J2 + J3: token paths from each split point to the end of the query (bounded loop of joins)."""
+    tc, t = _targets(spark, sf_dir)
+    mtl = int(tc.vocab.agg(F.max(F.length("token"))).first()[0] or 1)
+    edges = cov.lattice_edges(t, tc.vocab, tc.joiner, mtl)
+    return cov.tail_paths(t, edges).select("qid", "start", "depth", "seq")
+
+
+@register("cover_candidates", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="SELECT qid, seq FROM cand"))
+def cover_candidates(spark, sf_dir):
+    """U1 + A9 + J4: all distinct covering candidates of every query."""
+    tc, t = _targets(spark, sf_dir)
+    return cov.cover_candidates(t, tc.vocab, None, tc.joiner, sfx=srch.affix_table(tc, "suffix"))
+
+
+@register("regex_candidates", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="SELECT qid, seq, decoded FROM rx"))
+def regex_candidates(spark, sf_dir):
+    """Candidates whose decoded text matches the query's default pattern."""
+    tc, t = _targets(spark, sf_dir)
+    c = cov.cover_candidates(t, tc.vocab, None, tc.joiner, sfx=srch.affix_table(tc, "suffix"))
+    d = cov.decode_sequences(c, tc.vocab, tc.joiner, False).join(t.select("qid", "target"), "qid")
+    from ..functions.text import regex_search
+    return d.where(regex_search(F.col("decoded"), _default_regex(F.col("target")))).select("qid", "seq", "decoded")
+
+
+@register("minimal_cover", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="SELECT qid, seq FROM mini"))
+def minimal_cover(spark, sf_dir):
+    """P11 + P9 + P12: round trip, regex and minimality filters: the sequences to search."""
+    tc, t = _targets(spark, sf_dir)
+    return srch.minimal_covers(tc, t)
+
+
+@register("top_sequences", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="""
+SELECT qid, CAST(rk AS INTEGER) AS rank, seq, toks AS tokens, decoded FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len(seq), seq) AS rk FROM mini) WHERE rk <= 10"""))
+def top_sequences(spark, sf_dir):
+    """T4: the first ten minimal sequences of every query, with tokens and decoded text."""
+    from pyspark.sql import Window
+    tc, t = _targets(spark, sf_dir)
+    m = srch.minimal_covers(tc, t)
+    w = Window.partitionBy("qid").orderBy(F.size("seq"), F.col("seq"))
+    top = m.select("qid", "seq", F.row_number().over(w).alias("rank")).where(F.col("rank") <= 10)
+    toks = decode.ids_to_tokens(top, ["qid", "seq"], "seq", tc.vocab)
+    return toks.select("qid", F.col("rank").cast("int").alias("rank"), "seq", "tokens",
+                       F.array_join("tokens", tc.joiner).alias("decoded"))
+
+
+@register("search_text", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, Q.OCC, Q.SEARCH, body="""
+SELECT qid, shard, sample_index, token_offset, sequence, context_ok,
+  CASE WHEN context_ok THEN before END AS before, CASE WHEN context_ok THEN match END AS match,
+  CASE WHEN context_ok THEN after END AS after
+FROM qrx"""))
+def search_text(spark, sf_dir):
+    """J12 + T1: every benchmark chunk searched as text: covers, hits, context, regex, sorted."""
+    tc, t = _targets(spark, sf_dir)
+    return srch.search_text(tc, t).select("qid", "shard", "sample_index", "token_offset", "sequence", "context_ok",
+                                          "before", "match", "after")
