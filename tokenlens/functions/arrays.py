@@ -20,17 +20,16 @@ def matches_at(tokens: Column, offset0: Column, seq: Column) -> Column:
 def first_match(tokens: Column, seq: Column) -> Column:
     """0-based offset of the first occurrence of ``seq`` in ``tokens`` (null when absent).
     ``sequence(0, -1)`` would yield ``[0, -1]``, so the range is built only when it is non-empty."""
-    last = F.size(tokens) - F.size(seq)
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(starts, lambda i: F.slice(tokens, i + 1, F.size(seq)) == seq)
-    return F.try_element_at(hits, F.lit(1))
+    return F.try_element_at(all_matches(tokens, seq), F.lit(1))
 
 
 def all_matches(tokens: Column, seq: Column) -> Column:
     """Every 0-based offset of ``seq`` in ``tokens`` (overlaps included)."""
     last = F.size(tokens) - F.size(seq)
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.slice(tokens, i + 1, F.size(seq)) == seq)
+    head = F.element_at(seq, 1)
+    # the slice is only built where the first token already matches (AND short-circuits)
+    return F.filter(starts, lambda i: (F.element_at(tokens, i + 1) == head) & (F.slice(tokens, i + 1, F.size(seq)) == seq))
 
 
 def is_subsequence(sub: Column, arr: Column) -> Column:

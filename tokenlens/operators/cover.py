@@ -23,9 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import leave_one_out
 from ..plans.strategy import checked_broadcast
-from .decode import decode_arrays
 
 
 def _seq_len(c):
@@ -70,13 +68,16 @@ def single_token_cover(targets: DataFrame, vocab: DataFrame, sfx: DataFrame | No
     sfx = suffix_index(vocab) if sfx is None else sfx
     lengths = sorted(r[0] for r in targets.select(F.length("surface").alias("L")).where(F.col("L") > 0).distinct().collect())
     if not lengths:
-        return targets.sparkSession.createDataFrame([], "qid long, seq array<int>")
+        return targets.sparkSession.createDataFrame([], "qid long, seq array<int>, toks array<string>, bts array<binary>")
     lens = F.array(*[F.lit(x) for x in lengths])
     cut = sfx.select("token_id", "affix", F.explode(F.filter(lens, lambda n: n <= F.length("affix"))).alias("L")).select(
         F.expr("left(affix, L)").alias("piece"), "token_id").distinct()
     t = targets.select("qid", F.col("surface").alias("piece")).where(F.length("piece") > 0)
     tb, _ = checked_broadcast(t)
-    return cut.join(tb, "piece").select("qid", F.array(F.col("token_id")).alias("seq"))
+    hits = cut.join(tb, "piece").select("qid", "token_id")
+    return hits.join(vocab.select("token_id", "token", "token_bytes"), "token_id").select(
+        "qid", F.array(F.col("token_id")).alias("seq"), F.array(F.col("token")).alias("toks"),
+        F.array(F.col("token_bytes")).alias("bts"))
 
 
 def first_token_candidates(targets: DataFrame, vocab: DataFrame, joiner: str = "", sfx: DataFrame | None = None) -> DataFrame:
@@ -89,8 +90,8 @@ def first_token_candidates(targets: DataFrame, vocab: DataFrame, joiner: str = "
                            _next_start(s, F.col("i"), joiner).alias("next"))
     sb, _ = checked_broadcast(splits)
     sfx = suffix_index(vocab) if sfx is None else sfx
-    return sfx.join(sb, "affix").join(vocab.select("token_id", "token"), "token_id").select(
-        "qid", "i", "next", "max_depth", "token_id", "token")
+    return sfx.join(sb, "affix").join(vocab.select("token_id", "token", "token_bytes"), "token_id").select(
+        "qid", "i", "next", "max_depth", "token_id", "token", "token_bytes")
 
 
 def lattice_edges(targets: DataFrame, vocab: DataFrame, joiner: str = "", max_token_len: int | None = None) -> DataFrame:
@@ -106,7 +107,8 @@ def lattice_edges(targets: DataFrame, vocab: DataFrame, joiner: str = "", max_to
     pieces = pairs.select("qid", "a", _next_start(s, F.col("b"), joiner).alias("next"),
                           F.expr("substring(surface, a + 1, b - a)").alias("token"))
     pb, _ = checked_broadcast(pieces)
-    return vocab.select("token", "token_id").join(pb, "token").select("qid", "a", "next", "token_id", "token")
+    return vocab.select("token", "token_id", "token_bytes").join(pb, "token").select(
+        "qid", "a", "next", "token_id", "token", "token_bytes")
 
 
 def _not_merged(left_tok: Column, right_tok: Column, merges: DataFrame | None, df: DataFrame) -> DataFrame:
@@ -123,7 +125,8 @@ def tail_paths(targets: DataFrame, edges: DataFrame, merges: DataFrame | None =
     ``max_depth - 1`` tokens, no merge pair inside. ``(qid, start, depth, seq, first_token)``."""
     spark = targets.sparkSession
     empty = targets.select("qid", F.length("surface").alias("start"), F.lit(0).alias("depth"),
-                           F.array().cast("array<int>").alias("seq"), F.lit(None).cast("string").alias("first_token"),
+                           F.array().cast("array<int>").alias("seq"), F.array().cast("array<string>").alias("toks"),
+                           F.array().cast("array<binary>").alias("bts"), F.lit(None).cast("string").alias("first_token"),
                            "max_depth")
     if max_rounds is None:
         max_rounds = int(targets.agg(F.max("max_depth")).first()[0] or 1) - 1
@@ -138,6 +141,8 @@ def tail_paths(targets: DataFrame, edges: DataFrame, merges: DataFrame | None =
         frontier = grown.select(F.col("e.qid").alias("qid"), F.col("e.a").alias("start"),
                                 (F.col("f.depth") + 1).alias("depth"),
                                 F.concat(F.array(F.col("e.token_id")), F.col("f.seq")).alias("seq"),
+                                F.concat(F.array(F.col("e.token")), F.col("f.toks")).alias("toks"),
+                                F.concat(F.array(F.col("e.token_bytes")), F.col("f.bts")).alias("bts"),
                                 F.col("e.token").alias("first_token"), F.col("f.max_depth").alias("max_depth")
                                 ).checkpoint(eager=True)
         if frontier.isEmpty():
@@ -157,7 +162,9 @@ def multi_token_candidates(firsts: DataFrame, tails: DataFrame, merges: DataFram
     j = f.join(t, (F.col("f.qid") == F.col("t.qid")) & (F.col("f.next") == F.col("t.start"))).where(
         F.col("t.depth") + 1 <= F.col("f.max_depth"))
     j = _not_merged(F.col("f.token"), F.col("t.first_token"), merges, j)
-    return j.select(F.col("f.qid").alias("qid"), F.concat(F.array(F.col("f.token_id")), F.col("t.seq")).alias("seq"))
+    return j.select(F.col("f.qid").alias("qid"), F.concat(F.array(F.col("f.token_id")), F.col("t.seq")).alias("seq"),
+                    F.concat(F.array(F.col("f.token")), F.col("t.toks")).alias("toks"),
+                    F.concat(F.array(F.col("f.token_bytes")), F.col("t.bts")).alias("bts"))
 
 
 def cover_candidates(targets: DataFrame, vocab: DataFrame, merges: DataFrame | None = None, joiner: str = "",
@@ -170,25 +177,41 @@ def cover_candidates(targets: DataFrame, vocab: DataFrame, merges: DataFrame | N
     firsts = first_token_candidates(targets, vocab, joiner, sfx)
     multi = multi_token_candidates(firsts, tails, merges)
     single = single_token_cover(targets, vocab, sfx)
-    return single.unionByName(multi).distinct()
+    both = single.unionByName(multi)
+    # distinct on (query, ids); the token strings/bytes are functions of the ids
+    return both.groupBy("qid", "seq").agg(F.first("toks").alias("toks"), F.first("bts").alias("bts"))
 
 
-def decode_sequences(cands: DataFrame, vocab: DataFrame, joiner: str, byte_level: bool, key=("qid", "seq"),
-                     vocab_bounded: bool = False) -> DataFrame:
-    """Decoded text of each candidate (a vocabulary join, regrouped per candidate)."""
-    d = cands.select(*key, F.col("seq").alias("_ids"))
-    return decode_arrays(d, list(key), ["_ids"], vocab, joiner, byte_level, vocab_bounded=vocab_bounded).withColumnRenamed(
-        "_ids_text", "decoded").drop("_ids")
+def decoded_text(toks: Column, bts: Column, joiner: str, byte_level: bool) -> Column:
+    """Decoded text of a candidate from the token strings/bytes it carries (no join):
+    byte-level tokens concatenate bytes and decode once; word tokens join with the joiner."""
+    if byte_level:
+        raw = F.aggregate(bts, F.lit(b"").cast("binary"), lambda acc, b: F.concat(acc, b))
+        return F.make_valid_utf8(raw.cast("string"))
+    return F.array_join(toks, joiner)
 
 
-def minimal_filter(cands: DataFrame, targets: DataFrame, vocab: DataFrame, joiner: str, byte_level: bool,
-                   vocab_bounded: bool = False) -> DataFrame:
-    """Keep candidates for which no single-token deletion still contains the target text.
-    Deletions are exploded (k rows per candidate of k tokens), decoded, tested, and folded back
-    with a boolean aggregate."""
-    lo = cands.select("qid", "seq", F.posexplode(leave_one_out(F.col("seq"))).alias("k", "sub"))
-    dec = decode_arrays(lo, ["qid", "seq", "k"], ["sub"], vocab, joiner, byte_level, vocab_bounded=vocab_bounded)
+def decode_sequences(cands: DataFrame, joiner: str, byte_level: bool) -> DataFrame:
+    """Adds ``decoded`` to candidates carrying ``toks`` / ``bts``."""
+    return cands.withColumn("decoded", decoded_text(F.col("toks"), F.col("bts"), joiner, byte_level))
+
+
+def is_minimal(toks: Column, bts: Column, target: Column, joiner: str, byte_level: bool) -> Column:
+    """P12 as one row expression: no single-token deletion still contains the target text."""
+    n = F.size(toks)
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def without(k):
+        t = F.filter(toks, lambda x, j: j != k)
+        b = F.filter(bts, lambda x, j: j != k)
+        return decoded_text(t, b, joiner, byte_level)
+
+    return ~F.exists(idx, lambda k: F.instr(without(k), target) > 0)
+
+
+def minimal_filter(cands: DataFrame, targets: DataFrame, joiner: str, byte_level: bool) -> DataFrame:
+    """Keep candidates for which no single-token deletion still contains the target."""
     t = targets.select("qid", "target")
     tb, _ = checked_broadcast(t)
-    bad = dec.join(tb, "qid").where(F.instr(F.col("sub_text"), F.col("target")) > 0).select("qid", "seq").distinct()
-    return cands.join(bad, ["qid", "seq"], "left_anti")
+    j = cands.join(tb, "qid")
+    return j.where(is_minimal(F.col("toks"), F.col("bts"), F.col("target"), joiner, byte_level)).drop("target")

@@ -35,12 +35,20 @@ def decode_arrays(df: DataFrame, keys: list[str], arrays: list[str], vocab: Data
     vocabulary, and regrouped by the row key (a bounded group: the row's own tokens)."""
     carry = [c for c in df.columns if c not in keys]
     parts = F.array(*[F.struct(F.lit(i).alias("part"), F.col(c).alias("ids")) for i, c in enumerate(arrays)])
-    ex = df.select(*keys, F.explode(parts).alias("P")).select(
-        *keys, F.col("P.part").alias("part"), F.posexplode_outer("P.ids").alias("pos", "token_id"))
-    j = ex.join(_vocab_side(vocab, vocab_bounded), "token_id", "left")
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "pos", "token", "token_bytes"))).alias("_toks"))
+    v = _vocab_side(vocab, vocab_bounded)
+    # All ids of a row are exploded together and joined once to the vocabulary. The other
+    # columns ride on exactly one exploded row (null on the rest), so nothing is joined back,
+    # and partial aggregation folds a row's tokens together inside the task that exploded them:
+    # the shuffle carries one row per input row.
+    ex = df.select(*keys, F.struct(*carry).alias("_c"), F.explode(parts).alias("P")).select(
+        *keys, "_c", F.col("P.part").alias("part"), F.posexplode_outer("P.ids").alias("pos", "token_id"))
+    lead = (F.col("part") == 0) & (F.col("pos").isNull() | (F.col("pos") == 0))
+    ex = ex.select(*keys, F.when(lead, F.col("_c")).alias("_c"), "part", "pos", "token_id")
+    j = ex.join(v, "token_id", "left")
+    g = j.groupBy(*keys).agg(F.first("_c", ignorenulls=True).alias("_c"),
+                             F.array_sort(F.collect_list(F.struct("part", "pos", "token", "token_bytes"))).alias("_toks"))
     texts = [_text_of(F.col("_toks"), i, joiner, byte_level).alias(c + suffix) for i, c in enumerate(arrays)]
-    return df.join(g.select(*keys, *texts), keys, "left").select(*keys, *carry, *[c + suffix for c in arrays])
+    return g.select(*keys, *[F.col(f"_c.{c}").alias(c) for c in carry], *texts)
 
 
 def ids_to_tokens(df: DataFrame, keys: list[str], array_col: str, vocab: DataFrame, out: str = "tokens",

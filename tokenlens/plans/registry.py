@@ -578,7 +578,7 @@ def default_regex(spark, sf_dir):
 def single_token_cover(spark, sf_dir):
     """Single tokens containing the query."""
     tc, t = _targets(spark, sf_dir)
-    return cov.single_token_cover(t, tc.vocab, srch.affix_table(tc, "suffix"))
+    return cov.single_token_cover(t, tc.vocab, srch.affix_table(tc, "suffix")).select("qid", "seq")
 
 
 @register("first_token_candidates", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="SELECT qid, i, token_id FROM firsts"))
@@ -613,7 +613,7 @@ def tail_paths(spark, sf_dir):
 def cover_candidates(spark, sf_dir):
     """U1 + A9 + J4: all distinct covering candidates of every query."""
     tc, t = _targets(spark, sf_dir)
-    return cov.cover_candidates(t, tc.vocab, None, tc.joiner, sfx=srch.affix_table(tc, "suffix"))
+    return cov.cover_candidates(t, tc.vocab, None, tc.joiner, sfx=srch.affix_table(tc, "suffix")).select("qid", "seq")
 
 
 @register("regex_candidates", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="SELECT qid, seq, decoded FROM rx"))
@@ -621,7 +621,7 @@ def regex_candidates(spark, sf_dir):
     """Candidates whose decoded text matches the query's default pattern."""
     tc, t = _targets(spark, sf_dir)
     c = cov.cover_candidates(t, tc.vocab, None, tc.joiner, sfx=srch.affix_table(tc, "suffix"))
-    d = cov.decode_sequences(c, tc.vocab, tc.joiner, False).join(t.select("qid", "target"), "qid")
+    d = cov.decode_sequences(c, tc.joiner, False).join(t.select("qid", "target"), "qid")
     from ..functions.text import regex_search
     return d.where(regex_search(F.col("decoded"), _default_regex(F.col("target")))).select("qid", "seq", "decoded")
 
@@ -640,12 +640,10 @@ def top_sequences(spark, sf_dir):
     """T4: the first ten minimal sequences of every query, with tokens and decoded text."""
     from pyspark.sql import Window
     tc, t = _targets(spark, sf_dir)
-    m = srch.minimal_covers(tc, t)
+    m = srch.minimal_covers(tc, t, with_text=True)
     w = Window.partitionBy("qid").orderBy(F.size("seq"), F.col("seq"))
-    top = m.select("qid", "seq", F.row_number().over(w).alias("rank")).where(F.col("rank") <= 10)
-    toks = decode.ids_to_tokens(top, ["qid", "seq"], "seq", tc.vocab)
-    return toks.select("qid", F.col("rank").cast("int").alias("rank"), "seq", "tokens",
-                       F.array_join("tokens", tc.joiner).alias("decoded"))
+    top = m.select("qid", "seq", "toks", "decoded", F.row_number().over(w).alias("rank")).where(F.col("rank") <= 10)
+    return top.select("qid", F.col("rank").cast("int").alias("rank"), "seq", F.col("toks").alias("tokens"), "decoded")
 
 
 @register("search_text", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, Q.OCC, Q.SEARCH, body="""

@@ -39,26 +39,27 @@ def word_targets(queries: DataFrame) -> DataFrame:
                           (F.size(split_words("target")) + 3).alias("max_depth"))
 
 
-def roundtrip_words(cands: DataFrame, vocab: DataFrame, joiner: str = " ") -> DataFrame:
+def roundtrip_words(cands: DataFrame, joiner: str = " ") -> DataFrame:
     """P11 for a joiner vocabulary: re-splitting the joined text gives the same tokens back
-    (fails only for tokens that contain the joiner)."""
-    from ..operators.decode import ids_to_tokens
-    t = ids_to_tokens(cands, ["qid", "seq"], "seq", vocab)
-    ok = F.split(F.array_join("tokens", joiner), joiner, -1) == F.col("tokens")
-    return t.where(ok).select("qid", "seq")
+    (fails only for tokens that contain the joiner). A row expression on the carried tokens."""
+    ok = F.split(F.array_join("toks", joiner), joiner, -1) == F.col("toks")
+    return cands.where(ok)
 
 
 def minimal_covers(tc: TokenCorpus, targets: DataFrame, regex: str | None = None, literal: bool = False,
-                   merges: DataFrame | None = None) -> DataFrame:
-    """Candidates -> dedup -> round trip -> regex -> minimality: ``(qid, seq)``."""
+                   merges: DataFrame | None = None, with_text: bool = False) -> DataFrame:
+    """Candidates -> dedup -> round trip -> regex -> minimality: ``(qid, seq)``. The filters
+    are row expressions on the token strings each candidate carries: no further joins."""
     sfx = affix_table(tc, "suffix")
-    cands = cover.cover_candidates(targets, tc.vocab, merges, tc.joiner, sfx=sfx).checkpoint(eager=True)
-    cands = roundtrip_words(cands, tc.vocab, tc.joiner)
-    dec = cover.decode_sequences(cands, tc.vocab, tc.joiner, byte_level=False)
+    cands = cover.cover_candidates(targets, tc.vocab, merges, tc.joiner, sfx=sfx)
+    cands = roundtrip_words(cands, tc.joiner)
+    dec = cover.decode_sequences(cands, tc.joiner, byte_level=False)
     pattern = F.lit(regex) if regex is not None else default_regex(F.col("target"), literal)
     tb, _ = checked_broadcast(targets.select("qid", "target"))
-    passed = dec.join(tb, "qid").where(regex_search(F.col("decoded"), pattern)).select("qid", "seq")
-    return cover.minimal_filter(passed, targets, tc.vocab, tc.joiner, byte_level=False).checkpoint(eager=True)
+    passed = dec.join(tb, "qid").where(regex_search(F.col("decoded"), pattern))
+    mini = passed.where(cover.is_minimal(F.col("toks"), F.col("bts"), F.col("target"), tc.joiner, False))
+    cols = ["qid", "seq", "toks", "decoded"] if with_text else ["qid", "seq"]
+    return mini.select(*cols).checkpoint(eager=True)
 
 
 def affix_table(tc: TokenCorpus, kind: str) -> DataFrame:

@@ -93,11 +93,13 @@ def build_word_corpus(spark: SparkSession, documents: DataFrame, root: str, samp
     return TokenCorpus(corpus, vocab, stats, root, " ", samples_per_shard)
 
 
-def word_corpus(spark: SparkSession, sf_dir: str, samples_per_shard: int = DEFAULT_SAMPLES_PER_SHARD) -> TokenCorpus:
-    """The word-token corpus of ``sf_dir/documents.parquet``, built once and reused."""
+def word_corpus(spark: SparkSession, sf_dir: str, samples_per_shard: int = DEFAULT_SAMPLES_PER_SHARD,
+                root: str | None = None) -> TokenCorpus:
+    """The word-token corpus of ``sf_dir/documents.parquet``, built once and reused. ``root``
+    forces another folder (the benchmark uses a fresh one to time a cold build)."""
     apply_runtime_conf(spark)
     src = table_path(sf_dir, "documents")
     key = fingerprint(spark, src, extra=f"words:{samples_per_shard}:v2")
-    root = f"{shared_dir(spark)}/tokenlens/word_corpus/{key}"
+    root = root or f"{shared_dir(spark)}/tokenlens/word_corpus/{key}"
     docs = spark.read.parquet(src).select("doc_id", "text")
     return build_word_corpus(spark, docs, root, samples_per_shard)
