@@ -71,10 +71,11 @@ def single_token_cover(targets: DataFrame, vocab: DataFrame, sfx: DataFrame | No
         return targets.sparkSession.createDataFrame([], "qid long, seq array<int>, toks array<string>, bts array<binary>")
     lens = F.array(*[F.lit(x) for x in lengths])
     cut = sfx.select("token_id", "affix", F.explode(F.filter(lens, lambda n: n <= F.length("affix"))).alias("L")).select(
-        F.expr("left(affix, L)").alias("piece"), "token_id").distinct()
+        F.expr("left(affix, L)").alias("piece"), "token_id")
     t = targets.select("qid", F.col("surface").alias("piece")).where(F.length("piece") > 0)
     tb, _ = checked_broadcast(t)
-    hits = cut.join(tb, "piece").select("qid", "token_id")
+    # a token containing S twice yields the pair twice: deduplicate after the (selective) join
+    hits = cut.join(tb, "piece").select("qid", "token_id").distinct()
     return hits.join(vocab.select("token_id", "token", "token_bytes"), "token_id").select(
         "qid", F.array(F.col("token_id")).alias("seq"), F.array(F.col("token")).alias("toks"),
         F.array(F.col("token_bytes")).alias("bts"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_ids
+from ..functions.pyregex import py_boundary_pattern, py_regex_search
 from ..functions.text import default_regex, regex_search
 from ..operators import context as ctx_ops
 from ..operators import cover
@@ -54,9 +55,14 @@ def minimal_covers(tc: TokenCorpus, targets: DataFrame, regex: str | None = None
     cands = cover.cover_candidates(targets, tc.vocab, merges, tc.joiner, sfx=sfx)
     cands = roundtrip_words(cands, tc.joiner)
     dec = cover.decode_sequences(cands, tc.joiner, byte_level=False)
-    pattern = F.lit(regex) if regex is not None else default_regex(F.col("target"), literal)
     tb, _ = checked_broadcast(targets.select("qid", "target"))
-    passed = dec.join(tb, "qid").where(regex_search(F.col("decoded"), pattern))
+    j = dec.join(tb, "qid")
+    if regex is not None:                     # one pattern for all rows: compiled once by the JVM
+        passed = j.where(regex_search(F.col("decoded"), F.lit(regex)))
+    elif literal:
+        passed = j.where(regex_search(F.col("decoded"), default_regex(F.col("target"), True)))
+    else:                                     # a pattern per query: compiled once per worker
+        passed = j.where(py_regex_search(F.col("decoded"), py_boundary_pattern(F.col("target"))))
     mini = passed.where(cover.is_minimal(F.col("toks"), F.col("bts"), F.col("target"), tc.joiner, False))
     cols = ["qid", "seq", "toks", "decoded"] if with_text else ["qid", "seq"]
     return mini.select(*cols).checkpoint(eager=True)
