@@ -656,3 +656,69 @@ def search_text(spark, sf_dir):
     tc, t = _targets(spark, sf_dir)
     return srch.search_text(tc, t).select("qid", "shard", "sample_index", "token_offset", "sequence", "context_ok",
                                           "before", "match", "after")
+
+
+# ----------------------------------------------------------------------------------------------
+# byte-level BPE corpus (rows-only checks: DuckDB cannot tokenize)
+# ----------------------------------------------------------------------------------------------
+from ..operators.encode import encode_texts  # noqa: E402
+from ..sources.bpecorpus import bpe_corpus  # noqa: E402
+from . import bpe_search as bpe  # noqa: E402
+
+
+def _bpe_targets(spark, sf_dir):
+    tc, merges, tj = bpe_corpus(spark, sf_dir)
+    q = srch.passage_targets(read_table(spark, sf_dir, "benchmark"), lengths=(2,))
+    return tc, merges, tj, bpe.bpe_targets(q, tj).checkpoint(eager=True)
+
+
+@register("load_vocab")
+def load_vocab(spark, sf_dir):
+    """Vocabulary and merge rank read from the tokenizer file, with each token's corpus
+    frequency (tokens the corpus never uses have n = 0)."""
+    tc, merges, _ = bpe_corpus(spark, sf_dir)
+    return tc.vocab.join(tc.token_stats, "token_id", "left").select(
+        "token", "token_id", "token_bytes", "is_special", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("encode_documents")
+def encode_documents(spark, sf_dir):
+    """P4 + K1: the BPE token corpus of ``documents`` (batch encode job)."""
+    return bpe_corpus(spark, sf_dir)[0].corpus
+
+
+@register("encode_offsets")
+def encode_offsets(spark, sf_dir):
+    """P5: ids and character offsets of every conversation turn."""
+    _, _, tj = bpe_corpus(spark, sf_dir)
+    return encode_texts(read_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", tj, offsets=True)
+
+
+@register("surface_form")
+def surface_form(spark, sf_dir):
+    """Surface form (joined token strings) of every query."""
+    *_, t = _bpe_targets(spark, sf_dir)
+    return t.select("qid", "target", "surface", "target_ids")
+
+
+@register("merge_pruned_paths")
+def merge_pruned_paths(spark, sf_dir):
+    """J2 + J3: tails of every query's surface with merge pairs pruned at each step."""
+    tc, merges, _, t = _bpe_targets(spark, sf_dir)
+    mtl = int(tc.vocab.agg(F.max(F.length("token"))).first()[0] or 1)
+    edges = cov.lattice_edges(t, tc.vocab, "", mtl)
+    return cov.tail_paths(t, edges, merges).select("qid", "start", "depth", "seq")
+
+
+@register("roundtrip_filter")
+def roundtrip_filter(spark, sf_dir):
+    """P11 (+ P9, P12): minimal covers whose decoded text re-encodes to the same ids."""
+    tc, merges, tj, t = _bpe_targets(spark, sf_dir)
+    return bpe.bpe_minimal_covers(tc, merges, t, tj).select("qid", "seq", "decoded")
+
+
+@register("search_text_bpe")
+def search_text_bpe(spark, sf_dir):
+    """J12 on the BPE corpus: every two-word benchmark chunk searched as text."""
+    tc, merges, tj, t = _bpe_targets(spark, sf_dir)
+    return bpe.bpe_search_text(tc, merges, t, tj)
