@@ -28,12 +28,21 @@ def bpe_targets(queries: DataFrame, tok_json: str) -> DataFrame:
                                            (F.size("ids") + 3).alias("max_depth"), F.col("ids").alias("target_ids"))
 
 
-def bpe_minimal_covers(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, tok_json: str) -> DataFrame:
+DEFAULT = "default"
+
+
+def bpe_minimal_covers(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, tok_json: str,
+                       regex: str | None = DEFAULT) -> DataFrame:
+    """Minimal covers of every query. ``regex``: ``"default"`` = ``\\b{query}\\b`` per query (what
+    text search uses), ``None`` = no regex filter (the bare cover search), or one pattern."""
     cands = cover.cover_candidates(targets, tc.vocab, merges, "", sfx=None)
     dec = cover.decode_sequences(cands, "", byte_level=True)
     tb, _ = checked_broadcast(targets.select("qid", "target"))
     j = dec.join(tb, "qid")
-    j = j.where(py_regex_search(F.col("decoded"), py_boundary_pattern(F.col("target"))))
+    if regex == DEFAULT:
+        j = j.where(py_regex_search(F.col("decoded"), py_boundary_pattern(F.col("target"))))
+    elif regex is not None:
+        j = j.where(py_regex_search(F.col("decoded"), F.lit(regex)))
     j = j.where(cover.is_minimal(F.col("toks"), F.col("bts"), F.col("target"), "", True))
     keyed = j.select("qid", "seq", "decoded", "toks")
     return roundtrip_ok(keyed, ["qid", "seq"], "decoded", "seq", tok_json).checkpoint(eager=True)
