@@ -722,3 +722,35 @@ def search_text_bpe(spark, sf_dir):
     """J12 on the BPE corpus: every two-word benchmark chunk searched as text."""
     tc, merges, tj, t = _bpe_targets(spark, sf_dir)
     return bpe.bpe_search_text(tc, merges, t, tj)
+
+
+# ----------------------------------------------------------------------------------------------
+# fact statistics with the BPE tokenizer and the stand-in scorer (rows-only)
+# ----------------------------------------------------------------------------------------------
+from ..operators.scorer import bigram_scorer  # noqa: E402
+from ..sources.facts import facts_table  # noqa: E402
+from . import fact_stats as fstats  # noqa: E402
+
+
+def _fact_run(spark, sf_dir):
+    from ..session import fingerprint
+    tc, _, tj = bpe_corpus(spark, sf_dir)
+    vsize = int(tc.vocab.agg(F.max("token_id")).first()[0]) + 1
+    out = f"{tc.root}/fact_stats/{fingerprint(spark, extra='facts:v1')}"
+    return fstats.run_fact_grid(spark, facts_table(spark), bigram_scorer(tc.corpus, vsize), tc.vocab, tj, out)
+
+
+@register("fact_stats_bpe")
+def fact_stats_bpe(spark, sf_dir):
+    """Entry point C: 34 facts x 56 checkpoints, scored by the corpus bigram stand-in, per-step
+    JSON results with resume."""
+    return _fact_run(spark, sf_dir)[0]
+
+
+@register("boundary_check_bpe")
+def boundary_check_bpe(spark, sf_dir):
+    """P19 with tokenizer offsets: conversation turns split at their middle character."""
+    _, _, tj = bpe_corpus(spark, sf_dir)
+    facts = conversation_facts(spark, sf_dir).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("fact_id"), "prefix", "suffix")
+    return fstats.check_boundaries(fstats.tokenize_facts(facts, tj)).select("fact_id", "suffix_start", "reason")
