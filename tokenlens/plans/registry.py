@@ -754,3 +754,20 @@ def boundary_check_bpe(spark, sf_dir):
     facts = conversation_facts(spark, sf_dir).select(
         (F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("fact_id"), "prefix", "suffix")
     return fstats.check_boundaries(fstats.tokenize_facts(facts, tj)).select("fact_id", "suffix_start", "reason")
+
+
+# ----------------------------------------------------------------------------------------------
+# streaming (rows-only)
+# ----------------------------------------------------------------------------------------------
+@register("standing_search", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body=
+    "SELECT shard, sample_index, token_offset, seq_ord, sequence FROM hits"))
+def standing_search(spark, sf_dir):
+    """The benchmark chunks as a standing search over the corpus shard files, processed
+    incrementally (two files per micro-batch) with a streaming checkpoint."""
+    from ..session import fingerprint
+    from ..streaming.standing_search import run_standing_search
+    tc, needles = _search_input(spark, sf_dir)
+    key = fingerprint(spark, f"{tc.root}/corpus", extra="standing:v1")
+    base = f"{tc.root}/standing/{key}"
+    return run_standing_search(spark, f"{tc.root}/corpus", needles, f"{base}/hits", f"{base}/checkpoint",
+                               tc.token_stats, max_files_per_trigger=2)
