@@ -62,3 +62,21 @@ def test_vocab_bytes_and_corpus_match_tokenizer(spark, bpe):
     for d, text in docs.items():
         assert ids[d] == tok.encode(text, add_special_tokens=False).ids
     assert merges.where("rank = 0").first()["left"] is not None
+
+
+@pytest.mark.parametrize("regex", ["default", None])
+def test_canonical_plan_equals_enumeration(spark, bpe, regex):
+    tc, merges, tj, covers, tok = bpe
+    q = spark.createDataFrame(list(enumerate(TARGETS + ["and the", "tion er"])), "qid long, target string")
+    t = B.bpe_targets(q, tj).checkpoint()
+    a = {(r.qid, tuple(r.seq)) for r in B.bpe_minimal_covers(tc, merges, t, tj, regex=regex).collect()}
+    b = {(r.qid, tuple(r.seq)) for r in B.bpe_minimal_covers_enumerated(tc, merges, t, tj, regex=regex).collect()}
+    assert a == b and len(a) > 0
+
+
+def test_word_canonical_plan_equals_enumeration(spark):
+    from tokenlens.plans import registry as R, search as S
+    tc, t = R._targets(spark, SF001)
+    a = {(r.qid, tuple(r.seq)) for r in S.minimal_covers(tc, t, plan="canonical").collect()}
+    b = {(r.qid, tuple(r.seq)) for r in S.minimal_covers_enumerated(tc, t).collect()}
+    assert a == b and len(a) > 0

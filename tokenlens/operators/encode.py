@@ -31,7 +31,7 @@ def encode_texts(df: DataFrame, keys: list[str], text_col: str, tok_json: str, o
     spark = df.sparkSession
     key = tokenizer_key(tok_json)
     bc = spark.sparkContext.broadcast(tok_json)
-    base = df.select(*keys, text_col)
+    base = df.select(*keys, *([text_col] if text_col not in keys else []))
     fields = [f for f in base.schema.fields if f.name in keys]
     fields.append(T.StructField(out, T.ArrayType(T.IntegerType())))
     if tokens:

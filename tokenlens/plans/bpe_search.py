@@ -33,6 +33,27 @@ DEFAULT = "default"
 
 def bpe_minimal_covers(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, tok_json: str,
                        regex: str | None = DEFAULT) -> DataFrame:
+    """Minimal covers of every query via the canonical-encoding plan: candidate texts per
+    (query, first token, split), regex on distinct texts, one encode each, verify, minimality.
+    ``regex``: ``"default"`` = ``\\b{query}\\b`` per query, ``None`` = no regex, or one pattern."""
+    from ..operators.canonical import canonical_minimal_covers
+
+    def rx(df):
+        if regex == DEFAULT:
+            return df.where(py_regex_search(F.col("d"), py_boundary_pattern(F.col("target"))))
+        if regex is not None:
+            return df.where(py_regex_search(F.col("d"), F.lit(regex)))
+        return df
+
+    def encoder(df):
+        return encode_texts(df, ["qid", "d"], "d", tok_json, tokens=True)
+
+    out = canonical_minimal_covers(targets, tc.vocab, merges, "", True, encoder, rx)
+    return out.select("qid", "seq", "decoded", "toks").checkpoint(eager=True)
+
+
+def bpe_minimal_covers_enumerated(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, tok_json: str,
+                                  regex: str | None = DEFAULT) -> DataFrame:
     """Minimal covers of every query. ``regex``: ``"default"`` = ``\\b{query}\\b`` per query (what
     text search uses), ``None`` = no regex filter (the bare cover search), or one pattern."""
     cands = cover.cover_candidates(targets, tc.vocab, merges, "", sfx=None)

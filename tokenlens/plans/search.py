@@ -47,8 +47,48 @@ def roundtrip_words(cands: DataFrame, joiner: str = " ") -> DataFrame:
     return cands.where(ok)
 
 
+def word_encoder(vocab: DataFrame, joiner: str = " "):
+    """Encoder of a joiner vocabulary: split on the joiner, look each word up; a text with a word
+    outside the vocabulary has no encoding (empty ids)."""
+    def enc(df: DataFrame) -> DataFrame:
+        w = df.select("qid", "d", F.posexplode(F.split("d", joiner, -1)).alias("pos", "word"))
+        v, _ = checked_broadcast(vocab.select(F.col("token").alias("word"), "token_id"))
+        g = w.join(v, "word", "left").groupBy("qid", "d").agg(
+            F.array_sort(F.collect_list(F.struct("pos", "token_id", "word"))).alias("p"),
+            F.count(F.lit(1)).alias("n"), F.count("token_id").alias("k"))
+        ids = F.when(F.col("n") == F.col("k"), F.transform("p", lambda x: x["token_id"])).otherwise(
+            F.array().cast("array<int>"))
+        return g.select("qid", "d", ids.alias("ids"), F.transform("p", lambda x: x["word"]).alias("tokens"))
+    return enc
+
+
 def minimal_covers(tc: TokenCorpus, targets: DataFrame, regex: str | None = None, literal: bool = False,
-                   merges: DataFrame | None = None, with_text: bool = False) -> DataFrame:
+                   merges: DataFrame | None = None, with_text: bool = False, plan: str = "enumerate") -> DataFrame:
+    """Minimal covers ``(qid, seq)`` of every query.
+
+    ``plan="enumerate"`` (default for word tokens, whose tails are unique: nothing to save)
+    generates every candidate and filters; ``plan="canonical"`` (``operators/canonical.py``)
+    tests one text per (query, first token, split) and verifies its encoding -- the better plan
+    when many segmentations share a text, as with byte-level BPE. Both give the same set."""
+    if plan == "enumerate":
+        return minimal_covers_enumerated(tc, targets, regex, literal, merges, with_text)
+    from ..operators.canonical import canonical_minimal_covers
+
+    def rx(df):
+        if regex is not None:
+            return df.where(regex_search(F.col("d"), F.lit(regex)))
+        if literal:
+            return df.where(regex_search(F.col("d"), default_regex(F.col("target"), True)))
+        return df.where(py_regex_search(F.col("d"), py_boundary_pattern(F.col("target"))))
+
+    sfx = affix_table(tc, "suffix")
+    out = canonical_minimal_covers(targets, tc.vocab, merges, tc.joiner, False, word_encoder(tc.vocab, tc.joiner), rx, sfx)
+    cols = ["qid", "seq", "toks", "decoded"] if with_text else ["qid", "seq"]
+    return out.select(*cols).checkpoint(eager=True)
+
+
+def minimal_covers_enumerated(tc: TokenCorpus, targets: DataFrame, regex: str | None = None, literal: bool = False,
+                              merges: DataFrame | None = None, with_text: bool = False) -> DataFrame:
     """Candidates -> dedup -> round trip -> regex -> minimality: ``(qid, seq)``. The filters
     are row expressions on the token strings each candidate carries: no further joins."""
     sfx = affix_table(tc, "suffix")
