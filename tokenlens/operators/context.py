@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.arrays import context_slices
 from ..functions.text import display_line, html_card, regex_search
+from ..plans.strategy import checked_broadcast
 from .decode import decode_arrays
 
 KEY = ["shard", "sample_index", "token_offset"]
@@ -16,7 +17,8 @@ KEY = ["shard", "sample_index", "token_offset"]
 def context_ids_by_join(hits: DataFrame, corpus: DataFrame, context_len: int = C.DEFAULT_CONTEXT_LEN) -> DataFrame:
     """Cut context id slices for hits that were produced without the sample at hand
     (e.g. repaired or user-supplied hits): join on the sample key."""
-    j = hits.join(corpus.select("shard", "sample_index", "token_ids"), ["shard", "sample_index"])
+    hb, _ = checked_broadcast(hits)          # hits are the small side: the corpus is not shuffled
+    j = corpus.select("shard", "sample_index", "token_ids").join(hb, ["shard", "sample_index"])
     b, m, a = context_slices(F.col("token_ids"), F.col("token_offset"), F.size("sequence"), context_len)
     return j.select(*hits.columns, b.alias("before_ids"), m.alias("match_ids"), a.alias("after_ids"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.arrays import slice0
+from ..plans.strategy import checked_broadcast
 
 
 def shard_slice(corpus: DataFrame, shard: int) -> DataFrame:
@@ -18,8 +19,10 @@ def shard_slice(corpus: DataFrame, shard: int) -> DataFrame:
 def sample_lookup(corpus: DataFrame, keys: DataFrame) -> DataFrame:
     """The samples named in ``keys(shard, sample_index)``. A left-semi join: keys are
     deduplicated by the join itself and only the corpus rows asked for come back; Catalyst adds
-    dynamic partition pruning on ``shard``."""
-    k = keys.select("shard", "sample_index").distinct()
+    dynamic partition pruning on ``shard``. The key set is broadcast when its size check
+    passes, so corpus rows are filtered where they are read instead of being shuffled."""
+    # materialized once: the broadcast and the partition-pruning subquery both read it
+    k, _ = checked_broadcast(keys.select("shard", "sample_index").distinct().checkpoint(eager=True))
     return corpus.join(k, ["shard", "sample_index"], "left_semi")
 
 

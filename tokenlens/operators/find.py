@@ -26,24 +26,24 @@ def check_sequences(sequences: DataFrame) -> DataFrame:
 
 def choose_anchors(sequences: DataFrame, token_stats: DataFrame | None, n_tokens: int | None = None) -> DataFrame:
     """Pick, per sequence, the token to join the corpus on: its rarest token (fewest corpus
-    occurrences; a token absent from the corpus counts 0 and makes the sequence match nothing
-    cheaply). Without statistics the first token is used. Anchoring on the rarest token keeps a
-    hot token (a third of all positions) from multiplying candidate rows.
+    occurrences, then the earliest). Anchoring on the rarest token keeps a hot token (a third
+    of all positions) from multiplying candidate rows. A sequence holding a token the corpus
+    never has cannot occur and is dropped here. Without statistics the first token is used.
 
-    ``n_tokens`` (total tokens over all sequences), when known, decides the broadcast of the
-    exploded sequence tokens without another counting job."""
+    The exploded sequence tokens are the broadcast side (checked; ``n_tokens`` when known
+    avoids a counting job) and the statistics are streamed past them: an inner join, so the
+    statistics table is never shuffled."""
     seqs = check_sequences(sequences)
     base = seqs.select("seq_ord", "seq", F.size("seq").alias("n"))
     if token_stats is None:
         return base.select("*", F.lit(0).alias("anchor_idx"), F.col("seq")[0].alias("anchor_token"))
     toks = seqs.select("seq_ord", F.posexplode("seq").alias("i", "token_id"))
     toks_b, _ = checked_broadcast(toks, known_rows=n_tokens)
-    freq = token_stats.select("token_id", "n").join(toks_b, "token_id", "right")
-    best = freq.groupBy("seq_ord").agg(
-        F.min(F.struct(F.coalesce(F.col("n"), F.lit(0)).alias("f"), F.col("i"))).alias("m")
-    )
+    freq = token_stats.select("token_id", F.col("n").alias("f")).join(toks_b, "token_id")
+    best = freq.groupBy("seq_ord").agg(F.min(F.struct("f", "i")).alias("m"), F.count(F.lit(1)).alias("present"))
     return (
         base.join(best, "seq_ord")
+        .where(F.col("present") == F.col("n"))
         .select("seq_ord", "seq", "n", F.col("m.i").alias("anchor_idx"))
         .withColumn("anchor_token", F.element_at("seq", F.col("anchor_idx") + 1))
     )
@@ -155,7 +155,8 @@ def repair_offsets(reported: DataFrame, corpus: DataFrame) -> DataFrame:
         F.when((o > 0) & matches_at(t, o - 1, s), o - 1),
         first_match(t, s),
     )
-    j = reported.join(corpus.select("shard", "sample_index", "token_ids"), ["shard", "sample_index"])
+    rb, _ = checked_broadcast(reported)      # small side broadcast: the corpus is not shuffled
+    j = corpus.select("shard", "sample_index", "token_ids").join(rb, ["shard", "sample_index"])
     fixed = j.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence",
                      repaired.cast("int").alias("token_offset")).where(F.col("token_offset").isNotNull())
     return fixed.groupBy("seq_ord", "shard", "sample_index", "token_offset").agg(

@@ -9,7 +9,6 @@ the build) and lets many queries share one build, as a prebuilt index would.
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,8 +114,3 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None,
     if schema is not None:
         reader = reader.schema(schema)
     return reader.parquet(path)
-
-
-def scratch_dir() -> str:
-    """Local scratch for tests only."""
-    return tempfile.mkdtemp(prefix="tokenlens-", dir=os.environ.get("TMPDIR", "/tmp"))
