@@ -58,3 +58,20 @@ def test_byte_level_decode_keeps_split_characters(spark):
     assert out[1] == "�a"
     toks = {r.k: r.tokens for r in ids_to_tokens(df, ["k"], "ids", v).collect()}
     assert toks[0] == ["a", "x1", "x2"]
+
+
+def test_context_offset_verification(spark):
+    words = ["a", "b", "c", "d"]
+    c = corpus_df(spark, [(0, 0, [0, 1, 2, 3])])
+    hits = spark.createDataFrame([(0, 0, 1, 0, [1, 2]), (0, 0, 2, 1, [1, 2]), (0, 0, 3, 2, [0, 1])],
+                                 "shard int, sample_index int, token_offset int, seq_ord long, sequence array<int>")
+    got = {r.seq_ord: (r.token_offset, r.offset_verified) for r in co.context_ids_by_join(hits, c, 1).collect()}
+    assert got == {0: (1, True), 1: (1, True), 2: (3, False)}
+
+
+def test_context_len_zero_skips_context(spark):
+    from conftest import SF001
+    from tokenlens.plans import registry as R, search as S
+    tc, t = R._targets(spark, SF001)
+    h = S.search_text(tc, t.limit(20), context_len=0)
+    assert "before" not in h.columns and h.count() >= 0

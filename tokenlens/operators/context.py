@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.arrays import context_slices
+from ..functions.arrays import context_slices, matches_at
 from ..functions.text import display_line, html_card, regex_search
 from ..plans.strategy import checked_broadcast
 from .decode import decode_arrays
@@ -17,10 +17,20 @@ KEY = ["shard", "sample_index", "token_offset"]
 def context_ids_by_join(hits: DataFrame, corpus: DataFrame, context_len: int = C.DEFAULT_CONTEXT_LEN) -> DataFrame:
     """Cut context id slices for hits that were produced without the sample at hand
     (e.g. repaired or user-supplied hits): join on the sample key."""
-    hb, _ = checked_broadcast(hits)          # hits are the small side: the corpus is not shuffled
+    # hits are materialized once (the size check reads them), then broadcast when small
+    hb, _ = checked_broadcast(hits.checkpoint(eager=True))
     j = corpus.select("shard", "sample_index", "token_ids").join(hb, ["shard", "sample_index"])
-    b, m, a = context_slices(F.col("token_ids"), F.col("token_offset"), F.size("sequence"), context_len)
-    return j.select(*hits.columns, b.alias("before_ids"), m.alias("match_ids"), a.alias("after_ids"))
+    # Q13: use the offset if the sequence is there, else the one before; otherwise keep the
+    # given offset and say so in ``offset_verified``
+    t, o, s = F.col("token_ids"), F.col("token_offset"), F.col("sequence")
+    at_o = matches_at(t, o, s)
+    at_prev = (o > 0) & matches_at(t, o - 1, s)
+    actual = F.when(at_o, o).when(at_prev, o - 1).otherwise(o)
+    j = j.withColumn("_o", actual).withColumn("offset_verified", at_o | at_prev)
+    b, m, a = context_slices(F.col("token_ids"), F.col("_o"), F.size("sequence"), context_len)
+    rest = [c for c in hits.columns if c != "token_offset"]
+    return j.select(F.col("_o").alias("token_offset"), *rest, "offset_verified",
+                    b.alias("before_ids"), m.alias("match_ids"), a.alias("after_ids"))
 
 
 def hit_context(hits_with_ids: DataFrame, vocab: DataFrame, joiner: str = " ", byte_level: bool = False,

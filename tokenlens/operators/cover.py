@@ -42,6 +42,13 @@ def prefix_index(vocab: DataFrame) -> DataFrame:
         F.expr("left(token, i)").alias("affix"), "token_id")
 
 
+def affix_groups(index: DataFrame) -> DataFrame:
+    """A10: the nested form of an affix index, ``affix -> ARRAY<token_id>`` (ids sorted). Partial
+    aggregation collects map-side; one group holds the tokens sharing an affix (bounded by the
+    vocabulary)."""
+    return index.groupBy("affix").agg(F.array_sort(F.collect_list("token_id")).alias("token_ids"))
+
+
 def _boundary_ok(surface: Column, end: Column, joiner: str) -> Column:
     """A token may end at ``end`` (0-based exclusive) when that is the end of S or J follows."""
     if joiner == "":

@@ -155,7 +155,9 @@ def repair_offsets(reported: DataFrame, corpus: DataFrame) -> DataFrame:
         F.when((o > 0) & matches_at(t, o - 1, s), o - 1),
         first_match(t, s),
     )
-    rb, _ = checked_broadcast(reported)      # small side broadcast: the corpus is not shuffled
+    # the reports are materialized once, so the size check does not recompute them; when small
+    # they are broadcast and the corpus is filtered where it is read, never shuffled
+    rb, _ = checked_broadcast(reported.checkpoint(eager=True))
     j = corpus.select("shard", "sample_index", "token_ids").join(rb, ["shard", "sample_index"])
     fixed = j.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence",
                      repaired.cast("int").alias("token_offset")).where(F.col("token_offset").isNotNull())

@@ -771,3 +771,45 @@ def standing_search(spark, sf_dir):
     base = f"{tc.root}/standing/{key}"
     return run_standing_search(spark, f"{tc.root}/corpus", needles, f"{base}/hits", f"{base}/checkpoint",
                                tc.token_stats, max_files_per_trigger=2)
+
+
+# ----------------------------------------------------------------------------------------------
+# remaining inventory rows
+# ----------------------------------------------------------------------------------------------
+from ..functions.arrays import is_subsequence as _is_subsequence  # noqa: E402
+
+
+@register("suffix_groups", Q.with_ctes(Q.WORDS, body="""
+SELECT affix, list(token_id ORDER BY token_id) AS token_ids
+FROM (SELECT right(token, i) AS affix, token_id FROM (SELECT token, token_id, unnest(range(1, length(token) + 1)) AS i FROM vocab))
+GROUP BY affix"""))
+def suffix_groups(spark, sf_dir):
+    """A10: token ids grouped by suffix (the nested form of the suffix index)."""
+    return cov.affix_groups(srch.affix_table(word_corpus(spark, sf_dir), "suffix"))
+
+
+@register("is_subsequence", Q.with_ctes(Q.WORDS, Q.NEEDLES, """
+pairs AS (
+  SELECT s.seq_ord AS short_ord, l.seq_ord AS long_ord, s.seq AS short_seq, l.seq AS long_seq
+  FROM needles s JOIN needles l
+    ON s.seq_ord >= 1000000000 AND l.seq_ord < 1000000000
+   AND (s.seq_ord - 1000000000) // 100000 = l.seq_ord // 100000
+   AND (l.seq_ord % 100000 = ((s.seq_ord - 1000000000) % 100000) // 2
+        OR l.seq_ord % 100000 = ((s.seq_ord - 1000000000) % 100000) // 2 + 1))""", body="""
+SELECT short_ord, long_ord,
+  len(long_seq) >= len(short_seq) AND len(list_filter(range(0, len(long_seq) - len(short_seq) + 1),
+      lambda i: long_seq[i + 1 : i + len(short_seq)] = short_seq)) > 0 AS is_sub
+FROM pairs"""))
+def is_subsequence(spark, sf_dir):
+    """Contiguous-subsequence test: each 2-word chunk against the 4-word chunk that contains it
+    and the one after it (an equi-join on passage and chunk index)."""
+    _, needles = _search_input(spark, sf_dir)
+    n = needles.select("seq_ord", "seq", F.floor(F.col("seq_ord") / 1_000_000_000).alias("r"),
+                       F.pmod(F.col("seq_ord"), F.lit(1_000_000_000)).alias("rest"))
+    n = n.select("*", F.floor(F.col("rest") / 100_000).alias("item"), F.pmod(F.col("rest"), F.lit(100_000)).alias("chunk"))
+    short = n.where(F.col("r") == 1).select(F.col("seq_ord").alias("short_ord"), F.col("seq").alias("short_seq"), "item",
+                                           F.explode(F.array(F.floor(F.col("chunk") / 2), F.floor(F.col("chunk") / 2) + 1)).alias("lc"))
+    long_ = n.where(F.col("r") == 0).select(F.col("seq_ord").alias("long_ord"), F.col("seq").alias("long_seq"), "item",
+                                           F.col("chunk").alias("lc"))
+    j = short.join(long_, ["item", "lc"])
+    return j.select("short_ord", "long_ord", _is_subsequence(F.col("short_seq"), F.col("long_seq")).alias("is_sub"))
