@@ -38,8 +38,11 @@ def choose_anchors(sequences: DataFrame, token_stats: DataFrame | None, n_tokens
     if token_stats is None:
         return base.select("*", F.lit(0).alias("anchor_idx"), F.col("seq")[0].alias("anchor_token"))
     toks = seqs.select("seq_ord", F.posexplode("seq").alias("i", "token_id"))
-    toks_b, _ = checked_broadcast(toks, known_rows=n_tokens)
-    freq = token_stats.select("token_id", F.col("n").alias("f")).join(toks_b, "token_id")
+    if n_tokens is not None:
+        toks, _ = checked_broadcast(toks, known_rows=n_tokens)
+    # (without a known size, AQE turns this into a broadcast join at run time when the token
+    # side measures small after its shuffle stage)
+    freq = token_stats.select("token_id", F.col("n").alias("f")).join(toks, "token_id")
     best = freq.groupBy("seq_ord").agg(F.min(F.struct("f", "i")).alias("m"), F.count(F.lit(1)).alias("present"))
     return (
         base.join(best, "seq_ord")
@@ -54,10 +57,8 @@ def prepare_needles(sequences: DataFrame, token_stats: DataFrame | None) -> tupl
 
     The search input is small next to the corpus but is read several times (size check,
     broadcast); materializing it once keeps its derivation from running per use."""
-    seqs = check_sequences(sequences).checkpoint(eager=True)
-    stats = seqs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("seq")).alias("t")).first()
-    needles = choose_anchors(seqs, token_stats, n_tokens=int(stats["t"] or 0)).checkpoint(eager=True)
-    return needles, int(stats["n"])
+    needles = choose_anchors(sequences, token_stats).checkpoint(eager=True)
+    return needles, needles.count()
 
 
 def find_sequences_scan(corpus: DataFrame, needles: DataFrame, context_len: int = 0, n_needles: int | None = None) -> DataFrame:

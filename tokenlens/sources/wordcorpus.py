@@ -101,5 +101,15 @@ def word_corpus(spark: SparkSession, sf_dir: str, samples_per_shard: int = DEFAU
     src = table_path(sf_dir, "documents")
     key = fingerprint(spark, src, extra=f"words:{samples_per_shard}:v2")
     root = root or f"{shared_dir(spark)}/tokenlens/word_corpus/{key}"
+    memo = (id(spark), root)
+    if memo in _OPENED and is_done(spark, f"{root}/token_stats"):
+        return _OPENED[memo]
     docs = spark.read.parquet(src).select("doc_id", "text")
-    return build_word_corpus(spark, docs, root, samples_per_shard)
+    tc = build_word_corpus(spark, docs, root, samples_per_shard)
+    _OPENED[memo] = tc
+    return tc
+
+
+# Opened corpus handles per (session, folder). The folder name carries the input fingerprint,
+# so a changed input maps to a new folder and a new handle.
+_OPENED: dict = {}
