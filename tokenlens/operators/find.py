@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import context_slices, first_match, matches_at, slice0
+from ..functions.arrays import context_slices, matches_at
 from ..plans.strategy import checked_broadcast
 
 LOCATION = ["shard", "sample_index", "token_offset"]
@@ -146,22 +146,31 @@ def repair_offsets(reported: DataFrame, corpus: DataFrame) -> DataFrame:
     before it, else the first occurrence in the sample; drop the hit when the sample lacks the
     sequence. Then one hit per (sequence, location), as the original did per sequence.
 
-    ``reported``: ``shard, sample_index, reported_offset, seq_ord, sequence``. The join to the
-    corpus is on the sample key; Catalyst prunes shards without reports (dynamic pruning)."""
+    ``reported``: ``shard, sample_index, reported_offset, seq_ord, sequence``. The reports are
+    materialized once and broadcast when small (checked), so the corpus is filtered where it is
+    read. The first two checks are row expressions; the rescan for the rest is the search join
+    itself -- each pending sample exploded once, joined on its first token, slice confirmed,
+    minimum taken -- instead of a per-row loop over positions."""
     t = F.col("token_ids")
     o = F.col("reported_offset")
     s = F.col("sequence")
-    repaired = F.coalesce(
-        F.when(matches_at(t, o, s), o),
-        F.when((o > 0) & matches_at(t, o - 1, s), o - 1),
-        first_match(t, s),
-    )
-    # the reports are materialized once, so the size check does not recompute them; when small
-    # they are broadcast and the corpus is filtered where it is read, never shuffled
-    rb, _ = checked_broadcast(reported.checkpoint(eager=True))
+    rep = reported.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence").checkpoint(eager=True)
+    rb, _ = checked_broadcast(rep)
     j = corpus.select("shard", "sample_index", "token_ids").join(rb, ["shard", "sample_index"])
-    fixed = j.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence",
-                     repaired.cast("int").alias("token_offset")).where(F.col("token_offset").isNotNull())
+    quick = F.when(matches_at(t, o, s), o).when((o > 0) & matches_at(t, o - 1, s), o - 1)
+    checked = j.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence",
+                       quick.cast("int").alias("token_offset")).checkpoint(eager=True)
+    resolved = checked.where(F.col("token_offset").isNotNull())
+    pending = checked.where(F.col("token_offset").isNull()).select(
+        F.col("shard").alias("p_shard"), F.col("sample_index").alias("p_sample"), "reported_offset", "seq_ord",
+        F.col("sequence").alias("p_seq"), F.element_at("sequence", 1).alias("head"))
+    pb, _ = checked_broadcast(pending)
+    occ = corpus.select("shard", "sample_index", "token_ids", F.posexplode("token_ids").alias("pos", "tok"))
+    cond = (F.col("shard") == F.col("p_shard")) & (F.col("sample_index") == F.col("p_sample")) & (F.col("tok") == F.col("head"))
+    found = (occ.join(pb, cond).where(matches_at(F.col("token_ids"), F.col("pos"), F.col("p_seq")))
+             .groupBy("shard", "sample_index", "reported_offset", "seq_ord")
+             .agg(F.min("pos").cast("int").alias("token_offset"), F.first("p_seq").alias("sequence")))
+    fixed = resolved.unionByName(found.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence",
+                                              "token_offset"))
     return fixed.groupBy("seq_ord", "shard", "sample_index", "token_offset").agg(
-        F.first("sequence").alias("sequence"), F.min("reported_offset").alias("reported_offset")
-    )
+        F.first("sequence").alias("sequence"), F.min("reported_offset").alias("reported_offset"))
