@@ -31,9 +31,10 @@ def _seq_len(c):
 
 
 def suffix_index(vocab: DataFrame) -> DataFrame:
-    """``(affix, token_id)`` for every non-empty suffix of every token surface."""
-    return vocab.select("token_id", "token", F.explode(_seq_len(F.col("token"))).alias("i")).select(
-        F.expr("right(token, i)").alias("affix"), "token_id")
+    """``(affix, token_id)`` for every non-empty suffix of every token surface (with the
+    token's surface and bytes alongside, so candidate plans need no join back)."""
+    return vocab.select("token_id", "token", "token_bytes", F.explode(_seq_len(F.col("token"))).alias("i")).select(
+        F.expr("right(token, i)").alias("affix"), "token_id", "token", "token_bytes")
 
 
 def prefix_index(vocab: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def single_token_cover(targets: DataFrame, vocab: DataFrame, sfx: DataFrame | No
     suffix of a token is cut to each target length in use and matched against S. The set of
     distinct target lengths is bounded by the longest target, so it is read to the driver and
     becomes a literal array."""
-    sfx = suffix_index(vocab) if sfx is None else sfx
+    sfx = (suffix_index(vocab) if sfx is None else sfx).select("affix", "token_id")
     lengths = sorted(r[0] for r in targets.select(F.length("surface").alias("L")).where(F.col("L") > 0).distinct().collect())
     if not lengths:
         return targets.sparkSession.createDataFrame([], "qid long, seq array<int>, toks array<string>, bts array<binary>")
@@ -98,8 +99,7 @@ def first_token_candidates(targets: DataFrame, vocab: DataFrame, joiner: str = "
                            _next_start(s, F.col("i"), joiner).alias("next"))
     sb, _ = checked_broadcast(splits)
     sfx = suffix_index(vocab) if sfx is None else sfx
-    return sfx.join(sb, "affix").join(vocab.select("token_id", "token", "token_bytes"), "token_id").select(
-        "qid", "i", "next", "max_depth", "token_id", "token", "token_bytes")
+    return sfx.join(sb, "affix").select("qid", "i", "next", "max_depth", "token_id", "token", "token_bytes")
 
 
 def lattice_edges(targets: DataFrame, vocab: DataFrame, joiner: str = "", max_token_len: int | None = None) -> DataFrame:
@@ -185,9 +185,10 @@ def cover_candidates(targets: DataFrame, vocab: DataFrame, merges: DataFrame | N
     firsts = first_token_candidates(targets, vocab, joiner, sfx)
     multi = multi_token_candidates(firsts, tails, merges)
     single = single_token_cover(targets, vocab, sfx)
-    both = single.unionByName(multi)
-    # distinct on (query, ids); the token strings/bytes are functions of the ids
-    return both.groupBy("qid", "seq").agg(F.first("toks").alias("toks"), F.first("bts").alias("bts"))
+    # Distinct without an aggregation: first tokens are distinct per (query, split), tails are
+    # distinct paths and fix the split, so multi-token candidates never repeat; a one-token
+    # "multi" candidate (empty tail) ends with S and so is already a k = 1 candidate.
+    return single.unionByName(multi.where(F.size("seq") >= 2))
 
 
 def decoded_text(toks: Column, bts: Column, joiner: str, byte_level: bool) -> Column:

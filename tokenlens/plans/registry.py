@@ -564,7 +564,7 @@ def prefix_index(spark, sf_dir):
 SELECT right(token, i) AS affix, token_id FROM (SELECT token, token_id, unnest(range(1, length(token) + 1)) AS i FROM vocab)"""))
 def suffix_index(spark, sf_dir):
     """P6 + K5: every suffix of every vocabulary token (written once, reused)."""
-    return srch.affix_table(word_corpus(spark, sf_dir), "suffix")
+    return srch.affix_table(word_corpus(spark, sf_dir), "suffix").select("affix", "token_id")
 
 
 @register("default_regex", Q.with_ctes(Q.LENS, Q.TARGETS, body="SELECT qid, '(?U)\\b' || target || '\\b' AS pattern FROM targets"))
@@ -785,7 +785,7 @@ FROM (SELECT right(token, i) AS affix, token_id FROM (SELECT token, token_id, un
 GROUP BY affix"""))
 def suffix_groups(spark, sf_dir):
     """A10: token ids grouped by suffix (the nested form of the suffix index)."""
-    return cov.affix_groups(srch.affix_table(word_corpus(spark, sf_dir), "suffix"))
+    return cov.affix_groups(srch.affix_table(word_corpus(spark, sf_dir), "suffix").select("affix", "token_id"))
 
 
 @register("is_subsequence", Q.with_ctes(Q.WORDS, Q.NEEDLES, """

@@ -113,7 +113,7 @@ def affix_table(tc: TokenCorpus, kind: str) -> DataFrame:
     the corpus fingerprint, so another vocabulary never reuses it)."""
     from ..session import materialize
     fn = cover.suffix_index if kind == "suffix" else cover.prefix_index
-    return materialize(fn(tc.vocab), f"{tc.root}/{kind}_index")
+    return materialize(fn(tc.vocab), f"{tc.root}/{kind}_index_v2")
 
 
 def search_text(tc: TokenCorpus, targets: DataFrame, context_len: int = 50, regex: str | None = None,
