@@ -28,11 +28,14 @@ from ..sources.vocab import surface_to_bytes
 def candidate_texts(targets: DataFrame, vocab: DataFrame, joiner: str, byte_level: bool, sfx: DataFrame | None = None) -> DataFrame:
     """``(qid, d)``: every distinct decoded text a candidate of the query can have."""
     firsts = first_token_candidates(targets, vocab, joiner, sfx)
-    tb, _ = checked_broadcast(targets.select("qid", "surface"))
+    tb, _ = checked_broadcast(targets.select("qid", "surface", "target"))
     f = firsts.join(tb, "qid")
     rest = F.expr("substring(surface, next + 1)")
     if byte_level:
-        raw = F.concat(F.col("token_bytes"), surface_to_bytes(rest))
+        # surface character k stands for byte k of the query's UTF-8 encoding, so the bytes of
+        # the rest of the surface are a byte range of the query itself (binary substring)
+        rest_bytes = F.expr("substring(encode(target, 'UTF-8'), next + 1)")
+        raw = F.concat(F.col("token_bytes"), rest_bytes)
         d = F.make_valid_utf8(raw.cast("string"))
     else:
         d = F.when(F.col("next") >= F.length("surface"), F.col("token")).otherwise(
