@@ -77,16 +77,18 @@ def bpe_search_text(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, tok_
     raw = find_ops.find_sequences(tc.corpus, ided.select("seq_ord", "seq"), tc.token_stats, context_len=context_len)
     owners = covers.select("qid", F.array_join(F.col("seq"), ",").alias("k")).join(ided.select("k", "seq_ord"), "k")
     ob, _ = checked_broadcast(owners)
+    rkey = ["shard", "sample_index", "token_offset", "seq_ord"]
+    if context_len > 0:
+        # context is decoded once per raw hit, before the fan-out to the queries sharing it
+        raw = ctx_ops.hit_context(raw, tc.vocab, "", byte_level=True, vocab_bounded=True, key=rkey)
     per_q = raw.join(ob, "seq_ord")
     rest = [c for c in per_q.columns if c not in ("qid", "shard", "sample_index", "token_offset", "seq_ord", "k")]
+    # one hit per (query, location): the shortest, then smallest, sequence wins
     w = per_q.groupBy("qid", "shard", "sample_index", "token_offset").agg(
         F.min(F.struct(F.size("sequence").alias("_n"), *[F.col(c) for c in rest])).alias("_w"))
     hits = w.select("qid", "shard", "sample_index", "token_offset", *[F.col(f"_w.{c}").alias(c) for c in rest])
-    key = ["qid", "shard", "sample_index", "token_offset"]
-    # a 16-bit vocabulary has at most 65,536 rows: broadcast by construction
-    ctx = ctx_ops.hit_context(hits, tc.vocab, "", byte_level=True, vocab_bounded=True, key=key)
     tb, _ = checked_broadcast(targets.select("qid", "target"))
-    ctx = ctx.join(tb, "qid")
+    ctx = hits.join(tb, "qid")
     full = F.concat(F.col("before"), F.col("match"), F.col("after"))
     ok = py_regex_search(full, py_boundary_pattern(F.col("target")))
     out = ctx.select("qid", "shard", "sample_index", "token_offset", "sequence", ok.alias("context_ok"),

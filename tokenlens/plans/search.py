@@ -128,6 +128,10 @@ def search_text(tc: TokenCorpus, targets: DataFrame, context_len: int = 50, rege
     raw = find_ops.find_sequences(tc.corpus, ided.select("seq_ord", "seq"), tc.token_stats, context_len=context_len)
     owners = covers.select("qid", F.array_join(F.col("seq"), ",").alias("k")).join(ided.select("k", "seq_ord"), "k")
     ob, _ = checked_broadcast(owners)
+    rkey = ["shard", "sample_index", "token_offset", "seq_ord"]
+    if context_len > 0:
+        # context is decoded once per raw hit, before the fan-out to the queries sharing it
+        raw = ctx_ops.hit_context(raw, tc.vocab, tc.joiner, key=rkey)
     per_q = raw.join(ob, "seq_ord")
     rest = [c for c in per_q.columns if c not in ("qid", "shard", "sample_index", "token_offset", "seq_ord", "k")]
     # one hit per (query, location): the shortest, then smallest, sequence wins
@@ -136,10 +140,8 @@ def search_text(tc: TokenCorpus, targets: DataFrame, context_len: int = 50, rege
     hits = w.select("qid", "shard", "sample_index", "token_offset", *[F.col(f"_w.{c}").alias(c) for c in rest])
     if context_len <= 0:
         return hits.orderBy("qid", "shard", "sample_index", "token_offset")
-    key = ["qid", "shard", "sample_index", "token_offset"]
-    ctx = ctx_ops.hit_context(hits, tc.vocab, tc.joiner, key=key)
     tb, _ = checked_broadcast(targets.select("qid", "target"))
-    ctx = ctx.join(tb, "qid")
+    ctx = hits.join(tb, "qid")
     pattern = F.lit(regex) if regex is not None else default_regex(F.col("target"), literal)
     out = ctx_ops.context_regex(ctx, pattern).drop("target")
     return out.orderBy("qid", "shard", "sample_index", "token_offset")
