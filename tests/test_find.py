@@ -92,3 +92,17 @@ def test_first_occurrence_and_counts(spark):
     assert fo_rows == {(0, 0): (0, 2), (1, 0): (1, 2), (1, 1): (0, 1)}
     cnt = {r.seq_ord: (r.n_hits, r.n_samples) for r in fo.sequence_counts(hits).collect()}
     assert cnt == {0: (2, 1), 1: (3, 2)}
+
+
+def test_large_needle_set_takes_the_postings_path(spark):
+    rnd = random.Random(7)
+    rows = [(s, i, [rnd.randint(0, 5) for _ in range(30)]) for s in range(2) for i in range(4)]
+    seqs = [[rnd.randint(0, 5) for _ in range(2)] for _ in range(25)]
+    c = corpus_df(spark, rows)
+    spark.conf.set("tokenlens.broadcast.maxRows", "10")
+    try:
+        got = {(r.shard, r.sample_index, r.token_offset, r.seq_ord)
+               for r in fo.find_sequences(c, seqs_df(spark, seqs), token_stats_of(c)).collect()}
+    finally:
+        spark.conf.unset("tokenlens.broadcast.maxRows")
+    assert got == brute_hits(rows, seqs)

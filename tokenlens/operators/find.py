@@ -109,11 +109,12 @@ def find_sequences(corpus: DataFrame, sequences: DataFrame, token_stats: DataFra
     needles, n_needles = prepare_needles(sequences, token_stats)
     if strategy == "auto":
         _, small = checked_broadcast(needles, known_rows=n_needles)
-        strategy = "scan" if small or postings is None else "postings"
+        strategy = "scan" if small else "postings"
     if strategy == "scan":
         return find_sequences_scan(corpus, needles, context_len, n_needles)
-    if postings is None:
-        raise ValueError("strategy='postings' needs a postings table")
+    if postings is None:       # too many needles to broadcast and no index given: index now
+        from .postings import postings_of
+        postings = postings_of(corpus)
     return find_sequences_postings(corpus, postings, needles, context_len)
 
 
