@@ -62,6 +62,7 @@ def doc_address(docs: DataFrame, file_map: DataFrame, samples_per_shard: int = C
     """Global document number -> (file index, shard, sample_index)."""
     d = docs.select("doc_ix", (F.col("doc_ix") / samples_per_shard).cast("long").cast("int").alias("file_index"),
                     F.pmod(F.col("doc_ix"), F.lit(samples_per_shard)).cast("int").alias("sample_index"))
+    # the file map has one row per shard: a bounded broadcast
     return d.join(F.broadcast(file_map.select("file_index", "shard")), "file_index", "left")
 
 

@@ -35,7 +35,9 @@ def stacked_histogram(labelled: DataFrame, n_shards: int) -> DataFrame:
     counts = labelled.groupBy("label", "label_ord", "shard").agg(F.count(F.lit(1)).alias("n"))
     slots = labelled.select("label", "label_ord").distinct().select(
         "label", "label_ord", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
-    full = slots.join(F.broadcast(counts), ["label", "label_ord", "shard"], "left").select(
+    # counts is an aggregation result: AQE measures it after its shuffle and broadcasts it when
+    # small (at most labels x shards rows); no count job re-runs the plan above it
+    full = slots.join(counts, ["label", "label_ord", "shard"], "left").select(
         "label", "label_ord", "shard", F.coalesce("n", F.lit(0)).cast("long").alias("n_hits"))
     w = Window.partitionBy("shard").orderBy("label_ord").rowsBetween(Window.unboundedPreceding, -1)
     return full.withColumn("bottom", F.coalesce(F.sum("n_hits").over(w), F.lit(0)).cast("long"))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.strategy import checked_broadcast
+
 
 def log_sum_exp(logits: Column) -> Column:
     m = F.array_max(logits)
@@ -49,7 +51,8 @@ def completion_stats(surprisals: DataFrame, suffix_start: DataFrame | None = Non
         s = s.join(suffix_start, "text_id").where(F.col("pos") >= F.col("suffix_start"))
     tok = F.format_string("<%d>", F.col("token_id"))
     if token_names is not None:
-        s = s.join(F.broadcast(token_names), "token_id", "left")
+        tn, _ = checked_broadcast(token_names)
+        s = s.join(tn, "token_id", "left")
         tok = F.coalesce(F.col("token"), tok)
     g = s.groupBy("text_id").agg(
         F.sum("surprisal").alias("total_surprisal"),

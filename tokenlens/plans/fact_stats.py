@@ -14,6 +14,7 @@ from .. import constants as C
 from ..operators import facts as fact_ops
 from ..operators.encode import encode_texts
 from ..operators.surprisal import log_sum_exp
+from ..plans.strategy import checked_broadcast
 from ..session import path_exists
 
 STATS_SCHEMA = ("fact_id int, total_surprisal double, avg_surprisal double, perplexity double, "
@@ -56,7 +57,8 @@ def completion_stats(checked: DataFrame, steps: DataFrame, scorer, vocab: DataFr
     else:                                 # the scorer gave the target logit and log-partition
         surprisal = F.col("log_norm") - F.col("target_logit")
     s = scored.select("step", "fact_id", "pos", "target", surprisal.alias("s"))
-    s = s.join(F.broadcast(vocab.select(F.col("token_id").alias("target"), "token")), "target", "left")
+    vb, _ = checked_broadcast(vocab.select(F.col("token_id").alias("target"), "token"))
+    s = s.join(vb, "target", "left")
     g = s.groupBy("step", "fact_id").agg(
         F.sum("s").alias("total_surprisal"), F.avg("s").alias("avg_surprisal"),
         F.array_sort(F.collect_list(F.struct("pos", "s", "token"))).alias("_p"))
@@ -74,7 +76,8 @@ def run_fact_grid(spark: SparkSession, facts: DataFrame, scorer, vocab: DataFram
     todo = fact_ops.remaining_steps(grid_steps, done)
     if not todo.isEmpty():
         stats = completion_stats(checked, todo, scorer, vocab)
-        stats = stats.join(F.broadcast(checked.select("fact_id", "prefix", "suffix")), "fact_id").select(
+        fb, _ = checked_broadcast(checked.select("fact_id", "prefix", "suffix"))
+        stats = stats.join(fb, "fact_id").select(
             "fact_id", "total_surprisal", "avg_surprisal", "perplexity", "token_surprisals", "tokens", "prefix", "suffix",
             F.lit(variant).alias("variant"), "step")
         fact_ops.write_step_results(stats, out_path)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.strategy import checked_broadcast
 from ..sources.wordcorpus import split_words
 
 LENGTH_STRIDE = 1_000_000_000   # seq_ord = length_rank * 1e9 + item_id * 1e5 + chunk
@@ -20,9 +21,10 @@ ITEM_STRIDE = 100_000
 def passage_sequences(passages: DataFrame, vocab: DataFrame, lengths=(4, 2),
                       id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     occ = passages.select(F.col(id_col).alias("item_id"), F.posexplode(split_words(text_col)).alias("pos", "word"))
-    # The passage side is the small one: broadcast it and stream the vocabulary past it
-    # (a left join would have to build the vocabulary side instead).
-    found = F.broadcast(occ).join(vocab.select(F.col("token").alias("word"), "token_id"), "word")
+    # The passage side is normally the small one: broadcast it (size checked) and stream the
+    # vocabulary past it; past the bound this is a shuffle join on the word.
+    ob, _ = checked_broadcast(occ)
+    found = ob.join(vocab.select(F.col("token").alias("word"), "token_id"), "word")
     # every (length rank, length) pair for each word: a literal array of fixed size, not a join
     spec = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).alias("k")) for r, k in enumerate(lengths)])
 

@@ -534,6 +534,7 @@ def doc_address(spark, sf_dir):
     (shard, sample_index)."""
     tc = word_corpus(spark, sf_dir)
     fmap = corpus_ops.file_index_to_shard(spark, hist.shard_count(tc.corpus))
+    # one row per shard: a bounded broadcast
     docs = tc.corpus.join(F.broadcast(fmap.select("file_index", "shard")), "shard").select(
         (F.col("file_index").cast("long") * FIX_SPS + F.col("sample_index")).alias("doc_ix"))
     return corpus_ops.doc_address(docs, fmap, FIX_SPS).select("doc_ix", "file_index", "shard", "sample_index")

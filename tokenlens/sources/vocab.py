@@ -54,6 +54,7 @@ def load_tokenizer_tables(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     special = raw.select(F.explode("added_tokens").alias("a")).select(
         F.col("a.id").alias("token_id"), F.col("a.special").alias("is_special"))
     vocab = raw.select(F.explode("model.vocab").alias("token", "token_id"))
+    # added tokens: a handful of rows listed in the tokenizer file (bounded broadcast)
     vocab = vocab.join(F.broadcast(special), "token_id", "left").select(
         "token", F.col("token_id").cast("int").alias("token_id"),
         F.when(F.col("is_special"), F.encode("token", "UTF-8")).otherwise(surface_to_bytes(F.col("token"))).alias("token_bytes"),
