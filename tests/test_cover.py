@@ -103,3 +103,14 @@ def test_affix_indexes(spark, tiny):
     pfx = {(r.affix, r.token_id) for r in cov.prefix_index(vocab).collect()}
     assert sfx == {(t[-i:], k) for k, t in enumerate(TOKENS) for i in range(1, len(t) + 1)}
     assert pfx == {(t[:i], k) for k, t in enumerate(TOKENS) for i in range(1, len(t) + 1)}
+
+
+def test_direct_joiner_tails_equal_join_loop(spark):
+    from conftest import SF001
+    from tokenlens.plans import registry as R
+    tc, t = R._targets(spark, SF001)
+    direct = {(r.qid, r.start, r.depth, tuple(r.seq)) for r in cov.joiner_tails(t, tc.vocab, " ").collect()}
+    mtl = int(tc.vocab.agg(F.max(F.length("token"))).first()[0])
+    loop = {(r.qid, r.start, r.depth, tuple(r.seq))
+            for r in cov.tail_paths(t, cov.lattice_edges(t, tc.vocab, " ", mtl)).collect()}
+    assert direct == loop and len(direct) > t.count()

@@ -163,6 +163,52 @@ def tail_paths(targets: DataFrame, edges: DataFrame, merges: DataFrame | None =
     return out.drop("max_depth")
 
 
+def joiner_tails(targets: DataFrame, vocab: DataFrame, joiner: str) -> DataFrame:
+    """J2 for a joiner vocabulary whose tokens never contain the joiner (e.g. words split on
+    spaces): a tail can only be the exact tokens of the pieces from some piece to the end of S,
+    so tails are computed directly -- no round-by-round join. Same rows as ``tail_paths``.
+
+    Pieces are looked up with one join; each query's pieces regroup into an id array (a bounded
+    group: one query), and the tail from piece j is the slice from j when every piece from j on
+    is a known, non-empty token."""
+    pieces = targets.select("qid", "surface", "max_depth",
+                            F.posexplode(F.split(F.col("surface"), joiner, -1)).alias("j", "w"))
+    v, _ = checked_broadcast(vocab.select(F.col("token").alias("w"), "token_id"))
+    known = pieces.join(v, "w", "left").withColumn(
+        "token_id", F.when(F.length("w") > 0, F.col("token_id")))
+    g = known.groupBy("qid", "surface", "max_depth").agg(
+        F.array_sort(F.collect_list(F.struct("j", "w", "token_id"))).alias("p"))
+    n = F.size("p")
+    # start of piece j = total length of the pieces before it plus one joiner each
+    starts = F.transform("p", lambda x, i: F.aggregate(F.slice("p", 1, i), F.lit(0),
+                                                        lambda acc, y: acc + F.length(y["w"]) + F.lit(len(joiner))))
+    ex = g.select("qid", "max_depth", "p", F.posexplode(starts).alias("i", "start"))
+    rest = F.slice(F.col("p"), F.col("i") + 1, n - F.col("i"))
+    ok = F.forall(rest, lambda x: x["token_id"].isNotNull())
+    depth = n - F.col("i")
+    tails = ex.where(ok & (depth <= F.col("max_depth") - 1)).select(
+        "qid", F.col("start").cast("int").alias("start"), depth.cast("int").alias("depth"),
+        F.transform(rest, lambda x: x["token_id"]).alias("seq"),
+        F.transform(rest, lambda x: x["w"]).alias("toks"),
+        F.transform(rest, lambda x: F.encode(x["w"], "UTF-8")).alias("bts"),
+        F.element_at(rest, 1)["w"].alias("first_token"))
+    empty = targets.select("qid", F.length("surface").cast("int").alias("start"), F.lit(0).alias("depth"),
+                           F.array().cast("array<int>").alias("seq"), F.array().cast("array<string>").alias("toks"),
+                           F.array().cast("array<binary>").alias("bts"), F.lit(None).cast("string").alias("first_token"))
+    return empty.unionByName(tails)
+
+
+def tails_for(targets: DataFrame, vocab: DataFrame, merges: DataFrame | None, joiner: str,
+              max_token_len: int | None = None) -> DataFrame:
+    """Tail paths: direct for a joiner vocabulary without merges whose tokens never contain the
+    joiner (checked with one short job), the bounded join loop otherwise."""
+    if joiner and merges is None and vocab.where(F.instr("token", joiner) > 0).limit(1).count() == 0:
+        return joiner_tails(targets, vocab, joiner)
+    if max_token_len is None:
+        max_token_len = int(vocab.agg(F.max(F.length("token"))).first()[0] or 1)
+    return tail_paths(targets, lattice_edges(targets, vocab, joiner, max_token_len), merges)
+
+
 def multi_token_candidates(firsts: DataFrame, tails: DataFrame, merges: DataFrame | None = None) -> DataFrame:
     """First token + tail, ``1 + depth <= max_depth``, no merge at the seam."""
     f = firsts.alias("f")
@@ -178,10 +224,7 @@ def multi_token_candidates(firsts: DataFrame, tails: DataFrame, merges: DataFram
 def cover_candidates(targets: DataFrame, vocab: DataFrame, merges: DataFrame | None = None, joiner: str = "",
                      max_token_len: int | None = None, sfx: DataFrame | None = None) -> DataFrame:
     """U1 + A9: k = 1 and k >= 2 candidates, distinct per target."""
-    if max_token_len is None:
-        max_token_len = int(vocab.agg(F.max(F.length("token"))).first()[0] or 1)
-    edges = lattice_edges(targets, vocab, joiner, max_token_len)
-    tails = tail_paths(targets, edges, merges)
+    tails = tails_for(targets, vocab, merges, joiner, max_token_len)
     firsts = first_token_candidates(targets, vocab, joiner, sfx)
     multi = multi_token_candidates(firsts, tails, merges)
     single = single_token_cover(targets, vocab, sfx)

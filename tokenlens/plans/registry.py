@@ -605,9 +605,7 @@ UNION ALL SELECT qid, CAST(length(target) AS INTEGER), 0, CAST([] AS INTEGER[])
 def tail_paths(spark, sf_dir):
     """J2 + J3: token paths from each split point to the end of the query (bounded loop of joins)."""
     tc, t = _targets(spark, sf_dir)
-    mtl = int(tc.vocab.agg(F.max(F.length("token"))).first()[0] or 1)
-    edges = cov.lattice_edges(t, tc.vocab, tc.joiner, mtl)
-    return cov.tail_paths(t, edges).select("qid", "start", "depth", "seq")
+    return cov.tails_for(t, tc.vocab, None, tc.joiner).select("qid", "start", "depth", "seq")
 
 
 @register("cover_candidates", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="SELECT qid, seq FROM cand"))
