@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from ..session import checkpoint as _ckpt
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = (partition id << 33) + row number in partition
 
@@ -26,7 +27,7 @@ def dense_ids(values: DataFrame, key: str, id_col: str, num_partitions: int | No
         values.repartitionByRange(n, F.col(key))
         .sortWithinPartitions(key)
         .select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
-        .checkpoint(eager=True)
+        .transform(_ckpt)
     )
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

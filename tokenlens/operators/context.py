@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..session import checkpoint as _ckpt
 
 from .. import constants as C
 from ..functions.arrays import context_slices, matches_at
@@ -18,7 +19,7 @@ def context_ids_by_join(hits: DataFrame, corpus: DataFrame, context_len: int = C
     """Cut context id slices for hits that were produced without the sample at hand
     (e.g. repaired or user-supplied hits): join on the sample key."""
     # hits are materialized once (the size check reads them), then broadcast when small
-    hb, _ = checked_broadcast(hits.checkpoint(eager=True))
+    hb, _ = checked_broadcast(hits.transform(_ckpt))
     j = corpus.select("shard", "sample_index", "token_ids").join(hb, ["shard", "sample_index"])
     # Q13: use the offset if the sequence is there, else the one before; otherwise keep the
     # given offset and say so in ``offset_verified``

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from ..session import checkpoint as _ckpt
 
 from .. import constants as C
 from ..functions.arrays import slice0
@@ -22,7 +23,7 @@ def sample_lookup(corpus: DataFrame, keys: DataFrame) -> DataFrame:
     dynamic partition pruning on ``shard``. The key set is broadcast when its size check
     passes, so corpus rows are filtered where they are read instead of being shuffled."""
     # materialized once: the broadcast and the partition-pruning subquery both read it
-    k, _ = checked_broadcast(keys.select("shard", "sample_index").distinct().checkpoint(eager=True))
+    k, _ = checked_broadcast(keys.select("shard", "sample_index").distinct().transform(_ckpt))
     return corpus.join(k, ["shard", "sample_index"], "left_semi")
 
 

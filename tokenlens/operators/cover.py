@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ..session import checkpoint as _ckpt
 
 from ..plans.strategy import checked_broadcast
 
@@ -138,7 +139,7 @@ def tail_paths(targets: DataFrame, edges: DataFrame, merges: DataFrame | None =
                            "max_depth")
     if max_rounds is None:
         max_rounds = int(targets.agg(F.max("max_depth")).first()[0] or 1) - 1
-    frontier = empty.checkpoint(eager=True)
+    frontier = empty.transform(_ckpt)
     parts = [frontier]
     e = edges.alias("e")
     for _ in range(max(max_rounds, 0)):
@@ -152,7 +153,7 @@ def tail_paths(targets: DataFrame, edges: DataFrame, merges: DataFrame | None =
                                 F.concat(F.array(F.col("e.token")), F.col("f.toks")).alias("toks"),
                                 F.concat(F.array(F.col("e.token_bytes")), F.col("f.bts")).alias("bts"),
                                 F.col("e.token").alias("first_token"), F.col("f.max_depth").alias("max_depth")
-                                ).checkpoint(eager=True)
+                                ).transform(_ckpt)
         if frontier.isEmpty():
             break
         parts.append(frontier)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..session import checkpoint as _ckpt
 
 from ..functions.arrays import context_slices, matches_at
 from ..plans.strategy import checked_broadcast
@@ -57,7 +58,7 @@ def prepare_needles(sequences: DataFrame, token_stats: DataFrame | None) -> tupl
 
     The search input is small next to the corpus but is read several times (size check,
     broadcast); materializing it once keeps its derivation from running per use."""
-    needles = choose_anchors(sequences, token_stats).checkpoint(eager=True)
+    needles = choose_anchors(sequences, token_stats).transform(_ckpt)
     return needles, needles.count()
 
 
@@ -155,12 +156,12 @@ def repair_offsets(reported: DataFrame, corpus: DataFrame) -> DataFrame:
     t = F.col("token_ids")
     o = F.col("reported_offset")
     s = F.col("sequence")
-    rep = reported.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence").checkpoint(eager=True)
+    rep = reported.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence").transform(_ckpt)
     rb, _ = checked_broadcast(rep)
     j = corpus.select("shard", "sample_index", "token_ids").join(rb, ["shard", "sample_index"])
     quick = F.when(matches_at(t, o, s), o).when((o > 0) & matches_at(t, o - 1, s), o - 1)
     checked = j.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence",
-                       quick.cast("int").alias("token_offset")).checkpoint(eager=True)
+                       quick.cast("int").alias("token_offset")).transform(_ckpt)
     resolved = checked.where(F.col("token_offset").isNotNull())
     pending = checked.where(F.col("token_offset").isNull()).select(
         F.col("shard").alias("p_shard"), F.col("sample_index").alias("p_sample"), "reported_offset", "seq_ord",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..session import checkpoint as _ckpt
 
 from ..functions.pyregex import py_boundary_pattern, py_regex_search
 from ..functions.ranking import dense_ids
@@ -49,7 +50,7 @@ def bpe_minimal_covers(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, t
         return encode_texts(df, ["qid", "d"], "d", tok_json, tokens=True)
 
     out = canonical_minimal_covers(targets, tc.vocab, merges, "", True, encoder, rx)
-    return out.select("qid", "seq", "decoded", "toks").checkpoint(eager=True)
+    return out.select("qid", "seq", "decoded", "toks").transform(_ckpt)
 
 
 def bpe_minimal_covers_enumerated(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, tok_json: str,
@@ -66,11 +67,11 @@ def bpe_minimal_covers_enumerated(tc: TokenCorpus, merges: DataFrame, targets: D
         j = j.where(py_regex_search(F.col("decoded"), F.lit(regex)))
     j = j.where(cover.is_minimal(F.col("toks"), F.col("bts"), F.col("target"), "", True))
     keyed = j.select("qid", "seq", "decoded", "toks")
-    return roundtrip_ok(keyed, ["qid", "seq"], "decoded", "seq", tok_json).checkpoint(eager=True)
+    return roundtrip_ok(keyed, ["qid", "seq"], "decoded", "seq", tok_json).transform(_ckpt)
 
 
 def bpe_search_text(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, tok_json: str, context_len: int = 50) -> DataFrame:
-    targets = targets.checkpoint(eager=True)
+    targets = targets.transform(_ckpt)
     covers = bpe_minimal_covers(tc, merges, targets, tok_json)
     distinct = covers.select(F.array_join(F.col("seq"), ",").alias("k"), "seq").distinct()
     ided = dense_ids(distinct, "k", "sid").select(F.col("sid").cast("long").alias("seq_ord"), "seq", "k")

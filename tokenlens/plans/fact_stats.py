@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from ..session import checkpoint as _ckpt
 
 from .. import constants as C
 from ..operators import facts as fact_ops
@@ -70,7 +71,7 @@ def completion_stats(checked: DataFrame, steps: DataFrame, scorer, vocab: DataFr
 def run_fact_grid(spark: SparkSession, facts: DataFrame, scorer, vocab: DataFrame, tok_json: str, out_path: str,
                   variant: str = C.FACT_VARIANT) -> tuple[DataFrame, DataFrame]:
     """Compute and write the steps that have no result yet; return (all results, quarantine)."""
-    checked = check_boundaries(tokenize_facts(facts, tok_json)).checkpoint(eager=True)
+    checked = check_boundaries(tokenize_facts(facts, tok_json)).transform(_ckpt)
     grid_steps = spark.range(1).select(F.explode(fact_ops.steps_column()).alias("step"))
     done = fact_ops.read_step_results(spark, out_path, STATS_SCHEMA) if path_exists(spark, out_path) else None
     todo = fact_ops.remaining_steps(grid_steps, done)

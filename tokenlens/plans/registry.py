@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from ..session import checkpoint as _ckpt
 
 from ..operators import find as find_ops
 from ..sources.tables import read_table
@@ -550,7 +551,7 @@ from . import search as srch  # noqa: E402
 
 def _targets(spark, sf_dir):
     tc = word_corpus(spark, sf_dir)
-    t = srch.word_targets(srch.passage_targets(read_table(spark, sf_dir, "benchmark"))).checkpoint(eager=True)
+    t = srch.word_targets(srch.passage_targets(read_table(spark, sf_dir, "benchmark"))).transform(_ckpt)
     return tc, t
 
 
@@ -668,7 +669,7 @@ from . import bpe_search as bpe  # noqa: E402
 def _bpe_targets(spark, sf_dir):
     tc, merges, tj = bpe_corpus(spark, sf_dir)
     q = srch.passage_targets(read_table(spark, sf_dir, "benchmark"), lengths=(2,))
-    return tc, merges, tj, bpe.bpe_targets(q, tj).checkpoint(eager=True)
+    return tc, merges, tj, bpe.bpe_targets(q, tj).transform(_ckpt)
 
 
 @register("load_vocab")

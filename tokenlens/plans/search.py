@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..session import checkpoint as _ckpt
 
 from ..functions.ranking import dense_ids
 from ..functions.pyregex import py_boundary_pattern, py_regex_search
@@ -84,7 +85,7 @@ def minimal_covers(tc: TokenCorpus, targets: DataFrame, regex: str | None = None
     sfx = affix_table(tc, "suffix")
     out = canonical_minimal_covers(targets, tc.vocab, merges, tc.joiner, False, word_encoder(tc.vocab, tc.joiner), rx, sfx)
     cols = ["qid", "seq", "toks", "decoded"] if with_text else ["qid", "seq"]
-    return out.select(*cols).checkpoint(eager=True)
+    return out.select(*cols).transform(_ckpt)
 
 
 def minimal_covers_enumerated(tc: TokenCorpus, targets: DataFrame, regex: str | None = None, literal: bool = False,
@@ -105,7 +106,7 @@ def minimal_covers_enumerated(tc: TokenCorpus, targets: DataFrame, regex: str |
         passed = j.where(py_regex_search(F.col("decoded"), py_boundary_pattern(F.col("target"))))
     mini = passed.where(cover.is_minimal(F.col("toks"), F.col("bts"), F.col("target"), tc.joiner, False))
     cols = ["qid", "seq", "toks", "decoded"] if with_text else ["qid", "seq"]
-    return mini.select(*cols).checkpoint(eager=True)
+    return mini.select(*cols).transform(_ckpt)
 
 
 def affix_table(tc: TokenCorpus, kind: str) -> DataFrame:
@@ -120,7 +121,7 @@ def search_text(tc: TokenCorpus, targets: DataFrame, context_len: int = 50, rege
                 literal: bool = False, merges: DataFrame | None = None) -> DataFrame:
     """Hits of every query: ``qid, shard, sample_index, token_offset, sequence, context_ok,
     before, match, after`` (context null where the regex fails; ``context_len = 0`` skips it)."""
-    targets = targets.checkpoint(eager=True)
+    targets = targets.transform(_ckpt)
     covers = minimal_covers(tc, targets, regex, literal, merges)
     # Each distinct sequence is searched once, whatever number of queries produced it.
     distinct = covers.select(F.array_join(F.col("seq"), ",").alias("k"), "seq").distinct()

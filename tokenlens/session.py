@@ -116,3 +116,10 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None,
     if schema is not None:
         reader = reader.schema(schema)
     return reader.parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable, eager checkpoint into the shared folder (set first if the session names none):
+    cuts lineage so a lost executor re-reads the checkpoint instead of recomputing the plan."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
