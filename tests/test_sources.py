@@ -83,3 +83,19 @@ def test_hit_steps(spark):
     assert rows[0].train_step == 0 and rows[0].first_checkpoint == 1000 and not rows[0].already_seen
     assert rows[94].train_step == 94_999 and rows[94].first_checkpoint == 95_000
     assert rows[95].already_seen
+
+
+def test_separated_stream_blocks_match_single_window(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(s, i, [1] * rnd.randint(0, 9)) for s in range(2) for i in range(23)]
+    c = corpus_df(spark, rows)
+    small = {(r.shard, r.sample_index): r.byte_offset for r in corpus_ops.separated_stream(c, block=4).collect()}
+    big = {(r.shard, r.sample_index): r.byte_offset for r in corpus_ops.separated_stream(c, block=1000).collect()}
+    want = {}
+    for s in range(2):
+        acc = 0
+        for i in range(23):
+            want[(s, i)] = acc
+            acc += 2 * (len(rows[s * 23 + i][2]) + 1)
+    assert small == big == want

@@ -33,20 +33,32 @@ def position_slice(corpus: DataFrame, start: int, end: int) -> DataFrame:
                          slice0(F.col("token_ids"), F.lit(start), F.lit(end - start)).alias("tokens"))
 
 
-def separated_stream(corpus: DataFrame, fixed_length: int | None = None) -> DataFrame:
+OFFSET_BLOCK = 65536   # samples per block of the two-level prefix sum
+
+
+def separated_stream(corpus: DataFrame, fixed_length: int | None = None, block: int = OFFSET_BLOCK) -> DataFrame:
     """K2: each sample prefixed with the separator id, and its byte offset inside its shard's
     stream (2 bytes per token).
 
     Fixed-length corpora use the closed form ``sample_index * 2 * (L + 1)``: no shuffle at all.
-    Variable-length corpora compute a running sum over a narrow ``(shard, sample_index, size)``
-    projection -- 12 bytes per sample, so a shard-wide window stays small -- and join it back."""
+    Variable-length corpora use a two-level prefix sum on a narrow ``(shard, sample_index,
+    bytes)`` projection, so no group grows with the shard: samples fall into blocks of
+    ``block`` indexes; block totals are summed per shard (one row per block), running sums run
+    inside a block (at most ``block`` rows), and offset = earlier blocks + earlier samples in the
+    block. The offsets are joined back on the sample key."""
     tokens = F.concat(F.array(F.lit(C.SEPARATOR_ID)), F.col("token_ids")).alias("tokens")
     if fixed_length is not None:
         off = F.col("sample_index").cast("long") * (C.TOKEN_BYTES * (fixed_length + 1))
         return corpus.select("shard", "sample_index", tokens, off.alias("byte_offset"))
-    sizes = corpus.select("shard", "sample_index", ((F.size("token_ids") + 1) * C.TOKEN_BYTES).cast("long").alias("b"))
-    w = Window.partitionBy("shard").orderBy("sample_index").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "sample_index", F.coalesce(F.sum("b").over(w), F.lit(0)).cast("long").alias("byte_offset"))
+    sizes = corpus.select("shard", "sample_index", F.floor(F.col("sample_index") / block).alias("blk"),
+                          ((F.size("token_ids") + 1) * C.TOKEN_BYTES).cast("long").alias("b"))
+    totals = sizes.groupBy("shard", "blk").agg(F.sum("b").alias("t"))
+    wb = Window.partitionBy("shard").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    block_base = totals.select("shard", "blk", F.coalesce(F.sum("t").over(wb), F.lit(0)).alias("base"))
+    wi = Window.partitionBy("shard", "blk").orderBy("sample_index").rowsBetween(Window.unboundedPreceding, -1)
+    inner = sizes.select("shard", "sample_index", "blk", F.coalesce(F.sum("b").over(wi), F.lit(0)).alias("inner"))
+    offsets = inner.join(block_base, ["shard", "blk"]).select(
+        "shard", "sample_index", (F.col("base") + F.col("inner")).cast("long").alias("byte_offset"))
     return corpus.select("shard", "sample_index", tokens).join(offsets, ["shard", "sample_index"])
 
 

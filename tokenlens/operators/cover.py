@@ -75,7 +75,11 @@ def single_token_cover(targets: DataFrame, vocab: DataFrame, sfx: DataFrame | No
     distinct target lengths is bounded by the longest target, so it is read to the driver and
     becomes a literal array."""
     sfx = (suffix_index(vocab) if sfx is None else sfx).select("affix", "token_id")
-    lengths = sorted(r[0] for r in targets.select(F.length("surface").alias("L")).where(F.col("L") > 0).distinct().collect())
+    # a token cannot contain a longer string: only lengths up to the longest token matter, so
+    # the list read to the driver is bounded by the vocabulary, not by the queries
+    longest = int(vocab.agg(F.max(F.length("token"))).first()[0] or 0)
+    lengths = sorted(r[0] for r in targets.select(F.length("surface").alias("L"))
+                     .where((F.col("L") > 0) & (F.col("L") <= longest)).distinct().collect())
     if not lengths:
         return targets.sparkSession.createDataFrame([], "qid long, seq array<int>, toks array<string>, bts array<binary>")
     lens = F.array(*[F.lit(x) for x in lengths])
