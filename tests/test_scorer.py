@@ -42,3 +42,20 @@ def test_sparse_and_dense_scorers_agree(spark):
     # step 3000 has seen shards 0-2: P(3 | 1) = (1 + 1) / (5 + 4)
     assert abs(a[(3000, 1)].total_surprisal - (math.log(9) - math.log1p(1))) < 1e-9
     assert a[(3000, 1)].tokens == ["t3"]
+
+
+def test_fact_grid_quarantine_and_resume(spark, tmpdir_path):
+    from conftest import SF001
+    from tokenlens.sources.bpecorpus import bpe_corpus
+    tc, _, tj = bpe_corpus(spark, SF001)
+    facts = spark.createDataFrame([(0, "The capital of France is", " Paris"), (1, "", "Paris"), (2, "Hello wor", "ld")],
+                                  "fact_id int, prefix string, suffix string")
+    out = tmpdir_path + "/facts"
+    res, bad = fs.run_fact_grid(spark, facts, bigram_scorer(tc.corpus, 2000), tc.vocab, tj, out)
+    reasons = {r.fact_id: r.reason for r in bad.collect()}
+    assert reasons[1].startswith("suffix starts at token 0")
+    assert 0 not in reasons
+    rows = res.where("fact_id = 0").collect()
+    assert len(rows) == 56 and all(r.tokens and r.perplexity > 1 for r in rows)
+    again, _ = fs.run_fact_grid(spark, facts, bigram_scorer(tc.corpus, 2000), tc.vocab, tj, out)
+    assert again.count() == res.count()
