@@ -41,7 +41,7 @@ def candidate_texts(targets: DataFrame, vocab: DataFrame, joiner: str, byte_leve
         d = F.when(F.col("next") >= F.length("surface"), F.col("token")).otherwise(
             F.concat(F.col("token"), F.lit(joiner), rest))
     multi = f.select("qid", d.alias("d"))
-    single = single_token_cover(targets, vocab, sfx).select(
+    single = single_token_cover(targets, vocab, sfx, joiner).select(
         "qid", decoded_text(F.col("toks"), F.col("bts"), joiner, byte_level).alias("d"))
     return multi.unionByName(single).distinct()
 

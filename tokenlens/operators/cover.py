@@ -69,12 +69,21 @@ def _next_start(surface: Column, end: Column, joiner: str) -> Column:
     return F.when(end == F.length(surface), end).otherwise(end + F.lit(len(joiner)))
 
 
-def single_token_cover(targets: DataFrame, vocab: DataFrame, sfx: DataFrame | None = None) -> DataFrame:
+def joiner_free(vocab: DataFrame, joiner: str) -> bool:
+    """True when no token contains the joiner (one short job; word vocabularies split on it)."""
+    return bool(joiner) and vocab.where(F.instr("token", joiner) > 0).limit(1).count() == 0
+
+
+def single_token_cover(targets: DataFrame, vocab: DataFrame, sfx: DataFrame | None = None,
+                       joiner: str = "") -> DataFrame:
     """P7 (k = 1): tokens whose surface contains S. An equi-join, not a nested loop: every
     suffix of a token is cut to each target length in use and matched against S. The set of
     distinct target lengths is bounded by the longest target, so it is read to the driver and
     becomes a literal array."""
     sfx = (suffix_index(vocab) if sfx is None else sfx).select("affix", "token_id")
+    if joiner_free(vocab, joiner):
+        # no token contains the joiner, so no token contains a query that does
+        targets = targets.where(F.instr("surface", joiner) == 0)
     # a token cannot contain a longer string: only lengths up to the longest token matter, so
     # the list read to the driver is bounded by the vocabulary, not by the queries
     longest = int(vocab.agg(F.max(F.length("token"))).first()[0] or 0)
@@ -207,7 +216,7 @@ def tails_for(targets: DataFrame, vocab: DataFrame, merges: DataFrame | None, jo
               max_token_len: int | None = None) -> DataFrame:
     """Tail paths: direct for a joiner vocabulary without merges whose tokens never contain the
     joiner (checked with one short job), the bounded join loop otherwise."""
-    if joiner and merges is None and vocab.where(F.instr("token", joiner) > 0).limit(1).count() == 0:
+    if merges is None and joiner_free(vocab, joiner):
         return joiner_tails(targets, vocab, joiner)
     if max_token_len is None:
         max_token_len = int(vocab.agg(F.max(F.length("token"))).first()[0] or 1)
@@ -232,7 +241,7 @@ def cover_candidates(targets: DataFrame, vocab: DataFrame, merges: DataFrame | N
     tails = tails_for(targets, vocab, merges, joiner, max_token_len)
     firsts = first_token_candidates(targets, vocab, joiner, sfx)
     multi = multi_token_candidates(firsts, tails, merges)
-    single = single_token_cover(targets, vocab, sfx)
+    single = single_token_cover(targets, vocab, sfx, joiner)
     # Distinct without an aggregation: first tokens are distinct per (query, split), tails are
     # distinct paths and fix the split, so multi-token candidates never repeat; a one-token
     # "multi" candidate (empty tail) ends with S and so is already a k = 1 candidate.

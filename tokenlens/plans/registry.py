@@ -580,7 +580,7 @@ def default_regex(spark, sf_dir):
 def single_token_cover(spark, sf_dir):
     """Single tokens containing the query."""
     tc, t = _targets(spark, sf_dir)
-    return cov.single_token_cover(t, tc.vocab, srch.affix_table(tc, "suffix")).select("qid", "seq")
+    return cov.single_token_cover(t, tc.vocab, srch.affix_table(tc, "suffix"), tc.joiner).select("qid", "seq")
 
 
 @register("first_token_candidates", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="SELECT qid, i, token_id FROM firsts"))
