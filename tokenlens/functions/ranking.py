@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
 from ..session import checkpoint as _ckpt
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = (partition id << 33) + row number in partition

@@ -22,9 +22,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from ..session import checkpoint as _ckpt
 
 from ..plans.strategy import checked_broadcast
+from ..session import checkpoint as _ckpt
 
 
 def _seq_len(c):
@@ -144,8 +144,10 @@ def _not_merged(left_tok: Column, right_tok: Column, merges: DataFrame | None, d
 
 def tail_paths(targets: DataFrame, edges: DataFrame, merges: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """J2 + J3: every token path from a start position to the end of S, at most
-    ``max_depth - 1`` tokens, no merge pair inside. ``(qid, start, depth, seq, first_token)``."""
-    spark = targets.sparkSession
+    ``max_depth - 1`` tokens, no merge pair inside. ``(qid, start, depth, seq, first_token)``.
+
+    One equi-join per round (bounded by the largest ``max_depth``); each round's frontier is
+    checkpointed into the shared folder, so lineage never grows with the number of rounds."""
     empty = targets.select("qid", F.length("surface").alias("start"), F.lit(0).alias("depth"),
                            F.array().cast("array<int>").alias("seq"), F.array().cast("array<string>").alias("toks"),
                            F.array().cast("array<binary>").alias("bts"), F.lit(None).cast("string").alias("first_token"),
@@ -173,7 +175,6 @@ def tail_paths(targets: DataFrame, edges: DataFrame, merges: DataFrame | None =
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    del spark
     return out.drop("max_depth")
 
 
