@@ -99,3 +99,17 @@ def test_separated_stream_blocks_match_single_window(spark):
             want[(s, i)] = acc
             acc += 2 * (len(rows[s * 23 + i][2]) + 1)
     assert small == big == want
+
+
+def test_ingest_shards_without_shuffle(spark, tmpdir_path):
+    from tokenlens.sources.corpus import ingest_token_shards
+    raw = os.path.join(tmpdir_path, "raw")
+    os.makedirs(raw)
+    for name, shard in {"train-003000.parquet": 2, "train-004000.parquet": 3}.items():
+        _write_shard(os.path.join(raw, name), [[shard, i, 50000] for i in range(5)])
+    from tokenlens.sources.corpus import read_token_shards
+    plan = read_token_shards(spark, raw).sortWithinPartitions("shard", "sample_index")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    out = ingest_token_shards(spark, raw, os.path.join(tmpdir_path, "corpus"))
+    got = sorted((r.shard, r.sample_index, tuple(r.token_ids)) for r in out.collect())
+    assert got == sorted((s, i, (s, i, 50000)) for s in (2, 3) for i in range(5))

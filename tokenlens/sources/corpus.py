@@ -72,6 +72,18 @@ def write_corpus(df: DataFrame, path: str, num_partitions: int | None = None, ma
     )
 
 
+def ingest_token_shards(spark: SparkSession, raw_dir: str, out_path: str, max_records_per_file: int = 200_000) -> DataFrame:
+    """S1 -> K1 without a shuffle: every raw file holds one shard with its samples in order, so
+    each read task writes its own rows into its shard's folder after a local sort; no corpus-wide
+    exchange (a range repartition would move the whole corpus once more). Only the shards present
+    in ``raw_dir`` are replaced (dynamic partition overwrite)."""
+    df = read_token_shards(spark, raw_dir)
+    (df.sortWithinPartitions("shard", "sample_index").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", max_records_per_file)
+     .partitionBy("shard").parquet(out_path))
+    return read_corpus(spark, out_path)
+
+
 def contract_report(corpus: DataFrame, seq_length: int | None = None, samples_per_shard: int | None = None) -> DataFrame:
     """Shape/dtype contract (S3) as one row per shard: sample count, length violations, ids out
     of the uint16 range, and whether sample indexes are dense. Partial aggregation runs map-side."""
