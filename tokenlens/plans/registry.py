@@ -813,3 +813,14 @@ def is_subsequence(spark, sf_dir):
                                            F.col("chunk").alias("lc"))
     j = short.join(long_, ["item", "lc"])
     return j.select("short_ord", "long_ord", _is_subsequence(F.col("short_seq"), F.col("long_seq")).alias("is_sub"))
+
+
+@register("find_sequences_indexed", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body=
+    "SELECT shard, sample_index, token_offset, seq_ord, sequence FROM hits"))
+def find_sequences_indexed(spark, sf_dir):
+    """J5 strategy 2: the same batch search through the positional postings (anchor positions
+    from the index, verified against the samples) -- equal to ``find_sequences``."""
+    tc, needles = _search_input(spark, sf_dir)
+    post = post_ops.build_postings(tc.corpus, f"{tc.root}/postings")
+    hits = find_ops.find_sequences(tc.corpus, needles, tc.token_stats, postings=post, strategy="postings")
+    return find_ops.dedup_hits(hits).select(*HIT_COLS)
