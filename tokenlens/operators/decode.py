@@ -44,9 +44,11 @@ def decode_arrays(df: DataFrame, keys: list[str], arrays: list[str], vocab: Data
         *keys, "_c", F.col("P.part").alias("part"), F.posexplode_outer("P.ids").alias("pos", "token_id"))
     lead = (F.col("part") == 0) & (F.col("pos").isNull() | (F.col("pos") == 0))
     ex = ex.select(*keys, F.when(lead, F.col("_c")).alias("_c"), "part", "pos", "token_id")
-    j = ex.join(v, "token_id", "left")
+    # only the field the decode needs travels through the aggregation
+    j = ex.join(v.select("token_id", "token_bytes" if byte_level else "token"), "token_id", "left")
+    field = "token_bytes" if byte_level else "token"
     g = j.groupBy(*keys).agg(F.first("_c", ignorenulls=True).alias("_c"),
-                             F.array_sort(F.collect_list(F.struct("part", "pos", "token", "token_bytes"))).alias("_toks"))
+                             F.array_sort(F.collect_list(F.struct("part", "pos", field))).alias("_toks"))
     texts = [_text_of(F.col("_toks"), i, joiner, byte_level).alias(c + suffix) for i, c in enumerate(arrays)]
     return g.select(*keys, *[F.col(f"_c.{c}").alias(c) for c in carry], *texts)
 
