@@ -350,7 +350,7 @@ def hit_totals(spark, sf_dir):
 
 
 @register("stack_headroom", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, SLOTS, body="""
-SELECT CAST(coalesce(max(h), 0) AS BIGINT) AS max_height, CAST(coalesce(max(h), 0) * 1.15 AS DOUBLE) AS y_limit
+SELECT CAST(coalesce(max(h), 0) AS BIGINT) AS max_height, CAST(coalesce(max(h), 0) AS DOUBLE) * CAST(1.15 AS DOUBLE) AS y_limit
 FROM (SELECT shard, sum(n_hits) AS h FROM stacked GROUP BY shard)"""))
 def stack_headroom(spark, sf_dir):
     """A4: tallest stack and axis limit with 15% headroom."""
