@@ -47,6 +47,18 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def keep_rows(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """The rows of ``docs`` whose id (see :func:`id_of`) is in ``ids.doc_id``; with ``repeated``
+    ids, one row of each. No column is added, so ``docs`` may have any other columns."""
+    wanted = F.coalesce(F.col("d.doc_id").cast("bigint"), F.lit(LAST_ID)) == F.col("k.doc_id")
+    kept = docs.alias("d").join(ids.alias("k"), wanted, "left_semi").select("d.*")
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def has_repeats(ids: DataFrame) -> bool:
+    return bool(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+
+
 class Scratch:
     """Tables of one run in the shared folder. Writing one cuts the lineage: a lost executor's
     work is read again from there. ``drop`` removes tables that nothing reads any more."""

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, Scratch, attach, documents, id_of, original_id, text_of
+from .common import WS_CLASS, Scratch, attach, documents, has_repeats, id_of, keep_rows, original_id, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -101,11 +101,8 @@ def deduplicate(docs: DataFrame, capacity: int = 512, max_depth: int = 16, key=t
 
 def keep_first(docs: DataFrame, capacity: int = 512, max_depth: int = 16, key=text_key) -> DataFrame:
     """The rows of ``docs`` that stay, one per different text, with all their columns."""
-    scratch = Scratch(docs.sparkSession, "exact-dedup")
-    _, index = build_index(docs, scratch, capacity, max_depth, key)
-    ids = index.select(F.col("keep_id").alias("_keep_id")).distinct()
-    return (docs.withColumn("_id", id_of()).join(ids, F.col("_id") == F.col("_keep_id"), "left_semi")
-            .dropDuplicates(["_id"]).drop("_id"))
+    entries, index = build_index(docs, Scratch(docs.sparkSession, "exact-dedup"), capacity, max_depth, key)
+    return keep_rows(docs, index.select(F.col("keep_id").alias("doc_id")), has_repeats(entries))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, documents, id_of, original_id
+from .common import Scratch, attach, documents, has_repeats, id_of, keep_rows, original_id
 from .components import connected_components
 from .textgrams import blocks, mixed, shingle_sets
 
@@ -240,5 +240,5 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, with all their columns."""
-    ids = jaccard_components(docs, width).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.withColumn("_id", id_of()).join(ids, F.col("_id") == F.col("_kept"), "left_semi").drop("_id")
+    found = Scratch(docs.sparkSession, "jaccard-kept").write(jaccard_components(docs, width), "found")
+    return keep_rows(docs, found.where("doc_id = component_id").select("doc_id"), has_repeats(found))
