@@ -9,7 +9,9 @@ the build) and lets many queries share one build, as a prebuilt index would.
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,24 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, wherever they run: once per application
+    its source goes to all executors as a zip file."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tokenlens_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tokenlens-ship-"), "tokenlens.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if not name.endswith(".pyc"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._tokenlens_shipped = True
+
+
 def apply_runtime_conf(spark: SparkSession) -> None:
     for k, v in RUNTIME_CONF.items():
         spark.conf.set(k, v)
