@@ -1,11 +1,12 @@
 """Training-data operators. QUERIES and ORACLE hold one query per operator and its DuckDB SQL."""
 
-from . import chat_format, exact_dedup, jaccard_join, line_dedup, line_frequency, mixing, packing, toxicity, warc
+from . import chat_format, exact_dedup, jaccard_join, line_dedup, line_frequency, mixing, packing, repeats, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_ngram_jaccard": jaccard_join.op3_ngram_jaccard,
+    "op4_repeated_strings": repeats.op4_repeated_strings,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_warc_derivatives": warc.op6_warc_derivatives,
     "op7_best_fit_packing": packing.op7_best_fit_packing,

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, ship_package
 from ..sources.tables import read_table
 
 #: The white space of every contract here: space and \t \n \v \f \r.
@@ -64,6 +64,7 @@ class Scratch:
     work is read again from there. ``drop`` removes tables that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/tokenlens/llm/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
