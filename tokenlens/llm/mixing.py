@@ -4,8 +4,9 @@ Token counts are summed by cell (source, language, topic), where values without
 own count as ``*``: the number of cells follows the targets, not the corpus. Raking scales the cells
 until every margin meets its targets, never beyond what a cell holds; the ratio of raked to present
 tokens is the probability with which a cell's documents are drawn. The draw is a hash of the id, so
-it repeats exactly and needs no state. With ``total_share`` unset the mixture is as large as the
-margins allow.
+it repeats exactly and needs no state. The mixture takes ``total_share`` of all tokens; a value that
+holds fewer than its target is taken whole, and what it lacks goes to the others of its margin. No
+cell's probability is under ``LEAST``, so margins that contradict each other don't empty a cell.
 
 The share of ``*`` is the observed one, targets of listed values share the rest, and values that
 hold no tokens pass their target to the others. Without a topic column, a text's topic is the
@@ -32,6 +33,7 @@ from .common import documents
 from .textgrams import blocks, mixed, word_hashes, words
 
 FAMILIES, LONG_WORD = 8, 5
+TOTAL_SHARE, LEAST = 0.7, 0.1
 REST = "*"
 
 
@@ -94,37 +96,43 @@ def shares(margin: dict[str, float], held: np.ndarray) -> np.ndarray:
     return out
 
 
-def rake(held: np.ndarray, targets: Targets, total_share: float | None = None, sweeps: int = 500, tolerance: float = 1e-6) -> np.ndarray:
-    """Tokens of each cell in the mixture: margins at their targets, no cell above what it holds."""
-    goals = []
-    for axis, margin in enumerate(targets):
-        others = tuple(i for i in range(held.ndim) if i != axis)
-        goals.append(shares(margin, held.sum(others)))
+def fillable(share: np.ndarray, held: np.ndarray, total: float) -> np.ndarray:
+    """Tokens by value for ``total`` in all: its share, or all that it holds where that is less."""
+    goal, whole = share * total, np.zeros(len(share), bool)
+    while (over := ~whole & (goal > held)).any():
+        whole |= over
+        rest = share[~whole].sum()
+        goal = np.where(whole, held, share / rest * (total - held[whole].sum()) if rest else 0.0)
+    return goal
+
+
+def rake(held: np.ndarray, targets: Targets, total_share: float = TOTAL_SHARE, sweeps: int = 500, tolerance: float = 1e-6) -> np.ndarray:
+    """Tokens of each cell in the mixture: margins at their targets, no cell above what it holds
+    or below LEAST of it."""
     present = held.sum()
     if not present:
         return held
-    if total_share is None:  # the largest mixture whose margins the corpus can fill
-        total_share = 1.0
-        for axis, goal in enumerate(goals):
-            has = held.sum(tuple(i for i in range(held.ndim) if i != axis)) / present
-            total_share = min([total_share, *(has[goal > 0] / goal[goal > 0])])
+    goals = []
+    for axis, margin in enumerate(targets):
+        now = held.sum(tuple(i for i in range(held.ndim) if i != axis))
+        goals.append(fillable(shares(margin, now), now, total_share * present))
     got = held * total_share
     for _ in range(sweeps):
         worst = 0.0
         for axis, goal in enumerate(goals):
             others = tuple(i for i in range(held.ndim) if i != axis)
             now = got.sum(others)
-            factor = np.divide(goal * total_share * present, now, out=np.ones_like(now), where=now > 0)
+            factor = np.divide(goal, now, out=np.ones_like(now), where=now > 0)
             worst = max(worst, float(np.abs(factor[now > 0] - 1).max(initial=0.0)))
             shape = [1] * held.ndim
             shape[axis] = -1
-            got = np.minimum(got * factor.reshape(shape), held)
+            got = np.clip(got * factor.reshape(shape), LEAST * held, held)
         if worst < tolerance:
             break
     return got
 
 
-def probabilities(docs: DataFrame, targets: Targets, names: list[str], total_share: float | None) -> np.ndarray:
+def probabilities(docs: DataFrame, targets: Targets, names: list[str], total_share: float) -> np.ndarray:
     """The probability of each cell, from one scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +154,7 @@ def probabilities(docs: DataFrame, targets: Targets, names: list[str], total_sha
     return np.divide(got, held, out=np.full(len(held), overall), where=held > 0)
 
 
-def weigh(docs: DataFrame, targets: Targets = PRODUCTION, total_share: float | None = None, seed: int = 1,
+def weigh(docs: DataFrame, targets: Targets = PRODUCTION, total_share: float = TOTAL_SHARE, seed: int = 1,
           names: tuple[str, ...] = ("doc_id", "text", "source", "lang")) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability and sampled of every row of ``docs``."""
     names = list(names)
@@ -167,7 +175,7 @@ def weigh(docs: DataFrame, targets: Targets = PRODUCTION, total_share: float | N
         run, "doc_id long, source string, lang string, topic string, n_tokens long, probability double, sampled boolean")
 
 
-def sample(docs: DataFrame, targets: Targets = PRODUCTION, total_share: float | None = None, seed: int = 1,
+def sample(docs: DataFrame, targets: Targets = PRODUCTION, total_share: float = TOTAL_SHARE, seed: int = 1,
            names: tuple[str, ...] = ("doc_id", "text", "source", "lang")) -> DataFrame:
     """The rows of ``docs`` that are drawn, with all their columns."""
     names = list(names)

@@ -77,7 +77,8 @@ class WordEncoder:
         if w := self._ascii.fullmatch(part):
             return w[1].lower(), w[2]
         word, mark = (part[:-1], part[-1:]) if part[-1:] in (b".", b",") else (part, b"")
-        return (word, mark) if word.decode("utf-8", "replace").isalpha() and not word.isascii() else None
+        # letters in lower case too: one letter's lower case has a combining mark, which joins the full stop
+        return (word, mark) if not word.isascii() and word.decode("utf-8", "replace").lower().isalpha() else None
 
     def learn(self, parts: set[bytes]) -> None:
         """Makes ``now`` hold all of ``parts``."""

@@ -11,7 +11,8 @@ with logistic loss: where the corrected negative risk of a batch falls below zer
 followed upwards instead, so the model can't fit the unlabelled texts as all negative.
 
 The training sample is bounded: ``max_positives`` and ``max_unlabelled`` labelled rows, the first in
-hash order. ``n_models`` shards of it train one model each in parallel tasks; logits are averaged.
+hash order. ``n_models`` tasks train one model each, leaving out a different part of the sample;
+logits are averaged.
 Scoring is one scan without a shuffle; a task holds one block of texts at a time.
 
 Only rows of the training folds (crc32 of the id as text, modulo 3, other than 1) give labels, and
@@ -128,15 +129,16 @@ def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epoch
 
 
 def best_cut(pos: np.ndarray, unl: np.ndarray, prior: float) -> float:
-    """The middle of the cuts with the least non-negative zero-one risk, estimated like the loss:
+    """The middle of the widest gap with the least non-negative zero-one risk, estimated like the loss:
     missed positives plus what the unlabelled texts above the cut hold beyond the positives."""
     cuts = np.unique(np.concatenate([pos, unl]))
     missed = np.searchsorted(np.sort(pos), cuts, "right") / len(pos)
     above = 1 - np.searchsorted(np.sort(unl), cuts, "right") / len(unl)
     risk = prior * missed + np.maximum(0, above - prior * (1 - missed))
     best = np.flatnonzero(risk <= risk.min() + 1e-12)
-    last = best[-1]
-    return float((cuts[best[0]] + cuts[min(last + 1, len(cuts) - 1)]) / 2)
+    gap = np.append(np.diff(cuts), 2.0)  # above the largest score nothing is toxic
+    widest = best[gap[best].argmax()]
+    return float(cuts[widest] + gap[widest] / 2)
 
 
 def log_odds(p: float) -> float:
@@ -144,7 +146,7 @@ def log_odds(p: float) -> float:
 
 
 class Model:
-    """Average of the shards' linear models."""
+    """Average of the linear models."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), bias
@@ -191,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = 4000, max_unl
         w, bias = train_nnpu(pos, unl, prior)
         return pd.DataFrame({"weights": [w.astype(np.float32).tobytes()], "bias": [bias]})
 
-    shards = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(n_models)))
+    own = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(n_models))
+    others = F.filter(F.sequence(F.lit(0), F.lit(n_models - 1)), lambda k: (k != own) | (F.lit(n_models) == 1))
+    shards = found.withColumn("shard", F.explode(others))
     models = shards.groupBy("shard").applyInPandas(fit, "weights binary, bias double").collect()  # n_models rows
     if not models:
         return Model(np.zeros(1 << BITS), log_odds(prior))
