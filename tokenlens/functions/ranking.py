@@ -15,8 +15,9 @@ from ..session import checkpoint as _ckpt
 _LOCAL_BITS = 33  # monotonically_increasing_id = (partition id << 33) + row number in partition
 
 
-def dense_ids(values: DataFrame, key: str, id_col: str, num_partitions: int | None = None) -> DataFrame:
-    """Number the distinct values of ``key`` 0..n-1 in ascending (binary) order.
+def dense_ids(values: DataFrame, key: str, id_col: str, num_partitions: int | None = None, id_type: str = "bigint") -> DataFrame:
+    """Number the distinct values of ``key`` (a struct orders by its fields) 0..n-1 in ascending (binary)
+    order. ``id_type="int"`` is for keys with a proven bound, such as a vocabulary.
 
     ``values`` must already be distinct on ``key``. The tagged table is checkpointed into the
     shared checkpoint folder, so the two uses below read the same numbering and a lost executor
@@ -36,6 +37,6 @@ def dense_ids(values: DataFrame, key: str, id_col: str, num_partitions: int | No
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS)
     return (
         tagged.join(F.broadcast(offsets), "_pid")
-        .withColumn(id_col, (F.col("_off") + local).cast("int"))
+        .withColumn(id_col, (F.col("_off") + local).cast(id_type))
         .drop("_pid", "_mid", "_off")
     )

@@ -108,6 +108,12 @@ def find_sequences(corpus: DataFrame, sequences: DataFrame, token_stats: DataFra
     one corpus pass), ``postings`` (index join), or ``auto`` (scan when the needle table passes the
     broadcast check, else postings)."""
     needles, n_needles = prepare_needles(sequences, token_stats)
+    return search_prepared(corpus, needles, n_needles, postings, strategy, context_len)
+
+
+def search_prepared(corpus: DataFrame, needles: DataFrame, n_needles: int, postings: DataFrame | None = None,
+                    strategy: str = "auto", context_len: int = 0) -> DataFrame:
+    """The search for needles that :func:`prepare_needles` made, by either strategy."""
     if strategy == "auto":
         _, small = checked_broadcast(needles, known_rows=n_needles)
         strategy = "scan" if small else "postings"
@@ -125,7 +131,7 @@ def dedup_hits(hits: DataFrame) -> DataFrame:
     Implemented as an aggregation rather than ``row_number``: all hits of one location come from
     the same sample and so from the same scan task, where partial aggregation already collapses
     them; only one row per location crosses the shuffle."""
-    rest = [c for c in hits.columns if c not in LOCATION]
+    rest = ["seq_ord", *[c for c in hits.columns if c not in (*LOCATION, "seq_ord")]]   # compared in this order
     picked = hits.groupBy(*LOCATION).agg(F.min(F.struct(*rest)).alias("_w"))
     return picked.select(*LOCATION, *[F.col(f"_w.{c}").alias(c) for c in rest])
 

@@ -27,13 +27,15 @@ def shard_histogram(hits: DataFrame, n_shards: int) -> DataFrame:
         "shard", F.coalesce("n", F.lit(0)).cast("long").alias("n_hits"))
 
 
-def stacked_histogram(labelled: DataFrame, n_shards: int) -> DataFrame:
+def stacked_histogram(labelled: DataFrame, n_shards: int, labels: DataFrame | None = None) -> DataFrame:
     """A2 + W2 + U3: hits per (label, shard) for every label and shard slot, with the stack base:
     the sum of earlier labels' counts in that shard (``label_ord`` gives the stacking order).
     Slots are generated per label by ``explode(sequence(..))``; the counts side is bounded by
-    labels x shards."""
+    labels x shards. ``labels`` (label, label_ord) lists the labels to show, so that one without
+    hits has its zeros and the search above ``labelled`` runs once."""
     counts = labelled.groupBy("label", "label_ord", "shard").agg(F.count(F.lit(1)).alias("n"))
-    slots = labelled.select("label", "label_ord").distinct().select(
+    shown = labelled if labels is None else labels
+    slots = shown.select("label", "label_ord").distinct().select(
         "label", "label_ord", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
     # counts is an aggregation result: AQE measures it after its shuffle and broadcasts it when
     # small (at most labels x shards rows); no count job re-runs the plan above it
@@ -43,9 +45,12 @@ def stacked_histogram(labelled: DataFrame, n_shards: int) -> DataFrame:
     return full.withColumn("bottom", F.coalesce(F.sum("n_hits").over(w), F.lit(0)).cast("long"))
 
 
-def hit_totals(labelled: DataFrame) -> DataFrame:
-    """A3: hits per label and overall (``label`` null on the overall row)."""
+def hit_totals(labelled: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """A3: hits per label and overall (``label`` null on the overall row); with ``labels``, zeros for
+    those without hits."""
     per = labelled.groupBy("label", "label_ord").agg(F.count(F.lit(1)).alias("n_hits"))
+    if labels is not None:
+        per = labels.join(per, ["label", "label_ord"], "left").select("label", "label_ord", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
     tot = labelled.agg(F.count(F.lit(1)).alias("n_hits")).select(
         F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("label_ord"), "n_hits")
     return per.unionByName(tot)

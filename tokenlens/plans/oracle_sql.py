@@ -25,12 +25,13 @@ bw AS (
   SELECT item_id, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos,
          unnest(string_split(text, ' ')) AS word
   FROM benchmark),
-needles AS (
-  SELECT CAST(li * 1000000000 + item_id * 100000 + pos // k AS BIGINT) AS seq_ord,
-         list(v.token_id ORDER BY pos) AS seq
+chunks AS (
+  SELECT li, item_id, pos // k AS chunk, list(v.token_id ORDER BY pos) AS seq, count(*) = count(v.token_id) AS known
   FROM lens, bw LEFT JOIN vocab v ON bw.word = v.token
-  GROUP BY li, k, item_id, pos // k
-  HAVING count(*) = count(v.token_id))"""
+  GROUP BY li, k, item_id, pos // k),
+needles AS (
+  SELECT seq_ord, seq, li, item_id, chunk
+  FROM (SELECT *, row_number() OVER (ORDER BY li, item_id, chunk) - 1 AS seq_ord FROM chunks) WHERE known)"""
 
 OCC = """
 occ AS (
@@ -100,11 +101,11 @@ tw AS (
   SELECT item_id, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos,
          unnest(string_split(text, ' ')) AS word
   FROM benchmark),
-targets AS (
-  SELECT CAST(li * 1000000000 + item_id * 100000 + pos // k AS BIGINT) AS qid,
-         array_to_string(list(word ORDER BY pos), ' ') AS target,
+tchunks AS (
+  SELECT li, item_id, pos // k AS chunk, array_to_string(list(word ORDER BY pos), ' ') AS target,
          CAST(count(*) + 3 AS INTEGER) AS max_depth, list(word ORDER BY pos) AS tws
-  FROM lens, tw GROUP BY li, k, item_id, pos // k)"""
+  FROM lens, tw GROUP BY li, k, item_id, pos // k),
+targets AS (SELECT row_number() OVER (ORDER BY li, item_id, chunk) - 1 AS qid, target, max_depth, tws FROM tchunks)"""
 
 COVER = """
 k1 AS (SELECT t.qid, [v.token_id] AS seq FROM targets t JOIN vocab v ON contains(v.token, t.target) WHERE t.target <> ''),

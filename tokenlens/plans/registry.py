@@ -302,12 +302,13 @@ def hit_steps(spark, sf_dir):
 SLOTS = """
 slots AS (SELECT CAST(unnest(range(0, (SELECT greatest(95, max(shard) + 1) FROM corpus))) AS INTEGER) AS shard),
 lab AS (
-  SELECT DISTINCT CASE WHEN seq_ord // 1000000000 = 0 THEN 'len4' ELSE 'len2' END AS label,
-         CAST(seq_ord // 1000000000 AS INTEGER) AS label_ord, shard, sample_index, token_offset
-  FROM raw_hits),
+  SELECT DISTINCT CASE WHEN li = 0 THEN 'len4' ELSE 'len2' END AS label, CAST(li AS INTEGER) AS label_ord,
+         shard, sample_index, token_offset
+  FROM raw_hits JOIN (SELECT seq_ord, li FROM needles) USING (seq_ord)),
+labels AS (SELECT DISTINCT CASE WHEN li = 0 THEN 'len4' ELSE 'len2' END AS label, CAST(li AS INTEGER) AS label_ord FROM needles),
 stk AS (
   SELECT l.label, l.label_ord, s.shard, CAST(count(h.shard) AS BIGINT) AS n_hits
-  FROM (SELECT DISTINCT label, label_ord FROM lab) l CROSS JOIN slots s
+  FROM labels l CROSS JOIN slots s
   LEFT JOIN lab h ON h.label = l.label AND h.shard = s.shard
   GROUP BY l.label, l.label_ord, s.shard),
 stacked AS (
@@ -317,11 +318,13 @@ stacked AS (
 
 def _labelled(spark, sf_dir):
     """Per-label result sets: one label per needle length; each label deduplicates its own hits."""
-    tc, raw = _raw_hits(spark, sf_dir)
-    rank = F.floor(F.col("seq_ord") / 1_000_000_000).cast("int")
-    lab = raw.select(F.when(rank == 0, F.lit("len4")).otherwise(F.lit("len2")).alias("label"),
-                     rank.alias("label_ord"), "shard", "sample_index", "token_offset").distinct()
-    return tc, lab
+    tc, needles = _search_input(spark, sf_dir)
+    raw = find_ops.find_sequences(tc.corpus, needles, tc.token_stats)
+    rank = F.col("r").cast("int")
+    label = F.when(rank == 0, F.lit("len4")).otherwise(F.lit("len2")).alias("label")
+    lab = raw.join(needles.select("seq_ord", "r"), "seq_ord").select(
+        label, rank.alias("label_ord"), "shard", "sample_index", "token_offset").distinct()
+    return tc, lab, needles.select(label, rank.alias("label_ord")).distinct()
 
 
 @register("shard_histogram", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, SLOTS, body="""
@@ -336,17 +339,18 @@ def shard_histogram(spark, sf_dir):
 @register("stacked_histogram", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, SLOTS, body="SELECT * FROM stacked"))
 def stacked_histogram(spark, sf_dir):
     """A2 + W2 + U3: hits per (label, shard) with stack bases."""
-    tc, lab = _labelled(spark, sf_dir)
-    return hist.stacked_histogram(lab, hist.shard_count(tc.corpus))
+    tc, lab, labels = _labelled(spark, sf_dir)
+    return hist.stacked_histogram(lab, hist.shard_count(tc.corpus), labels)
 
 
 @register("hit_totals", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, SLOTS, body="""
-SELECT label, label_ord, CAST(count(*) AS BIGINT) AS n_hits FROM lab GROUP BY label, label_ord
+SELECT l.label, l.label_ord, CAST(count(h.label) AS BIGINT) AS n_hits
+FROM labels l LEFT JOIN lab h ON h.label = l.label GROUP BY l.label, l.label_ord
 UNION ALL SELECT NULL, NULL, CAST(count(*) AS BIGINT) FROM lab"""))
 def hit_totals(spark, sf_dir):
     """A3: hits per label and in total."""
-    _, lab = _labelled(spark, sf_dir)
-    return hist.hit_totals(lab)
+    _, lab, labels = _labelled(spark, sf_dir)
+    return hist.hit_totals(lab, labels)
 
 
 @register("stack_headroom", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, SLOTS, body="""
@@ -354,8 +358,8 @@ SELECT CAST(coalesce(max(h), 0) AS BIGINT) AS max_height, CAST(coalesce(max(h),
 FROM (SELECT shard, sum(n_hits) AS h FROM stacked GROUP BY shard)"""))
 def stack_headroom(spark, sf_dir):
     """A4: tallest stack and axis limit with 15% headroom."""
-    tc, lab = _labelled(spark, sf_dir)
-    return hist.stack_headroom(hist.stacked_histogram(lab, hist.shard_count(tc.corpus)))
+    tc, lab, labels = _labelled(spark, sf_dir)
+    return hist.stack_headroom(hist.stacked_histogram(lab, hist.shard_count(tc.corpus), labels))
 
 
 # ----------------------------------------------------------------------------------------------
@@ -736,8 +740,10 @@ def _fact_run(spark, sf_dir):
     from ..session import fingerprint
     tc, _, tj = bpe_corpus(spark, sf_dir)
     vsize = int(tc.vocab.agg(F.max("token_id")).first()[0]) + 1
-    out = f"{tc.root}/fact_stats/{fingerprint(spark, extra='facts:v1')}"
-    return fstats.run_fact_grid(spark, facts_table(spark), bigram_scorer(tc.corpus, vsize), tc.vocab, tj, out)
+    facts = facts_table(spark)
+    content = repr(sorted(tuple(r) for r in facts.collect()))   # the fixed facts
+    out = f"{tc.root}/fact_stats/{fingerprint(spark, extra=f'bigram {vsize}: {content}')}"
+    return fstats.run_fact_grid(spark, facts, bigram_scorer(tc.corpus, vsize), tc.vocab, tj, out)
 
 
 @register("fact_stats_bpe")
@@ -751,8 +757,9 @@ def fact_stats_bpe(spark, sf_dir):
 def boundary_check_bpe(spark, sf_dir):
     """P19 with tokenizer offsets: conversation turns split at their middle character."""
     _, _, tj = bpe_corpus(spark, sf_dir)
-    facts = conversation_facts(spark, sf_dir).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("fact_id"), "prefix", "suffix")
+    from ..functions.ranking import dense_ids
+    facts = conversation_facts(spark, sf_dir).select(F.struct("conv_id", "turn").alias("key"), "prefix", "suffix")
+    facts = dense_ids(facts, "key", "fact_id").drop("key")
     return fstats.check_boundaries(fstats.tokenize_facts(facts, tj)).select("fact_id", "suffix_start", "reason")
 
 
@@ -767,7 +774,7 @@ def standing_search(spark, sf_dir):
     from ..session import fingerprint
     from ..streaming.standing_search import run_standing_search
     tc, needles = _search_input(spark, sf_dir)
-    key = fingerprint(spark, f"{tc.root}/corpus", extra="standing:v1")
+    key = fingerprint(spark, f"{tc.root}/corpus", f"{sf_dir.rstrip('/')}/benchmark.parquet", extra="standing:v2")
     base = f"{tc.root}/standing/{key}"
     return run_standing_search(spark, f"{tc.root}/corpus", needles, f"{base}/hits", f"{base}/checkpoint",
                                tc.token_stats, max_files_per_trigger=2)
@@ -792,10 +799,7 @@ def suffix_groups(spark, sf_dir):
 pairs AS (
   SELECT s.seq_ord AS short_ord, l.seq_ord AS long_ord, s.seq AS short_seq, l.seq AS long_seq
   FROM needles s JOIN needles l
-    ON s.seq_ord >= 1000000000 AND l.seq_ord < 1000000000
-   AND (s.seq_ord - 1000000000) // 100000 = l.seq_ord // 100000
-   AND (l.seq_ord % 100000 = ((s.seq_ord - 1000000000) % 100000) // 2
-        OR l.seq_ord % 100000 = ((s.seq_ord - 1000000000) % 100000) // 2 + 1))""", body="""
+    ON s.li = 1 AND l.li = 0 AND s.item_id = l.item_id AND (l.chunk = s.chunk // 2 OR l.chunk = s.chunk // 2 + 1))""", body="""
 SELECT short_ord, long_ord,
   len(long_seq) >= len(short_seq) AND len(list_filter(range(0, len(long_seq) - len(short_seq) + 1),
       lambda i: long_seq[i + 1 : i + len(short_seq)] = short_seq)) > 0 AS is_sub
@@ -804,9 +808,7 @@ def is_subsequence(spark, sf_dir):
     """Contiguous-subsequence test: each 2-word chunk against the 4-word chunk that contains it
     and the one after it (an equi-join on passage and chunk index)."""
     _, needles = _search_input(spark, sf_dir)
-    n = needles.select("seq_ord", "seq", F.floor(F.col("seq_ord") / 1_000_000_000).alias("r"),
-                       F.pmod(F.col("seq_ord"), F.lit(1_000_000_000)).alias("rest"))
-    n = n.select("*", F.floor(F.col("rest") / 100_000).alias("item"), F.pmod(F.col("rest"), F.lit(100_000)).alias("chunk"))
+    n = needles.withColumnRenamed("item_id", "item")
     short = n.where(F.col("r") == 1).select(F.col("seq_ord").alias("short_ord"), F.col("seq").alias("short_seq"), "item",
                                            F.explode(F.array(F.floor(F.col("chunk") / 2), F.floor(F.col("chunk") / 2) + 1)).alias("lc"))
     long_ = n.where(F.col("r") == 0).select(F.col("seq_ord").alias("long_ord"), F.col("seq").alias("long_seq"), "item",

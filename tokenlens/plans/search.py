@@ -19,18 +19,19 @@ from ..operators import cover
 from ..operators import find as find_ops
 from ..plans.strategy import checked_broadcast
 from ..sources.wordcorpus import TokenCorpus, split_words
-from .needles import ITEM_STRIDE, LENGTH_STRIDE
+from .needles import CHUNK, chunk_spec, numbered_chunks
 
 
 def passage_targets(passages: DataFrame, lengths=(4, 2), id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Query strings cut from every passage: consecutive chunks of ``k`` words for each k, whole
     passages covered. ``qid`` follows the same numbering as ``passage_sequences``."""
     occ = passages.select(F.col(id_col).alias("item_id"), F.posexplode(split_words(text_col)).alias("pos", "word"))
-    spec = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).alias("k")) for r, k in enumerate(lengths)])
+    spec = chunk_spec(lengths)
     ch = occ.select("*", F.explode(spec).alias("L")).select(
         "item_id", "pos", "word", F.col("L.r").alias("r"), F.floor(F.col("pos") / F.col("L.k")).alias("chunk"))
-    g = ch.groupBy("r", "item_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("p"))
-    return g.select((F.col("r") * LENGTH_STRIDE + F.col("item_id") * ITEM_STRIDE + F.col("chunk")).cast("long").alias("qid"),
+    g = ch.groupBy(*CHUNK).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("p"))
+    g = g.join(numbered_chunks(occ, lengths), CHUNK)
+    return g.select(F.col("ord").alias("qid"),
                     F.array_join(F.transform("p", lambda x: x["word"]), " ").alias("target"))
 
 

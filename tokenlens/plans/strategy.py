@@ -16,12 +16,12 @@ def broadcast_rows_limit(spark) -> int:
 def checked_broadcast(df: DataFrame, max_rows: int | None = None, known_rows: int | None = None) -> tuple[DataFrame, bool]:
     """Return ``(broadcast(df), True)`` if ``df`` has at most ``max_rows`` rows, else ``(df, False)``.
 
-    The count reads at most ``max_rows + 1`` rows (a ``limit`` stops the scan early), so the check
-    is cheap even for a side that turns out to be large. Callers must keep a shuffle-join path
-    for the ``False`` case.
+    The count is a plain one: each task sends one number (a ``limit`` would gather rows of every
+    partition in one task first). Callers must keep a shuffle-join path for the ``False`` case and
+    pass ``known_rows`` or a written table where the side is costly to compute.
     """
     limit = max_rows if max_rows is not None else broadcast_rows_limit(df.sparkSession)
-    n = known_rows if known_rows is not None else df.limit(limit + 1).count()
+    n = known_rows if known_rows is not None else df.count()
     if n <= limit:
         return F.broadcast(df), True
     return df, False

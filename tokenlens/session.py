@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 import zipfile
 
@@ -21,7 +22,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -71,8 +71,11 @@ def apply_runtime_conf(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder from ``spark.checkpoint.dir``; a local folder only when it is unset (tests)."""
+    """The shared folder from ``spark.checkpoint.dir``. A temporary folder is made only where it is
+    unset and the driver runs all tasks itself (tests); executors elsewhere could not read one."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not d and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="tokenlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -107,15 +110,19 @@ def mark_done(spark: SparkSession, path: str) -> None:
 
 
 def fingerprint(spark: SparkSession, *paths: str, extra: str = "") -> str:
-    """Content key of input files: path, length and modification time, read through Hadoop FS."""
+    """Content key of input files: path, length and modification time of every file at or below the
+    paths, read through Hadoop FS. Folder times are left out: they say nothing on object stores."""
     h = hashlib.sha1(extra.encode())
     for path in paths:
         fs, p = _hadoop_path(spark, path)
         if not fs.exists(p):
             h.update(f"{path}:missing".encode())
             continue
-        st = fs.getFileStatus(p)
-        h.update(f"{path}:{st.getLen()}:{st.getModificationTime()}".encode())
+        files, found = fs.listFiles(p, True), []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
+        h.update("\n".join([path, *sorted(found)]).encode())
     return h.hexdigest()[:16]
 
 

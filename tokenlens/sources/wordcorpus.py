@@ -68,7 +68,7 @@ def build_word_corpus(spark: SparkSession, documents: DataFrame, root: str, samp
     vocab_path = f"{root}/vocab"
     if not is_done(spark, vocab_path):
         distinct_words = occ.select(F.col("word").alias("token")).distinct()
-        vocab = dense_ids(distinct_words, "token", "token_id").select(
+        vocab = dense_ids(distinct_words, "token", "token_id", id_type="int").select(
             "token", "token_id", F.encode("token", "UTF-8").alias("token_bytes")
         )
         vocab.write.mode("overwrite").parquet(vocab_path)

@@ -28,7 +28,7 @@ def run_standing_search(spark: SparkSession, corpus_dir: str, sequences: DataFra
     stream = reader.parquet(corpus_dir).select("shard", "sample_index", "token_ids")
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        hits = find_ops.dedup_hits(find_ops.find_sequences_scan(df, needles, 0, n)).select(*HIT_COLS)
+        hits = find_ops.dedup_hits(find_ops.search_prepared(df, needles, n)).select(*HIT_COLS)
         (hits.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_dir))
 
