@@ -37,7 +37,7 @@ def display_line(shard: Column, sample: Column, offset: Column, before: Column,
     """The three-line display of a hit."""
     return F.concat_ws("\n",
                        F.format_string(DISPLAY_HEADER, shard, sample, offset),
-                       F.format_string(DISPLAY_CONTEXT, before, match, after),
+                       F.when(match.isNotNull(), F.format_string(DISPLAY_CONTEXT, before, match, after)).otherwise(F.lit("Context: none")),
                        F.lit(DISPLAY_RULE))
 
 

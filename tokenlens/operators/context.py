@@ -49,11 +49,12 @@ def hit_context(hits_with_ids: DataFrame, vocab: DataFrame, joiner: str = " ", b
                     after.alias("after"))
 
 
-def context_regex(ctx: DataFrame, pattern) -> DataFrame:
+def context_regex(ctx: DataFrame, pattern, search=regex_search) -> DataFrame:
     """P10: keep the context only where the whole context text matches ``pattern`` (anywhere, not
-    necessarily at the hit); otherwise context is null and the hit stays."""
+    necessarily at the hit); otherwise context is null and the hit stays. ``search``: the JVM's
+    dialect, or ``py_regex_search`` for Python's, which also compiles a column's patterns once."""
     full = F.concat(F.col("before"), F.col("match"), F.col("after"))
-    ok = regex_search(full, pattern)
+    ok = search(full, pattern)
     rest = [c for c in ctx.columns if c not in ("before", "match", "after")]
     return ctx.select(*rest, ok.alias("context_ok"),
                       *[F.when(ok, F.col(c)).alias(c) for c in ("before", "match", "after")])

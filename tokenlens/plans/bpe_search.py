@@ -70,9 +70,12 @@ def bpe_minimal_covers_enumerated(tc: TokenCorpus, merges: DataFrame, targets: D
     return roundtrip_ok(keyed, ["qid", "seq"], "decoded", "seq", tok_json).transform(_ckpt)
 
 
-def bpe_search_text(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, tok_json: str, context_len: int = 50) -> DataFrame:
+def bpe_search_text(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, tok_json: str, context_len: int = 50,
+                    regex: str | None = DEFAULT) -> DataFrame:
+    """Hits of every query as in ``search_text``. ``regex``: as in ``bpe_minimal_covers``, for covers
+    and contexts alike; ``context_len = 0`` skips contexts and their test."""
     targets = targets.transform(_ckpt)
-    covers = bpe_minimal_covers(tc, merges, targets, tok_json)
+    covers = bpe_minimal_covers(tc, merges, targets, tok_json, regex)
     distinct = covers.select(F.array_join(F.col("seq"), ",").alias("k"), "seq").distinct()
     ided = dense_ids(distinct, "k", "sid").select(F.col("sid").cast("long").alias("seq_ord"), "seq", "k")
     raw = find_ops.find_sequences(tc.corpus, ided.select("seq_ord", "seq"), tc.token_stats, context_len=context_len)
@@ -88,10 +91,12 @@ def bpe_search_text(tc: TokenCorpus, merges: DataFrame, targets: DataFrame, tok_
     w = per_q.groupBy("qid", "shard", "sample_index", "token_offset").agg(
         F.min(F.struct(F.size("sequence").alias("_n"), *[F.col(c) for c in rest])).alias("_w"))
     hits = w.select("qid", "shard", "sample_index", "token_offset", *[F.col(f"_w.{c}").alias(c) for c in rest])
+    if context_len <= 0 or regex is None:
+        return hits.orderBy("qid", "shard", "sample_index", "token_offset")
     tb, _ = checked_broadcast(targets.select("qid", "target"))
     ctx = hits.join(tb, "qid")
     full = F.concat(F.col("before"), F.col("match"), F.col("after"))
-    ok = py_regex_search(full, py_boundary_pattern(F.col("target")))
+    ok = py_regex_search(full, py_boundary_pattern(F.col("target")) if regex == DEFAULT else F.lit(regex))
     out = ctx.select("qid", "shard", "sample_index", "token_offset", "sequence", ok.alias("context_ok"),
                      *[F.when(ok, F.col(c)).alias(c) for c in ("before", "match", "after")])
     return out.orderBy("qid", "shard", "sample_index", "token_offset")

@@ -250,8 +250,8 @@ def context_regex(spark, sf_dir):
     """P10: context kept only where it matches the word-boundary pattern of the matched text
     (taken literally); the hit stays either way."""
     c = _context(spark, sf_dir).select(*HIT_COLS, "before", "match", "after")
-    pattern = F.concat(F.lit("\\b\\Q"), F.col("match"), F.lit("\\E\\b"))
-    return ctx_ops.context_regex(c, pattern)
+    from ..functions.pyregex import py_boundary_pattern, py_regex_search
+    return ctx_ops.context_regex(c, py_boundary_pattern(F.col("match"), literal=True), py_regex_search)
 
 
 @register("display_hits", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, Q.CONTEXT, body="""

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..session import checkpoint as _ckpt
 from ..functions.ranking import dense_ids
 from ..functions.pyregex import py_boundary_pattern, py_regex_search
-from ..functions.text import default_regex, regex_search
 from ..operators import context as ctx_ops
 from ..operators import cover
 from ..operators import find as find_ops
@@ -35,6 +34,12 @@ def passage_targets(passages: DataFrame, lengths=(4, 2), id_col: str = "item_id"
                     F.array_join(F.transform("p", lambda x: x["word"]), " ").alias("target"))
 
 
+def query_pattern(regex: str | None, literal: bool):
+    """The pattern of a text search, for covers and contexts alike, in Python's dialect: the
+    caller's, or word boundaries around the query (``literal`` takes the query as it stands)."""
+    return F.lit(regex) if regex is not None else py_boundary_pattern(F.col("target"), literal)
+
+
 def word_targets(queries: DataFrame) -> DataFrame:
     """Word vocabulary: the surface of a query is the query itself; its own encoding has one
     token per space-separated word, so ``max_depth`` = words + 3."""
@@ -77,11 +82,7 @@ def minimal_covers(tc: TokenCorpus, targets: DataFrame, regex: str | None = None
     from ..operators.canonical import canonical_minimal_covers
 
     def rx(df):
-        if regex is not None:
-            return df.where(regex_search(F.col("d"), F.lit(regex)))
-        if literal:
-            return df.where(regex_search(F.col("d"), default_regex(F.col("target"), True)))
-        return df.where(py_regex_search(F.col("d"), py_boundary_pattern(F.col("target"))))
+        return df.where(py_regex_search(F.col("d"), query_pattern(regex, literal)))
 
     sfx = affix_table(tc, "suffix")
     out = canonical_minimal_covers(targets, tc.vocab, merges, tc.joiner, False, word_encoder(tc.vocab, tc.joiner), rx, sfx)
@@ -99,12 +100,7 @@ def minimal_covers_enumerated(tc: TokenCorpus, targets: DataFrame, regex: str |
     dec = cover.decode_sequences(cands, tc.joiner, byte_level=False)
     tb, _ = checked_broadcast(targets.select("qid", "target"))
     j = dec.join(tb, "qid")
-    if regex is not None:                     # one pattern for all rows: compiled once by the JVM
-        passed = j.where(regex_search(F.col("decoded"), F.lit(regex)))
-    elif literal:
-        passed = j.where(regex_search(F.col("decoded"), default_regex(F.col("target"), True)))
-    else:                                     # a pattern per query: compiled once per worker
-        passed = j.where(py_regex_search(F.col("decoded"), py_boundary_pattern(F.col("target"))))
+    passed = j.where(py_regex_search(F.col("decoded"), query_pattern(regex, literal)))   # compiled once per worker
     mini = passed.where(cover.is_minimal(F.col("toks"), F.col("bts"), F.col("target"), tc.joiner, False))
     cols = ["qid", "seq", "toks", "decoded"] if with_text else ["qid", "seq"]
     return mini.select(*cols).transform(_ckpt)
@@ -144,6 +140,5 @@ def search_text(tc: TokenCorpus, targets: DataFrame, context_len: int = 50, rege
         return hits.orderBy("qid", "shard", "sample_index", "token_offset")
     tb, _ = checked_broadcast(targets.select("qid", "target"))
     ctx = hits.join(tb, "qid")
-    pattern = F.lit(regex) if regex is not None else default_regex(F.col("target"), literal)
-    out = ctx_ops.context_regex(ctx, pattern).drop("target")
+    out = ctx_ops.context_regex(ctx, query_pattern(regex, literal), py_regex_search).drop("target")
     return out.orderBy("qid", "shard", "sample_index", "token_offset")

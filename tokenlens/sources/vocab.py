@@ -50,16 +50,21 @@ def tokenizer_key(text: str) -> str:
 
 def load_tokenizer_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Read the tokenizer JSON with Spark's reader and return (vocab, merges)."""
-    raw = spark.read.option("multiLine", True).schema(TOKENIZER_SCHEMA).json(path)
-    special = raw.select(F.explode("added_tokens").alias("a")).select(
-        F.col("a.id").alias("token_id"), F.col("a.special").alias("is_special"))
+    # the file's text is sent from the driver: executors needn't have the path
+    text = spark.createDataFrame([(tokenizer_json(path),)], "t string")
+    raw = text.select(F.from_json("t", TOKENIZER_SCHEMA).alias("j"),
+                      F.coalesce(F.get_json_object("t", "$.model.merges[0][0]").isNotNull(), F.lit(False)).alias("pairs")).select("j.*", "pairs")
+    added = raw.select(F.explode("added_tokens").alias("a")).select(
+        F.col("a.id").alias("token_id"), F.col("a.content").alias("token"), F.coalesce("a.special", F.lit(False)).alias("is_special"))
     vocab = raw.select(F.explode("model.vocab").alias("token", "token_id"))
-    # added tokens: a handful of rows listed in the tokenizer file (bounded broadcast)
-    vocab = vocab.join(F.broadcast(special), "token_id", "left").select(
-        "token", F.col("token_id").cast("int").alias("token_id"),
-        F.when(F.col("is_special"), F.encode("token", "UTF-8")).otherwise(surface_to_bytes(F.col("token"))).alias("token_bytes"),
-        F.coalesce("is_special", F.lit(False)).alias("is_special"))
-    m = raw.select(F.posexplode("model.merges").alias("rank", "m"))
-    pair = F.when(F.col("m").startswith("["), F.from_json("m", "array<string>")).otherwise(F.split("m", " ", 2))
+    # added tokens hold plain text, whether special or not and whether the model's vocabulary has
+    # them or not; they are a handful of rows listed in the tokenizer file (bounded broadcast)
+    learned = vocab.join(F.broadcast(added.select("token_id")), "token_id", "left_anti").select(
+        "token", "token_id", surface_to_bytes(F.col("token")).alias("token_bytes"), F.lit(False).alias("is_special"))
+    plain = added.select("token", "token_id", F.encode("token", "UTF-8").alias("token_bytes"), "is_special")
+    vocab = learned.unionByName(plain).withColumn("token_id", F.col("token_id").cast("int"))
+    # pairs or strings: one form per file. A pair reads as the JSON text of an array.
+    m = raw.select("pairs", F.posexplode("model.merges").alias("rank", "m"))
+    pair = F.when(F.col("pairs"), F.from_json("m", "array<string>")).otherwise(F.split("m", " ", 2))
     merges = m.select(F.col("rank").cast("int").alias("rank"), pair[0].alias("left"), pair[1].alias("right"))
     return vocab, merges
