@@ -9,9 +9,10 @@ found in collections of aligned pieces of text:
    Anchors that occur once are dropped, equal pieces of one anchor become one with a weight.
 2. A piece that all occurrences of its anchor share repeats as a whole. Other pieces go, whole
    anchors together, into collections that are built column by column, right to left: each round
-   inserts one symbol of every piece into the collection's Burrows-Wheeler transform, moves each
-   piece to its place by rank, and updates the common prefixes from the range minima between
-   neighbours. Runs of common prefixes of LENGTH or more are the repeated strings.
+   inserts one symbol of every piece into the collection's Burrows-Wheeler transform, orders the
+   suffixes by the symbols' ranks, and updates the common prefixes from the range minima between
+   neighbours. Runs of common prefixes of LENGTH or more are the repeated strings. As pieces are
+   aligned, the transform is kept by column (a positional transform).
 3. An anchor with more than ``GROUP`` different pieces (a passage that very many documents share)
    doesn't become one large collection: its strings are halved by place, and each half has a longer
    part that its equal strings must share, by which its pieces are grouped anew. At the last, that
@@ -40,7 +41,7 @@ from .common import Scratch, attach, documents, has_repeats, id_of, original_id,
 from .textgrams import Block, blocks, prefix_hash, span_hash
 
 LENGTH, ANCHOR = 200, 48
-GROUP, COLLECTION = 256, 512
+GROUP, COLLECTION = 256, 4096
 PLACE = ["doc_id", "text_id"]
 PIECE = ["anchor", "print", "before", "after"]
 
@@ -99,83 +100,71 @@ def anchor_table(texts: DataFrame, length: int, anchor: int) -> DataFrame:
 
 def repeated_in_collection(pieces: list[bytes], groups: np.ndarray, weights: np.ndarray, columns: np.ndarray,
                            length: int) -> list[np.ndarray]:
-    """For each piece the places (column 0 is its first byte) at which a string of ``length`` bytes
-    starts that repeats in its group: at the same column of another piece, or in a piece of weight
-    over 1. ``columns`` aligns the pieces: the column of a piece's first byte."""
-    m, cap = len(pieces), length
+    """For each piece the places (0 is its first byte) at which a string of ``length`` bytes starts
+    that repeats in its group: at the same column of another piece, or in a piece of weight over 1.
+    ``columns``: the column of each piece's first byte.
+
+    Columns are taken from the last to the first. A round inserts the symbol of every piece at its
+    column before the suffixes of the column behind it: the symbols, in those suffixes' order, are
+    the column's part of the transform; ranking them gives the order of the new suffixes, and the
+    common prefix of two neighbours with the same symbol is one more than the least common prefix
+    between their old places. Equal strings stand in the same column, so no round needs more than
+    the column behind its own."""
+    m = len(pieces)
     sizes = np.array([len(p) for p in pieces])
-    text = np.frombuffer(b"".join(pieces), np.uint8)
-    kind = np.uint8 if not len(text) or text.max() < 255 else np.int16  # UTF-8 has no byte 255
-    symbols = np.append(text.astype(kind) + kind(1), kind(0))  # 0 ends a piece
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-
-    def symbol_before(done: int, which: np.ndarray) -> np.ndarray:
-        """The symbol before the suffix of ``done`` bytes of each piece."""
-        left = sizes[which] - done
-        return symbols[np.where(left > 0, first[which] + left - 1, len(text))]
-
-    # the empty suffixes come first, in order of their pieces
-    place, bwt = np.arange(m), symbol_before(0, np.arange(m))   # place: where a piece's longest suffix stands
-    common = np.zeros(m, np.uint8)                              # common prefix with the suffix before, up to length
-    suffix = np.full(m, -1, np.int32)                           # piece and column of suffixes of length bytes or more
-    width = int(sizes.max()) + 1
-    alive = np.flatnonzero(sizes)
-    for done in range(1, width):
-        order = np.argsort(bwt, kind="stable")                  # a radix sort: entries by symbol, then place
-        ranked = bwt[order]
-        ended = int(np.searchsorted(ranked, 1))
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        k = rank[place[alive]]
-        alive, k = alive[np.argsort(k)], np.sort(k)
-        at, new = place[alive], m + k - ended                   # new: the places among this round's suffixes
-        before = (k > ended) & (ranked[np.maximum(k - 1, 0)] == ranked[k])
-        after = ranked[np.minimum(k + 1, len(bwt) - 1)] == ranked[k]
-        after &= k + 1 < len(bwt)
-        with_before = np.zeros(len(k), np.uint8)
-        with_before[before] = common_range(common, order[k[before] - 1], at[before], cap)
-        with_after = common_range(common, at[after], order[k[after] + 1], cap)
-        old = np.ones(len(bwt) + len(k), bool)
-        old[new] = False
-        column = np.where(done >= length, alive * width + sizes[alive] - done, -1)
-        bwt = _inserted(bwt, old, new, symbol_before(done, alive))
-        common = _inserted(common, old, new, with_before)
-        suffix = _inserted(suffix, old, new, column)
-        common[new[after] + 1] = with_after
-        place[alive] = new
-        alive = alive[sizes[alive] > done]
-    run = np.cumsum(common < length)
-    long = suffix >= 0
-    run, piece, column = run[long], suffix[long] // width, suffix[long] % width
-    aligned = columns[piece] + column
-    sort = np.lexsort((aligned, groups[piece], run))
-    keys = np.stack([run, groups[piece], aligned])[:, sort]
-    starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))) if len(sort) else np.zeros(0, np.int64)
-    total = np.add.reduceat(np.minimum(weights, 2)[piece[sort]], starts) if len(sort) else starts
-    repeated = np.repeat(total > 1, np.diff(np.append(starts, len(sort))))
-    piece, column = piece[sort][repeated], column[sort][repeated]
-    sort = np.lexsort((column, piece))
-    return np.split(column[sort], np.searchsorted(piece[sort], np.arange(1, m)))
-
-
-def _inserted(held: np.ndarray, old: np.ndarray, new: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.empty(len(old), held.dtype)
-    out[old] = held
-    out[new] = values
-    return out
+    text = np.frombuffer(b"".join(pieces) + b"\0", np.uint8)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) - columns     # of column 0
+    ends = columns + sizes
+    rank = np.unique(groups, return_inverse=True)[1]
+    low = int(columns.min())
+    found = np.zeros((m, max(1, int((ends - length).max()) - low + 1)), bool)
+    order = np.zeros(0, np.int64)                                       # pieces by group, then suffix
+    common = np.zeros(0, np.uint8)                                      # with the suffix before, up to length
+    entering = np.argsort(-ends, kind="stable")
+    entry_ends, entered = -ends[entering], 0
+    for column in range(int(ends.max()) - 1, low - 1, -1):
+        upto = int(np.searchsorted(entry_ends, -column))                # pieces that end behind this column
+        if upto > entered:                                              # their empty suffixes come first
+            order = np.concatenate([entering[entered:upto], order])
+            common = np.concatenate([np.zeros(upto - entered, np.uint8), common])
+            entered = upto
+        here = columns[order] <= column
+        if not here.all():                                              # pieces that begin behind it leave
+            common = _without(common, here)
+            order = order[here]
+        if not len(order):
+            continue
+        symbol = text[first[order] + column]
+        sort = np.argsort(symbol, kind="stable")
+        sort = sort[np.argsort(rank[order[sort]].astype(np.uint16 if m < 65536 else np.int64), kind="stable")]
+        order, symbol = order[sort], symbol[sort]
+        same = (symbol[1:] == symbol[:-1]) & (rank[order[1:]] == rank[order[:-1]])
+        grown = np.zeros(len(order), np.uint8)
+        grown[1:][same] = common_range(common, sort[:-1][same], sort[1:][same], length)
+        common = grown
+        if column - low < found.shape[1]:
+            runs = np.flatnonzero(common < length)
+            total = np.add.reduceat(np.minimum(weights[order], 2), runs)
+            repeated = np.repeat(total > 1, np.diff(np.append(runs, len(order)))) & (ends[order] - column >= length)
+            found[order[repeated], column - low] = True
+    return [np.flatnonzero(row) + low - at for row, at in zip(found, columns)]
+
+
+def _without(common: np.ndarray, stay: np.ndarray) -> np.ndarray:
+    """Common prefixes after some suffixes have left: the least up to the one that stays."""
+    kept = np.flatnonzero(stay)
+    if not len(kept):
+        return common[:0]
+    return np.minimum.reduceat(common[:kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1]))
 
 
 def common_range(common: np.ndarray, lower: np.ndarray, upper: np.ndarray, cap: int) -> np.ndarray:
-    """1 + the least of common[lower + 1 .. upper], at most ``cap``: the common prefix of two
-    suffixes that the same symbol goes before. Ranges run downwards, so reduceat skips the gaps."""
+    """1 + the least of common[lower + 1 .. upper], at most ``cap``."""
     if not len(lower):
         return np.zeros(0, np.uint8)
-    sort = np.argsort(-upper)
-    edges = np.stack([lower[sort] + 1, upper[sort] + 1], 1).ravel()
+    edges = np.stack([lower + 1, upper + 1], 1).ravel()
     least = np.minimum.reduceat(np.append(common, np.uint8(0)), edges)[::2]
-    out = np.empty(len(lower), np.uint8)
-    out[sort] = np.minimum(least + np.uint8(1), np.uint8(cap))
-    return out
+    return np.minimum(least + np.uint8(1), np.uint8(cap))
 
 
 def ranges(places: np.ndarray) -> list[dict]:
@@ -191,7 +180,7 @@ RANGES = "array<struct<lo: int, hi: int>>"
 
 def collections(rows: DataFrame, length: int) -> DataFrame:
     """gid, f, found (repeated ranges) of the pieces of small groups: gid, f, lo, bytes, weight."""
-    parts = max(1, rows.count() // (8 * COLLECTION) + 1)
+    parts = max(1, rows.count() // (4 * COLLECTION) + 1)
     schema = pa.schema([("gid", pa.int64()), ("f", pa.int64()), ("found", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))])
 
     def solve(batch: pa.Table) -> pa.RecordBatch:
