@@ -212,11 +212,8 @@ def collections(rows: DataFrame, length: int) -> DataFrame:
 # -- the whole job -----------------------------------------------------------------------------
 
 def solve_groups(rows: DataFrame, scratch: Scratch, length: int, group: int, level: int = 0) -> DataFrame:
-    """gid, f, found for pieces gid, f, a, b (places that the group is about), lo, hi (those of them
-    that the piece has), bytes (from lo to the end of the string at hi), weight."""
-    sizes = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
-    total = rows.count()
-    rows = scratch.write(attach(rows, sizes, ["gid"], "k", total), f"pieces-{level}")
+    """gid, f, found for pieces gid, f, k (pieces of the group), a, b (places that the group is about),
+    lo, hi (those of them that the piece has), bytes (from lo to the end of the string at hi), weight."""
     alone = rows.where("k = 1 AND weight > 1").select("gid", "f", F.array(F.struct("lo", "hi")).alias("found"))
     found = scratch.write(collections(rows.where(F.col("k").between(2, group)), length), f"found-{level}")
     found = found.unionByName(alone)
@@ -237,7 +234,9 @@ def solve_groups(rows: DataFrame, scratch: Scratch, length: int, group: int, lev
         F.first("a").alias("a"), F.first("b").alias("b"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
         F.first("bytes").alias("bytes"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("links"))
     below = scratch.write(below, f"below-{level}")
-    solved = solve_groups(below.drop("links"), scratch, length, group, level + 1)
+    sizes = below.groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
+    pieces = scratch.write(attach(below.drop("links"), sizes, ["gid"], "k", below.count()), f"pieces-{level + 1}")
+    solved = solve_groups(pieces, scratch, length, group, level + 1)
     solved = solved.join(below.select("gid", "f", "links"), ["gid", "f"])
     back = attach(halves.select("gid", "f", "up_gid", "up_f"), solved, ["gid", "f"], "links", halves.count())
     back = back.select(F.col("up_gid").alias("gid"), F.col("up_f").alias("f"), "found")
@@ -246,21 +245,21 @@ def solve_groups(rows: DataFrame, scratch: Scratch, length: int, group: int, lev
 
 def piece_bytes(pieces: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """The pieces with their bytes, from lo to the end of the string at hi, cut from one place of each."""
-    fields = ["gid", "f", "lo", "hi", "weight", "start"]
+    fields = ["gid", "f", "lo", "hi", "weight", "k", "start"]
     wanted = pieces.groupBy("at.doc_id", "at.text_id").agg(F.collect_list(F.struct(
-        "gid", "f", "lo", "hi", "weight", F.col("at.start").alias("start"))).alias("wanted"))
+        "gid", "f", "lo", "hi", "weight", "k", F.col("at.start").alias("start"))).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 text, held = batch.column(0)[i].as_buffer().to_pybytes(), batch.column(1).slice(i, 1).flatten()
                 columns = [held.field(n) for n in fields]
-                lo, hi, start = (columns[k].to_numpy() for k in (2, 3, 5))
+                lo, hi, start = (columns[k].to_numpy() for k in (2, 3, 6))
                 cut = [text[s + a:s + b + length] for s, a, b in zip(start.tolist(), lo.tolist(), hi.tolist())]
-                yield pa.RecordBatch.from_arrays([*columns[:5], pa.array(cut, pa.binary())], names=[*fields[:5], "bytes"])
+                yield pa.RecordBatch.from_arrays([*columns[:6], pa.array(cut, pa.binary())], names=[*fields[:6], "bytes"])
 
     both = texts.join(wanted, PLACE).select("text", "wanted")
-    return both.mapInArrow(run, "gid long, f long, lo int, hi int, weight long, bytes binary")
+    return both.mapInArrow(run, "gid long, f long, lo int, hi int, weight long, k long, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -280,11 +279,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     kinds = pieces.groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
     pieces = scratch.write(attach(pieces, kinds, ["gid"], "k", pieces.count()), "pieces-of-anchors")
     whole = pieces.where("k = 1 AND weight > 1").select("gid", "f", F.array(F.struct("lo", "hi")).alias("found"))
-    several = scratch.write(piece_bytes(pieces.where("k > 1"), texts, length), "pieces-with-bytes")
+    several = scratch.write(piece_bytes(pieces.where("k > 1"), texts, length), "pieces-0")
     several = several.withColumn("a", F.lit(anchor - length)).withColumn("b", F.lit(0))
     solved = solve_groups(several, scratch, length, group).unionByName(whole)
     solved = solved.groupBy("gid", "f").agg(F.flatten(F.collect_list("found")).alias("found"))
     weighed = scratch.write(solved.join(pieces.select("gid", "f", "weight", *PIECE[1:]), ["gid", "f"]).drop("f"), "solved")
+    scratch.drop("pieces-0", "halves-0", "below-0", "pieces-1")  # the large ones, no longer read
     held = attach(places.withColumnRenamed("anchor", "gid"), weighed, ["gid", *PIECE[1:]], "weight", places.count())
     spans = held.select(*PLACE, F.expr(f"transform(found, r -> named_struct('lo', start + r.lo, 'hi', start + r.hi + {length}))").alias("s"))
     return texts, spans.groupBy(*PLACE).agg(F.flatten(F.collect_list("s")).alias("spans"))
