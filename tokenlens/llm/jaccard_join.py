@@ -8,7 +8,10 @@ entries of the product of the matrix with its transpose that reach a bound that
   sizes with its neighbours;
 * in any one order of all columns, a linked pair shares one of the first n - ceil(0.8 n) + 1
   entries of both rows, so only these are multiplied. Columns are in hash order, those that many
-  rows have last, so common passages make no products unless a row holds little else;
+  rows have last, so common passages make no products unless a row holds little else (which columns
+  are common is counted over all texts, in units of some millions of entries each);
+* an entry in one of two sets only flips one of ``PARITIES`` parity bits at most, so the bits that
+  differ bound the sum of both sizes less twice the overlap;
 * the overlap counted so far plus what the smaller prefix leaves open bounds the overlap, and pairs
   below 4/9 of their summed sizes are discarded. The rest are verified on their whole sets.
 
@@ -37,10 +40,13 @@ from .components import connected_components
 from .textgrams import blocks, mixed, shingle_sets
 
 WIDTH = 5
-#: A column is common if it holds this share of all counted entries: there are at most 2**17 such.
-COMMON_SHARE = 1 / (1 << 17)
-LEAST_COMMON = 50
-_SETS = "doc_id long, n long, f1 long, f2 long, prefix array<long>, counted array<long>"
+#: Common columns: at most so many, found in at least LEAST_COMMON rows, counted where a unit of
+#: UNIT entries or less holds them in at least LEAST_IN_UNIT rows. They only change the order.
+MOST_COMMON, LEAST_COMMON, LEAST_IN_UNIT, UNIT = 1 << 17, 50, 3, 4_000_000
+PARITIES = 512
+PARITY = [f"p{i}" for i in range(PARITIES // 64)]
+#: Ids are broadcast if there are at most so many (8 MB); more are shuffled.
+MOST_IDS = 1 << 20
 
 
 def prefix_length(n: int) -> int:
@@ -66,41 +72,75 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(id_of().alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def set_table(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
-    """doc_id, set size, a 128-bit fingerprint of the set, its prefix with common columns last, and
-    half as many columns again, which are those to count."""
+def profiles(docs: DataFrame, width: int) -> DataFrame:
+    """One scan, two kinds of rows: of each document (kind 0) doc_id, set size, a 128-bit fingerprint
+    of the set and its parities; of each unit's common columns (kind 1) the hash and its rows."""
+    schema = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("doc_id", "n", "f1", "f2", *PARITY, "h", "rows"))])
+
+    def common(sets: list[np.ndarray]) -> pa.RecordBatch:
+        held = np.concatenate(sets)
+        sets.clear()
+        held.sort()  # in place: a unit is tens of megabytes
+        often = held[LEAST_IN_UNIT - 1:] == held[:len(held) - LEAST_IN_UNIT + 1]
+        h, rows = np.unique(held[:len(often)][often], return_counts=True)
+        return batch_of(1, len(h), h=h.view(np.int64), rows=rows + LEAST_IN_UNIT - 1)
+
+    def batch_of(kind: int, size: int, **columns) -> pa.RecordBatch:
+        arrays = [pa.array(np.full(size, kind, np.int32))]
+        arrays += [pa.array(columns[f.name]) if f.name in columns else pa.nulls(size, pa.int64()) for f in list(schema)[1:]]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = [], 0
         for batch in batches:
             for block in blocks(batch.column(1)):
                 sets = shingle_sets(block, width)
-                n = [len(s) for s in sets]
+                n = np.array([len(s) for s in sets], np.int64)
                 f1 = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 f2 = np.array([mixed(~s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                ordered = sets
-                if len(common):
-                    held = [np.isin(s, common) for s in sets]
-                    ordered = [np.concatenate([s[~h], s[h]]) if h.any() else s for s, h in zip(sets, held)]
-                lists = []
-                for share in (1.0, 1.5):
-                    cut = [s[:int(prefix_length(len(s)) * share)] if len(s) else s for s in ordered]
-                    offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
-                    values = np.concatenate([*cut, np.zeros(0, np.uint64)]).view(np.int64)
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, len(n)), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), *lists],
-                    names=["doc_id", "n", "f1", "f2", "prefix", "counted"])
+                joined = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                bit = np.repeat(np.arange(len(n)), n) * PARITIES + (joined >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64)
+                odd = (np.bincount(bit, minlength=len(n) * PARITIES) & 1).astype(np.uint8)
+                parity = np.packbits(odd).view(np.int64).reshape(len(n), PARITIES // 64)
+                ids = batch.column(0).slice(block.first, len(n)).to_numpy()
+                yield batch_of(0, len(n), doc_id=ids, n=n, f1=f1, f2=f2, **{p: np.ascontiguousarray(parity[:, i]) for i, p in enumerate(PARITY)})
+                unit.append(joined)
+                held += len(joined)
+                if held >= UNIT:
+                    yield common(unit)
+                    unit, held = [], 0
+        if unit:
+            yield common(unit)
+
+    return _texts(docs).mapInArrow(run, "kind int, " + ", ".join(f"{f.name} long" for f in list(schema)[1:]))
+
+
+def common_columns(units: DataFrame) -> np.ndarray:
+    """Hashes of the most common columns, sorted: MOST_COMMON at most, a megabyte."""
+    counts = units.groupBy("h").agg(F.sum("rows").alias("rows")).where(F.col("rows") > LEAST_COMMON)
+    found = counts.orderBy(F.desc("rows"), "h").limit(MOST_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
 
-    return _texts(docs).mapInArrow(run, _SETS)
 
+def prefixes(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
+    """doc_id, n and the prefix of each document's set, common columns last."""
 
-def common_columns(rows: DataFrame, column: str) -> np.ndarray:
-    """Hashes of the columns that hold COMMON_SHARE of the counted entries, sorted: 1 MB at most."""
-    counts = rows.select(F.explode(column).alias("h")).groupBy("h").count()
-    total = rows.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
-    least = max(LEAST_COMMON, int(total * COMMON_SHARE))
-    found = counts.where(F.col("count") > least).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                sets = shingle_sets(block, width)
+                cut = []
+                for s in sets:
+                    held = np.isin(s, common, assume_unique=True) if len(common) and len(s) else np.zeros(len(s), bool)
+                    ordered = np.concatenate([s[~held], s[held]]) if held.any() else s
+                    cut.append(ordered[:prefix_length(len(s))] if len(s) else s)
+                offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
+                values = np.concatenate([*cut, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(block.first, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "n", "prefix"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -113,7 +153,8 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(sets)), pa.array(sets, pa.binary())],
                                                  names=["doc_id", "shingles"])
 
-    return _texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    wanted = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    return _texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -154,7 +195,7 @@ def leading_pairs(entries: DataFrame) -> DataFrame:
     return counted.groupBy("a").agg(F.max_by("b", F.struct("overlap", "b")).alias("b"))
 
 
-def product_pairs(entries: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def product_pairs(entries: DataFrame, labels: DataFrame, parities: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: rows of different components whose product reaches the bound."""
     held = entries.select("h", "a", "n").join(labels.select(F.col("vertex").alias("a"), "component"), "a", "left")
     held = held.withColumn("component", F.coalesce("component", "a")).withColumn("class", size_class(F.col("n")))
@@ -164,12 +205,14 @@ def product_pairs(entries: DataFrame, labels: DataFrame, scratch: Scratch) -> Da
                                           F.count(F.lit(1)).alias("parts")).where("parts > 1").select("h", "main", "rows"))
     mixed_columns = scratch.write(mixed_columns, "columns")
     total = mixed_columns.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    rows = scratch.write(attach(held, mixed_columns, ["h"], "rows", total), "entries-mixed")
+    rows = attach(held, mixed_columns, ["h"], "rows", total).join(parities, "a")
+    rows = scratch.write(rows, "entries-mixed")
     outside = rows.where("component <> main").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
     o, r = outside.alias("o"), rows.alias("r")
     once = (F.col("r.component") == F.col("r.main")) | (F.col("o.a") < F.col("r.a"))
     meet = ((F.col("o.h") == F.col("r.h")) & (F.col("o.class") == F.col("r.class"))
-            & (F.col("o.component") != F.col("r.component")) & once & sizes_fit(F.col("o.n"), F.col("r.n")))
+            & (F.col("o.component") != F.col("r.component")) & once & sizes_fit(F.col("o.n"), F.col("r.n"))
+            & (sum(F.bit_count(F.col(f"o.{p}").bitwiseXOR(F.col(f"r.{p}"))) for p in PARITY) * 9 <= F.col("o.n") + F.col("r.n")))
     a, b = F.least("o.a", "r.a"), F.greatest("o.a", "r.a")
     pairs = (o.join(r, meet).groupBy(b.alias("a"), a.alias("b"), (F.col("o.n") + F.col("r.n")).alias("sum"),
                                      F.greatest("o.n", "r.n").alias("larger")).agg(F.count(F.lit(1)).alias("overlap")))
@@ -179,24 +222,19 @@ def product_pairs(entries: DataFrame, labels: DataFrame, scratch: Scratch) -> Da
 def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; null ids as the last id."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    none = np.zeros(0, np.uint64)
-    sets = scratch.write(set_table(docs, none, width), "sets-0")
-    common, step = common_columns(sets, "counted"), 0
-    while len(common):  # order again with the common columns last; columns that come in may be common too
-        step += 1
-        again = scratch.write(set_table(docs, common, width), f"sets-{step}")
-        scratch.drop(f"sets-{step - 1}")
-        sets, more = again, np.union1d(common, common_columns(again, "prefix"))
-        if len(more) == len(common) or step == 3:
-            break
-        common = more
+    found = scratch.write(profiles(docs, width), "profiles", ["kind"])
+    sets, units = found.where("kind = 0").drop("kind", "h", "rows"), found.where("kind = 1").select("h", "rows")
+    common = common_columns(units)
     same = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"))
     same = scratch.write(same, "classes")
     total = same.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     members = attach(sets.select("doc_id", "n", "f1", "f2"), same, ["n", "f1", "f2"], "copies", total).select("doc_id", "n", "lead")
     empty = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("lead"))
     leads = same.select(F.col("lead").alias("doc_id"), "n", "f1", "f2")
-    rows = sets.join(leads, ["doc_id", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "n", "f1", "f2"])
+    parities = (sets.join(leads, ["doc_id", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "n", "f1", "f2"])
+                .select(F.col("doc_id").alias("a"), *PARITY))
+    rows = scratch.write(prefixes(docs, common, width), "prefixes").where("n > 0").join(leads.select("doc_id", "n"), ["doc_id", "n"], "left_semi")
+    rows = rows.dropDuplicates()
     entries = rows.select(F.col("doc_id").alias("a"), "n", F.explode("prefix").alias("h"))
     # the many columns of few rows are looked at where a shuffle brings them together; common ones by broadcast
     first = F.min(F.struct("a", "n"))
@@ -206,15 +244,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
               .withColumn("rows", F.expr("count(1) OVER (PARTITION BY h)")).where("rows > 1").select("h", "a", "n", "lead"))
     if is_common is not None:
         often = entries.join(F.broadcast(is_common), "h", "left_semi")
-        leading = often.groupBy("h").agg(first.alias("lead"))  # at most 1 / COMMON_SHARE rows
+        leading = often.groupBy("h").agg(first.alias("lead"))  # MOST_COMMON rows at most
         spread = spread.unionByName(often.join(F.broadcast(leading), "h").select("h", "a", "n", "lead"))
     entries = scratch.write(spread, "entries")
+    scratch.drop("prefixes")
     near = scratch.write(leading_pairs(entries), "pairs-1")
-    edges = scratch.write(verified(near, scratch.write(whole_sets(docs, ids_of(near), width), "whole-1")), "edges-1")
+    edges = scratch.write(verified(near, scratch.write(whole_sets(docs, scratch.write(ids_of(near), "ids-1"), width), "whole-1")), "edges-1")
     scratch.drop("whole-1")
     labels = connected_components(edges, scratch, "leads")
-    across = scratch.write(product_pairs(entries, labels, scratch), "pairs-2")
-    more = verified(across, scratch.write(whole_sets(docs, ids_of(across), width), "whole-2"))
+    across = scratch.write(product_pairs(entries, labels, parities, scratch), "pairs-2")
+    more = verified(across, scratch.write(whole_sets(docs, scratch.write(ids_of(across), "ids-2"), width), "whole-2"))
     labels = connected_components(edges.unionByName(more), scratch, "all")
     scratch.drop("whole-2", "entries", "entries-labelled", "entries-mixed")
     found = (members.groupBy("lead").agg(F.count(F.lit(1)).alias("size"))
