@@ -41,6 +41,16 @@ def test_exact_dedup_keeps_one_row_of_each_text(spark):
     assert max(got.values()) == 1
 
 
+@pytest.mark.parametrize("key", [exact_dedup.text_key, lambda t: F.shiftleft(F.crc32(t) % 3, 60), lambda t: F.lit(5)])
+def test_exact_dedup_loses_no_text_of_a_shared_id(spark, key):
+    """Null ids and reused ids: every text stays once, under the smallest id that it has."""
+    data = [r[:2] for r in messy.rows()] + [(None, f"text {i % 5} without an id") for i in range(9)] + [(7, "one"), (2 ** 63 - 1, "one two")]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    kept = exact_dedup.keep_first(frame, 2, 6, key).collect()
+    wanted = {(keep, sha) for _, keep, _, _, sha in expected_exact(data)}
+    assert sorted(((r.doc_id, messy.sha(re.sub(messy.WS, " ", r.text or ""))) for r in kept), key=repr) == sorted(wanted, key=repr)
+
+
 def test_directory_doubles_only_where_full():
     directory = dict(exact_dedup.grow_directory({0: 10, 1: 10, 8: 1, 15: 1}, 5, 4))
     assert directory[0] != directory[1] and directory[8] == directory[15] and len(directory) == 16

@@ -47,16 +47,18 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
-    """The rows of ``docs`` whose id (see :func:`id_of`) is in ``ids.doc_id``; with ``repeated``
-    ids, one row of each. No column is added, so ``docs`` may have any other columns."""
-    wanted = F.coalesce(F.col("d.doc_id").cast("bigint"), F.lit(LAST_ID)) == F.col("k.doc_id")
-    kept = docs.alias("d").join(ids.alias("k"), wanted, "left_semi").select("d.*")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
-
-
-def has_repeats(ids: DataFrame) -> bool:
-    return bool(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+def keep_rows(docs: DataFrame, wanted: DataFrame, key: Column, repeated: bool) -> DataFrame:
+    """The rows of ``docs`` whose id (see :func:`id_of`) and ``key``, an expression over their text,
+    are in ``wanted`` (doc_id, key); with ``repeated`` pairs, one row of each pair. Rows are packed,
+    so ``docs`` may have any other columns."""
+    rows = docs.select(F.struct("*").alias("row"), id_of().alias("doc_id"), key.alias("key"))
+    kept = rows.join(wanted.select("doc_id", "key"), ["doc_id", "key"], "left_semi")
+    return (kept.dropDuplicates(["doc_id", "key"]) if repeated else kept).select("row.*")
+
+
+def has_repeats(rows: DataFrame, *names: str) -> bool:
+    """Whether any doc_id, or its combination with the columns ``names``, occurs twice."""
+    return bool(rows.groupBy("doc_id", *names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
 
 
 class Scratch:

@@ -100,9 +100,15 @@ def deduplicate(docs: DataFrame, capacity: int = 512, max_depth: int = 16, key=t
 
 
 def keep_first(docs: DataFrame, capacity: int = 512, max_depth: int = 16, key=text_key) -> DataFrame:
-    """The rows of ``docs`` that stay, one per different text, with all their columns."""
+    """The rows of ``docs`` that stay, one per different text, with all their columns. A row is told
+    by its id and the key of its text (by the text's SHA-256 where different texts share a key), so
+    different texts under one id, or without one, all stay."""
     entries, index = build_index(docs, Scratch(docs.sparkSession, "exact-dedup"), capacity, max_depth, key)
-    return keep_rows(docs, index.select(F.col("keep_id").alias("doc_id")), has_repeats(entries))
+    text = normalised(text_of())
+    collided = index.where("links > 1").limit(1).count()
+    told_by = F.sha2(text, 256) if collided else key(text).cast("bigint")
+    firsts = index.select(F.col("keep_id").alias("doc_id"), F.col("text_sha256" if collided else "key").alias("key"))
+    return keep_rows(docs, firsts, told_by, has_repeats(entries, "key"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,4 +280,5 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, with all their columns."""
     found = Scratch(docs.sparkSession, "jaccard-kept").write(jaccard_components(docs, width), "found")
-    return keep_rows(docs, found.where("doc_id = component_id").select("doc_id"), has_repeats(found))
+    found = found.withColumn("key", F.lit(0))
+    return keep_rows(docs, found.where("doc_id = component_id"), F.lit(0), has_repeats(found))
