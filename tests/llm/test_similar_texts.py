@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tokenlens.llm import jaccard_join, repeats
-from tokenlens.llm.common import Scratch
+from tokenlens.llm.common import LAST_ID, Scratch
 from tokenlens.llm.components import connected_components
 
 from . import messy
@@ -70,6 +70,39 @@ def test_components_of_awkward_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in expected_components(rows)})
 
 
+def expected_kept(rows):
+    """(doc_id, text) choices of each component: one of its rows of the smallest id stays."""
+    n, texts = len(rows), [messy.words(messy.lower(r[1] or "")) for r in rows]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in texts]
+    group = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) > 0 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    held = defaultdict(list)
+    for i, r in enumerate(rows):
+        held[group[i]].append((r[0], r[1]))
+    least = {g: min((d for d, _ in rs), key=messy.order) for g, rs in held.items()}
+    return [{(d, t) for d, t in rs if d == least[g]} for g, rs in held.items()]
+
+
+def test_components_of_shared_and_missing_ids(spark):
+    """Texts that share an id, or have none, are vertices of their own."""
+    near = near_copies(30, 11)
+    rows = [r[:2] for r in messy.rows()] + list(enumerate(near[:15], 1000)) + [(None, t) for t in near[15:]]
+    rows += [(7, near[0] + " end"), (1001, near[29]), (None, near[3]), (None, near[20]), (None, " "), (3, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard_join.jaccard_components(frame)
+    got = sorted(((None if d == LAST_ID else d, n, None if c == LAST_ID else c) for d, n, c in out.select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+    assert got == expected_components(rows)
+    kept = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(frame).collect())
+    wanted = expected_kept(rows)
+    assert sum(kept.values()) == len(wanted)
+    for choices in wanted:
+        assert any(kept[c] for c in choices)
+    assert all(any(k in choices for choices in wanted) for k in kept)
+
+
 def test_connected_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 400)] + [(500, 500), (90, 39), (90, 39)]
     rng = random.Random(1)

@@ -23,7 +23,9 @@ component already; every link between different components is found.
 
 Null or empty text has an empty set and is linked with nothing; a null doc_id comes after all
 others; rows that repeat a doc_id are documents of their own; an empty table gives an empty result.
-Only ``doc_id`` and ``text`` are read.
+Only ``doc_id`` and ``text`` are read. Vertices are numbers of the different sets, in order of their
+smallest id, so texts that share an id (or have none) are never taken for each other; a component's
+id is looked up at the end. A row is told by its id and a 64-bit key of its text.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, documents, has_repeats, id_of, keep_rows, original_id
+from .common import Scratch, attach, documents, has_repeats, id_of, keep_rows, original_id, strip_ws, text_of
 from .components import connected_components
 from .textgrams import blocks, mixed, shingle_sets
 
@@ -45,7 +47,7 @@ WIDTH = 5
 MOST_COMMON, LEAST_COMMON, LEAST_IN_UNIT, UNIT = 1 << 17, 50, 3, 4_000_000
 PARITIES = 512
 PARITY = [f"p{i}" for i in range(PARITIES // 64)]
-#: Ids are broadcast if there are at most so many (8 MB); more are shuffled.
+#: Documents whose sets are wanted are broadcast if there are at most so many (24 MB of ids, keys and vertices); more are shuffled.
 MOST_IDS = 1 << 20
 
 
@@ -68,14 +70,18 @@ def size_class(n: Column) -> Column:
     return F.floor(F.log(n) / np.log(1.25) + 1e-9).cast("int")
 
 
+def row_key() -> Column:
+    return F.xxhash64(text_of())
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(id_of().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(id_of().alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """One scan, two kinds of rows: of each document (kind 0) doc_id, set size, a 128-bit fingerprint
-    of the set and its parities; of each unit's common columns (kind 1) the hash and its rows."""
-    schema = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("doc_id", "n", "f1", "f2", *PARITY, "h", "rows"))])
+    """One scan, two kinds of rows: of each document (kind 0) doc_id, text key, set size, a 128-bit
+    fingerprint of the set and its parities; of each unit's common columns (kind 1) the hash and its rows."""
+    schema = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in ("doc_id", "key", "n", "f1", "f2", *PARITY, "h", "rows"))])
 
     def common(sets: list[np.ndarray]) -> pa.RecordBatch:
         held = np.concatenate(sets)
@@ -102,8 +108,8 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 bit = np.repeat(np.arange(len(n)), n) * PARITIES + (joined >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64)
                 odd = (np.bincount(bit, minlength=len(n) * PARITIES) & 1).astype(np.uint8)
                 parity = np.packbits(odd).view(np.int64).reshape(len(n), PARITIES // 64)
-                ids = batch.column(0).slice(block.first, len(n)).to_numpy()
-                yield batch_of(0, len(n), doc_id=ids, n=n, f1=f1, f2=f2, **{p: np.ascontiguousarray(parity[:, i]) for i, p in enumerate(PARITY)})
+                ids, keys = (batch.column(c).slice(block.first, len(n)).to_numpy() for c in (0, 2))
+                yield batch_of(0, len(n), doc_id=ids, key=keys, n=n, f1=f1, f2=f2, **{p: np.ascontiguousarray(parity[:, i]) for i, p in enumerate(PARITY)})
                 unit.append(joined)
                 held += len(joined)
                 if held >= UNIT:
@@ -123,7 +129,7 @@ def common_columns(units: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
-    """doc_id, n and the prefix of each document's set, common columns last."""
+    """doc_id, text key, n and the prefix of each document's set, common columns last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,24 +143,26 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
                 values = np.concatenate([*cut, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "n", "prefix"])
+                    [*(batch.column(c).slice(block.first, len(sets)) for c in (0, 2)), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "key", "n", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, key long, n long, prefix array<long>")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id, shingles (sorted 64-bit hashes, packed) of the documents in ``ids``."""
+def whole_sets(docs: DataFrame, ids: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """vertex, shingles (sorted 64-bit hashes, packed) of the documents in ``ids`` (vertex, doc_id,
+    key); with ``repeated`` documents, one row of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 sets = [s.tobytes() for s in shingle_sets(block, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(sets)), pa.array(sets, pa.binary())],
-                                                 names=["doc_id", "shingles"])
+                                                 names=["vertex", "shingles"])
 
     wanted = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    return _texts(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+    sets = _texts(docs).join(wanted, ["doc_id", "key"]).select("vertex", "text").mapInArrow(run, "vertex long, shingles binary")
+    return sets.dropDuplicates(["vertex"]) if repeated else sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,9 +171,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     uses = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).withColumn("parts", F.floor(F.col("pairs") / 1000) + 1)
     total = pairs.count()
     salted = attach(pairs, uses, ["b"], "pairs", total).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).select("a", "b", "part")
-    right = (sets.withColumnRenamed("doc_id", "b").join(uses, "b")
+    right = (sets.withColumnRenamed("vertex", "b").join(uses, "b")
              .select("b", F.col("shingles").alias("right"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
+    left = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("left"))
     both = salted.join(left, "a").join(right, ["b", "part"]).select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +196,7 @@ def may_reach(overlap: Column, a: Column, b: Column) -> Column:
 
 
 def leading_pairs(entries: DataFrame) -> DataFrame:
-    """a, b: each row with the leading row (of smallest id) that it shares most columns with."""
+    """a, b: each row with the leading row (the first vertex) that it shares most columns with."""
     led = entries.where("a <> lead.a")
     counted = led.groupBy("a", "n", F.col("lead.a").alias("b"), F.col("lead.n").alias("m")).agg(F.count(F.lit(1)).alias("overlap"))
     counted = counted.where(sizes_fit(F.col("n"), F.col("m")) & may_reach(F.col("overlap"), F.col("n"), F.col("m")))
@@ -219,23 +227,25 @@ def product_pairs(entries: DataFrame, labels: DataFrame, parities: DataFrame, sc
     return pairs.where((F.col("overlap") + rest_length(F.col("larger"))) * 9 >= F.col("sum") * 4).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``; null ids as the last id."""
+def linked_rows(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows, firsts, repeated): doc_id, n_shingles, component_id of every row of ``docs``, null ids as
+    the last id; doc_id and key of the first row of every component of rows that have words; whether
+    any (doc_id, key) of such rows occurs twice."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     found = scratch.write(profiles(docs, width), "profiles", ["kind"])
     sets, units = found.where("kind = 0").drop("kind", "h", "rows"), found.where("kind = 1").select("h", "rows")
     common = common_columns(units)
-    same = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("copies"))
-    same = scratch.write(same, "classes")
+    repeated = has_repeats(sets.where("n > 0"), "key")
+    same = sets.where("n > 0").groupBy("n", "f1", "f2").agg(
+        F.min(F.struct("doc_id", "key")).alias("lead"), F.count(F.lit(1)).alias("copies"), *(F.first(p).alias(p) for p in PARITY))
+    same = same.select("lead.*", "n", "f1", "f2", "copies", *PARITY).orderBy("doc_id", "key", "n", "f1", "f2")
+    same = scratch.write(same.withColumn("vertex", F.monotonically_increasing_id()), "classes")
     total = same.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    members = attach(sets.select("doc_id", "n", "f1", "f2"), same, ["n", "f1", "f2"], "copies", total).select("doc_id", "n", "lead")
-    empty = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("lead"))
-    leads = same.select(F.col("lead").alias("doc_id"), "n", "f1", "f2")
-    parities = (sets.join(leads, ["doc_id", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "n", "f1", "f2"])
-                .select(F.col("doc_id").alias("a"), *PARITY))
-    rows = scratch.write(prefixes(docs, common, width), "prefixes").where("n > 0").join(leads.select("doc_id", "n"), ["doc_id", "n"], "left_semi")
-    rows = rows.dropDuplicates()
-    entries = rows.select(F.col("doc_id").alias("a"), "n", F.explode("prefix").alias("h"))
+    parities = same.select(F.col("vertex").alias("a"), *PARITY)
+    leads = same.select("doc_id", "key", "vertex")
+    rows = scratch.write(prefixes(docs, common, width), "prefixes").where("n > 0")
+    rows = (rows.dropDuplicates(["doc_id", "key"]) if repeated else rows).join(leads, ["doc_id", "key"]).withColumnRenamed("vertex", "a")
+    entries = rows.select("a", "n", F.explode("prefix").alias("h"))
     # the many columns of few rows are looked at where a shuffle brings them together; common ones by broadcast
     first = F.min(F.struct("a", "n"))
     is_common = scratch.spark.createDataFrame(pa_table(common)) if len(common) else None
@@ -249,23 +259,34 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     entries = scratch.write(spread, "entries")
     scratch.drop("prefixes")
     near = scratch.write(leading_pairs(entries), "pairs-1")
-    edges = scratch.write(verified(near, scratch.write(whole_sets(docs, scratch.write(ids_of(near), "ids-1"), width), "whole-1")), "edges-1")
+    whole = scratch.write(whole_sets(docs, scratch.write(ids_of(near, leads), "ids-1"), width, repeated), "whole-1")
+    edges = scratch.write(verified(near, whole), "edges-1")
     scratch.drop("whole-1")
     labels = connected_components(edges, scratch, "leads")
     across = scratch.write(product_pairs(entries, labels, parities, scratch), "pairs-2")
-    more = verified(across, scratch.write(whole_sets(docs, scratch.write(ids_of(across), "ids-2"), width), "whole-2"))
+    more = verified(across, scratch.write(whole_sets(docs, scratch.write(ids_of(across, leads), "ids-2"), width, repeated), "whole-2"))
     labels = connected_components(edges.unionByName(more), scratch, "all")
     scratch.drop("whole-2", "entries", "entries-labelled", "entries-mixed")
-    found = (members.groupBy("lead").agg(F.count(F.lit(1)).alias("size"))
-             .join(labels.withColumnRenamed("vertex", "lead"), "lead", "left")
-             .select("lead", "size", F.coalesce("component", "lead").alias("component")))
-    linked = attach(members, found, ["lead"], "size", total).select("doc_id", "n", "component")
-    return linked.unionByName(empty.withColumnRenamed("lead", "component")).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    # a component is named by its smallest row, which is that of one of its sets
+    inside = labels.join(leads, "vertex").groupBy("component").agg(F.min(F.struct("doc_id", "key", "vertex")).alias("first"), F.count(F.lit(1)).alias("size"))
+    named = attach(labels, inside, ["component"], "size", labels.count()).select("vertex", "first")
+    classes = same.drop(*PARITY).join(named, "vertex", "left").withColumn("first", F.coalesce("first", F.struct("doc_id", "key", "vertex")))
+    classes = scratch.write(classes, "components")
+    linked = attach(sets.where("n > 0").select("doc_id", "n", "f1", "f2"),
+                    classes.select("n", "f1", "f2", "copies", F.col("first.doc_id").alias("component_id")), ["n", "f1", "f2"], "copies", total)
+    alone = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = linked.select("doc_id", "n", "component_id").unionByName(alone).withColumnRenamed("n", "n_shingles")
+    return out, classes.where("vertex = first.vertex").select("doc_id", "key"), repeated
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``; null ids as the last id."""
+    return linked_rows(docs, width)[0]
 
 
-def ids_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def ids_of(pairs: DataFrame, leads: DataFrame) -> DataFrame:
+    """vertex, doc_id, key of the vertices in ``pairs``."""
+    return leads.join(pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), "vertex")
 
 
 def pa_table(hashes: np.ndarray) -> pa.Table:
@@ -278,7 +299,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, with all their columns."""
-    found = Scratch(docs.sparkSession, "jaccard-kept").write(jaccard_components(docs, width), "found")
-    found = found.withColumn("key", F.lit(0))
-    return keep_rows(docs, found.where("doc_id = component_id"), F.lit(0), has_repeats(found))
+    """One row of ``docs`` of every component, of its smallest id, with all their columns; rows without
+    words are linked with nothing, so all of them stay."""
+    _, firsts, repeated = linked_rows(docs, width)
+    empty = F.length(strip_ws(text_of())) == 0
+    return keep_rows(docs.where(~empty), firsts, row_key(), repeated).union(docs.where(empty))
