@@ -80,3 +80,11 @@ def test_word_canonical_plan_equals_enumeration(spark):
     a = {(r.qid, tuple(r.seq)) for r in S.minimal_covers(tc, t, plan="canonical").collect()}
     b = {(r.qid, tuple(r.seq)) for r in S.minimal_covers_enumerated(tc, t).collect()}
     assert a == b and len(a) > 0
+
+
+def test_bpe_queries_take_both_chunk_lengths(spark):
+    """surface_form, as merge_pruned_paths, roundtrip_filter and search_text_bpe, on the whole search input."""
+    from tokenlens.plans import registry, search
+    wanted = {r.target for r in search.passage_targets(spark.read.parquet(f"{SF001}/benchmark.parquet")).collect()}
+    got = {r.target for r in registry.surface_form(spark, SF001).collect()}
+    assert got == wanted and {2, 4} <= {len(t.split(" ")) for t in got}
