@@ -1,6 +1,7 @@
 """Training-data operators. QUERIES and ORACLE hold one query per operator and its DuckDB SQL."""
 
-from . import chat_format, exact_dedup, jaccard_join, line_dedup, line_frequency, mixing, packing, repeats, toxicity, warc
+from . import (chat_format, exact_dedup, jaccard_join, language_id, line_dedup, line_frequency, mixing, packing, repeats, spelling_variants,
+               token_alignment, toxicity, warc)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +14,9 @@ QUERIES = {
     "op8_quality_rules": line_frequency.op8_quality_rules,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_language_id": language_id.op11_language_id,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLE = {
