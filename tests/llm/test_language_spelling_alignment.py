@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -172,10 +173,11 @@ def expected_alignment(rows):
         cuts = sorted(set(ends[0]) & set(ends[1]))
         groups = []
         for low, high in zip([0, *cuts], cuts):
-            groups.append("|".join(",".join(str(i) for (i, _), e in zip(z, es) if low < e <= high) for z, es in zip((x, y), ends)))
+            sides = [z[bisect_right(e, low):bisect_right(e, high)] for z, e in zip((x, y), ends)]
+            groups.append("|".join(",".join(str(i) for i, _ in side) for side in sides))
         links = []
         for (i, t), e in zip(x, ends[0]):
-            first = int(np.searchsorted(ends[1], e - len(t), "right"))
+            first = bisect_right(ends[1], e - len(t))
             for k in range(first, len(y)):
                 if ends[1][k] - len(y[k][1]) >= e:
                     break
