@@ -9,10 +9,10 @@ installed sentencepiece calls its span-carrying result ``proto``; the older ``im
 refused there.) Byte offsets where tokens of both end cut the tokens into groups; tokens of A and B
 whose byte ranges overlap are linked.
 
-Neither tokenizer has a token that goes on from a character other than white space to a following
-space or line feed, so a text is a sequence of chunks that align on their own; B's pieces are
-checked for this when the model is loaded, and where they don't hold, or a chunk doesn't begin as
-expected, the whole text is one chunk. A worker aligns each different chunk once and keeps it,
+Neither tokenizer has a token that goes on over a hard cut (from a character other than white space to
+a space or line feed, from a Latin letter to an ASCII mark), so a text is a sequence of chunks that
+align on their own; B's pieces are checked for this when the model is loaded, and where that doesn't
+hold, or a chunk doesn't begin as expected, the whole text is one chunk. A worker aligns each different chunk once and keeps it,
 ``KEEP`` chunks at most.
 
 1. One scan writes per document its counts, digest, and its distinct pairs of ids with the number of
@@ -33,8 +33,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +46,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, attach, documents
 from .textgrams import blocks
 
-KEEP = 250_000
+KEEP = 400_000
+TOGETHER = 2000
 MAX_BROADCAST = 4_000_000
 SHIFT = 32
-#: White space from a space or line feed on, then all up to the next space or line feed that follows
-#: another character.
-CHUNK = re.compile(r"[ \n]\s*(?:\S+(?:[^\S \n]\s*\S*)*)?")
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+MARKS = r"!-/:-@\[-`{-~"
+#: Hard cuts: before a space or line feed that follows another character than white space, and between a
+#: Latin letter and an ASCII mark. A's words never go on over them, and none of B's pieces may.
+CUT = re.compile(rf"(?<=\S)(?=[ \n])|(?<=[{LATIN}])(?=[{MARKS}])")
+NO_PIECE = re.compile(rf"[^▁]▁|[{LATIN}][{MARKS}]")
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<int>"
 
 
@@ -61,23 +67,79 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-class Aligned:
-    """One chunk: token counts, the groups' text, and the pair of ids of every link."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs")
-
-    def __init__(self, a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]):
-        self.n_a, self.n_b = len(a_ids), len(b_ids)
-        groups, pairs = [], []
-        i = j = first_a = first_b = 0
-        while i < self.n_a and j < self.n_b:
-            pairs.append((a_ids[i] << SHIFT) | b_ids[j])
-            end_a, end_b = a_ends[i], b_ends[j]
-            i, j = i + (end_a <= end_b), j + (end_b <= end_a)
-            if end_a == end_b:
-                groups.append(",".join(map(str, a_ids[first_a:i])) + "|" + ",".join(map(str, b_ids[first_b:j])))
-                first_a, first_b = i, j
-        self.n_groups, self.text, self.pairs = len(groups), ";".join(groups), pairs
+def same_spans(tokens: list[bytes], ends: list[int], raw: bytes) -> bool:
+    """Whether the tokens' bytes are the text and end where ``ends`` says."""
+    return b"".join(tokens) == raw and list(accumulate(map(len, tokens))) == ends
+
+
+class Aligned(NamedTuple):
+    """One chunk: token counts, the groups' text (with a semicolon after each), and the pair of ids of
+    every link."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    text: str
+    pairs: bytes  # packed, so that a large cache has no objects for the garbage collector to visit
+
+
+class Tokens(NamedTuple):
+    """One tokenizer's tokens of many chunks: chunk of each, id, number of bytes, byte end in its chunk."""
+
+    chunk: np.ndarray
+    ids: np.ndarray
+    size: np.ndarray
+    end: np.ndarray
+
+    def only(self, good: np.ndarray) -> Tokens:
+        on = good[self.chunk]
+        return Tokens(*(x[on] for x in self))
+
+
+def decoded(chunk: np.ndarray, ids: np.ndarray, size: np.ndarray, n: int) -> Tokens:
+    """Ends by the tokens' own bytes."""
+    total = np.concatenate([[0], np.cumsum(size)])
+    return Tokens(chunk, ids, size, total[1:] - total[np.searchsorted(chunk, np.arange(n))][chunk])
+
+
+def aligned_together(a: Tokens, b: Tokens, starts: np.ndarray, names: tuple[np.ndarray, ...]) -> list[Aligned]:
+    """All chunks at once; ``starts`` are the chunks' places one after the other, ``names`` the ids as
+    text with the separators that may follow."""
+    n, a_end, b_end = len(starts), a.end + starts[a.chunk], b.end + starts[b.chunk]
+    first, last = np.searchsorted(b_end, a_end - a.size, "right"), np.searchsorted(b_end, a_end)  # of the tokens of B under each of A
+    width = last - first + 1
+    of_a = np.repeat(np.arange(len(width)), width)
+    of_b = np.arange(len(of_a)) - np.repeat(np.cumsum(width) - width - first, width)
+    pairs = ((a.ids[of_a] << SHIFT) | b.ids[of_b]).tobytes()
+    pair_cuts = (8 * np.searchsorted(a.chunk[of_a], np.arange(n + 1))).tolist()
+    a_last, b_last = b_end[last] == a_end, a_end[np.searchsorted(a_end, b_end)] == b_end
+    group = np.concatenate([2 * (np.cumsum(a_last) - a_last), 2 * (np.cumsum(b_last) - b_last) + 1])
+    order = np.argsort(group, kind="stable")
+    text = np.concatenate([np.where(a_last, names[1][a.ids], names[0][a.ids]), np.where(b_last, names[2][b.ids], names[0][b.ids])])[order].tolist()
+    cuts = np.searchsorted(np.concatenate([a.chunk, b.chunk])[order], np.arange(n + 1)).tolist()
+    counts = [np.bincount(x, minlength=n).tolist() for x in (a.chunk, b.chunk, a.chunk[a_last])]
+    return [Aligned(n_a, n_b, n_groups, "".join(text[x:y]), pairs[p:q]) for n_a, n_b, n_groups, x, y, p, q
+            in zip(*counts, cuts, cuts[1:], pair_cuts, pair_cuts[1:])]
+
+
+def aligned(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> Aligned:
+    if a_ends == b_ends:  # token by token
+        return Aligned(len(a_ids), len(b_ids), len(a_ids), "".join([f"{a}|{b};" for a, b in zip(a_ids, b_ids)]),
+                       array("q", [(a << SHIFT) | b for a, b in zip(a_ids, b_ids)]).tobytes())
+    n_a, n_b, groups, pairs = len(a_ids), len(b_ids), [], []
+    i = j = first_a = first_b = 0
+    while i < n_a:
+        pairs.append((a_ids[i] << SHIFT) | b_ids[j])
+        end_a, end_b = a_ends[i], b_ends[j]
+        if end_a == end_b:
+            i, j = i + 1, j + 1
+            groups.append(f"{','.join(map(str, a_ids[first_a:i]))}|{','.join(map(str, b_ids[first_b:j]))};")
+            first_a, first_b = i, j
+        elif end_a < end_b:
+            i += 1
+        else:
+            j += 1
+    return Aligned(n_a, n_b, len(groups), "".join(groups), array("q", pairs).tobytes())
 
 
 class Aligner:
@@ -94,57 +156,86 @@ class Aligner:
         self.b_is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if own else p.replace("▁", " ").encode()
                         for p, own in zip(pieces, self.b_is_byte)]
-        #: a line feed is a token of its own, and no piece goes on to a space
-        self.chunked = not any("\n" in p or re.search("[^▁]▁", p) for p in pieces)
+        #: a line feed is a token of its own, and no piece goes on over a hard cut
+        plain = [p for i, p in enumerate(pieces) if not (self.b_is_byte[i] or self.b.is_unknown(i) or self.b.is_control(i))]
+        self.chunked = not any("\n" in p or NO_PIECE.search(p) for p in plain)
+        self.a_size, self.b_size = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(x) for x in self.b_bytes])
+        self.a_size[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.a_table = [self.a_bytes.get(i, b"") for i in range(len(self.a_size))]
+        self.b_byte = np.array(self.b_is_byte)
+        self.names = tuple(np.array([f"{i}{after}" for i in range(max(len(self.a_size), len(pieces)))], object) for after in ",|;")
         self.kept: dict[str, Aligned | None] = {}
 
     def a_ends(self, ids: list[int], offsets: list[tuple[int, int]], text: str, raw: bytes) -> list[int] | None:
         """Byte ends of A's tokens, None where the tokens are not the text."""
-        if len(raw) == len(text):
-            at = range(len(text) + 1)
-        else:
-            at = [0, *accumulate(1 + (c > "\x7f") + (c > "߿") + (c > "￿") for c in text)]
-        ends, before, last = [], 0, len(ids) - 1
-        for k, (token, (_, end)) in enumerate(zip(ids, offsets)):
-            own = self.a_bytes.get(token, b"")
-            shared = k < last and offsets[k + 1][0] < end  # the next token has a part of this one's last character
-            cut = before + len(own) if shared else at[end]
-            if raw[before:cut] != own:
-                return None
-            ends.append(cut)
-            before = cut
-        return ends if before == len(raw) else None
+        ends = [end for _, end in offsets]
+        own = [self.a_bytes.get(i, b"") for i in ids]
+        if len(raw) != len(text):
+            at = [0, *accumulate(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in text)]
+            before, last = 0, len(ids) - 1
+            for k, end in enumerate(ends):
+                # if the next token has a part of this one's last character, this one ends inside it
+                before = before + len(own[k]) if k < last and offsets[k + 1][0] < end else at[end]
+                ends[k] = before
+        return ends if same_spans(own, ends, raw) else None
 
     def b_ends(self, ids: list[int], ends: list[int], raw: bytes) -> list[int] | None:
-        """Byte ends of B's tokens, likewise."""
-        out, before = [], 0
+        """Byte ends of B's tokens, likewise. Fallback bytes but the last of a character have no span."""
+        own = [self.b_bytes[i] for i in ids]
+        if raw.isascii():
+            return ends if same_spans(own, ends, raw) else None
+        before, out = 0, []
         for token, end in zip(ids, ends):
-            own = self.b_bytes[token]
-            cut = before + 1 if self.b_is_byte[token] else end
-            if raw[before:cut] != own:
-                return None
-            out.append(cut)
-            before = cut
-        return out if before == len(raw) else None
+            before = before + 1 if self.b_is_byte[token] else end
+            out.append(before)
+        return out if same_spans(own, out, raw) else None
 
     def align(self, chunks: list[str]) -> list[Aligned | None]:
-        """Each chunk begins with a space or a line feed."""
+        """Chunks between hard cuts, many at a time; None where one has no tokens or has to be read in
+        its text."""
         out: list[Aligned | None] = []
-        encoded = self.a.encode_batch(chunks, add_special_tokens=False)
-        for chunk, a in zip(chunks, encoded):
-            # the line feed before it keeps B's own space apart from the chunk
-            pieces = self.b.encode("\n" + chunk, return_type="proto").pieces
-            raw = chunk.encode()
-            if len(pieces) < 2 or pieces[1].end != 1 or pieces[1].begin != 0:
-                out.append(None)
-                continue
-            ids = [p.id for p in pieces]
-            b_ends = self.b_ends(ids[2:], [p.end - 1 for p in pieces][2:], raw)
-            a_ids = a.ids
-            a_ends = self.a_ends(a_ids, a.offsets, chunk, raw) if b_ends is not None else None
-            out.append(Aligned(a_ids, a_ends, ids[2:], b_ends) if a_ends is not None else None)
+        for k in range(0, len(chunks), TOGETHER):
+            out += self._align(chunks[k:k + TOGETHER])
         return out
 
+    def _align(self, chunks: list[str]) -> list[Aligned | None]:
+        n, raws = len(chunks), [c.encode() for c in chunks]
+        raw, sizes = b"".join(raws), np.array([len(x) for x in raws])
+        starts = np.cumsum(sizes) - sizes
+
+        got = self.a.encode_batch([chunks], is_pretokenized=True, add_special_tokens=False)[0]
+        ids, chunk = np.array(got.ids, np.int64), np.array(got.word_ids, np.int64)
+        a = decoded(chunk, ids, self.a_size[ids], n)
+        spans = np.array(got.offsets, np.int64).reshape(-1, 2)  # in the characters of each chunk
+        at = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))  # byte of every character
+        coarse = at[np.searchsorted(at, starts)[chunk] + spans[:, 1]] - starts[chunk]
+        # where the next token has a part of this one's last character, this one ends inside it
+        inside = np.append((chunk[1:] == chunk[:-1]) & (spans[1:, 0] < spans[:-1, 1]), False)
+        good = np.bincount(chunk[~inside & (coarse != a.end)], minlength=n) == 0
+
+        # a line feed before each chunk keeps it apart from the others and from B's own space
+        pieces = [(p.id, p.end) for p in self.b.encode_as_proto("\n" + "\n".join(chunks)).pieces]
+        ids, ends = np.array(pieces, np.int64).T
+        begin = starts + np.arange(1, n + 1)
+        feeds = np.searchsorted(ends, begin)
+        counts = np.diff(np.append(feeds, len(ids))) - 1
+        own = np.ones(len(ids), bool)
+        own[:feeds[0] + 1], own[feeds] = False, False
+        ids, ends, chunk = ids[own], ends[own], np.repeat(np.arange(n), counts)
+        b = decoded(chunk, ids, self.b_size[ids], n)
+        # a character's fallback bytes but the last have no span
+        good &= np.bincount(chunk[~self.b_byte[ids] & (ends - begin[chunk] != b.end)], minlength=n) == 0
+
+        for tokens, table in ((a, self.a_table), (b, self.b_bytes)):
+            parts = [table[i] for i in tokens.ids.tolist()]
+            if b"".join(parts) != raw or good.sum() < n:
+                cuts = np.searchsorted(tokens.chunk, np.arange(n + 1)).tolist()
+                good &= [b"".join(parts[x:y]) == r for x, y, r in zip(cuts, cuts[1:], raws)]
+        if not good.any():
+            return [None] * n
+        found = aligned_together(a.only(good), b.only(good), starts, self.names)
+        return [x if ok else None for x, ok in zip(found, good.tolist())]
+
     def whole(self, text: str) -> Aligned | None:
         """Of a text that is not cut into chunks: B adds its space itself."""
         raw = (" " + text).encode()
@@ -153,13 +244,13 @@ class Aligner:
         b_ends = self.b_ends([p.id for p in pieces], [p.end + 1 for p in pieces], raw)
         a = self.a.encode(" " + text, add_special_tokens=False)
         a_ends = self.a_ends(a.ids, a.offsets, " " + text, raw)
-        return Aligned(a.ids, a_ends, [p.id for p in pieces], b_ends) if a_ends is not None and b_ends is not None else None
+        return aligned(a.ids, a_ends, [p.id for p in pieces], b_ends) if a_ends is not None and b_ends is not None else None
 
     def documents(self, texts: list[str]) -> list[list[Aligned] | None]:
         """The chunks of each text in order; None where it has no tokens."""
         if not self.chunked:
             return [[x] if t and (x := self.whole(t)) else None for t in texts]
-        split = [CHUNK.findall(" " + t) if t else [] for t in texts]
+        split = [CUT.split(" " + t) if t else [] for t in texts]
         wanted = set().union(*split)
         if len(self.kept) + len(wanted) > KEEP:
             self.kept = {c: x for c in wanted if (x := self.kept.get(c)) is not None}
@@ -188,11 +279,11 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 def _row(chunks: list[Aligned] | None) -> tuple:
     if not chunks:
         return 0, 0, 0, 0, "", [], []
-    keys = np.fromiter(chain.from_iterable([c.pairs for c in chunks]), np.int64)
+    n_a, n_b, n_groups, texts, packed = zip(*chunks)
+    keys = np.frombuffer(b"".join(packed), np.int64)
     pairs, links = np.unique(keys, return_counts=True)
-    digest = hashlib.sha256(";".join([c.text for c in chunks]).encode()).hexdigest()
-    return (sum(c.n_a for c in chunks), sum(c.n_b for c in chunks), sum(c.n_groups for c in chunks), len(keys), digest,
-            pairs, links.astype(np.int32))
+    digest = hashlib.sha256("".join(texts)[:-1].encode()).hexdigest()
+    return sum(n_a), sum(n_b), sum(n_groups), len(keys), digest, pairs, links.astype(np.int32)
 
 
 def _lists(values: list, kind: pa.DataType, dtype) -> pa.ListArray:
