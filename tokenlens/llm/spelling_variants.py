@@ -5,7 +5,7 @@
 2. A word's letter multiset is a binary vector with a dimension for the k-th occurrence of a letter. One
    inserted or deleted letter changes one dimension, a replaced one changes two. PartEnum splits the
    dimensions into parts (balanced by how many words have them) and enumerates the choices of parts
-   that may be left alone: words of one length (distance 2) share one of the 10 choices of 3 out of 5
+   that may be left alone: words of one length (distance 2) share one of the 6 choices of 2 out of 4
    parts, words of neighbouring lengths (distance 1) one of the 3 choices of 2 out of 3. A signature is
    the vector's projection on the choice, exactly, as a 64-bit hash that only ever adds candidates.
    Every signature goes once with the first half of the word and once with its last half (of the
@@ -43,7 +43,7 @@ from .textgrams import TO_LOWER, Block, blocks, mixed
 
 LEAST_LENGTH, LEAST_COUNT, RATIO, DELETE_EVERY = 7, 2, 10, 31
 #: (parts, parts that must agree) by the distance of the vectors.
-SAME_LENGTH, NEXT_LENGTH = (5, 3), (3, 2)
+SAME_LENGTH, NEXT_LENGTH = (4, 2), (3, 2)
 #: Occurrences of a letter that are told apart when dimensions are dealt to parts.
 MOST_OCCURRENCES = 8
 FLUSH = 200_000
@@ -204,11 +204,13 @@ def signatures(words: DataFrame, dealt: list[tuple[int, int, int]], total: int)
 
 
 def near_pairs(signed: DataFrame) -> DataFrame:
-    """word, n, near, near_n: both directions of every pair at edit distance one."""
-    a = signed.select("signature", "word", "n")
-    b = signed.select("signature", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    close = a.join(b, "signature").where((F.col("word") < F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
-    once = close.groupBy("word", "near").agg(F.first("n").alias("n"), F.first("near_n").alias("near_n"))
+    """word, n, near, near_n: both directions of every pair at edit distance one. ``signed`` is a written
+    table, so that both sides of the join are one and the same shuffle."""
+    a, b = signed.alias("a"), signed.alias("b")
+    close = a.join(b, F.col("a.signature") == F.col("b.signature")).where(
+        (F.col("a.word") < F.col("b.word")) & (F.levenshtein("a.word", "b.word", 1) == 1))
+    once = close.groupBy(F.col("a.word").alias("word"), F.col("b.word").alias("near")).agg(
+        F.first("a.n").alias("n"), F.first("b.n").alias("near_n"))
     both = F.array(F.struct("word", "n", "near", "near_n"), F.struct(
         F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
     return once.select(F.inline(both))
@@ -233,10 +235,12 @@ def variants(docs: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word."""
     scratch = Scratch(docs.sparkSession, "spelling_variants")
     words = scratch.write(word_counts(docs), "words")
-    pairs = near_pairs(signatures(words, dealt_letters(words), words.count()))
+    signed = scratch.write(signatures(words, dealt_letters(words), words.count()), "signatures")
+    pairs = near_pairs(signed)
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form")))
     found = scratch.write(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"), F.first("n").alias("n")).select(
         "word", "n_near", F.when(-F.col("best.less") >= ratio * F.col("n"), F.struct(F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("to")), "near")
+    scratch.drop("signatures")
     forms = scratch.write(found.where("to IS NOT NULL").select("word", "to.form"), "forms")
     out = words.join(found, "word", "left").join(roots(scratch, forms), "word", "left")
     return out.select("word", F.col("to.form").alias("form"), F.coalesce("root", "word").alias("root"), "n",
