@@ -46,6 +46,8 @@ WIDTH = 5
 #: UNIT entries or less holds them in at least LEAST_IN_UNIT rows. They only change the order.
 MOST_COMMON, LEAST_COMMON, LEAST_IN_UNIT, UNIT = 1 << 17, 50, 3, 4_000_000
 PARITIES = 512
+#: A column of at most so many rows isn't cut into size classes.
+FEW_ROWS = 64
 PARITY = [f"p{i}" for i in range(PARITIES // 64)]
 #: Documents whose sets are wanted are broadcast if there are at most so many (24 MB of ids, keys and vertices); more are shuffled.
 MOST_IDS = 1 << 20
@@ -208,14 +210,19 @@ def product_pairs(entries: DataFrame, labels: DataFrame, parities: DataFrame, sc
     held = entries.select("h", "a", "n").join(labels.select(F.col("vertex").alias("a"), "component"), "a", "left")
     held = held.withColumn("component", F.coalesce("component", "a")).withColumn("class", size_class(F.col("n")))
     held = scratch.write(held, "entries-labelled")
+    scratch.drop("entries")
     per = held.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
     mixed_columns = (per.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("rows"),
                                           F.count(F.lit(1)).alias("parts")).where("parts > 1").select("h", "main", "rows"))
     mixed_columns = scratch.write(mixed_columns, "columns")
     total = mixed_columns.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    rows = attach(held, mixed_columns, ["h"], "rows", total).join(parities, "a")
-    rows = scratch.write(rows, "entries-mixed")
-    outside = rows.where("component <> main").withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    # a column of few rows is one block, whatever their sizes; a larger one is cut into classes
+    few = F.col("rows") <= FEW_ROWS
+    rows = attach(held, mixed_columns, ["h"], "rows", total).withColumn("class", F.when(few, -1).otherwise(F.col("class")))
+    rows = scratch.write(rows.drop("rows").join(parities, "a"), "entries-mixed")
+    scratch.drop("entries-labelled")
+    near = F.when(F.col("class") < 0, F.array("class")).otherwise(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
+    outside = rows.where("component <> main").withColumn("class", F.explode(near))
     o, r = outside.alias("o"), rows.alias("r")
     once = (F.col("r.component") == F.col("r.main")) | (F.col("o.a") < F.col("r.a"))
     meet = ((F.col("o.h") == F.col("r.h")) & (F.col("o.class") == F.col("r.class"))
@@ -266,7 +273,7 @@ def linked_rows(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, bool
     across = scratch.write(product_pairs(entries, labels, parities, scratch), "pairs-2")
     more = verified(across, scratch.write(whole_sets(docs, scratch.write(ids_of(across, leads), "ids-2"), width, repeated), "whole-2"))
     labels = connected_components(edges.unionByName(more), scratch, "all")
-    scratch.drop("whole-2", "entries", "entries-labelled", "entries-mixed")
+    scratch.drop("whole-2", "entries-mixed")
     # a component is named by its smallest row, which is that of one of its sets
     inside = labels.join(leads, "vertex").groupBy("component").agg(F.min(F.struct("doc_id", "key", "vertex")).alias("first"), F.count(F.lit(1)).alias("size"))
     named = attach(labels, inside, ["component"], "size", labels.count()).select("vertex", "first")
