@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -240,3 +240,60 @@ def test_the_pipeline_keeps_the_columns(spark):
     docs = messy.docs(spark)
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, "").columns == docs.columns
+
+
+def naive_bins(counts, capacity):
+    """One bin after the other, by looking at every unpacked length."""
+    left, bins = Counter(counts), []
+    while left := +left:
+        used, gap = [], capacity
+        while fits := [k for k in left if left[k] and k <= gap]:
+            used.append(max(fits))
+            left[used[-1]] -= 1
+            gap -= used[-1]
+        if gap and len(used) > 1:
+            room, best = gap + used[-1], None
+            for x in left:
+                for y in left:
+                    if x >= y and left[x] and left[y] and (x != y or left[x] > 1) and used[-1] < x + y <= room and (best is None or x + y > sum(best)):
+                        best = (x, y)
+            if best:
+                left[used.pop()] += 1
+                used += best
+                left.subtract(best)
+        bins.append(tuple(sorted(used)))
+    return bins
+
+
+def test_planned_bins_are_those_of_the_naive_method():
+    rng = np.random.default_rng(4)
+    for size, most in ((8, 5), (30, 3), (40, 60)):
+        for _ in range(20):
+            counts = {int(k): int(rng.integers(1, most)) for k in rng.choice(np.arange(1, 65), size, replace=False)}
+            plan, naive = packing.plan_bins(counts, 64), naive_bins(counts, 64)
+            assert sum(n for _, n in plan) == len(naive)
+            total = Counter()
+            for used, n in plan:
+                for k in used:
+                    total[k] += n
+            assert total == Counter(counts) and all(sum(used) <= 64 for used, _ in plan)
+
+
+def test_other_tokenizers_encode_whole_texts(spark, tokenizer):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert isinstance(packing.encoder(path), packing.PlainEncoder) and isinstance(packing.encoder(packing.word_bpe_path()), packing.WordEncoder)
+    other = Tokenizer.from_file(path)
+    texts = ["Upper Case words, and***  spaces\n\n x", "", "é" * 50]
+    docs = messy.simple(spark, texts)
+    out = {r.doc_id: r.ids_crc32 for r in packing.pack_documents(docs, path).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array(other.encode(text, add_special_tokens=False).ids + [packing.END_ID], "<u4")
+        assert out[i] == zlib.crc32(ids.tobytes())
+
+
+def test_rows_that_share_an_id_have_their_own_ranks(spark):
+    rows = [(1, "one two three"), (1, "three two ones"), (1, "one two three"), (None, "a b c"), (None, "a b d")] * 3
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len({(r.sequence_id, r.offset) for r in out}) == len(rows)

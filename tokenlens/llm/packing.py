@@ -18,8 +18,8 @@ rows are packed each; an empty table gives no pieces. Only ``doc_id`` and ``text
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,13 +36,37 @@ CAPACITY, END_ID, CHUNKS = 2048, 0, 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class PlainEncoder:
+    """Packed little-endian ids of whole texts by the tokenizer itself."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def block(self, texts: list[bytes]) -> list[bytes]:
+        whole = [text.decode("utf-8", "replace") for text in texts]
+        return [_packed(x.ids) for x in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+
+
+#: The rules of the tokenizers whose words WordEncoder may cut out of a text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_RULES = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], WORD_PATTERN, "BPE", "</w>")
+
+
+def word_rules(tokenizer) -> tuple:
+    """A tokenizer's normalizers, pre-tokenizers, pattern, model and word end, as in WORD_RULES."""
+    held = json.loads(tokenizer.to_str())
+    before, cut = ((held[k] or {}).get(inner, []) for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    pattern = next((x["pattern"].get("Regex") for x in cut if x["type"] == "Split"), None)
+    return [x["type"] for x in before], [x["type"] for x in cut], pattern, held["model"]["type"], held["model"].get("end_of_word_suffix")
+
+
 class WordEncoder:
-    """Packed little-endian ids of whole texts, by white-space separated part: the tokenizer's rules
-    never look across white space, so each different part is encoded once and kept. A word of
-    letters is kept apart from a closing full stop or comma, which the tokenizer splits off too.
-    Two generations of ``keep`` parts bound the memory."""
+    """The same for a tokenizer of WORD_RULES, by white-space separated part: its rules never look
+    across white space, so each different part is encoded once and kept. A word of letters is kept
+    apart from the ASCII marks that follow it, which the tokenizer splits off too. Two generations of
+    ``keep`` parts bound the memory."""
 
-    _ascii = re.compile(rb"([A-Za-z]+)([.,]?)")
+    marks = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 
     def __init__(self, tokenizer, keep: int = 400_000):
         self.tokenizer, self.keep = tokenizer, keep
@@ -52,54 +76,61 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def ids(self, text: bytes) -> bytes:
-        return _packed(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        return PlainEncoder.block(self, texts) if texts else []
 
     def stem_ids(self, stems: list[bytes]) -> list[bytes]:
         """Words of letters. The tokenizer's model takes lower-case ASCII words as they are; others
         go through the whole tokenizer together, where each has one token that ends a word."""
-        model, out, rest = self.tokenizer.model, {}, []
+        tokenize, out, rest = self.tokenizer.model.tokenize, {}, []
         for stem in stems:
             if stem.isascii():
-                out[stem] = _packed([token.id for token in model.tokenize(stem.decode())])
+                out[stem] = _packed([token.id for token in tokenize(stem.decode())])
             else:
                 rest.append(stem)
         if rest:
             joined = b" ".join(rest).decode("utf-8", "replace")
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            each = [p.tobytes() for p in np.split(ids, cuts[:-1])] if len(cuts) == len(rest) else map(self.ids, rest)
+            each = [p.tobytes() for p in np.split(ids, cuts[:-1])] if len(cuts) == len(rest) else self.ids(rest)
             out.update(zip(rest, each))
         return [out[stem] for stem in stems]
 
-    def parts(self, part: bytes) -> tuple[bytes, bytes] | None:
-        """(word of letters, closing mark), or None."""
-        if w := self._ascii.fullmatch(part):
-            return w[1].lower(), w[2]
-        word, mark = (part[:-1], part[-1:]) if part[-1:] in (b".", b",") else (part, b"")
-        # letters in lower case too: one letter's lower case has a combining mark, which joins the full stop
-        return (word, mark) if not word.isascii() and word.decode("utf-8", "replace").lower().isalpha() else None
+    def known(self, keys: set[bytes]) -> list[bytes]:
+        """Those of ``keys`` that no generation holds; those that the older one holds are kept on."""
+        new = keys.difference(self.now)
+        old = new.intersection(self.before)
+        self.now.update(zip(old, map(self.before.__getitem__, old)))
+        return list(new.difference(old))
 
     def learn(self, parts: set[bytes]) -> None:
         """Makes ``now`` hold all of ``parts``."""
         if len(self.now) > self.keep:
             self.now, self.before = {}, self.now
-        new = {}
-        for part in parts.difference(self.now):
-            if part in self.before:
-                self.now[part] = self.before[part]
+        split, lows, ends, whole, stems = [], [], [], [], set()
+        for part in self.known(parts):
+            stem = part.rstrip(self.marks)
+            if stem.isalpha():  # ASCII letters
+                low = stem.lower()
+                if low == part:
+                    stems.add(part)
+                    continue
+            elif not stem.isascii() and stem.decode("utf-8", "replace").lower().isalpha():
+                # letters in lower case too: one letter's lower case has a combining mark, which joins what follows
+                low = stem
             else:
-                new[part] = self.parts(part)
-        wanted = {x for w in new.values() if w for x in w if x}.difference(self.now)
-        for stem in wanted.intersection(self.before):
-            self.now[stem] = self.before[stem]
-        marks = wanted.intersection((b".", b","))
-        stems = list(wanted.difference(self.now, marks))
-        self.now.update(zip(stems, self.stem_ids(stems)))
-        self.now.update((mark, self.ids(mark)) for mark in marks)
-        for part, w in new.items():
-            if part not in self.now:
-                self.now[part] = self.ids(part) if w is None else self.now[w[0]] + (self.now[w[1]] if w[1] else b"")
+                whole.append(part)
+                continue
+            split.append(part)
+            lows.append(low)
+            ends.append(part[len(stem):])
+        self.now[b""] = b""
+        new = self.known(stems.union(lows))
+        self.now.update(zip(new, self.stem_ids(new)))
+        whole += self.known(set(ends))
+        self.now.update(zip(whole, self.ids(whole)))
+        now = self.now.__getitem__
+        self.now.update(zip(split, map(bytes.__add__, map(now, lows), map(now, ends))))
 
     def block(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]  # at ASCII white space
@@ -112,15 +143,17 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, PlainEncoder | WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One per Python worker, kept for its later tasks."""
+def encoder(path: str) -> PlainEncoder | WordEncoder:
+    """One per Python worker, kept for its later tasks. Tokenizers of other rules than WORD_RULES encode
+    whole texts."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _encoders[path] = WordEncoder(Tokenizer.from_file(path))
+        tokenizer = Tokenizer.from_file(path)
+        _encoders[path] = (WordEncoder if word_rules(tokenizer) == WORD_RULES else PlainEncoder)(tokenizer)
     return _encoders[path]
 
 
@@ -133,22 +166,30 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
+            doc_ids = batch.column(0)
             for block in blocks(batch.column(1)):
                 data, at = block.data.tobytes(), block.offsets.tolist()
-                rows: list[tuple] = []
-                for i, ids in enumerate(encode.block([data[a:b] for a, b in zip(at, at[1:])])):
+                at_row, starts, parts = [], [], []
+                for i, ids in enumerate(encode.block([data[a:b] for a, b in zip(at, at[1:])]), block.first):
                     ids += end
-                    for piece, start in enumerate(range(0, len(ids), width)):
-                        part = ids[start:start + width]
-                        rows.append((doc_ids[block.first + i], piece, start // 4, len(part) // 4, zlib.crc32(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                                                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    if len(ids) <= width:
+                        at_row.append(i)
+                        starts.append(0)
+                        parts.append(ids)
+                        continue
+                    cut = range(0, len(ids), width)
+                    at_row += [i] * len(cut)
+                    starts += cut
+                    parts += [ids[k:k + width] for k in cut]
+                start = np.array(starts, np.int64) // 4
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids.take(pa.array(at_row, pa.int64())), pa.array((start // capacity).astype(np.int32)), pa.array(start),
+                     pa.array(np.array([len(x) for x in parts], np.int64) // 4), pa.array(list(map(zlib.crc32, parts)), pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
@@ -218,11 +259,13 @@ def slot_rows(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 
 def ranked(pieces: DataFrame) -> DataFrame:
-    """Adds ``rank``: 0, 1, ... among the pieces of each length."""
-    parts = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(CHUNKS)).cast("int"))
+    """Adds ``rank``: 0, 1, ... among the pieces of each length. Only pieces that agree in all of
+    ``told_by`` can change places, and those are alike."""
+    told_by = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
+    parts = pieces.withColumn("chunk", F.pmod(F.xxhash64(*told_by), F.lit(CHUNKS)).cast("int"))
     before = (parts.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "before", F.expr("sum(n) OVER (PARTITION BY length ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n")))
-    parts = parts.withColumn("k", F.expr("row_number() OVER (PARTITION BY length, chunk ORDER BY doc_id, piece, start) - 1"))
+    parts = parts.withColumn("k", F.expr(f"row_number() OVER (PARTITION BY length, chunk ORDER BY {', '.join(told_by)}) - 1"))
     return parts.join(before.drop("n"), ["length", "chunk"]).withColumn("rank", F.col("before") + F.col("k")).drop("chunk", "k", "before")
 
 
