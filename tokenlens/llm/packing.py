@@ -99,8 +99,8 @@ class WordEncoder:
     def known(self, keys: set[bytes]) -> list[bytes]:
         """Those of ``keys`` that no generation holds; those that the older one holds are kept on."""
         new = keys.difference(self.now)
-        old = new.intersection(self.before)
-        self.now.update(zip(old, map(self.before.__getitem__, old)))
+        old = {k: self.before[k] for k in new if k in self.before}  # (an intersection would walk the whole of ``before``)
+        self.now.update(old)
         return list(new.difference(old))
 
     def learn(self, parts: set[bytes]) -> None:
