@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001, corpus_df, seqs_df
 from tokenlens.operators import find as fo
-from tokenlens.operators.postings import postings_of
+from tokenlens.operators.postings import build_postings, of_tokens, postings_of, token_ranges
 from tokenlens.sources.wordcorpus import token_stats_of, word_corpus
 
 
@@ -106,3 +106,34 @@ def test_large_needle_set_takes_the_postings_path(spark):
     finally:
         spark.conf.unset("tokenlens.broadcast.maxRows")
     assert got == brute_hits(rows, seqs)
+
+
+def test_token_ranges_hold_the_tokens_and_leave_the_widest_gaps_out():
+    assert token_ranges([]) == []
+    assert token_ranges([5]) == [(5, 5)]
+    assert token_ranges([1, 2, 3, 9, 40, 41], most=3) == [(1, 3), (9, 9), (40, 41)]
+    assert token_ranges([1, 2, 3, 9, 40, 41], most=2) == [(1, 9), (40, 41)]
+    tokens = sorted(random.Random(1).sample(range(10_000), 500))
+    ranges = token_ranges(tokens, 50)
+    assert len(ranges) <= 50 and all(any(a <= t <= b for a, b in ranges) for t in tokens)
+
+
+def test_postings_skip_other_tokens_and_the_corpus(spark, tmpdir_path):
+    tc = word_corpus(spark, SF001)
+    post = build_postings(tc.corpus, f"{tmpdir_path}/postings")
+    few = spark.createDataFrame([(3,), (4,), (700,)], "token_id int")
+    plan = of_tokens(post, few)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "700" in plan
+    assert {r.token_id for r in of_tokens(post, few).select("token_id").distinct().collect()} == {3, 4, 700}
+    # the index alone answers a search: a corpus that can't be read is never asked for
+    row = next(r.token_ids for r in tc.corpus.collect() if len(r.token_ids) > 12)
+    seqs = seqs_df(spark, [list(row[3:7]), list(row[5:7]), [row[0]]])
+    gone = tc.corpus.where(F.raise_error(F.lit("read")).isNull())
+    needles, n = fo.prepare_needles(seqs, tc.token_stats)
+    hits = fo.search_prepared(gone, needles, n, post, "postings")
+    scan = fo.search_prepared(tc.corpus, needles, n, None, "scan")
+    key = lambda df: {(r.shard, r.sample_index, r.token_offset, r.seq_ord, tuple(r.sequence)) for r in df.collect()}
+    assert key(hits) == key(scan) != set()
+    context = [sorted(map(repr, fo.search_prepared(tc.corpus, needles, n, post, s, 4).select(
+        "shard", "sample_index", "token_offset", "seq_ord", "before_ids", "match_ids", "after_ids").collect())) for s in ("scan", "postings")]
+    assert context[0] == context[1]

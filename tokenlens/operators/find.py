@@ -81,23 +81,42 @@ def find_sequences_scan(corpus: DataFrame, needles: DataFrame, context_len: int
 
 
 def find_sequences_postings(corpus: DataFrame, postings: DataFrame, needles: DataFrame, context_len: int = 0) -> DataFrame:
-    """Strategy 2 (indexed): positions of each sequence's anchor token come from the postings
-    table, candidate starts are verified against the sample. Both joins are shuffle joins, so it
-    also serves needle sets too large to broadcast; AQE splits skewed anchor partitions."""
-    post = postings.select("token_id", "shard", "sample_index", F.explode("positions").alias("pos"))
-    cand = (
-        post.join(needles, post["token_id"] == needles["anchor_token"])
-        .select("shard", "sample_index", (F.col("pos") - F.col("anchor_idx")).cast("int").alias("token_offset"),
-                "seq_ord", "seq", "n")
-        .where(F.col("token_offset") >= 0)
+    """Strategy 2 (indexed): candidate starts come from the postings of each sequence's rarest token,
+    and a candidate is a hit when the postings of all its other tokens have the right positions
+    (positional intersection). Both reads skip the row groups of other tokens. The corpus itself is
+    read only to cut contexts, and only past a broadcast of the hits' samples while those are few.
+
+    The small sides (needles, candidates) are broadcast below the checked bound; beyond it the joins
+    shuffle on the token or on (token, sample), and AQE splits skewed partitions."""
+    from .postings import of_tokens
+
+    nd, _ = checked_broadcast(needles)
+    anchors = needles.select(F.col("anchor_token").alias("token_id"))
+    starts = (
+        of_tokens(postings, anchors).join(nd, F.col("token_id") == F.col("anchor_token"))
+        .select("shard", "sample_index", "seq_ord", "n", F.explode("positions").alias("pos"), "anchor_idx")
+        .select("shard", "sample_index", (F.col("pos") - F.col("anchor_idx")).cast("int").alias("token_offset"), "seq_ord", "n")
+        .where(F.col("token_offset") >= 0).transform(_ckpt)
     )
-    joined = cand.join(corpus, ["shard", "sample_index"])
-    hits = joined.where(matches_at(F.col("token_ids"), F.col("token_offset"), F.col("seq")))
-    cols = [F.col("shard"), F.col("sample_index"), F.col("token_offset"), F.col("seq_ord"), F.col("seq").alias("sequence")]
-    if context_len > 0:
-        b, m, a = context_slices(F.col("token_ids"), F.col("token_offset"), F.col("n"), context_len)
-        cols += [b.alias("before_ids"), m.alias("match_ids"), a.alias("after_ids")]
-    return hits.select(*cols)
+    others = needles.select("seq_ord", "anchor_idx", F.posexplode("seq").alias("i", "token_id")).where(F.col("i") != F.col("anchor_idx"))
+    ob, _ = checked_broadcast(others.drop("anchor_idx").transform(_ckpt))
+    wanted, _ = checked_broadcast(starts.where("n > 1").join(ob, "seq_ord").transform(_ckpt))
+    met = (
+        of_tokens(postings, others).join(wanted, ["token_id", "shard", "sample_index"])
+        .where(F.array_contains("positions", F.col("token_offset") + F.col("i")))
+        .groupBy("shard", "sample_index", "token_offset", "seq_ord").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
+        .where(F.col("met") == F.col("n") - 1)
+    )
+    at = ["shard", "sample_index", "token_offset", "seq_ord"]
+    hits = starts.where("n = 1").select(*at).unionByName(met.select(*at))
+    nd, _ = checked_broadcast(needles.select("seq_ord", F.col("seq").alias("sequence"), "n"))
+    hits = hits.join(nd, "seq_ord")
+    if context_len <= 0:
+        return hits.select(*at, "sequence")
+    hb, _ = checked_broadcast(hits.transform(_ckpt))
+    b, m, a = context_slices(F.col("token_ids"), F.col("token_offset"), F.col("n"), context_len)
+    return corpus.select("shard", "sample_index", "token_ids").join(hb, ["shard", "sample_index"]).select(
+        *at, "sequence", b.alias("before_ids"), m.alias("match_ids"), a.alias("after_ids"))
 
 
 def find_sequences(corpus: DataFrame, sequences: DataFrame, token_stats: DataFrame | None = None,

@@ -1,16 +1,25 @@
-"""K4: positional postings ``(token_id, shard, sample_index, positions ARRAY<INT>)``.
+"""K4: positional postings ``(token_id, shard, sample_index, positions ARRAY<INT>)``, in order of tokens.
 
 One row per (token, sample): a sample's positions are grouped inside the task that read the
 sample (partial aggregation), so the shuffle carries one row per distinct token of a sample,
-never one row per position of a hot token. Written bucketed-by-file on ``shard`` so a shard's
-postings can be pruned like the corpus."""
+never one row per position of a hot token.
+
+The table is range-partitioned and sorted by (token, shard, sample): a hot token is spread over
+several files, a rare one lies in one place of one file. Row groups are small, so a reader that
+wants some tokens skips the rest by the groups' token ranges (:func:`of_tokens`)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import is_done, mark_done
+
+ORDER = ["token_id", "shard", "sample_index"]
+ROW_GROUP_BYTES = 1 << 20
+MOST_RANGES = 128
+# A token set is read to the driver only up to this many ids (eight bytes each).
+MOST_TOKENS = 1_000_000
 
 
 def postings_of(corpus: DataFrame) -> DataFrame:
@@ -19,4 +28,30 @@ def postings_of(corpus: DataFrame) -> DataFrame:
 
 
 def build_postings(corpus: DataFrame, path: str) -> DataFrame:
-    return materialize(postings_of(corpus), path, partition_by=["shard"])
+    """The table at ``path``, written unless a finished copy is there."""
+    spark = corpus.sparkSession
+    if not is_done(spark, path):
+        (postings_of(corpus).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+         .write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path))
+        mark_done(spark, path)
+    return spark.read.schema("token_id INT, shard INT, sample_index INT, positions ARRAY<INT>").parquet(path)
+
+
+def token_ranges(tokens: list[int], most: int = MOST_RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all of the sorted, distinct ``tokens``: the widest gaps stay out."""
+    gaps = sorted(range(1, len(tokens)), key=lambda k: tokens[k - 1] - tokens[k])[:most - 1]
+    cuts = [0, *sorted(k for k in gaps if tokens[k] - tokens[k - 1] > 1), len(tokens)]
+    return [(tokens[a], tokens[b - 1]) for a, b in zip(cuts, cuts[1:])] if tokens else []
+
+
+def of_tokens(postings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``postings`` cut down, as it is read, to the token ranges around ``tokens`` (token_id); callers
+    still join on the token. Beyond MOST_TOKENS tokens nothing is cut."""
+    wanted = tokens.select("token_id").distinct()
+    if wanted.count() > MOST_TOKENS:
+        return postings
+    ranges = token_ranges(sorted(r[0] for r in wanted.collect()))
+    inside: Column = F.lit(False)
+    for low, high in ranges:
+        inside = inside | ((F.col("token_id") == low) if low == high else F.col("token_id").between(low, high))
+    return postings.where(inside)

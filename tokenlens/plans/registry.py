@@ -114,7 +114,7 @@ GROUP BY tok, shard, sample_index"""))
 def postings(spark, sf_dir):
     """K4: positional postings, one row per (token, sample)."""
     tc = word_corpus(spark, sf_dir)
-    return post_ops.build_postings(tc.corpus, f"{tc.root}/postings").select("token_id", "shard", "sample_index", "positions")
+    return post_ops.build_postings(tc.corpus, f"{tc.root}/postings_by_token").select("token_id", "shard", "sample_index", "positions")
 
 
 @register("token_stats", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
@@ -823,6 +823,6 @@ def find_sequences_indexed(spark, sf_dir):
     """J5 strategy 2: the same batch search through the positional postings (anchor positions
     from the index, verified against the samples) -- equal to ``find_sequences``."""
     tc, needles = _search_input(spark, sf_dir)
-    post = post_ops.build_postings(tc.corpus, f"{tc.root}/postings")
+    post = post_ops.build_postings(tc.corpus, f"{tc.root}/postings_by_token")
     hits = find_ops.find_sequences(tc.corpus, needles, tc.token_stats, postings=post, strategy="postings")
     return find_ops.dedup_hits(hits).select(*HIT_COLS)
