@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001, corpus_df, seqs_df
 from tokenlens.operators import find as fo
-from tokenlens.operators.postings import build_postings, of_tokens, postings_of, token_ranges
+from tokenlens.operators.postings import build_pair_postings, build_postings, of_tokens, postings_of, token_ranges
 from tokenlens.sources.wordcorpus import token_stats_of, word_corpus
 
 
@@ -130,7 +130,8 @@ def test_postings_skip_other_tokens_and_the_corpus(spark, tmpdir_path):
     seqs = seqs_df(spark, [list(row[3:7]), list(row[5:7]), [row[0]]])
     gone = tc.corpus.where(F.raise_error(F.lit("read")).isNull())
     needles, n = fo.prepare_needles(seqs, tc.token_stats)
-    hits = fo.search_prepared(gone, needles, n, post, "postings")
+    pairs = build_pair_postings(tc.corpus, f"{tmpdir_path}/pairs")
+    hits = fo.search_prepared(gone, needles, n, post, "postings", pairs=pairs)
     scan = fo.search_prepared(tc.corpus, needles, n, None, "scan")
     key = lambda df: {(r.shard, r.sample_index, r.token_offset, r.seq_ord, tuple(r.sequence)) for r in df.collect()}
     assert key(hits) == key(scan) != set()

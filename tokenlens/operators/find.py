@@ -80,36 +80,49 @@ def find_sequences_scan(corpus: DataFrame, needles: DataFrame, context_len: int
     return hits.select(*cols)
 
 
-def find_sequences_postings(corpus: DataFrame, postings: DataFrame, needles: DataFrame, context_len: int = 0) -> DataFrame:
-    """Strategy 2 (indexed): candidate starts come from the postings of each sequence's rarest token,
-    and a candidate is a hit when the postings of all its other tokens have the right positions
-    (positional intersection). Both reads skip the row groups of other tokens. The corpus itself is
+def find_sequences_postings(corpus: DataFrame, postings: DataFrame, needles: DataFrame, context_len: int = 0,
+                            pairs: DataFrame | None = None, n_needles: int | None = None) -> DataFrame:
+    """Strategy 2 (indexed): candidate starts of a sequence come from the postings of a pair of
+    neighbours that holds its rarest token, and a candidate is a hit when the postings of the
+    sequence's other pairs have the right positions (positional intersection); sequences of one token
+    read that token's postings. Every read skips the row groups of other tokens. The corpus itself is
     read only to cut contexts, and only past a broadcast of the hits' samples while those are few.
 
     The small sides (needles, candidates) are broadcast below the checked bound; beyond it the joins
-    shuffle on the token or on (token, sample), and AQE splits skewed partitions."""
-    from .postings import of_tokens
-
-    nd, _ = checked_broadcast(needles)
-    anchors = needles.select(F.col("anchor_token").alias("token_id"))
-    starts = (
-        of_tokens(postings, anchors).join(nd, F.col("token_id") == F.col("anchor_token"))
-        .select("shard", "sample_index", "seq_ord", "n", F.explode("positions").alias("pos"), "anchor_idx")
-        .select("shard", "sample_index", (F.col("pos") - F.col("anchor_idx")).cast("int").alias("token_offset"), "seq_ord", "n")
-        .where(F.col("token_offset") >= 0).transform(_ckpt)
-    )
-    others = needles.select("seq_ord", "anchor_idx", F.posexplode("seq").alias("i", "token_id")).where(F.col("i") != F.col("anchor_idx"))
-    ob, _ = checked_broadcast(others.drop("anchor_idx").transform(_ckpt))
-    wanted, _ = checked_broadcast(starts.where("n > 1").join(ob, "seq_ord").transform(_ckpt))
+    shuffle on the token pair or on (pair, sample), and AQE splits skewed partitions."""
+    from .postings import in_ranges_of, pair_postings_of
+
+    pairs = pair_postings_of(corpus) if pairs is None else pairs
+    ones = needles.where("n = 1").select("seq_ord", "n", F.lit(0).alias("i"), F.col("anchor_token").alias("token_id"))
+    parts = needles.where("n > 1").select("seq_ord", "n", "seq", F.least("anchor_idx", F.col("n") - 2).alias("first"),
+                                          F.posexplode("seq").alias("i", "token_id")).where(F.col("i") < F.col("n") - 1)
+    parts = parts.withColumn("next_id", F.get("seq", F.col("i") + 1)).drop("seq").transform(_ckpt)
+
+    def starts_of(index: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+        wb, _ = checked_broadcast(wanted, known_rows=n_needles)   # a row per needle at most
+        return (index.join(wb, keys)
+                .select("shard", "sample_index", "seq_ord", "n", "i", F.explode("positions").alias("pos"))
+                .select("shard", "sample_index", (F.col("pos") - F.col("i")).cast("int").alias("token_offset"), "seq_ord", "n")
+                .where(F.col("token_offset") >= 0))
+
+    pair = ["token_id", "next_id"]
+    pairs = pairs.where(in_ranges_of(parts))
+    single = starts_of(postings.where(in_ranges_of(ones)), ones, ["token_id"])
+    starts = starts_of(pairs, parts.where(F.col("i") == F.col("first")).drop("first"), pair).transform(_ckpt)
+    # pairs that overlap a checked one on both sides add nothing, but a sequence has few
+    others = parts.where(F.col("i") != F.col("first")).drop("first", "n")
+    ob, _ = checked_broadcast(others)
+    wanted = starts.where("n > 2").join(ob, "seq_ord").transform(_ckpt)
+    wb, _ = checked_broadcast(wanted)
     met = (
-        of_tokens(postings, others).join(wanted, ["token_id", "shard", "sample_index"])
+        pairs.join(wb, [*pair, "shard", "sample_index"])
         .where(F.array_contains("positions", F.col("token_offset") + F.col("i")))
         .groupBy("shard", "sample_index", "token_offset", "seq_ord").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
-        .where(F.col("met") == F.col("n") - 1)
+        .where(F.col("met") == F.col("n") - 2)
     )
     at = ["shard", "sample_index", "token_offset", "seq_ord"]
-    hits = starts.where("n = 1").select(*at).unionByName(met.select(*at))
-    nd, _ = checked_broadcast(needles.select("seq_ord", F.col("seq").alias("sequence"), "n"))
+    hits = single.select(*at).unionByName(starts.where("n = 2").select(*at)).unionByName(met.select(*at))
+    nd, _ = checked_broadcast(needles.select("seq_ord", F.col("seq").alias("sequence"), "n"), known_rows=n_needles)
     hits = hits.join(nd, "seq_ord")
     if context_len <= 0:
         return hits.select(*at, "sequence")
@@ -120,18 +133,19 @@ def find_sequences_postings(corpus: DataFrame, postings: DataFrame, needles: Dat
 
 
 def find_sequences(corpus: DataFrame, sequences: DataFrame, token_stats: DataFrame | None = None,
-                   postings: DataFrame | None = None, strategy: str = "auto", context_len: int = 0) -> DataFrame:
+                   postings: DataFrame | None = None, strategy: str = "auto", context_len: int = 0,
+                   pairs: DataFrame | None = None) -> DataFrame:
     """All exact, contiguous occurrences (overlaps included) of every sequence: J5/J6 before dedup.
 
     ``sequences``: ``(seq_ord BIGINT, seq ARRAY<INT>)``. ``strategy``: ``scan`` (broadcast needles,
     one corpus pass), ``postings`` (index join), or ``auto`` (scan when the needle table passes the
     broadcast check, else postings)."""
     needles, n_needles = prepare_needles(sequences, token_stats)
-    return search_prepared(corpus, needles, n_needles, postings, strategy, context_len)
+    return search_prepared(corpus, needles, n_needles, postings, strategy, context_len, pairs)
 
 
 def search_prepared(corpus: DataFrame, needles: DataFrame, n_needles: int, postings: DataFrame | None = None,
-                    strategy: str = "auto", context_len: int = 0) -> DataFrame:
+                    strategy: str = "auto", context_len: int = 0, pairs: DataFrame | None = None) -> DataFrame:
     """The search for needles that :func:`prepare_needles` made, by either strategy."""
     if strategy == "auto":
         _, small = checked_broadcast(needles, known_rows=n_needles)
@@ -141,7 +155,7 @@ def search_prepared(corpus: DataFrame, needles: DataFrame, n_needles: int, posti
     if postings is None:       # too many needles to broadcast and no index given: index now
         from .postings import postings_of
         postings = postings_of(corpus)
-    return find_sequences_postings(corpus, postings, needles, context_len)
+    return find_sequences_postings(corpus, postings, needles, context_len, pairs, n_needles)
 
 
 def dedup_hits(hits: DataFrame) -> DataFrame:

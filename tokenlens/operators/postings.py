@@ -1,4 +1,5 @@
-"""K4: positional postings ``(token_id, shard, sample_index, positions ARRAY<INT>)``, in order of tokens.
+"""K4: positional postings ``(token_id, shard, sample_index, positions ARRAY<INT>)``, in order of tokens,
+and the same for pairs of neighbouring tokens ``(token_id, next_id, ...)``.
 
 One row per (token, sample): a sample's positions are grouped inside the task that read the
 sample (partial aggregation), so the shuffle carries one row per distinct token of a sample,
@@ -15,9 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import is_done, mark_done
 
-ORDER = ["token_id", "shard", "sample_index"]
 ROW_GROUP_BYTES = 1 << 20
-MOST_RANGES = 128
+MOST_RANGES = 16
 # A token set is read to the driver only up to this many ids (eight bytes each).
 MOST_TOKENS = 1_000_000
 
@@ -27,14 +27,29 @@ def postings_of(corpus: DataFrame) -> DataFrame:
     return occ.groupBy("token_id", "shard", "sample_index").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def build_postings(corpus: DataFrame, path: str) -> DataFrame:
+def pair_postings_of(corpus: DataFrame) -> DataFrame:
+    """Positions of the first token of every pair of neighbours."""
+    occ = corpus.select("shard", "sample_index", "token_ids", F.posexplode("token_ids").alias("pos", "token_id"))
+    pairs = occ.select("token_id", F.get("token_ids", F.col("pos") + 1).alias("next_id"), "shard", "sample_index", "pos").where("next_id IS NOT NULL")
+    return pairs.groupBy("token_id", "next_id", "shard", "sample_index").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def _build(rows: DataFrame, keys: list[str], path: str) -> DataFrame:
     """The table at ``path``, written unless a finished copy is there."""
-    spark = corpus.sparkSession
+    spark, order = rows.sparkSession, [*keys, "shard", "sample_index"]
     if not is_done(spark, path):
-        (postings_of(corpus).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+        (rows.repartitionByRange(*order).sortWithinPartitions(*order)
          .write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path))
         mark_done(spark, path)
-    return spark.read.schema("token_id INT, shard INT, sample_index INT, positions ARRAY<INT>").parquet(path)
+    return spark.read.schema(", ".join(f"{c} INT" for c in order) + ", positions ARRAY<INT>").parquet(path)
+
+
+def build_postings(corpus: DataFrame, path: str) -> DataFrame:
+    return _build(postings_of(corpus), ["token_id"], path)
+
+
+def build_pair_postings(corpus: DataFrame, path: str) -> DataFrame:
+    return _build(pair_postings_of(corpus), ["token_id", "next_id"], path)
 
 
 def token_ranges(tokens: list[int], most: int = MOST_RANGES) -> list[tuple[int, int]]:
@@ -44,14 +59,18 @@ def token_ranges(tokens: list[int], most: int = MOST_RANGES) -> list[tuple[int,
     return [(tokens[a], tokens[b - 1]) for a, b in zip(cuts, cuts[1:])] if tokens else []
 
 
-def of_tokens(postings: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``postings`` cut down, as it is read, to the token ranges around ``tokens`` (token_id); callers
-    still join on the token. Beyond MOST_TOKENS tokens nothing is cut."""
-    wanted = tokens.select("token_id").distinct()
-    if wanted.count() > MOST_TOKENS:
-        return postings
-    ranges = token_ranges(sorted(r[0] for r in wanted.collect()))
+def in_ranges_of(tokens: DataFrame) -> Column:
+    """A condition on token_id that holds around ``tokens`` (token_id) and is pushed down to the row
+    groups; callers still join on the token. Beyond MOST_TOKENS tokens it holds everywhere."""
+    wanted = tokens.select("token_id").distinct().limit(MOST_TOKENS + 1).collect()
+    if len(wanted) > MOST_TOKENS:
+        return F.lit(True)
     inside: Column = F.lit(False)
-    for low, high in ranges:
+    for low, high in token_ranges(sorted(r[0] for r in wanted)):
         inside = inside | ((F.col("token_id") == low) if low == high else F.col("token_id").between(low, high))
-    return postings.where(inside)
+    return inside
+
+
+def of_tokens(postings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``postings`` cut down, as it is read, to the token ranges around ``tokens``."""
+    return postings.where(in_ranges_of(tokens))

@@ -124,6 +124,16 @@ def token_stats(spark, sf_dir):
     return word_corpus(spark, sf_dir).token_stats.select("token_id", "n", "n_samples")
 
 
+@register("pair_postings", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
+SELECT tok AS token_id, token_ids[pos + 2] AS next_id, shard, sample_index, list(pos ORDER BY pos) AS positions FROM occ
+WHERE pos + 1 < len(token_ids) GROUP BY tok, token_ids[pos + 2], shard, sample_index"""))
+def pair_postings(spark, sf_dir):
+    """K4: positional postings of pairs of neighbouring tokens."""
+    tc = word_corpus(spark, sf_dir)
+    return post_ops.build_pair_postings(tc.corpus, f"{tc.root}/pair_postings").select(
+        "token_id", "next_id", "shard", "sample_index", "positions")
+
+
 # ----------------------------------------------------------------------------------------------
 # vocabulary lookups on the search input
 # ----------------------------------------------------------------------------------------------
@@ -824,5 +834,6 @@ def find_sequences_indexed(spark, sf_dir):
     from the index, verified against the samples) -- equal to ``find_sequences``."""
     tc, needles = _search_input(spark, sf_dir)
     post = post_ops.build_postings(tc.corpus, f"{tc.root}/postings_by_token")
-    hits = find_ops.find_sequences(tc.corpus, needles, tc.token_stats, postings=post, strategy="postings")
+    pairs = post_ops.build_pair_postings(tc.corpus, f"{tc.root}/pair_postings")
+    hits = find_ops.find_sequences(tc.corpus, needles, tc.token_stats, postings=post, strategy="postings", pairs=pairs)
     return find_ops.dedup_hits(hits).select(*HIT_COLS)
