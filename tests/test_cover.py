@@ -114,3 +114,16 @@ def test_direct_joiner_tails_equal_join_loop(spark):
     loop = {(r.qid, r.start, r.depth, tuple(r.seq))
             for r in cov.tail_paths(t, cov.lattice_edges(t, tc.vocab, " ", mtl)).collect()}
     assert direct == loop and len(direct) > t.count()
+
+
+def test_shared_tails_equal_tails_per_query(spark):
+    words = ["ab", "a", "b", "c", "bc", "abc", "ca"]
+    vocab = spark.createDataFrame([(i, w, w.encode()) for i, w in enumerate(words)], "token_id int, token string, token_bytes binary")
+    merges = spark.createDataFrame([("a", "b"), ("ab", "c"), ("b", "c"), ("c", "a")], "left string, right string")
+    targets = spark.createDataFrame([(i, t, t, d) for i, (t, d) in enumerate(
+        [("abcabc", 9), ("cabc", 9), ("abc", 2), ("abc", 1), ("xbc", 9), ("", 3), ("aaab", 4)])], "qid long, target string, surface string, max_depth int")
+    for m in (None, merges):
+        want = cov.tail_paths(targets, cov.lattice_edges(targets, vocab, "", 3), m)
+        got = cov.shared_tails(targets, vocab, m)
+        key = lambda df: sorted((r.qid, r.start, r.depth, tuple(r.seq), tuple(r.toks), r.first_token or "") for r in df.collect())
+        assert key(got) == key(want)

@@ -178,6 +178,46 @@ def tail_paths(targets: DataFrame, edges: DataFrame, merges: DataFrame | None =
     return out.drop("max_depth")
 
 
+def shared_tails(targets: DataFrame, vocab: DataFrame, merges: DataFrame | None = None, joiner: str = "",
+                 max_token_len: int | None = None) -> DataFrame:
+    """J2 + J3 with the tails kept in common: the same rows as ``tail_paths``, grown over the distinct
+    remainders of all queries. What spells a remainder doesn't depend on the query it is the end of, so
+    each remainder's paths are grown once, up to the depth that any of its queries allows, and every
+    (query, start) looks its own up.
+
+    Remainders are the nodes of a graph whose edges are tokens; one equi-join on the remainder per
+    token of depth, from the empty remainder backwards, checkpointed by round."""
+    if max_token_len is None:
+        max_token_len = int(vocab.agg(F.max(F.length("token"))).first()[0] or 1)
+    s, rest = F.col("surface"), F.col("rest")
+    L = F.length(s)
+    starts = targets.select("qid", "surface", "max_depth", F.explode(F.sequence(F.lit(0), L)).alias("start")).where(
+        (F.col("start") == L) | _start_ok(s, F.col("start"), joiner))
+    starts = starts.select("qid", F.col("start").cast("int").alias("start"), F.expr("substring(surface, start + 1)").alias("rest"),
+                           "max_depth").transform(_ckpt)
+    nodes = starts.groupBy("rest").agg(F.max("max_depth").alias("deepest"))
+    cuts = F.when(F.length(rest) > 0, F.sequence(F.lit(1), F.least(F.length(rest), F.lit(max_token_len)))).otherwise(F.array().cast("array<int>"))
+    pieces = nodes.select("rest", "deepest", F.explode(cuts).alias("b")).where(_boundary_ok(rest, F.col("b"), joiner)).select(
+        "rest", "deepest", F.expr("left(rest, b)").alias("token"), _next_start(rest, F.col("b"), joiner).alias("next"))
+    edges = pieces.join(vocab.select("token", "token_id", "token_bytes"), "token").select(
+        "rest", "deepest", F.expr("substring(rest, next + 1)").alias("after"), "token", "token_id", "token_bytes").transform(_ckpt)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    frontier = nodes.where("rest = ''").select(F.lit("").alias("spelt"), F.lit(0).alias("depth"), none("int").alias("seq"), none("string").alias("toks"),
+                                               none("binary").alias("bts"), F.lit(None).cast("string").alias("first_token")).transform(_ckpt)
+    found = frontier
+    while not frontier.isEmpty():
+        e, f = edges.alias("e"), frontier.alias("f")
+        grown = e.join(f, F.col("e.after") == F.col("f.spelt")).where(F.col("f.depth") + 1 <= F.col("e.deepest") - 1)
+        grown = _not_merged(F.col("e.token"), F.col("f.first_token"), merges, grown)
+        before = lambda one, many: F.concat(F.array(F.col(one)), F.col(many))
+        frontier = grown.select(F.col("e.rest").alias("spelt"), (F.col("f.depth") + 1).alias("depth"),
+                                before("e.token_id", "f.seq").alias("seq"), before("e.token", "f.toks").alias("toks"),
+                                before("e.token_bytes", "f.bts").alias("bts"), F.col("e.token").alias("first_token")).transform(_ckpt)
+        found = found.unionByName(frontier)
+    return starts.join(found, F.col("rest") == F.col("spelt")).where((F.col("depth") == 0) | (F.col("depth") <= F.col("max_depth") - 1)).select(
+        "qid", "start", "depth", "seq", "toks", "bts", "first_token")
+
+
 def joiner_tails(targets: DataFrame, vocab: DataFrame, joiner: str) -> DataFrame:
     """J2 for a joiner vocabulary whose tokens never contain the joiner (e.g. words split on
     spaces): a tail can only be the exact tokens of the pieces from some piece to the end of S,
@@ -219,9 +259,7 @@ def tails_for(targets: DataFrame, vocab: DataFrame, merges: DataFrame | None, jo
     joiner (checked with one short job), the bounded join loop otherwise."""
     if merges is None and joiner_free(vocab, joiner):
         return joiner_tails(targets, vocab, joiner)
-    if max_token_len is None:
-        max_token_len = int(vocab.agg(F.max(F.length("token"))).first()[0] or 1)
-    return tail_paths(targets, lattice_edges(targets, vocab, joiner, max_token_len), merges)
+    return shared_tails(targets, vocab, merges, joiner, max_token_len)
 
 
 def multi_token_candidates(firsts: DataFrame, tails: DataFrame, merges: DataFrame | None = None) -> DataFrame:

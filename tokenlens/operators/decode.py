@@ -2,15 +2,27 @@
 
 Byte-level vocabularies decode by concatenating token *bytes* and decoding once
 (``make_valid_utf8`` turns split multi-byte characters into U+FFFD, as a lenient decoder does).
-Word vocabularies decode by joining token strings with a separator."""
+Word vocabularies decode by joining token strings with a separator.
+
+Texts of id arrays are decoded inside the row: the vocabulary goes to every Python worker as one array
+in the order of ids, and Arrow's kernels look a batch's ids up and join them. So a row is neither
+exploded nor shuffled. The array is read to the driver once, behind a check of its rows and bytes
+(``DENSE_ROWS``, ``DENSE_BYTES``); larger vocabularies are joined by the token id."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.strategy import checked_broadcast
 
+DENSE_ROWS, DENSE_BYTES = 4_000_000, 64 << 20
+
 
 def _vocab_side(vocab: DataFrame, bounded: bool) -> DataFrame:
     v = vocab.select("token_id", "token", "token_bytes")
@@ -27,11 +39,57 @@ def _text_of(toks: Column, part: int, joiner: str, byte_level: bool) -> Column:
     return F.array_join(F.transform(mine, lambda x: x["token"]), joiner)
 
 
+def dense_vocabulary(vocab: DataFrame, field: str) -> pa.Array | None:
+    """``field`` in the order of token ids (null where there is none), if it is small and dense enough."""
+    own = vocab.select("token_id", F.col(field).cast("binary").alias("value")).where("token_id >= 0")
+    n, last, size = own.agg(F.count(F.lit(1)), F.coalesce(F.max("token_id"), F.lit(-1)), F.coalesce(F.sum(F.length("value")), F.lit(0))).first()
+    if n > DENSE_ROWS or size > DENSE_BYTES or last >= 4 * n + 1024:
+        return None
+    found = own.toArrow()
+    at = np.full(last + 1, -1, np.int64)
+    at[found["token_id"].to_numpy()] = np.arange(n)
+    values = found["value"].combine_chunks().cast(pa.large_binary())
+    values = values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks)
+    return values.take(pa.array(at, mask=at < 0))
+
+
+def joined_tokens(ids: pa.Array, values: pa.Array, separator: bytes) -> pa.Array:
+    """Binary texts of a list column of ids; unknown ids are left out, a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+    tokens = values.take(pa.array(flat, pa.int64(), mask=(flat < 0) | (flat >= len(values)))) if len(values) else pa.nulls(len(flat), pa.large_binary())
+    known = pc.is_valid(tokens).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(sizes)])]
+    lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), tokens.drop_null())
+    return pc.binary_join(lists, pa.scalar(separator, pa.large_binary()))
+
+
 def decode_arrays(df: DataFrame, keys: list[str], arrays: list[str], vocab: DataFrame, joiner: str = " ",
                   byte_level: bool = False, suffix: str = "_text", vocab_bounded: bool = False) -> DataFrame:
-    """Add ``<array><suffix>`` text columns decoding each id-array column of ``df``.
+    """Add ``<array><suffix>`` text columns decoding each id-array column of ``df``. Ids that the
+    vocabulary lacks are left out; a null array decodes to an empty text. ``keys`` must identify rows
+    where the vocabulary is too large to decode in the row."""
+    values = dense_vocabulary(vocab, "token_bytes" if byte_level else "token")
+    if values is None:
+        return decode_arrays_by_join(df, keys, arrays, vocab, joiner, byte_level, suffix, vocab_bounded)
+    shared = df.sparkSession.sparkContext.broadcast(values)   # DENSE_BYTES at most
+    texts = [c + suffix for c in arrays]
+    schema = df.select("*", *[F.lit(b"").alias(c) for c in texts]).schema
+    separator = b"" if byte_level else joiner.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = [joined_tokens(batch.column(c), shared.value, separator).cast(pa.binary()) for c in arrays]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *joined], names=[*batch.schema.names, *texts])
+
+    out = df.mapInArrow(run, schema)
+    readable = (lambda c: F.make_valid_utf8(F.col(c).cast("string"))) if byte_level else (lambda c: F.col(c).cast("string"))
+    return out.withColumns({c: readable(c) for c in texts})
+
 
-    ``keys`` must identify rows. All arrays of a row are exploded together, joined once to the
+def decode_arrays_by_join(df: DataFrame, keys: list[str], arrays: list[str], vocab: DataFrame, joiner: str = " ",
+                          byte_level: bool = False, suffix: str = "_text", vocab_bounded: bool = False) -> DataFrame:
+    """The same by joins. ``keys`` must identify rows. All arrays of a row are exploded together, joined once to the
     vocabulary, and regrouped by the row key (a bounded group: the row's own tokens)."""
     carry = [c for c in df.columns if c not in keys]
     parts = F.array(*[F.struct(F.lit(i).alias("part"), F.col(c).alias("ids")) for i, c in enumerate(arrays)])

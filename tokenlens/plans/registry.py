@@ -13,7 +13,7 @@ from ..session import checkpoint as _ckpt
 from ..operators import find as find_ops
 from ..sources.tables import read_table
 from ..sources.wordcorpus import word_corpus
-from . import oracle_sql as Q
+from . import char_cover, oracle_sql as Q
 from .needles import passage_sequences
 
 QUERIES: dict = {}
@@ -620,7 +620,21 @@ UNION ALL SELECT qid, CAST(length(target) AS INTEGER), 0, CAST([] AS INTEGER[])
 def tail_paths(spark, sf_dir):
     """J2 + J3: token paths from each split point to the end of the query (bounded loop of joins)."""
     tc, t = _targets(spark, sf_dir)
-    return cov.tails_for(t, tc.vocab, None, tc.joiner).select("qid", "start", "depth", "seq")
+    return cov.shared_tails(t, tc.vocab, None, tc.joiner).select("qid", "start", "depth", "seq")
+
+
+@register("char_tail_paths", char_cover.TAILS_SQL)
+def char_tail_paths(spark, sf_dir):
+    """J2 + J3 with merges: all paths over a character vocabulary, no merge pair inside."""
+    t, vocab, merges = char_cover.char_cover_input(spark, sf_dir)
+    return cov.shared_tails(t, vocab, merges).select("qid", "start", "depth", "seq")
+
+
+@register("char_cover_candidates", char_cover.COVERS_SQL)
+def char_cover_candidates(spark, sf_dir):
+    """U1 + J1 + J4 with merges: first tokens, which may overhang, and tails without a merge at the seam."""
+    t, vocab, merges = char_cover.char_cover_input(spark, sf_dir)
+    return cov.cover_candidates(t, vocab, merges).select("qid", "seq")
 
 
 @register("cover_candidates", Q.with_ctes(Q.WORDS, Q.LENS, Q.TARGETS, Q.COVER, body="SELECT qid, seq FROM cand"))
@@ -719,9 +733,7 @@ def surface_form(spark, sf_dir):
 def merge_pruned_paths(spark, sf_dir):
     """J2 + J3: tails of every query's surface with merge pairs pruned at each step."""
     tc, merges, _, t = _bpe_targets(spark, sf_dir)
-    mtl = int(tc.vocab.agg(F.max(F.length("token"))).first()[0] or 1)
-    edges = cov.lattice_edges(t, tc.vocab, "", mtl)
-    return cov.tail_paths(t, edges, merges).select("qid", "start", "depth", "seq")
+    return cov.shared_tails(t, tc.vocab, merges).select("qid", "start", "depth", "seq")
 
 
 @register("roundtrip_filter")
