@@ -44,7 +44,7 @@ from .textgrams import blocks, mixed, shingle_sets
 WIDTH = 5
 #: Common columns: at most so many, found in at least LEAST_COMMON rows, counted where a unit of
 #: UNIT entries or less holds them in at least LEAST_IN_UNIT rows. They only change the order.
-MOST_COMMON, LEAST_COMMON, LEAST_IN_UNIT, UNIT = 1 << 17, 50, 3, 4_000_000
+MOST_COMMON, LEAST_COMMON, LEAST_IN_UNIT, UNIT = 1 << 18, 10, 3, 4_000_000
 PARITIES = 512
 #: A column of at most so many rows isn't cut into size classes.
 FEW_ROWS = 64
@@ -124,7 +124,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
 
 
 def common_columns(units: DataFrame) -> np.ndarray:
-    """Hashes of the most common columns, sorted: MOST_COMMON at most, a megabyte."""
+    """Hashes of the most common columns, sorted: MOST_COMMON at most, two megabytes."""
     counts = units.groupBy("h").agg(F.sum("rows").alias("rows")).where(F.col("rows") > LEAST_COMMON)
     found = counts.orderBy(F.desc("rows"), "h").limit(MOST_COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
     return np.sort(found.view(np.uint64))
@@ -139,7 +139,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int) -> DataFrame:
                 sets = shingle_sets(block, width)
                 cut = []
                 for s in sets:
-                    held = np.isin(s, common, assume_unique=True) if len(common) and len(s) else np.zeros(len(s), bool)
+                    held = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
                     ordered = np.concatenate([s[~held], s[held]]) if held.any() else s
                     cut.append(ordered[:prefix_length(len(s))] if len(s) else s)
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
