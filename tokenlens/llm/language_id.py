@@ -70,9 +70,11 @@ def training_passages(docs: DataFrame, documents_per_language: int, max_language
         "lang", F.xxhash64("doc_id", "text").alias("h"), "text")
     keys = rows.select("lang", "h")
     most = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    # the limit on the rank is applied in every task before rows meet by language
-    first = keys.join(F.broadcast(most), "lang").withColumn("k", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h)")).where(
-        F.col("k") <= documents_per_language).select("lang", "h").distinct()
+    # hashes are uniform, so the first of n lie below a small share of their range: few rows meet by language
+    share = F.col("h").cast("double") / 2.0 ** 64 + 0.5
+    few = keys.join(F.broadcast(most), "lang").where(share <= 4.0 * documents_per_language / F.col("n")).select("lang", "h").distinct()
+    first = few.withColumn("k", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h)")).where(
+        F.col("k") <= documents_per_language).select("lang", "h")
     sample = rows.join(F.broadcast(first), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
