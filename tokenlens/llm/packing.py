@@ -33,6 +33,8 @@ from .common import Scratch, documents
 from .textgrams import blocks
 
 CAPACITY, END_ID, CHUNKS = 2048, 0, 256
+#: Parts of one generation of a worker's encoder: fewer take less memory and more time.
+KEEP = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -68,7 +70,7 @@ class WordEncoder:
 
     marks = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 
-    def __init__(self, tokenizer, keep: int = 400_000):
+    def __init__(self, tokenizer, keep: int = KEEP):
         self.tokenizer, self.keep = tokenizer, keep
         self.now: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
@@ -146,14 +148,15 @@ def _packed(ids: list[int]) -> bytes:
 _encoders: dict[str, PlainEncoder | WordEncoder] = {}
 
 
-def encoder(path: str) -> PlainEncoder | WordEncoder:
+def encoder(path: str, keep: int = KEEP) -> PlainEncoder | WordEncoder:
     """One per Python worker, kept for its later tasks. Tokenizers of other rules than WORD_RULES encode
     whole texts."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
-        _encoders[path] = (WordEncoder if word_rules(tokenizer) == WORD_RULES else PlainEncoder)(tokenizer)
+        _encoders[path] = WordEncoder(tokenizer) if word_rules(tokenizer) == WORD_RULES else PlainEncoder(tokenizer)
+    _encoders[path].keep = keep
     return _encoders[path]
 
 
@@ -162,13 +165,13 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep: int = KEEP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     end, width = np.array([END_ID], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, keep)
         for batch in batches:
             doc_ids = batch.column(0)
             for block in blocks(batch.column(1)):
@@ -283,10 +286,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             .drop("slot_length", "first", "last", "sequence", "rank"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, keep: int = KEEP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     pieces = Scratch(docs.sparkSession, "packing").write(
-        tokenised_pieces(docs, tokenizer_path or word_bpe_path(), capacity), "pieces")
+        tokenised_pieces(docs, tokenizer_path or word_bpe_path(), capacity, keep), "pieces")
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
