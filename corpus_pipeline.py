@@ -33,8 +33,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: a row per piece with its sequence and offset."""
-    return packing.pack_documents(docs)
+    """Operator 7: a row per piece with its sequence and offset. Workers hold other stages' memory too, so
+    their encoder keeps fewer words than in the operator's own query."""
+    return packing.pack_documents(docs, keep=150_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_jaccard", drop_near_copies), ("mixing", mix), ("packing", pack)]
