@@ -86,6 +86,26 @@ def corpus_contract(spark, sf_dir):
     return contract_report(word_corpus(spark, sf_dir).corpus, None, FIX_SPS)
 
 
+WINDOW = 64
+
+
+@register("window_contract", Q.with_ctes(Q.WORDS, f"""
+win AS (SELECT shard, sample_index, token_ids[w * {WINDOW} + 1 : (w + 1) * {WINDOW}] AS token_ids
+        FROM (SELECT shard, sample_index, token_ids, unnest(range(0, (len(token_ids) + {WINDOW - 1}) // {WINDOW})) AS w FROM corpus)),
+rep AS (SELECT shard, CAST(count(*) AS BIGINT) AS n_samples, CAST(sum(CASE WHEN len(token_ids) <> {WINDOW} THEN 1 ELSE 0 END) AS BIGINT) AS n_bad_length,
+  CAST(sum(CASE WHEN len(list_filter(token_ids, lambda x: x < 0 OR x > 65535)) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_bad_ids,
+  min(sample_index) AS min_sample, max(sample_index) AS max_sample, CAST(sum(len(token_ids)) AS BIGINT) AS n_tokens
+  FROM win GROUP BY shard)""", body="""
+SELECT *, (min_sample = 0 AND max_sample = n_samples - 1 AND n_bad_length = 0 AND n_bad_ids = 0) AS ok FROM rep"""))
+def window_contract(spark, sf_dir):
+    """S3 on windows of a fixed length: the last window of most samples is too short."""
+    corpus = word_corpus(spark, sf_dir).corpus
+    at = F.sequence(F.lit(0), F.floor((F.size("token_ids") - 1) / WINDOW).cast("int"))
+    windows = corpus.where(F.size("token_ids") > 0).select("shard", "sample_index", F.explode(
+        F.transform(at, lambda w: F.slice("token_ids", w * WINDOW + 1, F.lit(WINDOW)))).alias("token_ids"))
+    return contract_report(windows, WINDOW)
+
+
 @register("shard_slice", Q.with_ctes(Q.WORDS, body="SELECT shard, sample_index, token_ids FROM corpus WHERE shard = 1"))
 def shard_slice(spark, sf_dir):
     """One shard, by partition pruning."""
