@@ -72,6 +72,25 @@ def test_repair_offsets_branches(spark):
     assert got == {(0, 1), (1, 1), (2, 1)}
 
 
+def test_repair_offsets_against_a_scan(spark):
+    import random
+    rng = random.Random(5)
+    ids = [1, 11, 111, 2, 12, 21]                       # ids whose digits are parts of each other
+    samples = {i: [rng.choice(ids) for _ in range(rng.randint(0, 25))] for i in range(40)}
+    reports = [(0, i, rng.choice([None, 0, 3, 9, 30]), n, [rng.choice(ids) for _ in range(rng.randint(0, 3))])
+               for n, i in enumerate(i for i in samples for _ in range(6))]
+    want = set()
+    for _, i, o, n, s in reports:
+        at = [k for k in range(len(samples[i]) - len(s) + 1) if samples[i][k:k + len(s)] == s]
+        if not at or not s:
+            continue
+        want.add((n, i, o if o in at else o - 1 if o and o - 1 in at else at[0], o))
+    rep = spark.createDataFrame(reports, "shard int, sample_index int, reported_offset int, seq_ord long, sequence array<int>")
+    got = fo.repair_offsets(rep.where("size(sequence) > 0 or reported_offset is null"), corpus_df(spark, [(0, i, t) for i, t in samples.items()]))
+    assert {(r.seq_ord, r.sample_index, r.token_offset, r.reported_offset) for r in got.collect()} == want
+    assert fo.repair_offsets(rep.limit(0), corpus_df(spark, [(0, 0, [1])])).count() == 0
+
+
 def test_planted_spans_found(spark):
     tc = word_corpus(spark, SF001)
     rows = {(r.shard, r.sample_index): list(r.token_ids) for r in tc.corpus.collect()}

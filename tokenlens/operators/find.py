@@ -7,7 +7,7 @@ arrival of the original tool and decides which sequence survives deduplication.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint as _ckpt
@@ -189,29 +189,26 @@ def repair_offsets(reported: DataFrame, corpus: DataFrame) -> DataFrame:
 
     ``reported``: ``shard, sample_index, reported_offset, seq_ord, sequence``. The reports are
     materialized once and broadcast when small (checked), so the corpus is filtered where it is
-    read. The first two checks are row expressions; the rescan for the rest is the search join
-    itself -- each pending sample exploded once, joined on its first token, slice confirmed,
-    minimum taken -- instead of a per-row loop over positions."""
-    t = F.col("token_ids")
-    o = F.col("reported_offset")
-    s = F.col("sequence")
-    rep = reported.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence").transform(_ckpt)
+    read. The first two checks are row expressions. The rest are searched in their own
+    samples only: those are picked by a semi-join before a sample is taken apart, and its positions
+    meet the first tokens of its own reports. A report
+    without an offset is searched; an empty sequence is found nowhere."""
+    t, o, s = F.col("token_ids"), F.col("reported_offset"), F.col("sequence")
+    place = ["shard", "sample_index"]
+    rep = reported.select(*place, "reported_offset", "seq_ord", "sequence").transform(_ckpt)
     rb, _ = checked_broadcast(rep)
-    j = corpus.select("shard", "sample_index", "token_ids").join(rb, ["shard", "sample_index"])
+    samples = corpus.select(*place, "token_ids")
     quick = F.when(matches_at(t, o, s), o).when((o > 0) & matches_at(t, o - 1, s), o - 1)
-    checked = j.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence",
-                       quick.cast("int").alias("token_offset")).transform(_ckpt)
-    resolved = checked.where(F.col("token_offset").isNotNull())
-    pending = checked.where(F.col("token_offset").isNull()).select(
-        F.col("shard").alias("p_shard"), F.col("sample_index").alias("p_sample"), "reported_offset", "seq_ord",
-        F.col("sequence").alias("p_seq"), F.element_at("sequence", 1).alias("head"))
+    checked = samples.join(rb, place).select(*place, "reported_offset", "seq_ord", "sequence",
+                                             quick.cast("int").alias("token_offset")).transform(_ckpt)
+    pending = checked.where(F.col("token_offset").isNull() & (F.size(s) > 0)).drop("token_offset").withColumn("head", F.get(s, 0))
+    some, _ = checked_broadcast(pending.select(*place).distinct())
     pb, _ = checked_broadcast(pending)
-    occ = corpus.select("shard", "sample_index", "token_ids", F.posexplode("token_ids").alias("pos", "tok"))
-    cond = (F.col("shard") == F.col("p_shard")) & (F.col("sample_index") == F.col("p_sample")) & (F.col("tok") == F.col("head"))
-    found = (occ.join(pb, cond).where(matches_at(F.col("token_ids"), F.col("pos"), F.col("p_seq")))
-             .groupBy("shard", "sample_index", "reported_offset", "seq_ord")
-             .agg(F.min("pos").cast("int").alias("token_offset"), F.first("p_seq").alias("sequence")))
-    fixed = resolved.unionByName(found.select("shard", "sample_index", "reported_offset", "seq_ord", "sequence",
-                                              "token_offset"))
-    return fixed.groupBy("seq_ord", "shard", "sample_index", "token_offset").agg(
+    here = samples.join(some, place, "left_semi").select(*place, "token_ids", F.posexplode("token_ids").alias("pos", "head"))
+    found = (here.join(pb, [*place, "head"]).where(matches_at(t, F.col("pos"), s))
+             .groupBy(*place, "reported_offset", "seq_ord")
+             .agg(F.min("pos").cast("int").alias("token_offset"), F.first("sequence").alias("sequence")))
+    found = found.select(*place, "reported_offset", "seq_ord", "sequence", "token_offset")
+    fixed = checked.where(F.col("token_offset").isNotNull()).unionByName(found)
+    return fixed.groupBy("seq_ord", *place, "token_offset").agg(
         F.first("sequence").alias("sequence"), F.min("reported_offset").alias("reported_offset"))
