@@ -59,3 +59,75 @@ def test_fact_grid_quarantine_and_resume(spark, tmpdir_path):
     assert len(rows) == 56 and all(r.tokens and r.perplexity > 1 for r in rows)
     again, _ = fs.run_fact_grid(spark, facts, bigram_scorer(tc.corpus, 2000), tc.vocab, tj, out)
     assert again.count() == res.count()
+
+
+def _steps(spark, *steps):
+    return spark.createDataFrame([(s,) for s in steps], "step int")
+
+
+def test_a_failing_step_leaves_the_others_and_is_tried_again(spark, tmpdir_path):
+    from tokenlens.operators.step_log import read_log, run_steps
+    out, calls, broken = tmpdir_path + "/steps", [], {3}
+
+    def compute(steps):
+        asked = sorted(r.step for r in steps.collect())
+        calls.append(asked)
+
+        def rows(batches):
+            for b in batches:
+                if broken & set(b["step"]):
+                    raise ValueError("no checkpoint")
+                yield b[b["step"] != 2].assign(x=1.5)          # step 2 finishes without rows
+        return steps.mapInPandas(rows, "step int, x double")
+
+    schema = "step int, x double"
+    got = run_steps(_steps(spark, 1, 2, 3, 4, 5), compute, out, schema)
+    assert sorted(r.step for r in got.collect()) == [1, 4, 5]
+    log = {r.step: (r.status, r.n_rows) for r in read_log(spark, out).collect()}
+    assert log == {1: ("done", 1), 2: ("done", 0), 3: ("failed", 0), 4: ("done", 1), 5: ("done", 1)}
+    assert "no checkpoint" in read_log(spark, out).where("step = 3").first().error
+    # the next run takes up the failed step and new ones only, not the empty one
+    broken.clear()
+    calls.clear()
+    got = run_steps(_steps(spark, 1, 2, 3, 4, 5, 6), compute, out, schema)
+    assert calls == [[3, 6]] and sorted(r.step for r in got.collect()) == [1, 3, 4, 5, 6]
+    calls.clear()
+    assert run_steps(_steps(spark, 1, 2, 6), compute, out, schema).count() == 5 and calls == []
+
+
+def test_only_empty_steps(spark, tmpdir_path):
+    from tokenlens.operators.step_log import read_log, run_steps
+    out = tmpdir_path + "/steps"
+    got = run_steps(_steps(spark, 1, 2), lambda s: s.where("false").selectExpr("step", "1.0D AS x"), out, "step int, x double")
+    assert got.count() == 0 and read_log(spark, out).where("status = 'done' and n_rows = 0").count() == 2
+
+
+def test_a_checkpoint_is_loaded_once_for_its_positions(spark):
+    from tokenlens.operators.scorer import checkpoint_scorer, matrix_state
+    loads = spark.sparkContext.accumulator(0)
+
+    def load(rows):
+        loads.add(1)
+        return matrix_state(rows)
+
+    states = spark.createDataFrame([(s, t, [float(s + t * v) / 7 for v in range(4)]) for s in (1, 2) for t in range(3)],
+                                   "step int, token_id int, logits array<double>")
+    rows = [(s, f, p, (f + p) % 4, (f * p) % 5) for s in (1, 2, 3) for f in range(20) for p in range(30)]
+    positions = spark.createDataFrame(rows, "step int, fact_id int, pos int, token_id int, target int")
+
+    def check(scored):
+        got = {(r.step, r.fact_id, r.pos): (r.target_logit, r.log_norm) for r in scored.collect()}
+        assert len(got) == len(rows)
+        for s, f, p, t, want in rows:
+            if s == 3 or t == 3 or want == 4:               # no state, unknown token, target outside
+                assert got[s, f, p] == (None, None)
+                continue
+            logits = [float(s + t * v) / 7 for v in range(4)]
+            assert abs(got[s, f, p][0] - logits[want]) < 1e-12
+            assert abs(got[s, f, p][1] - math.log(sum(map(math.exp, logits)))) < 1e-12
+
+    check(checkpoint_scorer(states, load)(positions))
+    assert loads.value == 2
+    check(checkpoint_scorer(states, load, rows_per_group=100, block=7)(positions))
+    assert loads.value == 2 + 2 * 6                       # 600 positions a step: six parts of it
+    assert checkpoint_scorer(states, load)(positions.limit(0)).count() == 0

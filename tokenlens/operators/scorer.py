@@ -16,11 +16,16 @@ exactly, without building vocabulary-wide vectors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..plans.strategy import checked_broadcast
+from ..session import ship_package
 
 
 def bigram_counts(corpus: DataFrame) -> DataFrame:
@@ -51,3 +56,59 @@ def bigram_scorer(corpus: DataFrame, vocab_size: int):
                         F.log(F.lit(vocab_size) + F.coalesce(F.col("t.t"), F.lit(0))).alias("log_norm"))
 
     return score
+
+
+def matrix_state(rows: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
+    """State of one checkpoint from its rows ``token_id, logits``: ids to rows of logits (NaN for
+    ids that it doesn't know)."""
+    known = rows.column("token_id").to_numpy()
+    order = np.argsort(known, kind="stable")
+    vectors = np.array(rows.column("logits").to_pylist(), float).reshape(len(known), -1)[order]
+    known = known[order]
+
+    def logits(ids: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.full((len(ids), 1), np.nan)
+        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        return np.where((known[at] == ids)[:, None], vectors[at], np.nan)
+    return logits
+
+
+def checkpoint_scorer(states: DataFrame, load: Callable[[pa.Table], Callable[[np.ndarray], np.ndarray]] = matrix_state,
+                      rows_per_group: int = 100_000, block: int = 256):
+    """Scorer of dense models: ``load`` makes a checkpoint's model of the rows of ``states`` with its
+    ``step``, and the model gives a matrix of logits, a row for each id.
+
+    Positions are grouped by step and meet the state there, so a state is loaded once for all
+    positions of its step; a step with more than ``rows_per_group`` positions is split, and its state
+    loaded once a part. Logits live for ``block`` positions in the worker: what leaves it is the
+    target's logit and the log-partition. Positions whose token or target the model doesn't know, or
+    whose step has no state, get nulls."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        target, norm = np.full(left.num_rows, np.nan), np.full(left.num_rows, np.nan)
+        model = load(right) if left.num_rows and right.num_rows else None
+        ids, wanted = left.column("token_id").to_numpy(), left.column("target").to_numpy()
+        for i in range(0, left.num_rows if model else 0, block):
+            logits = model(ids[i:i + block])
+            want = wanted[i:i + block]
+            known = (want >= 0) & (want < logits.shape[1])
+            top = logits.max(1)
+            target[i:i + block] = np.where(known, logits[np.arange(len(logits)), np.where(known, want, 0)], np.nan)
+            norm[i:i + block] = top + np.log(np.exp(logits - top[:, None]).sum(1))
+        out = left.drop_columns(["part"])
+        for name, x in (("target_logit", target), ("log_norm", norm)):
+            out = out.append_column(name, pa.array(x, pa.float64(), mask=np.isnan(target)))
+        return out
+
+    def score(positions: DataFrame) -> DataFrame:
+        ship_package(positions.sparkSession)
+        parts = positions.groupBy("step").agg(F.ceil(F.count(F.lit(1)) / rows_per_group).cast("int").alias("parts"))
+        pb, _ = checked_broadcast(parts)                              # a row per step
+        names = positions.columns
+        dealt = positions.join(pb, "step").select(*names, F.pmod(F.xxhash64("fact_id", "pos"), F.col("parts")).cast("int").alias("part"))
+        copies = states.join(pb, "step").select(*states.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        schema = ", ".join(f"{n} {t}" for n, t in positions.dtypes) + ", target_logit double, log_norm double"
+        return dealt.groupBy("step", "part").cogroup(copies.groupBy("step", "part")).applyInArrow(run, schema)
+
+    return score

@@ -16,7 +16,7 @@ from ..operators import facts as fact_ops
 from ..operators.encode import encode_texts
 from ..operators.surprisal import log_sum_exp
 from ..plans.strategy import checked_broadcast
-from ..session import path_exists
+from ..operators.step_log import run_steps
 
 STATS_SCHEMA = ("fact_id int, total_surprisal double, avg_surprisal double, perplexity double, "
                 "token_surprisals array<double>, tokens array<string>, prefix string, suffix string, "
@@ -70,19 +70,18 @@ def completion_stats(checked: DataFrame, steps: DataFrame, scorer, vocab: DataFr
 
 def run_fact_grid(spark: SparkSession, facts: DataFrame, scorer, vocab: DataFrame, tok_json: str, out_path: str,
                   variant: str = C.FACT_VARIANT) -> tuple[DataFrame, DataFrame]:
-    """Compute and write the steps that have no result yet; return (all results, quarantine)."""
+    """Compute and write the steps that are not finished; return (all results, quarantine). A step
+    that fails is recorded in the log beside ``out_path`` and tried again by the next run."""
     checked = check_boundaries(tokenize_facts(facts, tok_json)).transform(_ckpt)
     grid_steps = spark.range(1).select(F.explode(fact_ops.steps_column()).alias("step"))
-    done = fact_ops.read_step_results(spark, out_path, STATS_SCHEMA) if path_exists(spark, out_path) else None
-    todo = fact_ops.remaining_steps(grid_steps, done)
-    if not todo.isEmpty():
-        stats = completion_stats(checked, todo, scorer, vocab)
-        fb, _ = checked_broadcast(checked.select("fact_id", "prefix", "suffix"))
-        stats = stats.join(fb, "fact_id").select(
+    fb, _ = checked_broadcast(checked.select("fact_id", "prefix", "suffix"))
+
+    def compute(steps: DataFrame) -> DataFrame:
+        return completion_stats(checked, steps, scorer, vocab).join(fb, "fact_id").select(
             "fact_id", "total_surprisal", "avg_surprisal", "perplexity", "token_surprisals", "tokens", "prefix", "suffix",
             F.lit(variant).alias("variant"), "step")
-        fact_ops.write_step_results(stats, out_path)
-    results = spark.read.schema(STATS_SCHEMA).json(out_path)
+
+    results = run_steps(grid_steps, compute, out_path, STATS_SCHEMA)
     quarantine = checked.where(F.col("reason").isNotNull()).select("fact_id", "prefix", "suffix", "reason")
     return results, quarantine
 

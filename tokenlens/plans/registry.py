@@ -6,7 +6,7 @@ each key that has an exact SQL equivalent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint as _ckpt
@@ -686,7 +686,6 @@ SELECT qid, CAST(rk AS INTEGER) AS rank, seq, toks AS tokens, decoded FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len(seq), seq) AS rk FROM mini) WHERE rk <= 10"""))
 def top_sequences(spark, sf_dir):
     """T4: the first ten minimal sequences of every query, with tokens and decoded text."""
-    from pyspark.sql import Window
     tc, t = _targets(spark, sf_dir)
     m = srch.minimal_covers(tc, t, with_text=True)
     w = Window.partitionBy("qid").orderBy(F.size("seq"), F.col("seq"))
@@ -795,6 +794,62 @@ def fact_stats_bpe(spark, sf_dir):
     return _fact_run(spark, sf_dir)[0]
 
 
+CHECKPOINTS_SQL = """
+em AS (SELECT vec_id, CAST(vec_id // 8 AS BIGINT) AS text_id, vec_id % 8 AS pos, label, embedding FROM embeddings),
+st AS (SELECT unnest([0, 1000, 2000, 3000, 4000]) AS step),
+el AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM em),
+sm AS (SELECT step, label, d, avg(CAST(x AS DOUBLE)) AS x FROM el JOIN st ON vec_id % 4 < step // 1000 GROUP BY step, label, d),
+sn AS (SELECT step, label, ln(sum(exp(x))) AS z FROM sm GROUP BY step, label),
+ps AS (SELECT text_id, label, lead(label) OVER (PARTITION BY text_id ORDER BY pos) AS target FROM em),
+sc AS (SELECT sm.step, ps.text_id, CAST(count(*) AS BIGINT) AS n, sum(sn.z - sm.x) AS total_surprisal
+       FROM ps JOIN sn ON sn.label = ps.label JOIN sm ON sm.step = sn.step AND sm.label = ps.label AND sm.d = ps.target + 1
+       GROUP BY sm.step, ps.text_id)"""
+
+
+def _checkpoint_run(spark, sf_dir):
+    """Checkpoint ``1000 k`` has seen k of four quarters of the vectors; its logits after a token are
+    the mean of that label's vectors. Checkpoint 0 has seen nothing: a finished step without rows."""
+    from ..operators.scorer import checkpoint_scorer
+    from ..operators.step_log import run_steps
+    from ..session import fingerprint
+    vectors = read_table(spark, sf_dir, "embeddings")
+    sums = (vectors.select(F.pmod("vec_id", F.lit(4)).alias("quarter"), F.col("label").cast("int").alias("token_id"),
+                           F.posexplode("embedding").alias("d", "x"))
+            .groupBy("quarter", "token_id", "d").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("x").alias("n")))
+    seen = F.transform(F.sequence(F.col("quarter") + 1, F.lit(4)), lambda k: (k * 1000).cast("int"))
+    means = (sums.withColumn("step", F.explode(seen)).groupBy("step", "token_id", "d").agg((F.sum("s") / F.sum("n")).alias("x")))
+    states = (means.groupBy("step", "token_id").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
+              .select("step", "token_id", F.col("v.x").alias("logits"))).transform(_ckpt)
+    w = Window.partitionBy("text_id").orderBy("pos")
+    texts = logits_table(spark, sf_dir).select(F.col("text_id").alias("fact_id"), "pos", "token_id", F.lead("token_id").over(w).alias("target"))
+    score = checkpoint_scorer(states)
+
+    def compute(steps):
+        wanted = F.array(*[F.lit(r.step) for r in steps.collect()])                               # five steps
+        positions = texts.where(F.col("target").isNotNull()).select("*", F.explode(wanted).alias("step"))
+        scored = score(positions).where(F.col("target_logit").isNotNull())
+        return scored.groupBy("step", F.col("fact_id").alias("text_id")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("log_norm") - F.col("target_logit")).alias("total_surprisal"))
+
+    out = f"{shared_dir(spark)}/tokenlens/checkpoint_scores/{fingerprint(spark, sf_dir.rstrip('/') + '/embeddings.parquet')}"
+    steps = spark.createDataFrame([(1000 * k,) for k in range(5)], "step int")
+    return run_steps(steps, compute, out, "step int, text_id long, n long, total_surprisal double"), out
+
+
+@register("checkpoint_scores", Q.with_ctes(CHECKPOINTS_SQL, body="SELECT step, text_id, n, round(total_surprisal, 6) AS total_surprisal FROM sc"))
+def checkpoint_scores(spark, sf_dir):
+    """F2 + K6: surprisal of every text under dense checkpoints, each loaded once for its positions."""
+    return _checkpoint_run(spark, sf_dir)[0].select("step", "text_id", "n", _r(F.col("total_surprisal")).alias("total_surprisal"))
+
+
+@register("checkpoint_log", Q.with_ctes(CHECKPOINTS_SQL, body="""
+SELECT st.step, 'done' AS status, CAST(count(sc.text_id) AS BIGINT) AS n_rows FROM st LEFT JOIN sc USING (step) GROUP BY st.step"""))
+def checkpoint_log(spark, sf_dir):
+    """K6 + P21: the commit log of the same run, the empty step included."""
+    from ..operators.step_log import read_log
+    return read_log(spark, _checkpoint_run(spark, sf_dir)[1]).select("step", "status", "n_rows")
+
+
 @register("boundary_check_bpe")
 def boundary_check_bpe(spark, sf_dir):
     """P19 with tokenizer offsets: conversation turns split at their middle character."""
