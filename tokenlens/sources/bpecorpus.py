@@ -9,12 +9,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.encode import encode_texts
 from ..session import apply_runtime_conf, fingerprint, is_done, mark_done, materialize, shared_dir
-from .corpus import read_corpus, write_corpus
-from .tables import table_path
+from .corpus import by_shard, read_corpus, write_whole_shards
+from .tables import read_table, table_path
 from .vocab import load_tokenizer_tables, tokenizer_json, tokenizer_key
 from .wordcorpus import DEFAULT_SAMPLES_PER_SHARD, TokenCorpus, token_stats_of
 
@@ -35,13 +34,8 @@ def bpe_corpus(spark: SparkSession, sf_dir: str, tokenizer_path: str = FIXTURE_T
     merges = materialize(merges, f"{root}/merges")
     corpus_path = f"{root}/corpus"
     if not is_done(spark, corpus_path):
-        docs = spark.read.parquet(src).select("doc_id", "text")
-        n = max(spark.sparkContext.defaultParallelism, 1)
-        enc = encode_texts(docs.repartition(n), ["doc_id"], "text", tj)
-        corpus = enc.select(F.floor(F.col("doc_id") / samples_per_shard).cast("int").alias("shard"),
-                            F.pmod(F.col("doc_id"), F.lit(samples_per_shard)).cast("int").alias("sample_index"),
-                            F.col("ids").alias("token_ids"))
-        write_corpus(corpus, corpus_path)
+        docs = by_shard(read_table(spark, sf_dir, "documents").select("doc_id", "text"), samples_per_shard)
+        write_whole_shards(encode_texts(docs, ["shard", "sample_index"], "text", tj, out="token_ids"), corpus_path)
         mark_done(spark, corpus_path)
     corpus = read_corpus(spark, corpus_path)
     stats = materialize(token_stats_of(corpus), f"{root}/token_stats")

@@ -72,6 +72,22 @@ def write_corpus(df: DataFrame, path: str, num_partitions: int | None = None, ma
     )
 
 
+def by_shard(docs: DataFrame, samples_per_shard: int, id_col: str = "doc_id") -> DataFrame:
+    """``shard, sample_index`` and the other columns of ``docs``, all rows of a shard in one task."""
+    rest = [c for c in docs.columns if c != id_col]
+    return docs.select(F.floor(F.col(id_col) / samples_per_shard).cast("int").alias("shard"),
+                       F.pmod(F.col(id_col), F.lit(samples_per_shard)).cast("int").alias("sample_index"), *rest).repartition("shard")
+
+
+def write_whole_shards(df: DataFrame, path: str, max_records_per_file: int = 200_000) -> None:
+    """Write a corpus whose shards are each in one task already (:func:`by_shard`, then any work within
+    the rows): like :func:`write_corpus`, but tokens are sorted locally and not shuffled, and the plan
+    above runs once (a range partitioning samples it first)."""
+    (df.select("shard", "sample_index", "token_ids").sortWithinPartitions("shard", "sample_index").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", max_records_per_file)
+     .partitionBy("shard").parquet(path))
+
+
 def ingest_token_shards(spark: SparkSession, raw_dir: str, out_path: str, max_records_per_file: int = 200_000) -> DataFrame:
     """S1 -> K1 without a shuffle: every raw file holds one shard with its samples in order, so
     each read task writes its own rows into its shard's folder after a local sort; no corpus-wide

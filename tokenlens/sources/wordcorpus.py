@@ -53,14 +53,13 @@ def lookup_ids(occ: DataFrame, vocab: DataFrame, word_col: str = "word") -> Data
 
 
 def token_stats_of(corpus: DataFrame) -> DataFrame:
-    """Occurrences and containing samples per token id. The first aggregation collapses a sample's
-    repeats inside the task that read it (partial aggregation) before anything is shuffled."""
-    per_sample = (
-        corpus.select("shard", "sample_index", F.explode("token_ids").alias("token_id"))
-        .groupBy("token_id", "shard", "sample_index")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    return per_sample.groupBy("token_id").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_samples"))
+    """Occurrences and containing samples per token id. A sample is one row, so its first occurrence of
+    a token is told inside the row, in the order of ids: the shuffle carries a row per token and task,
+    not one per token and sample."""
+    occ = corpus.select(F.sort_array("token_ids").alias("s")).select("s", F.posexplode("s").alias("i", "token_id"))
+    first = (F.col("i") == 0) | (F.get("s", F.col("i") - 1) != F.col("token_id"))
+    return occ.select("token_id", first.cast("long").alias("first")).groupBy("token_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("first").alias("n_samples"))
 
 
 def build_word_corpus(spark: SparkSession, documents: DataFrame, root: str, samples_per_shard: int) -> TokenCorpus:
