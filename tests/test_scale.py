@@ -42,3 +42,22 @@ def test_token_counts_shuffle_no_row_per_sample(spark):
     want = {t: (sum(r[2].count(t) for r in rows), sum(t in r[2] for r in rows)) for t in range(6)}
     assert _plan(stats).count("Exchange") == 1
     assert {r.token_id: (r.n, r.n_samples) for r in stats.collect()} == want
+
+
+def test_only_rare_words_leave_their_text(spark, monkeypatch, tmpdir_path):
+    """Frequent words are looked up in the text, the others joined: the same corpus for any bound."""
+    texts = {0: "a b a  c é", 1: "", 7: None, 102: "b b zz a", 205: " a", 206: "a b " * 30 + "once", 207: "c"}
+    docs = spark.createDataFrame([*texts.items(), (207, "b c a")], "doc_id long, text string")   # one id twice
+    words = sorted({w for r in docs.collect() if r.text is not None for w in r.text.split(" ")}, key=str.encode)
+    want = {}
+    for r in docs.collect():
+        if r.text is not None:
+            want.setdefault((r.doc_id // 100, r.doc_id % 100), []).extend((i, words.index(w)) for i, w in enumerate(r.text.split(" ")))
+    want = {k: [t for _, t in sorted(v)] for k, v in want.items()}
+    for k, (rows, chars) in enumerate([(0, 1 << 20), (2, 8), (4, 1 << 20), (1 << 18, 8)]):
+        monkeypatch.setattr(wordcorpus, "FREQUENT_ROWS", rows)
+        monkeypatch.setattr(wordcorpus, "SLICE_CHARS", chars)
+        tc = wordcorpus.build_word_corpus(spark, docs, f"{tmpdir_path}/{k}", 100)
+        got = [((r.shard, r.sample_index), list(r.token_ids)) for r in tc.corpus.collect()]
+        assert len(got) == len(want) and dict(got) == want
+        assert [r.token for r in tc.vocab.orderBy("token_id").collect()] == words

@@ -14,6 +14,8 @@ VOCAB = T.StructType([
     T.StructField("token_bytes", T.BinaryType(), True),
 ])
 
+COUNTED_VOCAB = T.StructType([*VOCAB.fields, T.StructField("n", T.LongType(), False)])
+
 MERGES = T.StructType([
     T.StructField("rank", T.IntegerType(), False),
     T.StructField("left", T.StringType(), False),

@@ -6,23 +6,33 @@ This is the corpus the search operators are checked on: ``shard = doc_id div P``
 
 The build is the analogue of the original's one-time corpus build: it runs once per input file
 version and its tables are written under the shared checkpoint folder.
-"""
+
+Occurrences are not shuffled, but for the rare words'. The frequent words (most occurrences, at most
+``FREQUENT_ROWS`` words and ``FREQUENT_BYTES``) go to every worker and are looked up where a text is
+split; occurrences of all other words are joined to the vocabulary and meet their text in its shard's
+task. A vocabulary within the bounds has no rare words."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.ranking import dense_ids
-from ..plans.strategy import checked_broadcast
 from ..session import apply_runtime_conf, fingerprint, is_done, mark_done, materialize, shared_dir
-from .corpus import read_corpus, write_corpus
-from .tables import table_path
+from .corpus import by_shard, read_corpus, write_whole_shards
+from .tables import read_table, table_path
 
 DEFAULT_SAMPLES_PER_SHARD = 100
+FREQUENT_ROWS, FREQUENT_BYTES = 1 << 18, 16 << 20
+# Texts are split for about so many characters at a time.
+SLICE_CHARS = 1 << 22
 
 
 @dataclass
@@ -44,12 +54,64 @@ def word_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split_words(text_col)).alias("pos", "word"))
 
 
-def lookup_ids(occ: DataFrame, vocab: DataFrame, word_col: str = "word") -> DataFrame:
-    """Attach ``token_id`` to word occurrences. The vocabulary is broadcast only when its row
-    count is under the checked bound; otherwise a shuffle join on the word, where AQE splits
-    partitions of very frequent words."""
-    v, _ = checked_broadcast(vocab.select(F.col("token").alias(word_col), "token_id"))
-    return occ.join(v, word_col, "left")
+def frequent_from(words: DataFrame) -> int:
+    """The power of two from which on a word (``token_bytes, n``) counts as frequent: the smallest with
+    at most ``FREQUENT_ROWS`` such words of ``FREQUENT_BYTES`` in all. One row per power is read."""
+    by_power = words.groupBy((F.length(F.bin("n")) - 1).alias("power")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.length("token_bytes")).alias("size")).collect()
+    rows = size = 0
+    for r in sorted(by_power, key=lambda r: -r.power):
+        rows, size = rows + r.rows, size + r["size"]
+        if rows > FREQUENT_ROWS or size > FREQUENT_BYTES:
+            return 1 << (r.power + 1)
+    return 1
+
+
+def token_arrays(samples: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``shard, sample_index, token_ids`` of ``shard, sample_index, texts, rare``: ids of the frequent words
+    (``token, token_id``, within the bounds above) looked up in the texts, ``rare`` (``pos, token_id``)
+    put into their places. Texts under one id are merged by position, then id."""
+    known = frequent.select("token", "token_id").toArrow()
+    shared = samples.sparkSession.sparkContext.broadcast(
+        (known["token"].combine_chunks().cast(pa.large_string()), known["token_id"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ids = shared.value
+        for batch in batches:
+            for part in _parts(batch):
+                texts, rare = part.column("texts"), part.column("rare")
+                per_row = np.diff(texts.offsets.to_numpy())
+                words = pc.split_pattern(pc.list_flatten(texts).cast(pa.large_string()), " ")
+                n = pc.list_value_length(words).to_numpy().astype(np.int64)
+                ends = np.cumsum(n)
+                at = pc.fill_null(pc.index_in(pc.list_flatten(words), tokens), -1).to_numpy()
+                found = at >= 0
+                row = np.repeat(np.repeat(np.arange(len(per_row)), per_row), n)[found]
+                pos = (np.arange(len(at)) - np.repeat(ends - n, n))[found]
+                more = pc.list_flatten(rare)
+                row = np.concatenate([row, np.repeat(np.arange(len(per_row)), np.diff(rare.offsets.to_numpy()))])
+                pos = np.concatenate([pos, pc.struct_field(more, "pos").to_numpy()]).astype(np.int64)
+                tid = np.concatenate([ids[at[found]], pc.struct_field(more, "token_id").to_numpy()]).astype(np.int32)
+                place = row << 32 | pos
+                order = np.argsort(place, kind="stable") if (per_row <= 1).all() else np.lexsort((tid, place))
+                starts = np.searchsorted(row[order], np.arange(len(per_row) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("shard"), part.column("sample_index"), pa.ListArray.from_arrays(pa.array(starts), pa.array(tid[order]))],
+                    names=["shard", "sample_index", "token_ids"])
+
+    return samples.mapInArrow(run, "shard int, sample_index int, token_ids array<int>")
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` cut into runs of rows with about ``SLICE_CHARS`` characters of texts."""
+    texts = batch.column("texts")
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(pc.list_flatten(texts)).to_numpy(), dtype=np.int64)])
+    ends, start = sizes[texts.offsets.to_numpy()[1:] - texts.offsets[0].as_py()], 0    # of each row
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def token_stats_of(corpus: DataFrame) -> DataFrame:
@@ -66,25 +128,28 @@ def build_word_corpus(spark: SparkSession, documents: DataFrame, root: str, samp
     occ = word_occurrences(documents)
     vocab_path = f"{root}/vocab"
     if not is_done(spark, vocab_path):
-        distinct_words = occ.select(F.col("word").alias("token")).distinct()
-        vocab = dense_ids(distinct_words, "token", "token_id", id_type="int").select(
-            "token", "token_id", F.encode("token", "UTF-8").alias("token_bytes")
-        )
+        counted = occ.groupBy(F.col("word").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+        vocab = dense_ids(counted, "token", "token_id", id_type="int").select(
+            "token", "token_id", F.encode("token", "UTF-8").alias("token_bytes"), "n")
         vocab.write.mode("overwrite").parquet(vocab_path)
         mark_done(spark, vocab_path)
     vocab = spark.read.schema(schemas.VOCAB).parquet(vocab_path)
 
     corpus_path = f"{root}/corpus"
     if not is_done(spark, corpus_path):
-        ids = lookup_ids(occ, vocab)
-        # One group per document (a bounded unit); positions restore token order.
-        per_doc = ids.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("p"))
-        corpus = per_doc.select(
-            F.floor(F.col("doc_id") / samples_per_shard).cast("int").alias("shard"),
-            F.pmod(F.col("doc_id"), F.lit(samples_per_shard)).cast("int").alias("sample_index"),
-            F.transform("p", lambda x: x["token_id"]).alias("token_ids"),
-        )
-        write_corpus(corpus, corpus_path)
+        words = spark.read.schema(schemas.COUNTED_VOCAB).parquet(vocab_path)
+        least = frequent_from(words)
+        frequent = words.where(F.col("n") >= least)
+        rare = occ.join(F.broadcast(frequent.select(F.col("token").alias("word"))), "word", "left_anti").join(
+            words.where(F.col("n") < least).select(F.col("token").alias("word"), "token_id"), "word")
+        nothing = F.lit(None)
+        rows = documents.where("text IS NOT NULL").select("doc_id", "text", nothing.cast("struct<pos:int,token_id:int>").alias("rare"))
+        if least > 1:
+            rows = rows.unionByName(rare.select("doc_id", nothing.cast("string").alias("text"), F.struct("pos", "token_id").alias("rare")))
+        # the texts and rare occurrences of a sample meet once, in the task of its shard
+        samples = by_shard(rows, samples_per_shard).groupBy("shard", "sample_index").agg(
+            F.collect_list("text").alias("texts"), F.collect_list("rare").alias("rare"))
+        write_whole_shards(token_arrays(samples, frequent), corpus_path)
         mark_done(spark, corpus_path)
     corpus = read_corpus(spark, corpus_path)
 
@@ -98,12 +163,12 @@ def word_corpus(spark: SparkSession, sf_dir: str, samples_per_shard: int = DEFAU
     forces another folder (the benchmark uses a fresh one to time a cold build)."""
     apply_runtime_conf(spark)
     src = table_path(sf_dir, "documents")
-    key = fingerprint(spark, src, extra=f"words:{samples_per_shard}:v2")
+    key = fingerprint(spark, src, extra=f"words:{samples_per_shard}:v3")
     root = root or f"{shared_dir(spark)}/tokenlens/word_corpus/{key}"
     memo = (id(spark), root)
     if memo in _OPENED and is_done(spark, f"{root}/token_stats"):
         return _OPENED[memo]
-    docs = spark.read.parquet(src).select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     tc = build_word_corpus(spark, docs, root, samples_per_shard)
     _OPENED[memo] = tc
     return tc
