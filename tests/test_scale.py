@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from conftest import SF001, corpus_df, seqs_df
 from tokenlens.operators import encode
+from tokenlens.operators import find as fo
 from tokenlens.sources import wordcorpus
 from tokenlens.sources.bpecorpus import FIXTURE_TOKENIZER
 from tokenlens.sources.vocab import tokenizer_json
@@ -61,3 +62,19 @@ def test_only_rare_words_leave_their_text(spark, monkeypatch, tmpdir_path):
         got = [((r.shard, r.sample_index), list(r.token_ids)) for r in tc.corpus.collect()]
         assert len(got) == len(want) and dict(got) == want
         assert [r.token for r in tc.vocab.orderBy("token_id").collect()] == words
+
+
+def test_hits_are_deduplicated_in_their_sample(spark):
+    """The same hits as by location over all of them, without a shuffle."""
+    rnd = np.random.default_rng(11)
+    corpus = corpus_df(spark, [(s, i, rnd.integers(0, 3, 25).tolist()) for s in range(2) for i in range(4)])
+    seqs = [[0, 1, 2], [1], [1, 2], [0, 1], [2, 2, 1, 0], [2, 2], [0, 1], [2], [1, 1, 1], [0, 1, 2, 0], [9]]
+    for order in (seqs, seqs[::-1]):
+        key = ["shard", "sample_index", "token_offset", "seq_ord"]
+        needles, stats = seqs_df(spark, order), wordcorpus.token_stats_of(corpus)
+        raw = fo.find_sequences(corpus, needles, stats, context_len=2)
+        want = sorted(map(str, fo.dedup_hits(raw).collect()))
+        marked = fo.dedup_hits(fo.find_sequences(corpus, needles, stats, context_len=2, mark_first=True))
+        assert marked.columns == fo.dedup_hits(raw).columns and "Exchange hash" not in _plan(marked)
+        assert sorted(map(str, marked.collect())) == want and raw.count() > len(want)
+        assert len({tuple(r) for r in marked.select(*key[:3]).collect()}) == len(want)

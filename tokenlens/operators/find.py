@@ -53,19 +53,39 @@ def choose_anchors(sequences: DataFrame, token_stats: DataFrame | None, n_tokens
     )
 
 
-def prepare_needles(sequences: DataFrame, token_stats: DataFrame | None) -> tuple[DataFrame, int]:
+def prepare_needles(sequences: DataFrame, token_stats: DataFrame | None, mark_first: bool = False) -> tuple[DataFrame, int]:
     """Anchored needle table, checkpointed once into the shared folder, and its row count.
 
     The search input is small next to the corpus but is read several times (size check,
     broadcast); materializing it once keeps its derivation from running per use."""
     needles = choose_anchors(sequences, token_stats).transform(_ckpt)
+    if mark_first:
+        needles = earlier_sequences(needles).transform(_ckpt)
     return needles, needles.count()
 
 
+def earlier_sequences(needles: DataFrame) -> DataFrame:
+    """``needles`` and what decides the deduplication by location beforehand. Sequences that match at one
+    location begin alike, so a hit gives way to an earlier sequence that is a beginning of its own or
+    equal wherever it occurs (``never_first``), or to an earlier longer one that begins with it where
+    that one occurs too (``earlier``: these sequences). One row per beginning of a needle is joined."""
+    heads = needles.select(F.col("seq_ord").alias("other_ord"), F.col("seq").alias("other"),
+                           F.explode(F.sequence(F.lit(1), F.size("seq"))).alias("k")).select(
+        "other_ord", "other", F.slice("other", F.lit(1), F.col("k")).alias("seq"))
+    longer = needles.select("seq_ord", "seq").join(heads.where(F.size("other") > F.size("seq")), "seq").where(
+        F.col("other_ord") < F.col("seq_ord")).groupBy("seq_ord").agg(F.collect_set("other").alias("earlier"))
+    shorter = heads.select(F.col("other_ord").alias("seq_ord"), "seq").join(
+        needles.select(F.col("seq_ord").alias("short_ord"), "seq"), "seq").where(
+        F.col("short_ord") < F.col("seq_ord")).select("seq_ord", F.lit(True).alias("never_first")).distinct()
+    return needles.join(longer, "seq_ord", "left").join(shorter, "seq_ord", "left").withColumn(
+        "never_first", F.coalesce("never_first", F.lit(False)))
+
+
 def find_sequences_scan(corpus: DataFrame, needles: DataFrame, context_len: int = 0, n_needles: int | None = None) -> DataFrame:
     """Strategy 1 (one pass over the corpus, no shuffle): every position is joined to the
     broadcast needle table on the anchor token, and the residual ``slice = seq`` confirms.
-    Context slices are cut in the same stage while the sample's array is at hand."""
+    Context slices are cut in the same stage while the sample's array is at hand. Needles with
+    :func:`earlier_sequences` give hits with ``first_here``, false where deduplication drops them."""
     occ = corpus.select("shard", "sample_index", "token_ids", F.posexplode("token_ids").alias("pos", "tok"))
     nd, ok = checked_broadcast(needles, known_rows=n_needles)
     if not ok:
@@ -77,6 +97,9 @@ def find_sequences_scan(corpus: DataFrame, needles: DataFrame, context_len: int
     if context_len > 0:
         b, m, a = context_slices(F.col("token_ids"), F.col("token_offset"), F.col("n"), context_len)
         cols += [b.alias("before_ids"), m.alias("match_ids"), a.alias("after_ids")]
+    if "never_first" in needles.columns:
+        beaten = F.coalesce(F.exists("earlier", lambda e: matches_at(F.col("token_ids"), F.col("token_offset"), e)), F.lit(False))
+        cols.append((~F.col("never_first") & ~beaten).alias("first_here"))
     return hits.select(*cols)
 
 
@@ -134,13 +157,14 @@ def find_sequences_postings(corpus: DataFrame, postings: DataFrame, needles: Dat
 
 def find_sequences(corpus: DataFrame, sequences: DataFrame, token_stats: DataFrame | None = None,
                    postings: DataFrame | None = None, strategy: str = "auto", context_len: int = 0,
-                   pairs: DataFrame | None = None) -> DataFrame:
+                   pairs: DataFrame | None = None, mark_first: bool = False) -> DataFrame:
     """All exact, contiguous occurrences (overlaps included) of every sequence: J5/J6 before dedup.
 
     ``sequences``: ``(seq_ord BIGINT, seq ARRAY<INT>)``. ``strategy``: ``scan`` (broadcast needles,
     one corpus pass), ``postings`` (index join), or ``auto`` (scan when the needle table passes the
-    broadcast check, else postings)."""
-    needles, n_needles = prepare_needles(sequences, token_stats)
+    broadcast check, else postings). ``mark_first``: the scan adds ``first_here``, with which
+    :func:`dedup_hits` needs no shuffle."""
+    needles, n_needles = prepare_needles(sequences, token_stats, mark_first and strategy != "postings")
     return search_prepared(corpus, needles, n_needles, postings, strategy, context_len, pairs)
 
 
@@ -163,7 +187,9 @@ def dedup_hits(hits: DataFrame) -> DataFrame:
 
     Implemented as an aggregation rather than ``row_number``: all hits of one location come from
     the same sample and so from the same scan task, where partial aggregation already collapses
-    them; only one row per location crosses the shuffle."""
+    them; only one row per location crosses the shuffle. Hits that say ``first_here`` are only filtered."""
+    if "first_here" in hits.columns:
+        return hits.where("first_here").drop("first_here")
     rest = ["seq_ord", *[c for c in hits.columns if c not in (*LOCATION, "seq_ord")]]   # compared in this order
     picked = hits.groupBy(*LOCATION).agg(F.min(F.struct(*rest)).alias("_w"))
     return picked.select(*LOCATION, *[F.col(f"_w.{c}").alias(c) for c in rest])

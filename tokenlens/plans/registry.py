@@ -51,7 +51,7 @@ def find_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def find_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6 (flagship): batch search of all sequences in one corpus pass, deduplicated by location."""
     tc, needles = _search_input(spark, sf_dir)
-    hits = find_ops.find_sequences(tc.corpus, needles, tc.token_stats)
+    hits = find_ops.find_sequences(tc.corpus, needles, tc.token_stats, mark_first=True)
     return find_ops.dedup_hits(hits).select(*HIT_COLS)
 
 
@@ -183,9 +183,10 @@ def decode_tokens(spark, sf_dir):
 # ----------------------------------------------------------------------------------------------
 # hits
 # ----------------------------------------------------------------------------------------------
-def _raw_hits(spark, sf_dir, context_len=0):
+def _raw_hits(spark, sf_dir, context_len=0, mark_first=False):
+    """``mark_first``: for queries that take the hits deduplicated by location."""
     tc, needles = _search_input(spark, sf_dir)
-    return tc, find_ops.find_sequences(tc.corpus, needles, tc.token_stats, context_len=context_len)
+    return tc, find_ops.find_sequences(tc.corpus, needles, tc.token_stats, context_len=context_len, mark_first=mark_first)
 
 
 @register("sample_lookup", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
@@ -247,7 +248,7 @@ FROM fixed WHERE token_offset IS NOT NULL GROUP BY seq_ord, shard, sample_index,
 def repair_offsets(spark, sf_dir):
     """Reported offsets = true offset + {0, 1, 7}, and the right offset in the next sample;
     repair keeps, steps back, rescans, or drops."""
-    tc, raw = _raw_hits(spark, sf_dir)
+    tc, raw = _raw_hits(spark, sf_dir, mark_first=True)
     hits = find_ops.dedup_hits(raw)
     deltas = F.array(*[F.struct(F.lit(a).alias("ds"), F.lit(b).alias("doff")) for a, b in [(0, 0), (0, 1), (0, 7), (1, 0)]])
     rep = hits.select("*", F.explode(deltas).alias("d")).select(
@@ -258,7 +259,7 @@ def repair_offsets(spark, sf_dir):
 
 
 def _context(spark, sf_dir, context_len=C.DEFAULT_CONTEXT_LEN):
-    tc, raw = _raw_hits(spark, sf_dir, context_len=context_len)
+    tc, raw = _raw_hits(spark, sf_dir, context_len, mark_first=True)
     hits = find_ops.dedup_hits(raw)
     return ctx_ops.hit_context(hits, tc.vocab, tc.joiner)
 
@@ -322,7 +323,7 @@ SELECT shard, sample_index, token_offset, seq_ord, sequence,
 FROM hits"""))
 def hit_steps(spark, sf_dir):
     """Training step provenance of each hit."""
-    _, raw = _raw_hits(spark, sf_dir)
+    _, raw = _raw_hits(spark, sf_dir, mark_first=True)
     return corpus_ops.hit_steps(find_ops.dedup_hits(raw).select(*HIT_COLS), FIX_SPS)
 
 
@@ -362,7 +363,7 @@ SELECT s.shard, CAST(count(h.shard) AS BIGINT) AS n_hits FROM slots s LEFT JOIN
 GROUP BY s.shard"""))
 def shard_histogram(spark, sf_dir):
     """A1 + J11: hits per shard, zero-filled."""
-    tc, raw = _raw_hits(spark, sf_dir)
+    tc, raw = _raw_hits(spark, sf_dir, mark_first=True)
     return hist.shard_histogram(find_ops.dedup_hits(raw), hist.shard_count(tc.corpus))
 
 
