@@ -78,3 +78,22 @@ def test_hits_are_deduplicated_in_their_sample(spark):
         assert marked.columns == fo.dedup_hits(raw).columns and "Exchange hash" not in _plan(marked)
         assert sorted(map(str, marked.collect())) == want and raw.count() > len(want)
         assert len({tuple(r) for r in marked.select(*key[:3]).collect()}) == len(want)
+
+
+def test_standing_search_takes_many_small_files_in_a_batch(spark, tmpdir_path):
+    from tokenlens.sources.corpus import write_corpus
+    from tokenlens.streaming.standing_search import BATCH_BYTES, run_standing_search
+    corpus = corpus_df(spark, [(s, 0, [s % 3, 1, 2]) for s in range(12)])
+    write_corpus(corpus, f"{tmpdir_path}/corpus", num_partitions=2)
+    seqs = seqs_df(spark, [[1, 2], [1]])
+    got = run_standing_search(spark, f"{tmpdir_path}/corpus", seqs, f"{tmpdir_path}/hits", f"{tmpdir_path}/ck", max_bytes_per_trigger=BATCH_BYTES)
+    want = fo.dedup_hits(fo.find_sequences(corpus, seqs)).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert spark.read.parquet(f"{tmpdir_path}/hits").select("epoch").distinct().count() == 1
+
+
+def test_a_sequence_that_begins_with_another_owns_no_hits(spark):
+    from tokenlens.plans.search import sequence_owners
+    covers = spark.createDataFrame([(0, [1, 2, 3]), (0, [1, 2]), (0, [2]), (0, [2]), (1, [1, 2, 3])], "qid long, seq array<int>")
+    ided = spark.createDataFrame([("1,2,3", 7), ("1,2", 8), ("2", 9)], "k string, seq_ord long")
+    assert sorted(map(tuple, sequence_owners(covers, ided).select("qid", "seq_ord").collect())) == [(0, 8), (0, 9), (1, 7)]

@@ -868,14 +868,14 @@ def boundary_check_bpe(spark, sf_dir):
     "SELECT shard, sample_index, token_offset, seq_ord, sequence FROM hits"))
 def standing_search(spark, sf_dir):
     """The benchmark chunks as a standing search over the corpus shard files, processed
-    incrementally (two files per micro-batch) with a streaming checkpoint."""
+    incrementally (files of about 64 MB per micro-batch) with a streaming checkpoint."""
     from ..session import fingerprint
-    from ..streaming.standing_search import run_standing_search
+    from ..streaming.standing_search import BATCH_BYTES, run_standing_search
     tc, needles = _search_input(spark, sf_dir)
     key = fingerprint(spark, f"{tc.root}/corpus", f"{sf_dir.rstrip('/')}/benchmark.parquet", extra="standing:v2")
     base = f"{tc.root}/standing/{key}"
     return run_standing_search(spark, f"{tc.root}/corpus", needles, f"{base}/hits", f"{base}/checkpoint",
-                               tc.token_stats, max_files_per_trigger=2)
+                               tc.token_stats, max_bytes_per_trigger=BATCH_BYTES)
 
 
 # ----------------------------------------------------------------------------------------------
