@@ -114,6 +114,17 @@ def affix_table(tc: TokenCorpus, kind: str) -> DataFrame:
     return materialize(fn(tc.vocab), f"{tc.root}/{kind}_index_v2")
 
 
+def sequence_owners(covers: DataFrame, sequences: DataFrame) -> DataFrame:
+    """``(qid, seq_ord)``: whose hits a sequence's (``k, seq_ord``) are. Of a query's sequences at one location
+    the shortest wins; they begin alike there, so a sequence that begins with another one of its query
+    has no hit of its own, and what is left never shares a location: hits need no deduplication."""
+    own = covers.select("qid", "seq").distinct()
+    heads = own.where(F.size("seq") > 1).select("qid", F.col("seq").alias("whole"), F.explode(F.sequence(F.lit(1), F.size("seq") - 1)).alias("n"))
+    beaten = heads.select("qid", F.slice("whole", F.lit(1), F.col("n")).alias("seq"), "whole").join(own, ["qid", "seq"]).select("qid", F.col("whole").alias("seq"))
+    left = own.join(beaten, ["qid", "seq"], "left_anti")
+    return left.select("qid", F.array_join("seq", ",").alias("k")).join(sequences.select("k", "seq_ord"), "k").drop("k").transform(_ckpt)
+
+
 def search_text(tc: TokenCorpus, targets: DataFrame, context_len: int = 50, regex: str | None = None,
                 literal: bool = False, merges: DataFrame | None = None) -> DataFrame:
     """Hits of every query: ``qid, shard, sample_index, token_offset, sequence, context_ok,
@@ -124,18 +135,13 @@ def search_text(tc: TokenCorpus, targets: DataFrame, context_len: int = 50, rege
     distinct = covers.select(F.array_join(F.col("seq"), ",").alias("k"), "seq").distinct()
     ided = dense_ids(distinct, "k", "sid").select(F.col("sid").cast("long").alias("seq_ord"), "seq", "k")
     raw = find_ops.find_sequences(tc.corpus, ided.select("seq_ord", "seq"), tc.token_stats, context_len=context_len)
-    owners = covers.select("qid", F.array_join(F.col("seq"), ",").alias("k")).join(ided.select("k", "seq_ord"), "k")
-    ob, _ = checked_broadcast(owners)
+    ob, _ = checked_broadcast(sequence_owners(covers, ided))
     rkey = ["shard", "sample_index", "token_offset", "seq_ord"]
     if context_len > 0:
         # context is decoded once per raw hit, before the fan-out to the queries sharing it
         raw = ctx_ops.hit_context(raw, tc.vocab, tc.joiner, key=rkey)
-    per_q = raw.join(ob, "seq_ord")
-    rest = [c for c in per_q.columns if c not in ("qid", "shard", "sample_index", "token_offset", "seq_ord", "k")]
-    # one hit per (query, location): the shortest, then smallest, sequence wins
-    w = per_q.groupBy("qid", "shard", "sample_index", "token_offset").agg(
-        F.min(F.struct(F.size("sequence").alias("_n"), *[F.col(c) for c in rest])).alias("_w"))
-    hits = w.select("qid", "shard", "sample_index", "token_offset", *[F.col(f"_w.{c}").alias(c) for c in rest])
+    hits = raw.join(ob, "seq_ord").drop("seq_ord")
+    hits = hits.select("qid", *[c for c in hits.columns if c != "qid"])
     if context_len <= 0:
         return hits.orderBy("qid", "shard", "sample_index", "token_offset")
     tb, _ = checked_broadcast(targets.select("qid", "target"))
