@@ -97,3 +97,36 @@ def test_a_sequence_that_begins_with_another_owns_no_hits(spark):
     covers = spark.createDataFrame([(0, [1, 2, 3]), (0, [1, 2]), (0, [2]), (0, [2]), (1, [1, 2, 3])], "qid long, seq array<int>")
     ided = spark.createDataFrame([("1,2,3", 7), ("1,2", 8), ("2", 9)], "k string, seq_ord long")
     assert sorted(map(tuple, sequence_owners(covers, ided).select("qid", "seq_ord").collect())) == [(0, 8), (0, 9), (1, 7)]
+
+
+def test_postings_are_grouped_within_their_sample(spark, monkeypatch):
+    from tokenlens.operators import postings as P
+    rnd = np.random.default_rng(2)
+    rows = [(s, i, rnd.integers(0, 4, int(rnd.integers(0, 20))).tolist()) for s in range(2) for i in range(9)] + [(2, 0, [3, None, 3, 3])]
+    corpus = spark.createDataFrame(rows, "shard int, sample_index int, token_ids array<int>")
+    one, two = {}, {}
+    for s, i, ids in rows:
+        for p, t in enumerate(ids):
+            one.setdefault((t, s, i), []).append(p)
+            if p + 1 < len(ids) and ids[p + 1] is not None:
+                two.setdefault((t, ids[p + 1], s, i), []).append(p)
+    for most in (1, 7, 1 << 20):
+        monkeypatch.setattr(P, "GROUP_TOKENS", most)
+        for df, want in ((P.postings_of(corpus), one), (P.pair_postings_of(corpus), two)):
+            assert "Exchange" not in _plan(df)
+            got = [(tuple(r)[:-1], list(r.positions)) for r in df.collect()]
+            assert dict(got) == want and len(got) == len(want)
+
+
+def test_cover_candidates_do_not_shuffle_the_vocabulary(spark):
+    from tokenlens.operators import cover
+    words = ["a", "b", "xa", "ya b", "c", "xc", ""]
+    vocab = spark.createDataFrame([(w, i, w.encode()) for i, w in enumerate(words)], "token string, token_id int, token_bytes binary")
+    targets = spark.createDataFrame([(0, "a b", "a b", 5), (1, "a c b", "a c b", 6), (2, "a d", "a d", 5)],
+                                    "qid long, target string, surface string, max_depth int")
+    clean = vocab.where("token != 'ya b'")
+    tails = cover.joiner_tails(targets, clean, " ")
+    multi = cover.multi_token_candidates(cover.first_token_candidates(targets, clean, " "), tails)
+    assert "Exchange hash" not in _plan(multi) and "SortMergeJoin" not in _plan(multi)
+    got = {(r.qid, " ".join(r.toks)) for r in cover.cover_candidates(targets, clean, None, " ").collect()}
+    assert got == {(0, "a b"), (0, "xa b"), (1, "a c b"), (1, "xa c b")}

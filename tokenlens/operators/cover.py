@@ -223,12 +223,16 @@ def joiner_tails(targets: DataFrame, vocab: DataFrame, joiner: str) -> DataFrame
     spaces): a tail can only be the exact tokens of the pieces from some piece to the end of S,
     so tails are computed directly -- no round-by-round join. Same rows as ``tail_paths``.
 
-    Pieces are looked up with one join; each query's pieces regroup into an id array (a bounded
+    Pieces are looked up with one join to the words of the vocabulary that occur in a target (the
+    vocabulary is streamed past these, not shuffled); each query's pieces regroup into an id array (a bounded
     group: one query), and the tail from piece j is the slice from j when every piece from j on
     is a known, non-empty token."""
     pieces = targets.select("qid", "surface", "max_depth",
                             F.posexplode(F.split(F.col("surface"), joiner, -1)).alias("j", "w"))
-    v, _ = checked_broadcast(vocab.select(F.col("token").alias("w"), "token_id"))
+    words = pieces.select("w").distinct()
+    n_words = words.count()
+    wb, _ = checked_broadcast(words, known_rows=n_words)
+    v, _ = checked_broadcast(vocab.select(F.col("token").alias("w"), "token_id").join(wb, "w", "left_semi"), known_rows=n_words)
     known = pieces.join(v, "w", "left").withColumn(
         "token_id", F.when(F.length("w") > 0, F.col("token_id")))
     g = known.groupBy("qid", "surface", "max_depth").agg(
@@ -263,9 +267,10 @@ def tails_for(targets: DataFrame, vocab: DataFrame, merges: DataFrame | None, jo
 
 
 def multi_token_candidates(firsts: DataFrame, tails: DataFrame, merges: DataFrame | None = None) -> DataFrame:
-    """First token + tail, ``1 + depth <= max_depth``, no merge at the seam."""
+    """First token + tail, ``1 + depth <= max_depth``, no merge at the seam. Tails follow the queries,
+    first tokens the vocabulary: the tails are broadcast past them (checked)."""
     f = firsts.alias("f")
-    t = tails.alias("t")
+    t = checked_broadcast(tails.transform(_ckpt))[0].alias("t")
     j = f.join(t, (F.col("f.qid") == F.col("t.qid")) & (F.col("f.next") == F.col("t.start"))).where(
         F.col("t.depth") + 1 <= F.col("f.max_depth"))
     j = _not_merged(F.col("f.token"), F.col("t.first_token"), merges, j)
