@@ -130,3 +130,15 @@ def test_cover_candidates_do_not_shuffle_the_vocabulary(spark):
     assert "Exchange hash" not in _plan(multi) and "SortMergeJoin" not in _plan(multi)
     got = {(r.qid, " ".join(r.toks)) for r in cover.cover_candidates(targets, clean, None, " ").collect()}
     assert got == {(0, "a b"), (0, "xa b"), (1, "a c b"), (1, "xa c b")}
+
+
+def test_queries_over_the_vocabulary_build_no_corpus(spark, tmpdir_path):
+    """The corpus and its statistics are written when they are first read, and then once."""
+    from tokenlens.session import is_done
+    docs = spark.createDataFrame([(0, "a b a"), (101, "b zz"), (102, None)], "doc_id long, text string")
+    tc = wordcorpus.build_word_corpus(spark, docs, tmpdir_path, 100)
+    built = lambda: [t for t in ("vocab", "corpus", "token_stats") if is_done(spark, f"{tmpdir_path}/{t}")]
+    assert [r.token for r in tc.vocab.orderBy("token_id").collect()] == ["a", "b", "zz"] and built() == ["vocab"]
+    assert sorted(tuple(r) for r in tc.token_stats.collect()) == [(0, 2, 1), (1, 2, 2), (2, 1, 1)]
+    assert sorted((r.shard, r.sample_index, r.token_ids) for r in tc.corpus.collect()) == [(0, 0, [0, 1, 0]), (1, 1, [1, 2])]
+    assert built() == ["vocab", "corpus", "token_stats"] and tc.corpus_path == f"{tmpdir_path}/corpus" and tc.is_there()

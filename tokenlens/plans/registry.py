@@ -872,9 +872,9 @@ def standing_search(spark, sf_dir):
     from ..session import fingerprint
     from ..streaming.standing_search import BATCH_BYTES, run_standing_search
     tc, needles = _search_input(spark, sf_dir)
-    key = fingerprint(spark, f"{tc.root}/corpus", f"{sf_dir.rstrip('/')}/benchmark.parquet", extra="standing:v2")
+    key = fingerprint(spark, tc.corpus_path, f"{sf_dir.rstrip('/')}/benchmark.parquet", extra="standing:v2")
     base = f"{tc.root}/standing/{key}"
-    return run_standing_search(spark, f"{tc.root}/corpus", needles, f"{base}/hits", f"{base}/checkpoint",
+    return run_standing_search(spark, tc.corpus_path, needles, f"{base}/hits", f"{base}/checkpoint",
                                tc.token_stats, max_bytes_per_trigger=BATCH_BYTES)
 
 

@@ -5,7 +5,8 @@ This is the corpus the search operators are checked on: ``shard = doc_id div P``
 (empty strings kept), ids numbered densely over distinct words in binary order.
 
 The build is the analogue of the original's one-time corpus build: it runs once per input file
-version and its tables are written under the shared checkpoint folder.
+version and its tables are written under the shared checkpoint folder, each when it is first read, so
+queries over the vocabulary alone count the words and write no corpus.
 
 Occurrences are not shuffled, but for the rare words'. The frequent words (most occurrences, at most
 ``FREQUENT_ROWS`` words and ``FREQUENT_BYTES``) go to every worker and are looked up where a text is
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -124,41 +126,72 @@ def token_stats_of(corpus: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("first").alias("n_samples"))
 
 
-def build_word_corpus(spark: SparkSession, documents: DataFrame, root: str, samples_per_shard: int) -> TokenCorpus:
-    occ = word_occurrences(documents)
-    vocab_path = f"{root}/vocab"
+class WordCorpus:
+    """A :class:`TokenCorpus` of ``documents`` below ``root``: the vocabulary is there, the corpus and its
+    statistics are built when they are first read."""
+
+    joiner = " "
+
+    def __init__(self, spark: SparkSession, documents: DataFrame, root: str, samples_per_shard: int):
+        self.spark, self.documents, self.root, self.samples_per_shard = spark, documents, root, samples_per_shard
+        self.vocab = build_vocab(spark, documents, f"{root}/vocab")
+
+    @cached_property
+    def corpus_path(self) -> str:
+        """Folder of the finished corpus table."""
+        path = f"{self.root}/corpus"
+        build_corpus(self.spark, self.documents, f"{self.root}/vocab", path, self.samples_per_shard)
+        return path
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        return read_corpus(self.spark, self.corpus_path)
+
+    @cached_property
+    def token_stats(self) -> DataFrame:
+        return materialize(token_stats_of(self.corpus), f"{self.root}/token_stats")
+
+    def is_there(self) -> bool:
+        """Whether the tables that this handle has opened are still complete."""
+        opened = ["vocab", *(["corpus"] if "corpus_path" in self.__dict__ else []), *(["token_stats"] if "token_stats" in self.__dict__ else [])]
+        return all(is_done(self.spark, f"{self.root}/{t}") for t in opened)
+
+
+def build_vocab(spark: SparkSession, documents: DataFrame, vocab_path: str) -> DataFrame:
     if not is_done(spark, vocab_path):
-        counted = occ.groupBy(F.col("word").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+        counted = word_occurrences(documents).groupBy(F.col("word").alias("token")).agg(F.count(F.lit(1)).alias("n"))
         vocab = dense_ids(counted, "token", "token_id", id_type="int").select(
             "token", "token_id", F.encode("token", "UTF-8").alias("token_bytes"), "n")
         vocab.write.mode("overwrite").parquet(vocab_path)
         mark_done(spark, vocab_path)
-    vocab = spark.read.schema(schemas.VOCAB).parquet(vocab_path)
-
-    corpus_path = f"{root}/corpus"
-    if not is_done(spark, corpus_path):
-        words = spark.read.schema(schemas.COUNTED_VOCAB).parquet(vocab_path)
-        least = frequent_from(words)
-        frequent = words.where(F.col("n") >= least)
-        rare = occ.join(F.broadcast(frequent.select(F.col("token").alias("word"))), "word", "left_anti").join(
-            words.where(F.col("n") < least).select(F.col("token").alias("word"), "token_id"), "word")
-        nothing = F.lit(None)
-        rows = documents.where("text IS NOT NULL").select("doc_id", "text", nothing.cast("struct<pos:int,token_id:int>").alias("rare"))
-        if least > 1:
-            rows = rows.unionByName(rare.select("doc_id", nothing.cast("string").alias("text"), F.struct("pos", "token_id").alias("rare")))
-        # the texts and rare occurrences of a sample meet once, in the task of its shard
-        samples = by_shard(rows, samples_per_shard).groupBy("shard", "sample_index").agg(
-            F.collect_list("text").alias("texts"), F.collect_list("rare").alias("rare"))
-        write_whole_shards(token_arrays(samples, frequent), corpus_path)
-        mark_done(spark, corpus_path)
-    corpus = read_corpus(spark, corpus_path)
-
-    stats = materialize(token_stats_of(corpus), f"{root}/token_stats")
-    return TokenCorpus(corpus, vocab, stats, root, " ", samples_per_shard)
+    return spark.read.schema(schemas.VOCAB).parquet(vocab_path)
+
+
+def build_corpus(spark: SparkSession, documents: DataFrame, vocab_path: str, corpus_path: str, samples_per_shard: int) -> None:
+    if is_done(spark, corpus_path):
+        return
+    words = spark.read.schema(schemas.COUNTED_VOCAB).parquet(vocab_path)
+    least = frequent_from(words)
+    frequent = words.where(F.col("n") >= least)
+    rare = word_occurrences(documents).join(F.broadcast(frequent.select(F.col("token").alias("word"))), "word", "left_anti").join(
+        words.where(F.col("n") < least).select(F.col("token").alias("word"), "token_id"), "word")
+    nothing = F.lit(None)
+    rows = documents.where("text IS NOT NULL").select("doc_id", "text", nothing.cast("struct<pos:int,token_id:int>").alias("rare"))
+    if least > 1:
+        rows = rows.unionByName(rare.select("doc_id", nothing.cast("string").alias("text"), F.struct("pos", "token_id").alias("rare")))
+    # the texts and rare occurrences of a sample meet once, in the task of its shard
+    samples = by_shard(rows, samples_per_shard).groupBy("shard", "sample_index").agg(
+        F.collect_list("text").alias("texts"), F.collect_list("rare").alias("rare"))
+    write_whole_shards(token_arrays(samples, frequent), corpus_path)
+    mark_done(spark, corpus_path)
+
+
+def build_word_corpus(spark: SparkSession, documents: DataFrame, root: str, samples_per_shard: int) -> WordCorpus:
+    return WordCorpus(spark, documents, root, samples_per_shard)
 
 
 def word_corpus(spark: SparkSession, sf_dir: str, samples_per_shard: int = DEFAULT_SAMPLES_PER_SHARD,
-                root: str | None = None) -> TokenCorpus:
+                root: str | None = None) -> WordCorpus:
     """The word-token corpus of ``sf_dir/documents.parquet``, built once and reused. ``root``
     forces another folder (the benchmark uses a fresh one to time a cold build)."""
     apply_runtime_conf(spark)
@@ -166,7 +199,7 @@ def word_corpus(spark: SparkSession, sf_dir: str, samples_per_shard: int = DEFAU
     key = fingerprint(spark, src, extra=f"words:{samples_per_shard}:v3")
     root = root or f"{shared_dir(spark)}/tokenlens/word_corpus/{key}"
     memo = (id(spark), root)
-    if memo in _OPENED and is_done(spark, f"{root}/token_stats"):
+    if memo in _OPENED and _OPENED[memo].is_there():
         return _OPENED[memo]
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     tc = build_word_corpus(spark, docs, root, samples_per_shard)
