@@ -142,3 +142,14 @@ def test_queries_over_the_vocabulary_build_no_corpus(spark, tmpdir_path):
     assert sorted(tuple(r) for r in tc.token_stats.collect()) == [(0, 2, 1), (1, 2, 2), (2, 1, 1)]
     assert sorted((r.shard, r.sample_index, r.token_ids) for r in tc.corpus.collect()) == [(0, 0, [0, 1, 0]), (1, 1, [1, 2])]
     assert built() == ["vocab", "corpus", "token_stats"] and tc.corpus_path == f"{tmpdir_path}/corpus" and tc.is_there()
+
+
+def test_labelled_hits_are_shuffled_once(spark):
+    """The labels come by broadcast; what is shuffled are the hits, to their location."""
+    from tokenlens.plans import registry
+    _, lab, _ = registry._labelled(spark, SF001)
+    assert _plan(lab).count("Exchange hash") == 1 and "SortMergeJoin" not in _plan(lab)
+    stats = spark.createDataFrame([(t, 1, 1) for t in range(4)], "token_id int, n long, n_samples long")
+    seqs = seqs_df(spark, [[0, 1], [2], [3, 9]])
+    needles, n = fo.prepare_needles(seqs, stats)
+    assert n == 2 and {(r.seq_ord, r.anchor_idx, r.anchor_token) for r in needles.collect()} == {(0, 0, 0), (1, 0, 2)}

@@ -57,8 +57,11 @@ def prepare_needles(sequences: DataFrame, token_stats: DataFrame | None, mark_fi
     """Anchored needle table, checkpointed once into the shared folder, and its row count.
 
     The search input is small next to the corpus but is read several times (size check,
-    broadcast); materializing it once keeps its derivation from running per use."""
-    needles = choose_anchors(sequences, token_stats).transform(_ckpt)
+    broadcast); materializing it once keeps its derivation from running per use. The number of its tokens
+    is counted, so that the statistics are streamed past them and not shuffled."""
+    seqs = sequences.select("seq_ord", "seq").transform(_ckpt)
+    n_tokens = seqs.agg(F.sum(F.greatest(F.size("seq"), F.lit(0)))).first()[0] or 0
+    needles = choose_anchors(seqs, token_stats, n_tokens).transform(_ckpt)
     if mark_first:
         needles = earlier_sequences(needles).transform(_ckpt)
     return needles, needles.count()

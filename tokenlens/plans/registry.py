@@ -15,6 +15,7 @@ from ..sources.tables import read_table
 from ..sources.wordcorpus import word_corpus
 from . import char_cover, oracle_sql as Q
 from .needles import passage_sequences
+from .strategy import checked_broadcast
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -348,13 +349,15 @@ stacked AS (
 
 
 def _labelled(spark, sf_dir):
-    """Per-label result sets: one label per needle length; each label deduplicates its own hits."""
+    """Per-label result sets: one label per needle length; each label deduplicates its own hits. Labels come to
+    the hits by broadcast (checked), so hits are shuffled once, by location."""
     tc, needles = _search_input(spark, sf_dir)
+    needles = needles.select("seq_ord", "seq", "r").transform(_ckpt)
     raw = find_ops.find_sequences(tc.corpus, needles, tc.token_stats)
     rank = F.col("r").cast("int")
     label = F.when(rank == 0, F.lit("len4")).otherwise(F.lit("len2")).alias("label")
-    lab = raw.join(needles.select("seq_ord", "r"), "seq_ord").select(
-        label, rank.alias("label_ord"), "shard", "sample_index", "token_offset").distinct()
+    ranks, _ = checked_broadcast(needles.select("seq_ord", "r"))
+    lab = raw.join(ranks, "seq_ord").select(label, rank.alias("label_ord"), "shard", "sample_index", "token_offset").distinct()
     return tc, lab, needles.select(label, rank.alias("label_ord")).distinct()
 
 
