@@ -52,6 +52,19 @@ def near_copies(n, seed=3):
     return out
 
 
+def test_passages_spread_over_many_units_are_common(spark, monkeypatch):
+    """A passage that no unit holds more than twice is found in all; copies of a text hold it once."""
+    monkeypatch.setattr(jaccard_join, "UNIT", 100)
+    passage = " ".join(f"p{i}" for i in range(14))
+    texts = [f"{passage} " + " ".join(f"w{k}x{i}" for i in range(40)) for k in range(24)]      # 50 shingles, 2 texts a unit
+    copies = ["one text and its copies only " + " ".join(f"c{i}" for i in range(20))] * 30
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string").coalesce(1)
+    found = jaccard_join.common_columns(jaccard_join.profiles(docs, 5).where("kind = 1"))
+    lead = spark.createDataFrame([(0, passage)], "doc_id long, text string")
+    columns = jaccard_join.prefixes(lead, np.zeros(0, np.uint64), 5).collect()[0]
+    assert columns.n == len(found) == 10 and set(np.array(columns.prefix).astype(np.uint64)) <= set(found)
+
+
 @pytest.mark.parametrize("least", [50, 3])
 def test_components_of_near_copies(spark, monkeypatch, least):
     monkeypatch.setattr(jaccard_join, "LEAST_COMMON", least)  # 3: most columns are common

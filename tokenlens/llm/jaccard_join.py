@@ -43,8 +43,9 @@ from .textgrams import blocks, mixed, shingle_sets
 
 WIDTH = 5
 #: Common columns: at most so many, found in at least LEAST_COMMON rows, counted where a unit of
-#: UNIT entries or less holds them in at least LEAST_IN_UNIT rows. They only change the order.
-MOST_COMMON, LEAST_COMMON, LEAST_IN_UNIT, UNIT = 1 << 18, 10, 3, 4_000_000
+#: UNIT entries or less holds them in at least LEAST_IN_UNIT different sets: with two, what escapes grows
+#: with the root of the number of units. They only change the order.
+MOST_COMMON, LEAST_COMMON, LEAST_IN_UNIT, UNIT = 1 << 18, 10, 2, 4_000_000
 PARITIES = 512
 #: A column of at most so many rows isn't cut into size classes.
 FEW_ROWS = 64
@@ -99,7 +100,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = [], 0
+        unit, seen, held = [], set(), 0
         for batch in batches:
             for block in blocks(batch.column(1)):
                 sets = shingle_sets(block, width)
@@ -112,11 +113,16 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                 parity = np.packbits(odd).view(np.int64).reshape(len(n), PARITIES // 64)
                 ids, keys = (batch.column(c).slice(block.first, len(n)).to_numpy() for c in (0, 2))
                 yield batch_of(0, len(n), doc_id=ids, key=keys, n=n, f1=f1, f2=f2, **{p: np.ascontiguousarray(parity[:, i]) for i, p in enumerate(PARITY)})
-                unit.append(joined)
-                held += len(joined)
+                fresh = [np.zeros(0, np.uint64)]
+                for s, key in zip(sets, zip(f1.tolist(), f2.tolist())):
+                    if key not in seen:  # equal sets are one row
+                        seen.add(key)
+                        fresh.append(s)
+                unit.append(np.concatenate(fresh))
+                held += len(unit[-1])
                 if held >= UNIT:
                     yield common(unit)
-                    unit, held = [], 0
+                    unit, seen, held = [], set(), 0
         if unit:
             yield common(unit)
 
