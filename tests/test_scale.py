@@ -132,6 +132,31 @@ def test_cover_candidates_do_not_shuffle_the_vocabulary(spark):
     assert got == {(0, "a b"), (0, "xa b"), (1, "a c b"), (1, "xa c b")}
 
 
+def test_strings_are_counted_where_their_text_is_read(spark, monkeypatch):
+    """The same counts as by words and positions, for any slice; no word of the documents is shuffled."""
+    from tokenlens.plans import char_cover
+    texts = ["abab ab  abc", "", None, " ", "a", "é\nab\x00\t", "\U0001f600\U0001f601\U0001f600 ß\x00\x00", "abcde" * 9, " zz zz zz ", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    words = char_cover._words(docs)
+    want = {(r.token, r.c) for k in (1, 2, 3) for r in char_cover._grams(words, k).groupBy("token").agg(F.sum("c").alias("c")).collect()}
+    for slice_chars, counters in ((1 << 20, 1 << 20), (1, 1 << 20), (3, 4), (7, 0), (1 << 20, 0)):
+        counted = char_cover.gram_counts(docs, slice_chars, counters)
+        assert _plan(counted).count("Exchange hash") == 1
+        got = [(r.token, r.c) for r in counted.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert char_cover.gram_counts(docs.where("text IS NULL")).count() == 0
+    plans = []
+    monkeypatch.setattr(char_cover, "_ckpt", lambda df: plans.append(_plan(df)) or df)
+    monkeypatch.setattr(char_cover, "PAIRS", 2)
+    monkeypatch.setattr(char_cover, "TRIPLES", 1)
+    vocab = char_cover.char_vocab(docs, spark.createDataFrame([("xab", 1)], "word string, c long"))
+    chars = {c for t in texts for c in t or "" if c != " "} | set("xab")
+    # 15 and 10 times the pairs ab and bc, 10 times the triple abc; the next come 9 times
+    assert [(r.token, r.token_id) for r in vocab.orderBy("token_id").collect()] == [
+        (t, i) for i, t in enumerate(sorted(chars | {"ab", "bc", "abc"}, key=str.encode))]
+    assert plans and not any("partitioning(word" in p for p in plans)
+
+
 def test_queries_over_the_vocabulary_build_no_corpus(spark, tmpdir_path):
     """The corpus and its statistics are written when they are first read, and then once."""
     from tokenlens.session import is_done

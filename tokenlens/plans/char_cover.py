@@ -2,10 +2,17 @@
 as queries: the general cover path (any segmentation, merge pairs pruned) on data that SQL can follow.
 
 The vocabulary has every character of the documents' and queries' words and the most frequent two- and
-three-character strings; a pair of tokens whose concatenation is a token is a merge."""
+three-character strings; a pair of tokens whose concatenation is a token is a merge.
+
+A string inside a word is a string of the text without a space, so the documents' strings are counted
+where their texts are read; only the counts are shuffled, neither words nor occurrences."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +23,9 @@ from ..sources.wordcorpus import split_words
 from .oracle_sql import WORDS
 
 PAIRS, TRIPLES = 80, 40   # a fixed bound of the vocabulary
+LONGEST = 3
+# Strings are counted for so many characters at a time, in an array of so many counters or else sorted.
+SLICE_CHARS, COUNTERS = 1 << 21, 1 << 23
 
 
 def _words(table: DataFrame) -> DataFrame:
@@ -27,13 +37,61 @@ def _grams(words: DataFrame, k: int) -> DataFrame:
     return words.select(F.explode(F.transform(at, lambda p: F.substring(F.col("word"), p, F.lit(k)))).alias("token"), "c")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Code points of all texts, a space between two, and how many of them strings start at: ``most`` at
+    most, with the characters after them that such a string may reach into."""
+    def cut(texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+        joined = " ".join(texts)
+        for at in range(0, len(joined), most):
+            yield np.frombuffer(joined[at:at + most + LONGEST - 1].encode("utf-32-le"), "<u4"), min(most, len(joined) - at)
+
+    waiting, size = [], 0
+    for batch in batches:
+        for text in batch.column(0).drop_null():
+            waiting.append(text.as_py())
+            size += len(waiting[-1])
+            if size >= most:
+                yield from cut(waiting)
+                waiting, size = [], 0
+    yield from cut(waiting)
+
+
+def gram_counts(texts: DataFrame, slice_chars: int = SLICE_CHARS, counters: int = COUNTERS) -> DataFrame:
+    """``token, c``: occurrences of every string of 1 to ``LONGEST`` characters inside the words of ``text``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, place = np.zeros(0x110000, bool), np.zeros(0x110000, np.int64)
+        for points, starts in _slices(batches, slice_chars):
+            seen[points] = True
+            chars = np.flatnonzero(seen).astype("<u4")
+            seen[chars] = False
+            place[chars] = np.arange(len(chars))
+            digits = place[points]
+            keys = np.zeros(len(digits), np.int64)
+            for k in range(1, LONGEST + 1):
+                keys = keys[:len(digits) - k + 1] * len(chars) + digits[k - 1:]
+                if len(chars) ** k <= counters:
+                    n = np.bincount(keys[:starts])
+                    found = np.flatnonzero(n)
+                    n = n[found]
+                else:
+                    found, n = np.unique(keys[:starts], return_counts=True)
+                spelt = chars[found[:, None] // len(chars) ** np.arange(k - 1, -1, -1) % len(chars)]
+                inside = (spelt != ord(" ")).all(axis=1)
+                joined = spelt[inside].tobytes().decode("utf-32-le")
+                tokens = pa.array([joined[i:i + k] for i in range(0, len(joined), k)], pa.string())
+                yield pa.RecordBatch.from_arrays([tokens, pa.array(n[inside])], names=["token", "c"])
+
+    counted = texts.select(F.make_valid_utf8("text").alias("text")).mapInArrow(run, "token string, c long")
+    return counted.groupBy("token").agg(F.sum("c").alias("c"))
+
+
 def char_vocab(documents: DataFrame, queries: DataFrame) -> DataFrame:
     """token, token_id (rank of the token), token_bytes."""
-    words = _words(documents).transform(_ckpt)
-    tokens = _grams(words, 1).unionByName(_grams(queries, 1)).select("token").distinct()
+    counts = gram_counts(documents).transform(_ckpt)
+    of = lambda k: counts.where(F.length("token") == k)
+    tokens = of(1).unionByName(_grams(queries, 1)).select("token").distinct()
     for k, most in ((2, PAIRS), (3, TRIPLES)):
-        counts = _grams(words, k).groupBy("token").agg(F.sum("c").alias("c"))
-        tokens = tokens.unionByName(counts.orderBy(F.desc("c"), "token").limit(most).select("token"))
+        tokens = tokens.unionByName(of(k).orderBy(F.desc("c"), "token").limit(most).select("token"))
     return dense_ids(tokens, "token", "token_id", id_type="int").select("token", "token_id", F.encode("token", "UTF-8").alias("token_bytes"))
 
 
