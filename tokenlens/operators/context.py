@@ -44,7 +44,7 @@ def hit_context(hits_with_ids: DataFrame, vocab: DataFrame, joiner: str = " ", b
     sep = F.lit(joiner)
     before = F.when(F.size("before_ids") > 0, F.concat(F.col("before_ids_text"), sep)).otherwise(F.lit(""))
     after = F.when(F.size("after_ids") > 0, F.concat(sep, F.col("after_ids_text"))).otherwise(F.lit(""))
-    rest = [c for c in hits_with_ids.columns if c not in ("before_ids", "match_ids", "after_ids")]
+    rest = [c for c in hits_with_ids.columns if c not in ("before_ids", "match_ids", "after_ids", "words")]
     return d.select(*rest, before.alias("before"), F.coalesce(F.col("match_ids_text"), F.lit("")).alias("match"),
                     after.alias("after"))
 

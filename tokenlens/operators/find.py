@@ -7,14 +7,24 @@ arrival of the original tool and decides which sequence survives deduplication.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint as _ckpt
+from ..session import checkpoint as _ckpt, ship_package
 from ..functions.arrays import context_slices, matches_at
 from ..plans.strategy import checked_broadcast
+from .decode import WORDS, words_at, words_between
+from .postings import NO_TOKEN, sample_runs
 
 LOCATION = ["shard", "sample_index", "token_offset"]
+# A scan searches samples of about so many tokens at a time, with so many candidates, and hands on so many hits.
+SEARCH_TOKENS, CANDIDATES, HITS = 1 << 20, 1 << 20, 1 << 12
 
 
 def check_sequences(sequences: DataFrame) -> DataFrame:
@@ -53,7 +63,7 @@ def choose_anchors(sequences: DataFrame, token_stats: DataFrame | None, n_tokens
     )
 
 
-def prepare_needles(sequences: DataFrame, token_stats: DataFrame | None, mark_first: bool = False) -> tuple[DataFrame, int]:
+def prepare_needles(sequences: DataFrame, token_stats: DataFrame | None) -> tuple[DataFrame, int]:
     """Anchored needle table, checkpointed once into the shared folder, and its row count.
 
     The search input is small next to the corpus but is read several times (size check,
@@ -62,48 +72,130 @@ def prepare_needles(sequences: DataFrame, token_stats: DataFrame | None, mark_fi
     seqs = sequences.select("seq_ord", "seq").transform(_ckpt)
     n_tokens = seqs.agg(F.sum(F.greatest(F.size("seq"), F.lit(0)))).first()[0] or 0
     needles = choose_anchors(seqs, token_stats, n_tokens).transform(_ckpt)
-    if mark_first:
-        needles = earlier_sequences(needles).transform(_ckpt)
     return needles, needles.count()
 
 
-def earlier_sequences(needles: DataFrame) -> DataFrame:
-    """``needles`` and what decides the deduplication by location beforehand. Sequences that match at one
-    location begin alike, so a hit gives way to an earlier sequence that is a beginning of its own or
-    equal wherever it occurs (``never_first``), or to an earlier longer one that begins with it where
-    that one occurs too (``earlier``: these sequences). One row per beginning of a needle is joined."""
-    heads = needles.select(F.col("seq_ord").alias("other_ord"), F.col("seq").alias("other"),
-                           F.explode(F.sequence(F.lit(1), F.size("seq"))).alias("k")).select(
-        "other_ord", "other", F.slice("other", F.lit(1), F.col("k")).alias("seq"))
-    longer = needles.select("seq_ord", "seq").join(heads.where(F.size("other") > F.size("seq")), "seq").where(
-        F.col("other_ord") < F.col("seq_ord")).groupBy("seq_ord").agg(F.collect_set("other").alias("earlier"))
-    shorter = heads.select(F.col("other_ord").alias("seq_ord"), "seq").join(
-        needles.select(F.col("seq_ord").alias("short_ord"), "seq"), "seq").where(
-        F.col("short_ord") < F.col("seq_ord")).select("seq_ord", F.lit(True).alias("never_first")).distinct()
-    return needles.join(longer, "seq_ord", "left").join(shorter, "seq_ord", "left").withColumn(
-        "never_first", F.coalesce("never_first", F.lit(False)))
-
-
-def find_sequences_scan(corpus: DataFrame, needles: DataFrame, context_len: int = 0, n_needles: int | None = None) -> DataFrame:
-    """Strategy 1 (one pass over the corpus, no shuffle): every position is joined to the
-    broadcast needle table on the anchor token, and the residual ``slice = seq`` confirms.
-    Context slices are cut in the same stage while the sample's array is at hand. Needles with
-    :func:`earlier_sequences` give hits with ``first_here``, false where deduplication drops them."""
-    occ = corpus.select("shard", "sample_index", "token_ids", F.posexplode("token_ids").alias("pos", "tok"))
-    nd, ok = checked_broadcast(needles, known_rows=n_needles)
+def equal_at(tokens: np.ndarray, places: np.ndarray, wanted: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether ``tokens`` from each place on equal ``wanted`` from each start on, for each length."""
+    ok, left, k = np.ones(len(places), bool), np.arange(len(places)), 0
+    while len(left):
+        left = left[lengths[left] > k]
+        same = tokens[places[left] + k] == wanted[starts[left] + k]
+        ok[left[~same]] = False
+        left, k = left[same], k + 1
+    return ok
+
+
+@dataclass
+class Needles:
+    """The needle table as arrays in the order of anchor tokens, for the workers."""
+    anchors: np.ndarray     # distinct anchor tokens, sorted
+    first: np.ndarray       # of each anchor's needles, and their number
+    count: np.ndarray
+    seq_ord: np.ndarray
+    n: np.ndarray
+    anchor_idx: np.ndarray
+    tokens: np.ndarray      # of all sequences, and where each begins
+    start: np.ndarray
+
+    @classmethod
+    def of(cls, needles: DataFrame) -> Needles:
+        table = needles.select("seq_ord", "seq", "anchor_idx", "anchor_token").where("anchor_token IS NOT NULL").toArrow()
+        table = table.take(pc.sort_indices(table["anchor_token"])).combine_chunks()
+        n = table["seq"].combine_chunks() if isinstance(table["seq"], pa.ChunkedArray) else table["seq"]
+        n = n if isinstance(n, pa.Array) else pa.concat_arrays(n.chunks)
+        lengths = pc.list_value_length(n).to_numpy(zero_copy_only=False).astype(np.int64)
+        anchors, first, count = np.unique(table["anchor_token"].to_numpy(), return_index=True, return_counts=True)
+        return cls(anchors.astype(np.int32), first, count, table["seq_ord"].to_numpy(), lengths, table["anchor_idx"].to_numpy().astype(np.int64),
+                   pc.fill_null(pc.list_flatten(n), NO_TOKEN).to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(lengths) - lengths)
+
+    def hits_in(self, tokens: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``tokens`` (samples from ``begins`` to ``ends``) which needle occurs, in order of places
+        and there of ``seq_ord``. Candidates are taken apart ``CANDIDATES`` at a time."""
+        if not len(self.anchors) or not len(tokens):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        which = np.minimum(np.searchsorted(self.anchors, tokens), len(self.anchors) - 1)
+        at = np.flatnonzero(self.anchors[which] == tokens)
+        which = which[at]
+        row = np.searchsorted(ends, at, side="right")
+        total = np.cumsum(self.count[which])
+        found, start = [], 0
+        while start < len(at):
+            before = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, before + CANDIDATES, side="right")))
+            some, times = which[start:stop], self.count[which[start:stop]]
+            of = np.repeat(np.arange(start, stop), times)
+            needle = np.arange(len(of)) - np.repeat(total[start:stop] - times - before, times) + np.repeat(self.first[some], times)
+            place = at[of] - self.anchor_idx[needle]
+            ok = (place >= begins[row[of]]) & (place + self.n[needle] <= ends[row[of]])
+            place, needle = place[ok], needle[ok]
+            same = equal_at(tokens, place, self.tokens, self.start[needle], self.n[needle])
+            found.append((place[same], needle[same]))
+            start = stop
+        place, needle = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        order = np.lexsort((self.seq_ord[needle], place))
+        return place[order], needle[order]
+
+
+def _slices(tokens: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """``tokens[begin:end]`` for each pair."""
+    n = ends - begins
+    stops = np.cumsum(n)
+    values = tokens[np.arange(stops[-1] if len(n) else 0) + np.repeat(begins - (stops - n), n)]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(values, mask=values == NO_TOKEN))
+
+
+def find_sequences_scan(corpus: DataFrame, needles: DataFrame, context_len: int = 0, n_needles: int | None = None,
+                        mark_first: bool = False) -> DataFrame:
+    """Strategy 1 (one pass over the corpus, no shuffle): the needles go to every worker as arrays, and
+    a sample's positions meet them on the anchor token; candidates are confirmed token by token.
+    A sample is never copied per position or hit, so memory follows ``SEARCH_TOKENS`` and ``HITS``.
+    Context slices are cut while the sample is at hand. ``mark_first`` adds ``first_here``, false
+    where another hit of that location has an earlier ``seq_ord``: all hits of a location are in one sample.
+    A column ``words`` of the corpus (:func:`~tokenlens.operators.decode.with_words`) goes along: of
+    each hit, those in its context."""
+    _, ok = checked_broadcast(needles, known_rows=n_needles)
     if not ok:
         raise ValueError("needle table too large to broadcast; use strategy='postings'")
-    cand = occ.join(nd, occ["tok"] == nd["anchor_token"])
-    off = F.col("pos") - F.col("anchor_idx")
-    hits = cand.where(matches_at(F.col("token_ids"), off, F.col("seq"))).withColumn("token_offset", off.cast("int"))
-    cols = [F.col("shard"), F.col("sample_index"), F.col("token_offset"), F.col("seq_ord"), F.col("seq").alias("sequence")]
+    shared = corpus.sparkSession.sparkContext.broadcast(Needles.of(needles))
+    ship_package(corpus.sparkSession)
+    columns = ["shard", "sample_index", "token_ids"]
+    schema = "shard int, sample_index int, token_offset int, seq_ord bigint, sequence array<int>"
     if context_len > 0:
-        b, m, a = context_slices(F.col("token_ids"), F.col("token_offset"), F.col("n"), context_len)
-        cols += [b.alias("before_ids"), m.alias("match_ids"), a.alias("after_ids")]
-    if "never_first" in needles.columns:
-        beaten = F.coalesce(F.exists("earlier", lambda e: matches_at(F.col("token_ids"), F.col("token_offset"), e)), F.lit(False))
-        cols.append((~F.col("never_first") & ~beaten).alias("first_here"))
-    return hits.select(*cols)
+        schema += ", before_ids array<int>, match_ids array<int>, after_ids array<int>"
+    if mark_first:
+        schema += ", first_here boolean"
+    with_words = context_len > 0 and "words" in corpus.columns
+    if with_words:
+        columns, schema = [*columns, "words"], schema + f", words {WORDS}"
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for part, n, tokens in sample_runs(batch, SEARCH_TOKENS):
+                ends = np.cumsum(n)
+                begins = ends - n
+                places, needle_of = known.hits_in(tokens, begins, ends)
+                rows = np.searchsorted(ends, places, side="right")
+                located = words_at(part.column("words"), tokens, n) if with_words else None
+                new = np.append(True, places[1:] != places[:-1]) if len(places) else np.zeros(0, bool)
+                for k in range(0, len(places), HITS):
+                    place, needle, row = places[k:k + HITS], needle_of[k:k + HITS], rows[k:k + HITS]
+                    length, at = known.n[needle], pa.array(row)
+                    first = known.start[needle]
+                    out = [part.column("shard").take(at), part.column("sample_index").take(at), pa.array((place - begins[row]).astype(np.int32)),
+                           pa.array(known.seq_ord[needle]), _slices(known.tokens, first, first + length)]
+                    if context_len > 0:
+                        left, right = np.maximum(place - context_len, begins[row]), np.minimum(place + length + context_len, ends[row])
+                        out += [_slices(tokens, left, place), _slices(tokens, place, place + length), _slices(tokens, place + length, right)]
+                    if mark_first:
+                        out.append(pa.array(new[k:k + HITS]))
+                    if with_words:
+                        out.append(words_between(located, left, right))
+                    yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return corpus.select(*columns).mapInArrow(run, schema)
 
 
 def find_sequences_postings(corpus: DataFrame, postings: DataFrame, needles: DataFrame, context_len: int = 0,
@@ -167,18 +259,18 @@ def find_sequences(corpus: DataFrame, sequences: DataFrame, token_stats: DataFra
     one corpus pass), ``postings`` (index join), or ``auto`` (scan when the needle table passes the
     broadcast check, else postings). ``mark_first``: the scan adds ``first_here``, with which
     :func:`dedup_hits` needs no shuffle."""
-    needles, n_needles = prepare_needles(sequences, token_stats, mark_first and strategy != "postings")
-    return search_prepared(corpus, needles, n_needles, postings, strategy, context_len, pairs)
+    needles, n_needles = prepare_needles(sequences, token_stats)
+    return search_prepared(corpus, needles, n_needles, postings, strategy, context_len, pairs, mark_first)
 
 
 def search_prepared(corpus: DataFrame, needles: DataFrame, n_needles: int, postings: DataFrame | None = None,
-                    strategy: str = "auto", context_len: int = 0, pairs: DataFrame | None = None) -> DataFrame:
+                    strategy: str = "auto", context_len: int = 0, pairs: DataFrame | None = None, mark_first: bool = False) -> DataFrame:
     """The search for needles that :func:`prepare_needles` made, by either strategy."""
     if strategy == "auto":
         _, small = checked_broadcast(needles, known_rows=n_needles)
         strategy = "scan" if small else "postings"
     if strategy == "scan":
-        return find_sequences_scan(corpus, needles, context_len, n_needles)
+        return find_sequences_scan(corpus, needles, context_len, n_needles, mark_first)
     if postings is None:       # too many needles to broadcast and no index given: index now
         from .postings import postings_of
         postings = postings_of(corpus)

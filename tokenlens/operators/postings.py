@@ -30,12 +30,12 @@ GROUP_TOKENS = 1 << 20
 NO_TOKEN = np.iinfo(np.int32).min     # stands for a null while grouping
 
 
-def _samples(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows with about ``GROUP_TOKENS`` positions: rows, their numbers of tokens, all tokens."""
+def sample_runs(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows with about ``most`` positions: rows, their numbers of tokens, all tokens."""
     ends, start = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("token_ids")), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
     while start < len(ends):
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + GROUP_TOKENS, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         part = batch.slice(start, stop - start)
         yield part, np.diff(ends[start:stop], prepend=before), pc.fill_null(pc.list_flatten(part.column("token_ids")), NO_TOKEN).to_numpy()
         start = stop
@@ -46,7 +46,7 @@ def _grouped(corpus: DataFrame, pairs: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, n, tokens in _samples(batch):
+            for part, n, tokens in sample_runs(batch, GROUP_TOKENS):
                 row = np.repeat(np.arange(len(n)), n)
                 pos = (np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
                 if pairs:

@@ -44,7 +44,7 @@ HIT_COLS = ["shard", "sample_index", "token_offset", "seq_ord", "sequence"]
 def find_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of every sequence, before cross-sequence deduplication."""
     tc, needles = _search_input(spark, sf_dir)
-    return find_ops.find_sequences(tc.corpus, needles, tc.token_stats).select(*HIT_COLS)
+    return find_ops.find_sequences(tc.corpus, needles, tc.token_counts).select(*HIT_COLS)
 
 
 @register("find_sequences", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body=
@@ -52,7 +52,7 @@ def find_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def find_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J6 (flagship): batch search of all sequences in one corpus pass, deduplicated by location."""
     tc, needles = _search_input(spark, sf_dir)
-    hits = find_ops.find_sequences(tc.corpus, needles, tc.token_stats, mark_first=True)
+    hits = find_ops.find_sequences(tc.corpus, needles, tc.token_counts, mark_first=True)
     return find_ops.dedup_hits(hits).select(*HIT_COLS)
 
 
@@ -184,10 +184,10 @@ def decode_tokens(spark, sf_dir):
 # ----------------------------------------------------------------------------------------------
 # hits
 # ----------------------------------------------------------------------------------------------
-def _raw_hits(spark, sf_dir, context_len=0, mark_first=False):
+def _raw_hits(spark, sf_dir, mark_first=False):
     """``mark_first``: for queries that take the hits deduplicated by location."""
     tc, needles = _search_input(spark, sf_dir)
-    return tc, find_ops.find_sequences(tc.corpus, needles, tc.token_stats, context_len=context_len, mark_first=mark_first)
+    return tc, find_ops.find_sequences(tc.corpus, needles, tc.token_counts, mark_first=mark_first)
 
 
 @register("sample_lookup", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, body="""
@@ -260,9 +260,9 @@ def repair_offsets(spark, sf_dir):
 
 
 def _context(spark, sf_dir, context_len=C.DEFAULT_CONTEXT_LEN):
-    tc, raw = _raw_hits(spark, sf_dir, context_len, mark_first=True)
-    hits = find_ops.dedup_hits(raw)
-    return ctx_ops.hit_context(hits, tc.vocab, tc.joiner)
+    tc, needles = _search_input(spark, sf_dir)
+    raw = find_ops.find_sequences(tc.corpus, needles, tc.token_counts, context_len=context_len, mark_first=True)
+    return ctx_ops.hit_context(find_ops.dedup_hits(raw), tc.vocab, tc.joiner)
 
 
 @register("hit_context", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, Q.CONTEXT, body="SELECT * FROM ctx"))
@@ -353,7 +353,7 @@ def _labelled(spark, sf_dir):
     the hits by broadcast (checked), so hits are shuffled once, by location."""
     tc, needles = _search_input(spark, sf_dir)
     needles = needles.select("seq_ord", "seq", "r").transform(_ckpt)
-    raw = find_ops.find_sequences(tc.corpus, needles, tc.token_stats)
+    raw = find_ops.find_sequences(tc.corpus, needles, tc.token_counts)
     rank = F.col("r").cast("int")
     label = F.when(rank == 0, F.lit("len4")).otherwise(F.lit("len2")).alias("label")
     ranks, _ = checked_broadcast(needles.select("seq_ord", "r"))

@@ -10,8 +10,9 @@ queries over the vocabulary alone count the words and write no corpus.
 
 Occurrences are not shuffled, but for the rare words'. The frequent words (most occurrences, at most
 ``FREQUENT_ROWS`` words and ``FREQUENT_BYTES``) go to every worker and are looked up where a text is
-split; occurrences of all other words are joined to the vocabulary and meet their text in its shard's
-task. A vocabulary within the bounds has no rare words."""
+read and split; occurrences of all other words are joined to the vocabulary. Both meet in the task of
+their shard, where a text arrives as its ids, with gaps for the rare words. A vocabulary within the
+bounds has no rare words."""
 
 from __future__ import annotations
 
@@ -22,19 +23,22 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.ranking import dense_ids
+from ..operators.decode import frequent_from, with_words
 from ..session import apply_runtime_conf, fingerprint, is_done, mark_done, materialize, shared_dir
 from .corpus import by_shard, read_corpus, write_whole_shards
 from .tables import read_table, table_path
 
 DEFAULT_SAMPLES_PER_SHARD = 100
-FREQUENT_ROWS, FREQUENT_BYTES = 1 << 18, 16 << 20
+FREQUENT_ROWS, FREQUENT_BYTES = 1 << 19, 8 << 20
 # Texts are split for about so many characters at a time.
 SLICE_CHARS = 1 << 22
+UNKNOWN = -1    # in a text's ids: a rare word
 
 
 @dataclass
@@ -56,64 +60,92 @@ def word_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split_words(text_col)).alias("pos", "word"))
 
 
-def frequent_from(words: DataFrame) -> int:
-    """The power of two from which on a word (``token_bytes, n``) counts as frequent: the smallest with
-    at most ``FREQUENT_ROWS`` such words of ``FREQUENT_BYTES`` in all. One row per power is read."""
-    by_power = words.groupBy((F.length(F.bin("n")) - 1).alias("power")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.length("token_bytes")).alias("size")).collect()
-    rows = size = 0
-    for r in sorted(by_power, key=lambda r: -r.power):
-        rows, size = rows + r.rows, size + r["size"]
-        if rows > FREQUENT_ROWS or size > FREQUENT_BYTES:
-            return 1 << (r.power + 1)
-    return 1
+def _runs(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` cut into runs of rows of about ``most`` in all, ``sizes`` being those of the rows."""
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Runs of rows with a ``text``, the numbers of their words, all words."""
+    for batch in batches:
+        for part in _runs(batch, pc.binary_length(batch.column("text")).to_numpy(), SLICE_CHARS):
+            words = pc.split_pattern(part.column("text").cast(pa.large_string()), " ")
+            yield part, pc.list_value_length(words).to_numpy().astype(np.int64), pc.list_flatten(words)
+
+
+def counted_words(documents: DataFrame) -> DataFrame:
+    """``token, n`` for every distinct word: counted per run of texts where they are read, then summed up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, words in _split(batches):
+            counts = pc.value_counts(words)
+            yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts")], names=["token", "n"])
+
+    return documents.select("text").where("text IS NOT NULL").mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def encoded_texts(documents: DataFrame, frequent: Broadcast) -> DataFrame:
+    """``doc_id, ids`` of every text: ids of the frequent words (words and their ids), ``UNKNOWN`` for others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ids = frequent.value
+        for part, n, words in _split(batches):
+            at = pc.fill_null(pc.index_in(words, tokens), -1).to_numpy()
+            found = pa.array(np.append(ids, np.int32(UNKNOWN))[at])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), found)],
+                                             names=["doc_id", "ids"])
 
+    texts = documents.select("doc_id", "text").where("text IS NOT NULL")
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
-def token_arrays(samples: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``shard, sample_index, token_ids`` of ``shard, sample_index, texts, rare``: ids of the frequent words
-    (``token, token_id``, within the bounds above) looked up in the texts, ``rare`` (``pos, token_id``)
-    put into their places. Texts under one id are merged by position, then id."""
-    known = frequent.select("token", "token_id").toArrow()
-    shared = samples.sparkSession.sparkContext.broadcast(
-        (known["token"].combine_chunks().cast(pa.large_string()), known["token_id"].to_numpy()))
 
+def rare_occurrences(documents: DataFrame, frequent: Broadcast) -> DataFrame:
+    """``doc_id, pos, word`` of every occurrence of another word than the frequent ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, n, words in _split(batches):
+            at = np.flatnonzero(pc.is_null(pc.index_in(words, frequent.value[0])).to_numpy(zero_copy_only=False))
+            row = np.searchsorted(np.cumsum(n), at, side="right")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array((at - (np.cumsum(n) - n)[row]).astype(np.int32)),
+                                              words.take(pa.array(at)).cast(pa.string())], names=["doc_id", "pos", "word"])
+
+    texts = documents.select("doc_id", "text").where("text IS NOT NULL")
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, pos int, word string")
+
+
+def token_arrays(samples: DataFrame) -> DataFrame:
+    """``shard, sample_index, token_ids`` of ``shard, sample_index, texts, rare``: ids of texts with ``rare``
+    (``pos, token_id``) in the places of their ``UNKNOWN``. Texts under one id are merged by position, then id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ids = shared.value
         for batch in batches:
-            for part in _parts(batch):
+            for part in _runs(batch, np.diff(_ends(batch.column("texts"))), SLICE_CHARS):
                 texts, rare = part.column("texts"), part.column("rare")
-                per_row = np.diff(texts.offsets.to_numpy())
-                words = pc.split_pattern(pc.list_flatten(texts).cast(pa.large_string()), " ")
-                n = pc.list_value_length(words).to_numpy().astype(np.int64)
-                ends = np.cumsum(n)
-                at = pc.fill_null(pc.index_in(pc.list_flatten(words), tokens), -1).to_numpy()
-                found = at >= 0
-                row = np.repeat(np.repeat(np.arange(len(per_row)), per_row), n)[found]
-                pos = (np.arange(len(at)) - np.repeat(ends - n, n))[found]
-                more = pc.list_flatten(rare)
-                row = np.concatenate([row, np.repeat(np.arange(len(per_row)), np.diff(rare.offsets.to_numpy()))])
-                pos = np.concatenate([pos, pc.struct_field(more, "pos").to_numpy()]).astype(np.int64)
-                tid = np.concatenate([ids[at[found]], pc.struct_field(more, "token_id").to_numpy()]).astype(np.int32)
-                place = row << 32 | pos
-                order = np.argsort(place, kind="stable") if (per_row <= 1).all() else np.lexsort((tid, place))
-                starts = np.searchsorted(row[order], np.arange(len(per_row) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("shard"), part.column("sample_index"), pa.ListArray.from_arrays(pa.array(starts), pa.array(tid[order]))],
-                    names=["shard", "sample_index", "token_ids"])
+                per_row, n_rare = np.diff(texts.offsets.to_numpy()), np.diff(rare.offsets.to_numpy())
+                ends = _ends(texts)
+                tid = pc.list_flatten(pc.list_flatten(texts)).to_numpy().copy()
+                more, of = pc.list_flatten(rare), np.repeat(np.arange(len(per_row)), n_rare)
+                at, ids = pc.struct_field(more, "pos").to_numpy(), pc.struct_field(more, "token_id").to_numpy()
+                if (per_row <= 1).all():
+                    tid[ends[of] + at] = ids
+                else:
+                    n = pc.list_value_length(pc.list_flatten(texts)).to_numpy().astype(np.int64)
+                    row = np.repeat(np.repeat(np.arange(len(per_row)), per_row), n)
+                    pos, known = np.arange(len(tid)) - np.repeat(np.cumsum(n) - n, n), tid != UNKNOWN
+                    tid = np.concatenate([tid[known], ids]).astype(np.int32)
+                    tid = tid[np.lexsort((tid, np.concatenate([pos[known], at]), np.concatenate([row[known], of])))]
+                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("sample_index"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tid))],
+                                                 names=["shard", "sample_index", "token_ids"])
 
     return samples.mapInArrow(run, "shard int, sample_index int, token_ids array<int>")
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``batch`` cut into runs of rows with about ``SLICE_CHARS`` characters of texts."""
-    texts = batch.column("texts")
-    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(pc.list_flatten(texts)).to_numpy(), dtype=np.int64)])
-    ends, start = sizes[texts.offsets.to_numpy()[1:] - texts.offsets[0].as_py()], 0    # of each row
-    while start < batch.num_rows:
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
+def _ends(texts: pa.Array) -> np.ndarray:
+    """Where the ids of each row's texts begin and end among all ids."""
+    of_text = np.append(0, np.cumsum(pc.list_value_length(pc.list_flatten(texts)).to_numpy(), dtype=np.int64))
+    offsets = texts.offsets.to_numpy()
+    return of_text[offsets - offsets[0]]
 
 
 def token_stats_of(corpus: DataFrame) -> DataFrame:
@@ -147,6 +179,20 @@ class WordCorpus:
     def corpus(self) -> DataFrame:
         return read_corpus(self.spark, self.corpus_path)
 
+    @cached_property
+    def token_counts(self) -> DataFrame:
+        """``token_id, n`` as in the statistics: the occurrences that the vocabulary was counted by."""
+        return self.counted_vocab.select("token_id", "n")
+
+    @property
+    def counted_vocab(self) -> DataFrame:
+        return self.spark.read.schema(schemas.COUNTED_VOCAB).parquet(f"{self.root}/vocab")
+
+    @cached_property
+    def decodable(self) -> tuple[DataFrame, DataFrame]:
+        """The corpus and the vocabulary that decode its parts (:func:`with_words`)."""
+        return with_words(self.corpus, self.counted_vocab)
+
     @cached_property
     def token_stats(self) -> DataFrame:
         return materialize(token_stats_of(self.corpus), f"{self.root}/token_stats")
@@ -159,8 +205,7 @@ class WordCorpus:
 
 def build_vocab(spark: SparkSession, documents: DataFrame, vocab_path: str) -> DataFrame:
     if not is_done(spark, vocab_path):
-        counted = word_occurrences(documents).groupBy(F.col("word").alias("token")).agg(F.count(F.lit(1)).alias("n"))
-        vocab = dense_ids(counted, "token", "token_id", id_type="int").select(
+        vocab = dense_ids(counted_words(documents), "token", "token_id", id_type="int").select(
             "token", "token_id", F.encode("token", "UTF-8").alias("token_bytes"), "n")
         vocab.write.mode("overwrite").parquet(vocab_path)
         mark_done(spark, vocab_path)
@@ -171,18 +216,18 @@ def build_corpus(spark: SparkSession, documents: DataFrame, vocab_path: str, cor
     if is_done(spark, corpus_path):
         return
     words = spark.read.schema(schemas.COUNTED_VOCAB).parquet(vocab_path)
-    least = frequent_from(words)
-    frequent = words.where(F.col("n") >= least)
-    rare = word_occurrences(documents).join(F.broadcast(frequent.select(F.col("token").alias("word"))), "word", "left_anti").join(
-        words.where(F.col("n") < least).select(F.col("token").alias("word"), "token_id"), "word")
+    least = frequent_from(words, FREQUENT_ROWS, FREQUENT_BYTES)
+    known = words.where(F.col("n") >= least).select("token", "token_id").toArrow()
+    frequent = spark.sparkContext.broadcast((known["token"].combine_chunks().cast(pa.large_string()), known["token_id"].to_numpy()))
     nothing = F.lit(None)
-    rows = documents.where("text IS NOT NULL").select("doc_id", "text", nothing.cast("struct<pos:int,token_id:int>").alias("rare"))
+    rows = encoded_texts(documents, frequent).select("doc_id", "ids", nothing.cast("struct<pos:int,token_id:int>").alias("rare"))
     if least > 1:
-        rows = rows.unionByName(rare.select("doc_id", nothing.cast("string").alias("text"), F.struct("pos", "token_id").alias("rare")))
+        rare = rare_occurrences(documents, frequent).join(words.where(F.col("n") < least).select(F.col("token").alias("word"), "token_id"), "word")
+        rows = rows.unionByName(rare.select("doc_id", nothing.cast("array<int>").alias("ids"), F.struct("pos", "token_id").alias("rare")))
     # the texts and rare occurrences of a sample meet once, in the task of its shard
     samples = by_shard(rows, samples_per_shard).groupBy("shard", "sample_index").agg(
-        F.collect_list("text").alias("texts"), F.collect_list("rare").alias("rare"))
-    write_whole_shards(token_arrays(samples, frequent), corpus_path)
+        F.collect_list("ids").alias("texts"), F.collect_list("rare").alias("rare"))
+    write_whole_shards(token_arrays(samples), corpus_path)
     mark_done(spark, corpus_path)
 
 

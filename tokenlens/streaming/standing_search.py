@@ -30,7 +30,7 @@ def run_standing_search(spark: SparkSession, corpus_dir: str, sequences: DataFra
     bounded by files or by bytes; one larger file is a batch of its own."""
     if max_files_per_trigger and max_bytes_per_trigger:
         raise ValueError("bound a batch by files or by bytes, not both")
-    needles, n = find_ops.prepare_needles(sequences, token_stats, mark_first=True)     # checkpointed once, reused by every batch
+    needles, n = find_ops.prepare_needles(sequences, token_stats)     # checkpointed once, reused by every batch
     reader = spark.readStream.schema(schemas.CORPUS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -39,7 +39,7 @@ def run_standing_search(spark: SparkSession, corpus_dir: str, sequences: DataFra
     stream = reader.parquet(corpus_dir).select("shard", "sample_index", "token_ids")
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        hits = find_ops.dedup_hits(find_ops.search_prepared(df, needles, n)).select(*HIT_COLS)
+        hits = find_ops.dedup_hits(find_ops.search_prepared(df, needles, n, mark_first=True)).select(*HIT_COLS)
         (hits.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_dir))
 
