@@ -4,8 +4,10 @@ import random
 
 import pytest
 
-from conftest import corpus_df, seqs_df
-from tokenlens.operators import find as fo
+from conftest import SF001, corpus_df, seqs_df
+from tokenlens.operators import decode, find as fo
+from tokenlens.operators import context as co
+from tokenlens.plans import registry
 from tokenlens.sources import wordcorpus
 
 
@@ -46,6 +48,32 @@ def test_a_search_needs_the_counts_of_the_vocabulary_only(spark, tmpdir_path):
     assert sorted(map(tuple, tc.token_counts.collect())) == sorted(map(tuple, tc.token_stats.select("token_id", "n").collect()))
 
 
+def test_contexts_are_decoded_without_a_row_per_token(spark, monkeypatch):
+    """With a vocabulary beyond the bound the rare words come to their samples; texts stay the same."""
+    read = lambda df: sorted(map(tuple, df.select(*registry.HIT_COLS, "before", "match", "after").collect()))
+    wordcorpus._OPENED.clear()
+    want = read(registry._context(spark, SF001))
+    monkeypatch.setattr(decode, "DENSE_ROWS", 300)
+    wordcorpus._OPENED.clear()
+    got = registry._context(spark, SF001)
+    assert "Generate" not in _plan(got) and _plan(got).count("Exchange hash") <= 3
+    assert read(got) == want != []
+    wordcorpus._OPENED.clear()
+
+
+def test_words_of_a_sample_complete_the_frequent_ones(spark, monkeypatch):
+    monkeypatch.setattr(decode, "DENSE_ROWS", 2)
+    words, counts = ["a", "é", "c", "d", "e"], [8, 1, 9, 1, 1]
+    vocab = spark.createDataFrame([(w, i, w.encode(), n) for i, (w, n) in enumerate(zip(words, counts))], "token string, token_id int, token_bytes binary, n long")
+    rows = [(0, 0, [0, 1, 2, 1, 4]), (0, 1, []), (0, 2, [2, 2]), (None, 3, [3, 0])]
+    corpus = spark.createDataFrame(rows, "shard int, sample_index int, token_ids array<int>")
+    met, frequent = decode.with_words(corpus, vocab)
+    assert sorted(r.token for r in frequent.collect()) == ["a", "c"]
+    hits = fo.find_sequences(met, seqs_df(spark, [[1, 2], [4], [0]]), None, context_len=2)
+    got = {(r.shard, r.sample_index, r.token_offset): r.before + r.match + r.after for r in co.hit_context(hits, frequent).collect()}
+    assert got == {(0, 0, 0): "a é c", (0, 0, 1): "a é c é e", (0, 0, 4): "c é e", (None, 3, 1): "d a"}
+
+
 def test_shuffle_files_go_with_their_action(spark, tmpdir_path):
     import glob
     import os

@@ -261,8 +261,9 @@ def repair_offsets(spark, sf_dir):
 
 def _context(spark, sf_dir, context_len=C.DEFAULT_CONTEXT_LEN):
     tc, needles = _search_input(spark, sf_dir)
-    raw = find_ops.find_sequences(tc.corpus, needles, tc.token_counts, context_len=context_len, mark_first=True)
-    return ctx_ops.hit_context(find_ops.dedup_hits(raw), tc.vocab, tc.joiner)
+    corpus, vocab = tc.decodable
+    raw = find_ops.find_sequences(corpus, needles, tc.token_counts, context_len=context_len, mark_first=True)
+    return ctx_ops.hit_context(find_ops.dedup_hits(raw), vocab, tc.joiner)
 
 
 @register("hit_context", Q.with_ctes(Q.WORDS, Q.NEEDLES, Q.RAW_HITS, Q.CONTEXT, body="SELECT * FROM ctx"))
