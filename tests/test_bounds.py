@@ -74,6 +74,27 @@ def test_words_of_a_sample_complete_the_frequent_ones(spark, monkeypatch):
     assert got == {(0, 0, 0): "a é c", (0, 0, 1): "a é c é e", (0, 0, 4): "c é e", (None, 3, 1): "d a"}
 
 
+@pytest.mark.parametrize("candidates", [1, 1 << 20])
+def test_reports_and_samples_meet_in_one_shuffle(spark, monkeypatch, candidates):
+    monkeypatch.setattr(fo, "CANDIDATES", candidates)
+    rnd = random.Random(3)
+    rows = _random_corpus(rnd, 3)
+    reports = [(s, i, rnd.choice([None, -3, 0, 1, 5, 90]), k, [rnd.randint(0, 3) for _ in range(rnd.randint(1, 3))])
+               for k in range(12) for s, i in [(rnd.randint(0, 3), rnd.randint(0, 5))] for _ in range(1)]
+    reports += [(s, i, (o or 0) + 1, k, q) for s, i, o, k, q in reports] + [(None, 0, 0, 99, [1])]
+    want = {}
+    for s, i, o, k, q in reports:
+        t = next((t for a, b, t in rows if (a, b) == (s, i)), [])
+        at = [p for p in range(len(t) - len(q) + 1) if t[p:p + len(q)] == q]
+        if at and s is not None:
+            place = (k, s, i, o if o in at else o - 1 if o and o - 1 in at else at[0])
+            want[place] = min((x for x in (want.get(place), o) if x is not None), default=None)
+    rep = spark.createDataFrame(reports, "shard int, sample_index int, reported_offset int, seq_ord long, sequence array<int>")
+    got = fo.repair_offsets(rep, corpus_df(spark, rows))
+    assert _plan(got).count("Exchange hash") == 1
+    assert {(r.seq_ord, r.shard, r.sample_index, r.token_offset): r.reported_offset for r in got.collect()} == want != {}
+
+
 def test_shuffle_files_go_with_their_action(spark, tmpdir_path):
     import glob
     import os

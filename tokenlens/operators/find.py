@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint as _ckpt, ship_package
-from ..functions.arrays import context_slices, matches_at
+from ..functions.arrays import context_slices
 from ..plans.strategy import checked_broadcast
 from .decode import WORDS, words_at, words_between
 from .postings import NO_TOKEN, sample_runs
@@ -308,28 +308,89 @@ def repair_offsets(reported: DataFrame, corpus: DataFrame) -> DataFrame:
     before it, else the first occurrence in the sample; drop the hit when the sample lacks the
     sequence. Then one hit per (sequence, location), as the original did per sequence.
 
-    ``reported``: ``shard, sample_index, reported_offset, seq_ord, sequence``. The reports are
-    materialized once and broadcast when small (checked), so the corpus is filtered where it is
-    read. The first two checks are row expressions. The rest are searched in their own
-    samples only: those are picked by a semi-join before a sample is taken apart, and its positions
-    meet the first tokens of its own reports. A report
+    ``reported``: ``shard, sample_index, reported_offset, seq_ord, sequence``. A report concerns one sample, and so
+    do all reports of a repaired location: samples and reports meet in one shuffle by sample, where both checks, the
+    search and the deduplication run on arrays (:func:`repaired`). Nothing else is written; a task holds the
+    reports of a few samples at a time. A report
     without an offset is searched; an empty sequence is found nowhere."""
-    t, o, s = F.col("token_ids"), F.col("reported_offset"), F.col("sequence")
-    place = ["shard", "sample_index"]
-    rep = reported.select(*place, "reported_offset", "seq_ord", "sequence").transform(_ckpt)
-    rb, _ = checked_broadcast(rep)
-    samples = corpus.select(*place, "token_ids")
-    quick = F.when(matches_at(t, o, s), o).when((o > 0) & matches_at(t, o - 1, s), o - 1)
-    checked = samples.join(rb, place).select(*place, "reported_offset", "seq_ord", "sequence",
-                                             quick.cast("int").alias("token_offset")).transform(_ckpt)
-    pending = checked.where(F.col("token_offset").isNull() & (F.size(s) > 0)).drop("token_offset").withColumn("head", F.get(s, 0))
-    some, _ = checked_broadcast(pending.select(*place).distinct())
-    pb, _ = checked_broadcast(pending)
-    here = samples.join(some, place, "left_semi").select(*place, "token_ids", F.posexplode("token_ids").alias("pos", "head"))
-    found = (here.join(pb, [*place, "head"]).where(matches_at(t, F.col("pos"), s))
-             .groupBy(*place, "reported_offset", "seq_ord")
-             .agg(F.min("pos").cast("int").alias("token_offset"), F.first("sequence").alias("sequence")))
-    found = found.select(*place, "reported_offset", "seq_ord", "sequence", "token_offset")
-    fixed = checked.where(F.col("token_offset").isNotNull()).unionByName(found)
-    return fixed.groupBy("seq_ord", *place, "token_offset").agg(
-        F.first("sequence").alias("sequence"), F.min("reported_offset").alias("reported_offset"))
+    place, report = ["shard", "sample_index"], "struct<reported_offset:int,seq_ord:bigint,sequence:array<int>>"
+    ship_package(corpus.sparkSession)
+    reports = reported.where(F.col("shard").isNotNull() & F.col("sample_index").isNotNull()).select(
+        *place, F.lit(None).cast("array<int>").alias("token_ids"), F.struct("reported_offset", "seq_ord", "sequence").cast(report).alias("report"))
+    rows = corpus.select(*place, "token_ids", F.lit(None).cast(report).alias("report")).unionByName(reports)
+    met = rows.repartition(*place).groupBy(*place).agg(F.first("token_ids", ignorenulls=True).alias("token_ids"), F.collect_list("report").alias("reports"))
+    names = ["seq_ord", *place, "token_offset", "sequence", "reported_offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, n, tokens in sample_runs(batch, SEARCH_TOKENS):
+                reports = pc.list_flatten(part.column("reports"))
+                row = np.repeat(np.arange(len(n)), pc.list_value_length(part.column("reports")).to_numpy(zero_copy_only=False))
+                reported, seq_ord, sequence = (pc.struct_field(reports, k) for k in ("reported_offset", "seq_ord", "sequence"))
+                length = pc.fill_null(pc.list_value_length(sequence), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                known = np.maximum(length, 0)
+                offset = repaired(tokens, n, row, pc.fill_null(reported, NO_TOKEN).to_numpy(zero_copy_only=False).astype(np.int64),
+                                  pc.fill_null(pc.list_flatten(sequence), NO_TOKEN).to_numpy(zero_copy_only=False), np.cumsum(known) - known, length)
+                # the smallest reported offset of each (sequence, location), those without one last
+                first = pc.fill_null(reported, np.iinfo(np.int32).max).to_numpy(zero_copy_only=False)
+                ords = seq_ord.to_numpy(zero_copy_only=False)
+                order = np.lexsort((first, offset, ords, row))
+                order = order[offset[order] >= 0]
+                key = np.stack([row[order], ords[order], offset[order]])
+                at = order[np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))] if len(order) else order
+                some, of = pa.array(at), pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([seq_ord.take(some), part.column("shard").take(of), part.column("sample_index").take(of),
+                                                  pa.array(offset[at].astype(np.int32)), sequence.take(some), reported.take(some)], names=names)
+
+    return met.where(F.col("token_ids").isNotNull() & (F.size("reports") > 0)).mapInArrow(
+        run, "seq_ord bigint, shard int, sample_index int, token_offset int, sequence array<int>, reported_offset int")
+
+
+def repaired(tokens: np.ndarray, n: np.ndarray, row: np.ndarray, reported: np.ndarray, wanted: np.ndarray, start: np.ndarray,
+             length: np.ndarray) -> np.ndarray:
+    """The repaired offset, -1 for none, of each report (sample ``row``, offset or NO_TOKEN, sequence of ``length`` from
+    ``start`` in ``wanted``) in samples of ``n`` tokens. A sequence is searched from the occurrences of its token that
+    is rarest in the sample, ``CANDIDATES`` at a time."""
+    begins, out = np.cumsum(n) - n, np.full(len(row), -1, np.int64)
+
+    def there(some: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        inside = (offset >= 0) & (length[some] >= 0) & ((offset + length[some] <= n[row[some]]) | (length[some] == 0))
+        here = some[inside]
+        inside[inside] = equal_at(tokens, begins[row[here]] + offset[inside], wanted, start[here], length[here])
+        return inside
+
+    every = np.arange(len(row))
+    for back in (0, 1):
+        left = every[(out < 0) & (reported >= back)]
+        ok = there(left, reported[left] - back)
+        out[left[ok]] = reported[left[ok]] - back
+    left = every[(out < 0) & (length > 0)]
+    left = left[wanted[start[left]] != NO_TOKEN] if len(left) else left
+    if not len(left) or not len(tokens):
+        return out
+    key = np.repeat(np.arange(len(n)), n) << 32 | (tokens.astype(np.int64) & 0xFFFFFFFF)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    # occurrences of each token of each sequence in its sample: the fewest of them are the candidates
+    of = np.repeat(np.arange(len(left)), length[left])
+    i = np.arange(len(of)) - np.repeat(np.cumsum(length[left]) - length[left], length[left])
+    token = row[left][of] << 32 | (wanted[start[left][of] + i].astype(np.int64) & 0xFFFFFFFF)
+    low = np.searchsorted(key, token)
+    times = np.searchsorted(key, token, side="right") - low
+    rarest = np.lexsort((times, of))
+    rarest = rarest[np.append(True, of[rarest][1:] != of[rarest][:-1])]
+    low, times, i = low[rarest], times[rarest], i[rarest]
+    total, begin = np.cumsum(times), 0
+    first = np.full(len(left), np.iinfo(np.int64).max)
+    while begin < len(left):
+        before = total[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(total, before + CANDIDATES, side="right")))
+        some = np.repeat(np.arange(begin, stop), times[begin:stop])
+        at = order[low[some] + np.arange(len(some)) - (total[some] - times[some] - before)]
+        offset = at - begins[row[left[some]]] - i[some]
+        ok = there(left[some], offset)
+        np.minimum.at(first, some[ok], offset[ok])
+        begin = stop
+    found = first < np.iinfo(np.int64).max
+    out[left[found]] = first[found]
+    return out
