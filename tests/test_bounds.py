@@ -5,6 +5,7 @@ import random
 import pytest
 
 from conftest import SF001, corpus_df, seqs_df
+from tokenlens.functions.arrays import Ranks
 from tokenlens.operators import decode, find as fo
 from tokenlens.operators import context as co
 from tokenlens.plans import registry
@@ -61,6 +62,13 @@ def test_contexts_are_decoded_without_a_row_per_token(spark, monkeypatch):
     wordcorpus._OPENED.clear()
 
 
+@pytest.mark.parametrize("ids", [[], [0], [63], [64], [5, 63, 64, 127, 128, 700], list(range(192))])
+def test_ranks_of_ids(ids):
+    import numpy as np
+    asked = np.array([-2147483648, -1, *range(800), 2147483647], np.int32)
+    assert Ranks(np.array(ids, np.int32)).at(asked).tolist() == [ids.index(a) if a in ids else -1 for a in asked.tolist()]
+
+
 def test_words_of_a_sample_complete_the_frequent_ones(spark, monkeypatch):
     monkeypatch.setattr(decode, "DENSE_ROWS", 2)
     words, counts = ["a", "é", "c", "d", "e"], [8, 1, 9, 1, 1]

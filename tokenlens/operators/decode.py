@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import Ranks
 from ..plans.strategy import checked_broadcast
 from .postings import GROUP_TOKENS, NO_TOKEN, sample_runs
 
@@ -65,13 +66,12 @@ def with_words(corpus: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFram
     if least == 1:
         return corpus, vocab
     frequent, place = vocab.where(F.col("n") >= least), ["shard", "sample_index"]
-    shared = corpus.sparkSession.sparkContext.broadcast(np.sort(frequent.select("token_id").toArrow()["token_id"].to_numpy()))
+    shared = corpus.sparkSession.sparkContext.broadcast(Ranks(np.sort(frequent.select("token_id").toArrow()["token_id"].to_numpy())))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, n, tokens in sample_runs(batch, GROUP_TOKENS):
-                at = np.searchsorted(shared.value, tokens)
-                at = np.flatnonzero(np.append(shared.value, NO_TOKEN)[at] != tokens)
+                at = np.flatnonzero(shared.value.at(tokens) < 0)
                 pairs = np.unique(np.repeat(np.arange(len(n)), n)[at] << 32 | tokens[at].astype(np.int64))
                 row, ids = pa.array(pairs >> 32), (pairs & 0xFFFFFFFF).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("shard").take(row), part.column("sample_index").take(row), pa.array(ids)],
@@ -86,14 +86,14 @@ def with_words(corpus: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFram
     return met, frequent
 
 
-def words_at(words: pa.Array, tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The positions of ``tokens`` (``n`` of each row) that a row's ``words`` have, and their words."""
+def words_at(words: pa.Array, row: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Which of ``ids`` are among the ``words`` of their ``row``, and these words."""
     own = pc.list_flatten(words)
-    ids = pc.struct_field(own, "token_id").to_numpy(zero_copy_only=False)
-    key = np.repeat(np.arange(len(n)), pc.list_value_length(words).to_numpy(zero_copy_only=False)) << 32 | ids.astype(np.int64)
+    n = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    key = np.repeat(np.arange(len(n)), n) << 32 | pc.struct_field(own, "token_id").to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.argsort(key)
     key = key[order]
-    wanted = np.repeat(np.arange(len(n)), n) << 32 | tokens.astype(np.int64)
+    wanted = row << 32 | ids.astype(np.int64)
     at = np.searchsorted(key, wanted)
     places = np.flatnonzero(np.append(key, -1)[at] == wanted)
     return places, own.take(pa.array(order[at[places]]))
@@ -108,30 +108,30 @@ def words_between(located: tuple[np.ndarray, pa.Array], left: np.ndarray, right:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), words.take(pa.array(at)))
 
 
-def vocabulary_array(vocab: DataFrame, field: str) -> tuple[np.ndarray, pa.Array] | None:
-    """Sorted token ids and their ``field``, if there are few enough."""
+def vocabulary_array(vocab: DataFrame, field: str) -> tuple[Ranks, pa.Array] | None:
+    """Token ids and their ``field`` in order of ids, if there are few enough."""
     own = vocab.select("token_id", F.col(field).cast("binary").alias("value")).where("token_id >= 0")
     n, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("value")), F.lit(0))).first()
     if n > DENSE_ROWS or size > DENSE_BYTES:
         return None
     found = own.toArrow()
-    found = found.take(pc.sort_indices(found["token_id"]))
+    found = found.take(pa.array(np.unique(found["token_id"].to_numpy(), return_index=True)[1]))
     values = found["value"].combine_chunks().cast(pa.large_binary())
-    return found["token_id"].to_numpy(), values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks)
+    return Ranks(found["token_id"].to_numpy()), values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks)
 
 
-def joined_tokens(ids: pa.Array, known: tuple[np.ndarray, pa.Array], separator: bytes, words: pa.Array | None = None) -> pa.Array:
+def joined_tokens(ids: pa.Array, known: tuple[Ranks, pa.Array], separator: bytes, words: pa.Array | None = None) -> pa.Array:
     """Binary texts of a list column of ids, by the vocabulary or else by the row's ``words``; unknown ids
     are left out, a null list is empty."""
     sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
     flat = pc.fill_null(pc.list_flatten(ids), NO_TOKEN).to_numpy(zero_copy_only=False)
-    at = np.searchsorted(known[0], flat)
-    missing = np.append(known[0], NO_TOKEN)[at] != flat
-    tokens = known[1].take(pa.array(at, mask=missing | (flat < 0)))
+    at = known[0].at(flat)
+    tokens = known[1].take(pa.array(at, mask=at < 0))
     if words is not None:
-        places, own = words_at(words, flat, sizes)
+        others = np.flatnonzero(at < 0)
+        found, own = words_at(words, np.searchsorted(np.cumsum(sizes), others, side="right"), flat[others])
         source = np.full(len(flat), -1, np.int64)
-        source[places] = np.arange(len(places))
+        source[others[found]] = np.arange(len(found))
         tokens = pc.coalesce(tokens, pc.struct_field(own, "token").cast(pa.large_binary()).take(pa.array(source, mask=source < 0)))
     known_here = pc.is_valid(tokens).to_numpy(zero_copy_only=False)
     offsets = np.concatenate([[0], np.cumsum(known_here)])[np.concatenate([[0], np.cumsum(sizes)])]

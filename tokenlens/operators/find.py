@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint as _ckpt, ship_package
-from ..functions.arrays import context_slices
+from ..functions.arrays import Ranks, context_slices
 from ..plans.strategy import checked_broadcast
 from .decode import WORDS, words_at, words_between
 from .postings import NO_TOKEN, sample_runs
@@ -89,7 +89,7 @@ def equal_at(tokens: np.ndarray, places: np.ndarray, wanted: np.ndarray, starts:
 @dataclass
 class Needles:
     """The needle table as arrays in the order of anchor tokens, for the workers."""
-    anchors: np.ndarray     # distinct anchor tokens, sorted
+    ranks: Ranks            # of the distinct anchor tokens
     first: np.ndarray       # of each anchor's needles, and their number
     count: np.ndarray
     seq_ord: np.ndarray
@@ -106,16 +106,16 @@ class Needles:
         n = n if isinstance(n, pa.Array) else pa.concat_arrays(n.chunks)
         lengths = pc.list_value_length(n).to_numpy(zero_copy_only=False).astype(np.int64)
         anchors, first, count = np.unique(table["anchor_token"].to_numpy(), return_index=True, return_counts=True)
-        return cls(anchors.astype(np.int32), first, count, table["seq_ord"].to_numpy(), lengths, table["anchor_idx"].to_numpy().astype(np.int64),
+        return cls(Ranks(anchors), first, count, table["seq_ord"].to_numpy(), lengths, table["anchor_idx"].to_numpy().astype(np.int64),
                    pc.fill_null(pc.list_flatten(n), NO_TOKEN).to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(lengths) - lengths)
 
     def hits_in(self, tokens: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in ``tokens`` (samples from ``begins`` to ``ends``) which needle occurs, in order of places
         and there of ``seq_ord``. Candidates are taken apart ``CANDIDATES`` at a time."""
-        if not len(self.anchors) or not len(tokens):
+        if not len(self.first) or not len(tokens):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        which = np.minimum(np.searchsorted(self.anchors, tokens), len(self.anchors) - 1)
-        at = np.flatnonzero(self.anchors[which] == tokens)
+        which = self.ranks.at(tokens)
+        at = np.flatnonzero(which >= 0)
         which = which[at]
         row = np.searchsorted(ends, at, side="right")
         total = np.cumsum(self.count[which])
@@ -178,7 +178,7 @@ def find_sequences_scan(corpus: DataFrame, needles: DataFrame, context_len: int
                 begins = ends - n
                 places, needle_of = known.hits_in(tokens, begins, ends)
                 rows = np.searchsorted(ends, places, side="right")
-                located = words_at(part.column("words"), tokens, n) if with_words else None
+                located = words_at(part.column("words"), np.repeat(np.arange(len(n)), n), tokens) if with_words else None
                 new = np.append(True, places[1:] != places[:-1]) if len(places) else np.zeros(0, bool)
                 for k in range(0, len(places), HITS):
                     place, needle, row = places[k:k + HITS], needle_of[k:k + HITS], rows[k:k + HITS]
