@@ -17,7 +17,7 @@ from ..operators import context as ctx_ops
 from ..operators import cover
 from ..operators import find as find_ops
 from ..plans.strategy import checked_broadcast
-from ..sources.wordcorpus import TokenCorpus, split_words
+from ..sources.wordcorpus import TokenCorpus, WordCorpus, split_words
 from .needles import CHUNK, chunk_spec, numbered_chunks
 
 
@@ -125,7 +125,7 @@ def sequence_owners(covers: DataFrame, sequences: DataFrame) -> DataFrame:
     return left.select("qid", F.array_join("seq", ",").alias("k")).join(sequences.select("k", "seq_ord"), "k").drop("k").transform(_ckpt)
 
 
-def search_text(tc: TokenCorpus, targets: DataFrame, context_len: int = 50, regex: str | None = None,
+def search_text(tc: WordCorpus, targets: DataFrame, context_len: int = 50, regex: str | None = None,
                 literal: bool = False, merges: DataFrame | None = None) -> DataFrame:
     """Hits of every query: ``qid, shard, sample_index, token_offset, sequence, context_ok,
     before, match, after`` (context null where the regex fails; ``context_len = 0`` skips it)."""
@@ -134,12 +134,13 @@ def search_text(tc: TokenCorpus, targets: DataFrame, context_len: int = 50, rege
     # Each distinct sequence is searched once, whatever number of queries produced it.
     distinct = covers.select(F.array_join(F.col("seq"), ",").alias("k"), "seq").distinct()
     ided = dense_ids(distinct, "k", "sid").select(F.col("sid").cast("long").alias("seq_ord"), "seq", "k")
-    raw = find_ops.find_sequences(tc.corpus, ided.select("seq_ord", "seq"), tc.token_stats, context_len=context_len)
+    corpus, vocab = tc.decodable if context_len > 0 else (tc.corpus, tc.vocab)
+    raw = find_ops.find_sequences(corpus, ided.select("seq_ord", "seq"), tc.token_counts, context_len=context_len)
     ob, _ = checked_broadcast(sequence_owners(covers, ided))
     rkey = ["shard", "sample_index", "token_offset", "seq_ord"]
     if context_len > 0:
         # context is decoded once per raw hit, before the fan-out to the queries sharing it
-        raw = ctx_ops.hit_context(raw, tc.vocab, tc.joiner, key=rkey)
+        raw = ctx_ops.hit_context(raw, vocab, tc.joiner, key=rkey)
     hits = raw.join(ob, "seq_ord").drop("seq_ord")
     hits = hits.select("qid", *[c for c in hits.columns if c != "qid"])
     if context_len <= 0:
